@@ -4,23 +4,61 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crategraph.llm import quality_rules, url_filter
+from crategraph.llm import decontaminate, mixing, quality_rules, sharding, url_filter, warc
 from crategraph.shared import table
 
 #: (host, path, verdict) of the url rules.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
+#: Bytes of text in a shard.
+SHARD_BYTES = 32 << 20
+
+
+def op1_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
 
 def op2_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op3_extendible_hashing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shard(docs, limit=SHARD_BYTES).drop("text")
+
+
+def op5_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.realise(docs, mixing.plan(docs, repetition_limit=4.0))
+
+
+def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_bloom_cascade_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, URL_RULES))} AS rules(host, path, verdict)")
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {f.__name__: f for f in (op2_host_quality_rules, op8_bloom_cascade_urls)}
+QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op2_host_quality_rules, op3_extendible_hashing_shards, op5_temperature_mixing, op6_warc_round_trip, op8_bloom_cascade_urls)}
+
+
+def shard_sql(limit: int) -> str:
+    """SQL of ``sharding.shard`` for tables in which no 60 bits are shared by rows that exceed the limit."""
+    return f"""
+WITH h AS (
+  SELECT row_number() OVER () AS rid, doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || chr(31) || coalesce(text, '')), 1, 15))::BIGINT AS h
+  FROM documents),
+e AS (SELECT rid, d, h >> (60 - d) AS p, n_bytes FROM h, range(0, 61) AS r(d)),
+s AS (SELECT d, p, sum(n_bytes)::BIGINT AS b FROM e GROUP BY d, p HAVING sum(n_bytes) <= {limit} OR count(*) = 1 OR d = 60),
+leaf AS (SELECT rid, min(d) AS depth, arg_min(p, d) AS p, arg_min(b, d) AS b FROM e JOIN s USING (d, p) GROUP BY rid)
+SELECT doc_id, CASE WHEN depth = 0 THEN '' ELSE lpad(ltrim(bin(p), '0'), depth::INT, '0') END AS shard, depth::INT AS depth, b AS shard_bytes, n_bytes
+FROM h JOIN leaf USING (rid)
+"""
+
 
 ORACLE_SQL = {
     "op2_host_quality_rules": r"""
@@ -63,6 +101,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 O
        NOT (f1 OR f2) AND host_verdict = 'fine' AS kept, host_verdict, round(r1, 6) AS rate_short, round(r2, 6) AS rate_repeats,
        round(r3, 6) AS rate_symbols, round(r4, 6) AS rate_duplicate_lines, round(r5, 6) AS rate_word_length
 FROM f JOIN v USING (rid)
+""",
+    "op3_extendible_hashing_shards": shard_sql(SHARD_BYTES),
+    "op6_warc_round_trip": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha256(coalesce(html, '')) AS d FROM pages),
+g AS (SELECT d, min(page_id) AS first FROM p WHERE strlen(body) >= 100 GROUP BY d)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN g.first IS NOT NULL AND coalesce(page_id > g.first, true) THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN g.first IS NOT NULL AND coalesce(page_id > g.first, true) THEN g.first END AS refers_to
+FROM p LEFT JOIN g USING (d)
 """,
     "op8_bloom_cascade_urls": r"""
 WITH u AS (
