@@ -34,3 +34,11 @@ def settle(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def join_measured(df: DataFrame, small: DataFrame, on, how: str = "left", max_rows: int = 200_000) -> DataFrame:
+    """Join with a settled table that is expected to be small: broadcast if counting it shows at most ``max_rows`` narrow
+    rows, else an ordinary shuffle join, whose hot keys adaptive execution splits."""
+    from pyspark.sql import functions as F
+
+    return df.join(F.broadcast(small) if small.count() <= max_rows else small, on, how)
