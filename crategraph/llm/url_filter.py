@@ -61,7 +61,7 @@ class BloomLevel:
         position = F.explode(F.array(*self._positions(F.col("key")))).alias("p")
         words = keys.select(position).groupBy(F.floor(F.col("p") / 8).alias("byte")).agg(F.bit_or(_bit(F.col("p"))).alias("set"))
         data = bytearray(self.bits // 8)
-        for row in words.toLocalIterator():  # at most bits / 8 rows
+        for row in words.collect():  # at most bits / 8 rows
             data[row["byte"]] = row["set"]
         self.data = bytes(data)
 
