@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crategraph.llm import decontaminate, mixing, quality_rules, sharding, url_filter, warc
+from crategraph.llm import decontaminate, mixing, near_dedup, quality_rules, sharding, url_filter, warc
 from crategraph.shared import table
 
 #: (host, path, verdict) of the url rules.
@@ -27,6 +27,10 @@ def op3_extendible_hashing_shards(spark: SparkSession, sf_dir: str) -> DataFrame
     return sharding.shard(docs, limit=SHARD_BYTES).drop("text")
 
 
+def op4_bag_min_hash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.realise(docs, mixing.plan(docs, repetition_limit=4.0))
@@ -42,7 +46,7 @@ def op8_bloom_cascade_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op2_host_quality_rules, op3_extendible_hashing_shards, op5_temperature_mixing, op6_warc_round_trip, op8_bloom_cascade_urls)}
+QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op2_host_quality_rules, op3_extendible_hashing_shards, op4_bag_min_hash_classes, op5_temperature_mixing, op6_warc_round_trip, op8_bloom_cascade_urls)}
 
 
 def shard_sql(limit: int) -> str:
