@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crategraph.llm import decontaminate, mixing, near_dedup, quality_rules, sharding, url_filter, warc
+from crategraph.llm import decontaminate, mixing, near_dedup, quality_rules, sharding, toxicity, url_filter, warc
 from crategraph.shared import table
 
+#: Score from which a document is toxic.
+TOXIC = 0.3
 #: (host, path, verdict) of the url rules.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -46,7 +48,13 @@ def op8_bloom_cascade_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op2_host_quality_rules, op3_extendible_hashing_shards, op4_bag_min_hash_classes, op5_temperature_mixing, op6_warc_round_trip, op8_bloom_cascade_urls)}
+def op10_nearest_example_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, threshold=TOXIC)
+
+
+QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op2_host_quality_rules, op3_extendible_hashing_shards, op4_bag_min_hash_classes, op5_temperature_mixing, op6_warc_round_trip, op8_bloom_cascade_urls, op10_nearest_example_toxicity)}
 
 
 def shard_sql(limit: int) -> str:

@@ -25,6 +25,8 @@ _BYTES = np.arange(256)
 BLANK = np.isin(_BYTES, [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 #: Bytes outside letter-and-digit runs; bytes of non-ASCII characters count as letters.
 PUNCTUATION = ~((_BYTES >= 0x80) | ((_BYTES >= 0x30) & (_BYTES <= 0x39)) | ((_BYTES | 0x20) >= 0x61) & ((_BYTES | 0x20) <= 0x7A) & (_BYTES < 0x80))
+#: Classes of bytes for runs: 0 blank, 1 letters (all of non-ASCII), 2 digits, 3 the rest.
+RUNS = np.where(BLANK, 0, np.where((_BYTES >= 0x30) & (_BYTES <= 0x39), 2, np.where(PUNCTUATION, 3, 1))).astype(np.uint8)
 LOWER = np.where((_BYTES >= 0x41) & (_BYTES <= 0x5A), _BYTES + 32, _BYTES).astype(np.uint8)
 
 
@@ -113,13 +115,22 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
 
 
 def words(chunk: Chunk, separators: np.ndarray = BLANK, lower: bool = False) -> Words:
-    """Maximal runs of non-separator bytes; no word crosses two texts. ``lower`` folds A-Z only."""
+    """Maximal runs of non-separator bytes; no word crosses two texts. ``lower`` folds A-Z only. With a table of classes such
+    as ``RUNS`` for separators, a word is a run of one class other than 0."""
     data = LOWER[chunk.data] if lower else chunk.data
     n = len(data)
-    inside = ~separators[data]
-    begins, ends = inside.copy(), inside.copy()
-    begins[1:] &= ~inside[:-1]
-    ends[:-1] &= ~inside[1:]
+    if separators.dtype == bool:
+        inside = ~separators[data]
+        begins, ends = inside.copy(), inside.copy()
+        begins[1:] &= ~inside[:-1]
+        ends[:-1] &= ~inside[1:]
+    else:
+        kind = separators[data]
+        inside = kind > 0
+        begins, ends = inside.copy(), inside.copy()
+        turn = kind[1:] != kind[:-1]
+        begins[1:] &= turn
+        ends[:-1] &= turn
     edges = chunk.offsets[1:-1]
     edges = edges[(edges > 0) & (edges < n)]
     begins[edges] |= inside[edges]
