@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -75,18 +76,30 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     doc: np.ndarray
-    hash: np.ndarray
     counts: np.ndarray
     sums: np.ndarray
+    data: np.ndarray
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return span_hash(self.sums, self.start, self.end)
+
+    def starts(self) -> np.ndarray:
+        """The first three bytes of each word as a number; bytes beyond its end count as 0."""
+        out = np.zeros(len(self.start), np.int64)
+        for k in range(3):
+            at = self.start + k
+            out = (out << 8) | np.where(at < self.end, self.data[np.minimum(at, len(self.data) - 1)], 0) if len(at) else out
+        return out
 
     @property
     def first(self) -> np.ndarray:
         """Index of each text's first word, with the total at the end."""
         return np.concatenate([[0], np.cumsum(self.counts)])
 
-    def prefix(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the first ``size`` bytes of the words longer than that, and which words those are."""
-        which = np.flatnonzero(self.end - self.start > size)
+    def prefix(self, size: int, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the first ``size`` bytes of the words longer than that (``among`` some), and which words those are."""
+        which = np.flatnonzero(self.end - self.start > size) if among is None else among[(self.end - self.start)[among] > size]
         return span_hash(self.sums, self.start[which], self.start[which] + size), which
 
 
@@ -141,7 +154,7 @@ def words(chunk: Chunk, separators: np.ndarray = BLANK, lower: bool = False) ->
     with np.errstate(over="ignore"):
         np.cumsum((data.astype(U64) + U64(1)) * power[:n], out=sums[1:])
     doc = np.searchsorted(chunk.offsets, start, "right") - 1
-    return Words(start, end, doc, span_hash(sums, start, end), np.bincount(doc, minlength=chunk.size), sums)
+    return Words(start, end, doc, np.bincount(doc, minlength=chunk.size), sums, data)
 
 
 _STEP = [U64(int(mix(np.array([7919 + i], U64))[0]) | 1) for i in range(64)]

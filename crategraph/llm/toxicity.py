@@ -5,8 +5,8 @@ terms whose presence is tied to the label in the training sample (chi-square of
 their document frequencies are counted over all documents. An example is a unit vector of (1 + ln tf) * idf.
 
 The index of the examples is inverted and cut into blocks of examples; for each term and block it keeps the largest weight.
-A document's blocks are visited by their upper bounds until the bound falls below the k-th best cosine found, so the k
-neighbours are exact. They vote with the square of their cosine; votes are shrunk towards the base rate and calibrated by
+The two blocks of the largest upper bounds are read first; then those whose bound reaches the k-th best cosine found, and no
+others, so the k neighbours are exact. They vote with the square of their cosine; votes are shrunk towards the base rate and calibrated by
 a logistic curve fitted to the training examples, each judged without itself.
 
 Bounds: at most ``examples`` labelled rows (a sample by id hash) and ``terms`` terms make the model, a few MB that travel
@@ -33,28 +33,39 @@ PREFIXES = (3, 4, 5, 6, 7, 8, 10)
 EVIDENCE = 3
 
 
-def _terms(chunk: T.Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """(text, term) occurrences."""
+def _terms(chunk: T.Chunk, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, first three bytes) of occurrences; only of words whose first three bytes ``starts`` allows, if given."""
     w = T.words(chunk, T.PUNCTUATION, lower=True)
-    docs, terms = [w.doc], [w.hash]
+    code = w.starts()
+    among = np.arange(len(code)) if starts is None else np.flatnonzero(starts[code])
+    which, terms = [among], [T.span_hash(w.sums, w.start[among], w.end[among])]
     for size in PREFIXES:
-        h, which = w.prefix(size)
-        docs.append(w.doc[which])
+        h, at = w.prefix(size, among)
+        which.append(at)
         terms.append(T.mix(h + T.U64(1)))
-    return np.concatenate(docs), np.concatenate(terms)
+    at = np.concatenate(which)
+    return w.doc[at], np.concatenate(terms), code[at]
 
 
 class Vocabulary:
-    """Term hashes in order, with a bit table ahead of the binary search."""
+    """Term hashes in order, with tables of what can't be one of them ahead of the binary search."""
 
-    def __init__(self, terms: np.ndarray):
+    def __init__(self, terms: np.ndarray, codes: np.ndarray):
         self.terms = np.sort(terms.astype(T.U64))
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.terms >> T.U64(44)).astype(np.int64)] = True
+        self.codes = codes
+        self.starts = None
+
+    def __getstate__(self) -> dict:
+        return vars(self) | {"starts": None}
 
     def counts(self, chunk: T.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (text, term number) with counts."""
-        doc, term = _terms(chunk)
+        if self.starts is None:
+            self.starts = np.zeros(1 << 24, bool)
+            self.starts[self.codes] = True
+        doc, term, _ = _terms(chunk, self.starts)
         maybe = np.flatnonzero(self.bits[(term >> T.U64(44)).astype(np.int64)])
         doc, term = doc[maybe], term[maybe]
         at = np.searchsorted(self.terms, term)
@@ -84,26 +95,36 @@ class Index:
         np.maximum.at(maxima, (terms, rows // block), weights)
         return cls(rows, weights, edges, maxima, labels, block)
 
+    def _scan(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Examples of some blocks with a cosine above 0, and the cosines."""
+        lo = self.pointers[terms[:, None], blocks].ravel()
+        n = self.pointers[terms[:, None], blocks + 1].ravel() - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        scores = np.bincount(self.examples[at], weights=np.repeat(np.repeat(weights, len(blocks)), n) * self.weights[at])
+        found = np.flatnonzero(scores)
+        return found, scores[found]
+
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest cosines above 0, ties by example number; ``skip`` leaves one out."""
         bounds = weights @ self.maxima[terms]
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
         best_s, best_e = np.zeros(0), np.zeros(0, np.int64)
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best_s) == k and bounds[b] < best_s[-1] - 1e-12:
-                break
-            scores = np.zeros(self.block)
-            for t, q in zip(terms.tolist(), weights.tolist()):
-                lo, hi = self.pointers[t, b], self.pointers[t, b + 1]
-                if hi > lo:
-                    scores[self.examples[lo:hi] - b * self.block] += q * self.weights[lo:hi]
-            found = np.flatnonzero(scores > 0)
-            e = found + b * self.block
-            s = scores[found]
+        # the two blocks of the largest bounds set the mark; of the rest those that can reach it are read at once
+        for blocks in (order[:2], order[2:]):
+            if len(best_s) == k:
+                blocks = blocks[bounds[blocks] >= best_s[-1] - 1e-12]
+            if not len(blocks):
+                continue
+            e, s = self._scan(terms, weights, blocks)
             if skip >= 0:
                 s, e = s[e != skip], e[e != skip]
             s, e = np.concatenate([best_s, s]), np.concatenate([best_e, e])
-            order = np.lexsort((e, -s))[:k]
-            best_s, best_e = s[order], e[order]
+            if len(s) > 4 * k:
+                near = s >= np.partition(s, len(s) - k)[len(s) - k]
+                s, e = s[near], e[near]
+            best = np.lexsort((e, -s))[:k]
+            best_s, best_e = s[best], e[best]
         return best_s, best_e
 
 
@@ -140,14 +161,18 @@ class Model:
             return scores, evidence
         doc, term, weight = self.vectors(chunk)
         edges = np.searchsorted(doc, np.arange(chunk.size + 1))
+        seen: dict[bytes, tuple[float, list[dict]]] = {}  # many texts of a chunk have the same few terms
         for d in np.flatnonzero(np.diff(edges)).tolist():
-            s, e = self.index.nearest(term[edges[d] : edges[d + 1]], weight[edges[d] : edges[d + 1]], self.neighbours)
-            scores[d] = self.calibrated(self.vote(s, e))
-            evidence[d] = [{"example": int(x), "cosine": float(y), "toxic": int(self.index.labels[x])} for x, y in zip(e[:EVIDENCE], s)]
+            t, w = term[edges[d] : edges[d + 1]], weight[edges[d] : edges[d + 1]]
+            key = t.tobytes() + w.tobytes()
+            if key not in seen:
+                s, e = self.index.nearest(t, w, self.neighbours)
+                seen[key] = self.calibrated(self.vote(s, e)), [{"example": int(x), "cosine": float(y), "toxic": int(self.index.labels[x])} for x, y in zip(e[:EVIDENCE], s)]
+            scores[d], evidence[d] = seen[key]
         return scores, evidence
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id_col: str = "doc_id", *, examples: int = 20_000, terms: int = 4096, min_chi2: float = 30.0, min_documents: int = 5, neighbours: int = 15, block: int = 128, modulus: int = 4, held: int = 2) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id_col: str = "doc_id", *, examples: int = 20_000, terms: int = 4096, min_chi2: float = 30.0, min_documents: int = 5, neighbours: int = 15, block: int = 512, modulus: int = 4, held: int = 2) -> Model:
     """Learn from labelled rows whose id's crc32 modulo ``modulus`` is not ``held``."""
     train = labelled.sample(docs, labels, label_col, id_col, text_col, label_id_col, size=examples, modulus=modulus, held=held)
 
@@ -155,24 +180,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             y = np.asarray(batch.column(1))
             for chunk in T.chunks(batch.column(0)):
-                doc, term = _terms(chunk)
-                doc, term, _ = T.bag(doc, term)
-                term, inverse = np.unique(term, return_inverse=True)
-                positive = np.bincount(inverse, weights=y[chunk.first + doc], minlength=len(term)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(np.bincount(inverse, minlength=len(term))), pa.array(positive)], names=["term", "n", "p"])
+                doc, term, code = _terms(chunk)
+                known, at = np.unique(term, return_index=True)
+                doc, term, _ = T.bag(doc, np.searchsorted(known, term))
+                positive = np.bincount(term, weights=y[chunk.first + doc], minlength=len(known)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(code[at]), pa.array(np.bincount(term, minlength=len(known))), pa.array(positive)], names=["term", "code", "n", "p"])
 
     n, p = train.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    nothing = Model(Vocabulary(np.zeros(0, T.U64)), np.zeros(0), None, neighbours, 0.0, p / n if n else 0.0, (1.0, 0.0))
+    nothing = Model(Vocabulary(np.zeros(0, T.U64), np.zeros(0, np.int64)), np.zeros(0), None, neighbours, 0.0, p / n if n else 0.0, (1.0, 0.0))
     if not n or not 0 < p < n:
         return nothing
-    tied = train.mapInArrow(presence, "term long, n long, p long").groupBy("term").agg(F.sum("n").cast("double").alias("n"), F.sum("p").cast("double").alias("p")).where(F.col("n") >= min_documents)
+    tied = train.mapInArrow(presence, "term long, code long, n long, p long").groupBy("term").agg(F.min("code").alias("code"), F.sum("n").cast("double").alias("n"), F.sum("p").cast("double").alias("p")).where(F.col("n") >= min_documents)
     a, b = F.col("p"), F.col("n") - F.col("p")
     c, d = F.lit(float(p)) - a, F.lit(float(n - p)) - b
     chi2 = F.lit(float(n)) * F.pow(a * d - b * c, F.lit(2)) / ((a + b) * F.greatest(c + d, F.lit(1e-9)) * (a + c) * (b + d))
     picked = tied.withColumn("chi2", chi2).where(F.col("chi2") >= min_chi2).orderBy(F.desc("chi2"), "term").limit(terms).collect()
     if not picked:
         return nothing
-    vocabulary = Vocabulary(np.array([r["term"] for r in picked], np.int64).view(T.U64))
+    vocabulary = Vocabulary(np.array([r["term"] for r in picked], np.int64).view(T.U64), np.array([r["code"] for r in picked], np.int64))
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows = np.zeros(len(vocabulary.terms), np.int64), 0
