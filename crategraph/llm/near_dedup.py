@@ -106,14 +106,14 @@ def _packed(signature: np.ndarray, longs: int) -> list[pa.Array]:
 
 def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for chunk in T.chunks(batch.column(1), 1 << 19):
+        for chunk in T.chunks(batch.column(1), 1 << 19, 64):
             signature = bag_min_hash(*T.bag(*T.shingles(T.words(chunk))), chunk.size, FINE)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.size), *_packed(signature, FINE_SKETCH)], names=["bag", *(f"f{k}" for k in range(FINE_SKETCH))])
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for chunk in T.chunks(batch.column(1)):
+        for chunk in T.chunks(batch.column(1), 1 << 19, 256):
             w = T.words(chunk)
             bag = T.bag(*T.shingles(w))
             sig = bag_min_hash(*bag, chunk.size)
@@ -153,8 +153,8 @@ def _overlap(threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for lo in range(0, batch.num_rows, 128):
+                part = batch.slice(lo, 128)
                 keys, owner, sizes = [], [], []
                 for column in (2, 3):
                     size = np.zeros(part.num_rows, np.int64)

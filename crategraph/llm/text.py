@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -103,8 +103,9 @@ class Words:
         return span_hash(self.sums, self.start[which], self.start[which] + size), which
 
 
-def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """Split a string column into chunks of about ``size`` bytes; a longer text is a chunk of its own. Null counts as ''."""
+def chunks(column: pa.Array, size: int = CHUNK_BYTES, texts: int = 1 << 30) -> Iterator[Chunk]:
+    """Split a string column into chunks of about ``size`` bytes and at most ``texts`` texts; a longer text is a chunk of its
+    own. Null counts as ''."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")
@@ -116,7 +117,7 @@ def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
     at = 0
     while at < len(column):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
-        to = min(to, len(column))
+        to = min(to, len(column), at + texts)
         yield Chunk(at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
         at = to
 
