@@ -12,6 +12,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 APOSTROPHES = "’‘`´"
 #: Zero-width space, non-joiner, joiner, word joiner and byte-order mark.
@@ -22,30 +23,30 @@ def _or_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_marks(s: pd.Series) -> pd.Series:
     """Canonical decomposition without its combining marks."""
     return s.map(lambda x: x if x is None or x.isascii() else "".join(c for c in unicodedata.normalize("NFD", x) if unicodedata.category(c) != "Mn"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def to_ascii(s: pd.Series) -> pd.Series:
     """Compatibility decomposition without what is not ASCII."""
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_compatible(s: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining characters."""
     return s.map(lambda x: x if x is None or x.isascii() else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_case(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else x.casefold())
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity; the order of the arguments matters. Null if either is null."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
