@@ -20,6 +20,7 @@ CATEGORIES = {"SINGLES": "Singles", "SINGLE": "Singles", "ALBUMS": "Albums", "VI
 COUNTRIES = {"SNEP": "FR", "BRMA": "BE", "RIAA": "US"}
 COUNTRY_RANKS = {"FR": 0, "BE": 1, "US": 2}
 SOURCE_RANKS = {"reccobeats": 3, "getsongbpm": 2, "songbpm": 1, "deezer": 0}
+ROLES = ("Writer", "Composer", "Lyricist", "Translator", "Producer", "Co-Producer", "Executive Producer", "Vocal Producer", "Additional Production", "Programmer", "Drum Programmer", "Arranger", "Mixing Engineer", "Mastering Engineer", "Recording Engineer", "Engineer", "Assistant Mixing Engineer", "Assistant Mastering Engineer", "Assistant Recording Engineer", "Assistant Engineer", "Studio Personnel", "Additional Mixing", "Additional Mastering", "Additional Recording", "Additional Engineering", "Preparer", "Vocals", "Lead Vocals", "Background Vocals", "Additional Vocals", "Choir", "Ad-Libs", "Label", "Publisher", "Distributor", "Copyright ©", "Phonographic Copyright ℗", "Manufacturer", "Guitar", "Bass Guitar", "Acoustic Guitar", "Electric Guitar", "Rhythm Guitar", "Cello", "Drums", "Bass", "Keyboard", "Percussion", "Piano", "Violin", "Organ", "Synthesizer", "Strings", "Trumpet", "Viola", "Saxophone", "Trombone", "Scratches", "Instrumentation", "Recorded At", "Mastered At", "Mixed At", "Artwork", "Art Direction", "Graphic Design", "Illustration", "Layout", "Photography", "Video Director", "Video Producer", "Video Director of Photography", "Video Cinematographer", "Video Digital Imaging Technician", "Video Camera Operator", "Video Drone Operator", "Video Set Decorator", "Video Editor", "Video Colorist", "A&R", "Featured Artist", "Sample", "Interpolation", "Other")
 VIDEO_ROLES = ("Video Director", "Video Producer", "Video Director of Photography", "Video Cinematographer", "Video Digital Imaging Technician", "Video Camera Operator", "Video Drone Operator", "Video Set Decorator", "Video Editor", "Video Colorist", "Photography")
 VIDEO_WORDS = ("video", "vidéo", "clip", "director", "réalisateur", "cinematographer", "camera", "caméra", "drone", "steadicam", "gimbal", "electrician", "électricien", "lighting", "éclairage", "gaffer", "grip", "focus puller", "makeup artist", "maquilleur", "maquilleuse", "hair", "coiffeur", "costume", "wardrobe", "styliste", "styling", "editor", "monteur", "monteuse", "colorist", "étalonnage", "motion graphics", "vfx", "visual effects", "effets visuels", "set decorator", "décorateur", "props", "accessoires", "location", "repérage", "casting director", "video producer", "production manager", "assistant director", "script supervisor", "continuity")
 MUSIC_WORDS = ("songwriter", "composer", "producer", "mix", "master", "guitar", "piano", "drums", "bass", "vocal", "engineer")
@@ -147,6 +148,18 @@ def source_rank(source: Column) -> Column:
     return F.coalesce(lookup(SOURCE_RANKS, source), F.lit(0))
 
 
+def role_name(role: Column) -> Column:
+    """Canonical role of a credit line's label: a known role in any case, its plural too; else Other."""
+    low = F.lower(F.trim(role))
+    table = {r.lower(): r for r in ROLES}
+    return F.coalesce(lookup(table, low), lookup(table, F.regexp_replace(low, "s$", "")), lookup(table, F.regexp_replace(low, "ers\\b", "er")), F.lit("Other"))
+
+
+def role_detail(role: Column) -> Column:
+    """The label itself where ``role_name`` is Other."""
+    return F.when(role_name(role) == "Other", F.trim(role))
+
+
 def is_video_credit(role: Column, detail: Column) -> Column:
     """A film crew's credit: one of the video roles, or Other with a detail that sounds of film and not of music."""
     low = F.lower(F.coalesce(detail, F.lit("")))

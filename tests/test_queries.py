@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__
-from crategraph.plans.catalog_queries import ORACLE_SQL, QUERIES
+from crategraph.plans import ORACLE_SQL, QUERIES
 from tests.compare import assert_same
 
 
