@@ -8,12 +8,12 @@ Signatures. The counts of a shingle are discretised into levels 0, 1, 2, ... and
 time, a level within the interval and one of the signature's components. A document of count w keeps the points below
 level w, and each component keeps its earliest point. Two documents agree in a component with a probability equal to their
 weighted Jaccard. Points are made only up to a time horizon at which all components are filled with high probability
-(twice as far where one is not), so the work is about one point a shingle plus m log m, not m for each shingle.
+(further on where one is not), so the work is about one point a shingle plus m log m, not m for each shingle.
 
 Links. Signatures are cut into bands; texts that share a band share a bucket. Texts of equal multisets are collapsed first.
 Two rounds hold each bucket's most central text against the others; then all pairs left in buckets that still hold several
 classes are gone through, so no candidate is dropped. Before a pair is verified on the whole texts, sketches must come near:
-384 bits of 192 components in the rounds of central texts, 2048 bits of 1024 components (made for the texts that are left
+384 bits of 96 components in the rounds of central texts, 2048 bits of 1024 components (made for the texts that are left
 only) in the last. The margins are more than four standard deviations of the estimate at 0.8.
 A pair at exactly 0.8 shares no band with a probability of 3e-6, more similar ones with less.
 
@@ -35,7 +35,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from crategraph.llm import text as T
 from crategraph.shared import settle
 
-COMPONENTS, BANDS, ROWS, SKETCH = 192, 24, 4, 6
+COMPONENTS, BANDS, ROWS, SKETCH = 96, 24, 4, 6
 FINE, FINE_SKETCH = 1024, 32
 BROADCAST_ROWS = 500_000
 MARK = "__dup_bag"
@@ -59,37 +59,52 @@ def _bag_keys(docs: np.ndarray, value: np.ndarray, count: np.ndarray, n: int) ->
 def bag_min_hash(docs: np.ndarray, value: np.ndarray, count: np.ndarray, n: int, m: int = COMPONENTS) -> np.ndarray:
     """Signatures (n, m) of texts given as distinct (text, shingle) with counts; rows of texts without shingles stay 0."""
     signature = np.zeros((n, m), T.U64)
-    todo = np.unique(docs)
-    total = np.bincount(docs, weights=count, minlength=n)
-    reach = m * (np.log(m) + 4.0) / np.maximum(total, 1)
+    earliest = np.full((n, m), np.inf)
     # intervals: level [0, 1), then [2**(j-1), 2**j) below each count
-    part = [(docs, value, np.zeros(len(docs), np.int64), np.ones(len(docs)), count)]
+    part = [(docs, value, np.zeros(len(docs), np.int64), count)]
     low = 1
     while (more := np.flatnonzero(count > low)).size:
         with np.errstate(over="ignore"):
-            part.append((docs[more], T.mix(value[more] + T.U64(low) * T.U64(0xC2B2AE3D27D4EB4F)), np.full(len(more), low), np.full(len(more), float(low)), count[more]))
+            part.append((docs[more], T.mix(value[more] + T.U64(low) * T.U64(0xC2B2AE3D27D4EB4F)), np.full(len(more), low), count[more]))
         low *= 2
-    doc, key, base, rate, limit = (np.concatenate(x) for x in zip(*part))
-    while len(todo):
-        chosen = np.isin(doc, todo)
-        d, k, b, r, w = doc[chosen], key[chosen], base[chosen], rate[chosen], limit[chosen]
-        time, turn, kept = np.zeros(len(d)), 0, []
-        while len(d):
-            turn += 1
-            with np.errstate(over="ignore"):
-                draw = T.mix(k + T.U64(turn) * T.U64(0x9E3779B97F4A7C15))
-            time = time - np.log(T.uniform(draw)) / r
-            near = time <= reach[d]
-            d, k, b, r, w, time, draw = d[near], k[near], b[near], r[near], w[near], time[near], draw[near]
-            point = T.mix(draw ^ T.U64(0x5851F42D4C957F2D))
-            level = b + np.floor(T.uniform(T.mix(point ^ T.U64(0x14057B7EF767814F))) * r)
-            ok = level < w
-            kept.append((d[ok], (point[ok] % T.U64(m)).astype(np.int64), time[ok], point[ok]))
-        at, component, when, point = (np.concatenate(x) for x in zip(*kept))
-        order = np.argsort(-when, kind="stable")
-        signature[at[order], component[order]] = T.mix(point[order]) | T.U64(1)  # the earliest is written last
-        todo = todo[(signature[todo] == 0).any(1)]
-        reach[todo] *= 2
+    d, key, base, limit = (np.concatenate(x) for x in zip(*part))
+    rate = np.maximum(base, 1).astype(float)
+
+    def advance(at: np.ndarray) -> None:
+        """The next point of some intervals' processes."""
+        turn[at] += 1
+        with np.errstate(over="ignore"):
+            draw[at] = T.mix(key[at] + turn[at].astype(T.U64) * T.U64(0x9E3779B97F4A7C15))
+        time[at] -= np.log(T.uniform(draw[at])) / rate[at]
+
+    time, turn, draw = np.zeros(len(d)), np.zeros(len(d), np.int64), np.zeros(len(d), T.U64)
+    advance(np.arange(len(d)))
+    total = np.maximum(np.bincount(docs, weights=count, minlength=n), 1)
+    reach, step = m * (np.log(m) + 0.5) / total, m * 1.5 / total
+    while True:
+        at, found = np.flatnonzero(time <= reach[d]), []
+        while len(at):
+            point = T.mix(draw[at] ^ T.U64(0x5851F42D4C957F2D))
+            high = np.flatnonzero(base[at] > 0)
+            keep = np.ones(len(at), bool)
+            level = base[at[high]] + np.floor(T.uniform(T.mix(point[high] ^ T.U64(0x14057B7EF767814F))) * rate[at[high]])
+            keep[high] = level < limit[at[high]]
+            cell = d[at] * m + (((point >> T.U64(32)) * T.U64(m)) >> T.U64(32)).astype(np.int64)
+            found.append((cell[keep], time[at[keep]], point[keep]))
+            advance(at)
+            at = at[time[at] <= reach[d[at]]]
+        if found:
+            cell, when, point = (np.concatenate(x) for x in zip(*found))
+            better = np.flatnonzero(when < earliest.ravel()[cell])
+            order = better[np.argsort(-when[better])]
+            earliest.ravel()[cell[order]] = when[order]  # the earliest is written last
+            signature.ravel()[cell[order]] = T.mix(point[order]) | T.U64(1)
+        open_ = (signature == 0).any(1)
+        mine = np.flatnonzero(open_[d])
+        if not len(mine):
+            break
+        d, key, base, limit, rate, time, turn, draw = (x[mine] for x in (d, key, base, limit, rate, time, turn, draw))
+        reach, step = reach + step, step * 2
     return signature
 
 
@@ -235,7 +250,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> t
             hubs = settle(hub.select("key", "h.*"))
             retired = hubs.select("key", "bag") if retired is None else retired.unionAll(hubs.select("key", "bag"))
             left, right = hubs.alias("l"), now.alias("r")
-            new = (F.col("l.bag") != F.col("r.bag")) & _near("s", SKETCH, threshold - 0.17)
+            new = (F.col("l.bag") != F.col("r.bag")) & _near("s", SKETCH, threshold - 0.21)
         else:
             fine = now.select("bag").distinct().join(texts, "bag").mapInArrow(_fine, "bag binary, " + ", ".join(f"f{k} long" for k in range(FINE_SKETCH)))
             rest = now.select("key", "band", "bag", "comp").join(settle(fine), "bag").join(candidates.select("bag", "bands"), "bag")

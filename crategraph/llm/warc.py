@@ -1,6 +1,6 @@
 """A deterministic sharded WARC writer, and its reader.
 
-Records are ordered by page id and payload digest. The order is cut into shards of about ``shard_bytes`` of payload at
+Records are ordered by page id and payload digest. The order is cut into shards of like size, at most about ``shard_bytes`` of payload, at
 boundaries found by counting (cells of a fixed-width key, refined where they are too full), so the same table always gives
 the same shards. One task sorts and writes a shard: each record is a gzip member of its own, a file is rolled once it holds
 ``file_bytes`` compressed. A file is written under a temporary name of its attempt and renamed when it is complete; the rows
@@ -48,19 +48,21 @@ def _shards(narrow: DataFrame, shard_bytes: int) -> list[DataFrame]:
     low, high, total = narrow.agg(F.min("key"), F.max("key"), F.sum("size")).first()
     if low is None:
         return []
+    count = -(-total // shard_bytes)
+    width = total / count  # shards of like size
     common = next((k for k, (a, b) in enumerate(zip(low, high)) if a != b), len(low))
     rest, found, size, lengths = narrow, [], common, []
     while True:
-        size += KEY_STEP
+        size += 1 if lengths else KEY_STEP
         cells = settle(rest.groupBy(F.substring("key", 1, size).alias("cell")).agg(F.sum("size").alias("inside"), F.count("*").alias("n")))
         lengths.append(size)
-        full = cells.where((F.col("inside") > shard_bytes) & (F.col("n") > 1)) if size < len(low) else cells.where("false")
-        found += [(r["cell"], r["inside"], len(lengths) - 1) for r in cells.join(full, "cell", "left_anti").collect()]  # at most a few cells for each shard
+        full = cells.where((F.col("inside") > width / 4) & (F.col("n") > 1)) if size < len(low) else cells.where("false")
+        found += [(r["cell"], r["inside"], len(lengths) - 1) for r in cells.join(full, "cell", "left_anti").collect()]  # at most 64 cells for each shard, and 4,096
         if not full.count():
             break
         rest = rest.withColumn("cell", F.substring("key", 1, size)).join(full.select("cell"), "cell", "left_semi").drop("cell")
     found.sort()
-    number = [int((t - s / 2) // shard_bytes) for t, (_, s, _) in zip(accumulate(x[1] for x in found), found)]
+    number = [min(count - 1, int((t - s / 2) // width)) for t, (_, s, _) in zip(accumulate(x[1] for x in found), found)]
     dense = {n: k for k, n in enumerate(dict.fromkeys(number))}
     spark = narrow.sparkSession
     rows = [(cell, dense[n], level) for (cell, _, level), n in zip(found, number)]
