@@ -38,6 +38,7 @@ from crategraph.shared import settle
 COMPONENTS, BANDS, ROWS, SKETCH = 96, 24, 4, 6
 FINE, FINE_SKETCH = 1024, 32
 BROADCAST_ROWS = 500_000
+EDGES_A_TASK = 20_000
 MARK = "__dup_bag"
 
 
@@ -190,22 +191,25 @@ def _overlap(threshold: float):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(v, root) for every vertex of ``edges`` (a, b) but the roots, by alternating large and small stars. Each pass
-    settles its edges, so lineage stays short; nothing but a checksum comes to the driver."""
+    """(u, root) for every vertex of ``edges`` (a, b) but the roots, by alternating large and small stars. Each pass
+    settles its edges, so lineage stays short; nothing but a checksum comes to the driver. The number of edges, counted after
+    each pass, sets the number of tasks: at most one for ``EDGES_A_TASK`` edges, so passes over few edges stay cheap."""
     e = settle(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    seen = None
-    while True:
-        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+    total = F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    mark, seen = e.agg(*total).first(), None
+    while mark != seen:
+        seen = mark
+        dealt = lambda df, tasks=-(-mark[0] // EDGES_A_TASK): df.coalesce(max(1, tasks))
+        e = dealt(e)
+        both = dealt(e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        least = dealt(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
+        large = dealt(dealt(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
+        least = dealt(large.groupBy("u").agg(F.min("v").alias("m")))
         down = large.join(least, "u")
         small = down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-        e = settle(small.distinct())
-        mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            return e.select("u", F.col("v").alias("root"))
-        seen = mark
+        e = settle(dealt(dealt(small).distinct()))
+        mark = e.agg(*total).first()
+    return e.select("u", F.col("v").alias("root"))
 
 
 def _near(column: str, longs: int, similarity: float) -> Column:
