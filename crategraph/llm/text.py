@@ -163,11 +163,11 @@ _STEP = [U64(int(mix(np.array([7919 + i], U64))[0]) | 1) for i in range(64)]
 
 def shingles(w: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of every run of ``width`` words; a text of fewer words, but one at least, has itself as its only run."""
-    n = len(w.hash)
+    m = max(0, len(w.hash) - width + 1)
     with np.errstate(over="ignore"):
-        total = np.zeros(max(0, n - width + 1), U64)
+        total = np.zeros(m, U64)
         for k in range(width):
-            total += w.hash[k : n - width + 1 + k] * _STEP[k]
+            total += w.hash[k : k + m] * _STEP[k]
         whole = w.doc[: len(total)] == w.doc[width - 1 :][: len(total)]
         doc, value = w.doc[: len(total)][whole], mix(total[whole])
         few = np.flatnonzero((w.counts > 0) & (w.counts < width))
