@@ -1,16 +1,17 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are lower-cased runs of letters and digits and their beginnings of 3 to 10 bytes (a stem stands for its forms). The
-terms whose presence is tied to the label in the training sample (chi-square of ``min_chi2`` or more) make the vocabulary;
-their document frequencies are counted over all documents. An example is a unit vector of (1 + ln tf) * idf.
-
-The index of the examples is inverted and cut into blocks of examples; for each term and block it keeps the largest weight.
-The two blocks of the largest upper bounds are read first; then those whose bound reaches the k-th best cosine found, and no
-others, so the k neighbours are exact. They vote with the square of their cosine; votes are shrunk towards the base rate and calibrated by
+Terms are all lower-cased runs of letters and digits of the examples; a beginning of 3 to 10 bytes (a stem stands for its
+forms) joins them if the share of toxic examples among those that have it, shrunk towards the base rate by ``SHRINK``
+examples, is ``LEAN`` or more away from it, however large the sample. Document frequencies are counted over all documents.
+An example is a unit vector of (1 + ln tf) * idf * (``FLOOR`` + the distance of the term's shrunk share from the base rate).
+
+The index of the examples is inverted for all terms but those of many examples, which have a column each. Postings are read in
+full; what the columns add is multiplied out for ``BATCH`` texts at once in 32 bits, within ``SLACK`` of its value, and
+in 64 bits for the examples that can be among the k best, so the k neighbours are exact (with weights of 24 bits). They vote with the square of their cosine; votes are shrunk towards the base rate and calibrated by
 a logistic curve fitted to the training examples, each judged without itself.
 
-Bounds: at most ``examples`` labelled rows (a sample by id hash) and ``terms`` terms make the model, a few MB that travel
-with the tasks. No text is shuffled but the sample's.
+Bounds: at most ``examples`` labelled rows (a sample by id hash) make the model, some ten MB that travel with the tasks. No
+text is shuffled but the sample's.
 
 Defined results: a text without vocabulary terms (null and empty ones too) gets the base rate of such training texts;
 without labelled rows the score is 0; repeated rows are scored each; other columns are ignored, or passed by ``reject``.
@@ -31,20 +32,25 @@ from crategraph.llm import text as T
 
 PREFIXES = (3, 4, 5, 6, 7, 8, 10)
 EVIDENCE = 3
+SHRINK, LEAN, FLOOR = 5.0, 0.25, 0.02
+#: A term of more than this share of the examples has a column.
+OFTEN = 1 / 8
+BATCH, SLACK = 64, 1e-4
 
 
 def _terms(chunk: T.Chunk, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term, first three bytes) of occurrences; only of words whose first three bytes ``starts`` allows, if given."""
+    """(text, term, first three bytes) of occurrences, -1 for the bytes of a whole word; beginnings only of words whose first
+    three bytes ``starts`` allows, if given."""
     w = T.words(chunk, T.PUNCTUATION, lower=True)
     code = w.starts()
     among = np.arange(len(code)) if starts is None else np.flatnonzero(starts[code])
-    which, terms = [among], [T.span_hash(w.sums, w.start[among], w.end[among])]
+    which, terms = [np.arange(len(code))], [w.hash]
     for size in PREFIXES:
         h, at = w.prefix(size, among)
         which.append(at)
         terms.append(T.mix(h + T.U64(1)))
     at = np.concatenate(which)
-    return w.doc[at], np.concatenate(terms), code[at]
+    return w.doc[at], np.concatenate(terms), np.concatenate([np.full(len(code), -1), code[at[len(code) :]]])
 
 
 class Vocabulary:
@@ -75,57 +81,51 @@ class Vocabulary:
 
 @dataclass
 class Index:
-    """Postings by term with pointers to each block, and block maxima."""
+    """Postings by term; terms of many examples have columns instead."""
 
     examples: np.ndarray
     weights: np.ndarray
     pointers: np.ndarray
-    maxima: np.ndarray
+    column: np.ndarray
+    columns: np.ndarray
     labels: np.ndarray
-    block: int
 
     @classmethod
-    def build(cls, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, labels: np.ndarray, n_terms: int, block: int) -> Index:
-        """``rows``: the example of each (term, weight); examples are numbered from 0."""
-        blocks = max(1, -(-len(labels) // block))
+    def build(cls, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, labels: np.ndarray, n_terms: int, block: int = 0) -> Index:
+        """``rows``: the example of each (term, weight); examples are numbered from 0. ``block`` is without effect."""
         order = np.lexsort((rows, terms))
-        rows, terms, weights = rows[order], terms[order], weights[order]
-        edges = np.searchsorted(terms.astype(np.int64) * (blocks * block) + rows, (np.arange(n_terms)[:, None] * (blocks * block) + np.arange(blocks + 1)[None, :] * block).ravel()).reshape(n_terms, blocks + 1)
-        maxima = np.zeros((n_terms, blocks))
-        np.maximum.at(maxima, (terms, rows // block), weights)
-        return cls(rows, weights, edges, maxima, labels, block)
-
-    def _scan(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Examples of some blocks with a cosine above 0, and the cosines."""
-        lo = self.pointers[terms[:, None], blocks].ravel()
-        n = self.pointers[terms[:, None], blocks + 1].ravel() - lo
-        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        scores = np.bincount(self.examples[at], weights=np.repeat(np.repeat(weights, len(blocks)), n) * self.weights[at])
-        found = np.flatnonzero(scores)
-        return found, scores[found]
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        rows, terms, weights = rows[order].astype(np.int32), terms[order], weights[order].astype(np.float32)
+        df = np.bincount(terms, minlength=n_terms)
+        often = df > max(8, OFTEN * len(labels))
+        column = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
+        apart = often[terms]
+        columns = np.zeros((len(labels), int(often.sum())), np.float32)
+        columns[rows[apart], column[terms[apart]]] = weights[apart]
+        return cls(rows[~apart], weights[~apart], np.concatenate([[0], np.cumsum(np.where(often, 0, df))]), column, columns, labels)
+
+    def often(self, docs: np.ndarray, terms: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
+        """What the columns add to the cosines of texts 0 .. size - 1 with all examples, in 32 bits."""
+        by = self.column[terms]
+        query = np.zeros((size, self.columns.shape[1]), np.float32)
+        query[docs[by >= 0], by[by >= 0]] = weights[by >= 0]
+        return query @ self.columns.T
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1, often: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest cosines above 0, ties by example number; ``skip`` leaves one out."""
-        bounds = weights @ self.maxima[terms]
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        best_s, best_e = np.zeros(0), np.zeros(0, np.int64)
-        # the two blocks of the largest bounds set the mark; of the rest those that can reach it are read at once
-        for blocks in (order[:2], order[2:]):
-            if len(best_s) == k:
-                blocks = blocks[bounds[blocks] >= best_s[-1] - 1e-12]
-            if not len(blocks):
-                continue
-            e, s = self._scan(terms, weights, blocks)
-            if skip >= 0:
-                s, e = s[e != skip], e[e != skip]
-            s, e = np.concatenate([best_s, s]), np.concatenate([best_e, e])
-            if len(s) > 4 * k:
-                near = s >= np.partition(s, len(s) - k)[len(s) - k]
-                s, e = s[near], e[near]
-            best = np.lexsort((e, -s))[:k]
-            best_s, best_e = s[best], e[best]
-        return best_s, best_e
+        lo = self.pointers[terms]
+        n = self.pointers[terms + 1] - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        scores = np.bincount(self.examples[at], weights=np.repeat(weights, n) * self.weights[at], minlength=len(self.labels))
+        near = scores + (self.often(np.zeros(len(terms), np.int64), terms, weights, 1)[0] if often is None else often)
+        if skip >= 0:
+            near[skip] = -1.0
+        mark = np.partition(near, len(near) - k)[len(near) - k] if len(near) > k else 0.0
+        e = np.flatnonzero((near >= mark - 2 * SLACK) & (near >= 0))
+        apart = np.flatnonzero(self.column[terms] >= 0)
+        s = scores[e] + self.columns[np.ix_(e, self.column[terms[apart]])] @ weights[apart]
+        e, s = e[s > 0], s[s > 0]
+        best = np.lexsort((e, -s))[:k]
+        return s[best], e[best]
 
 
 @dataclass
@@ -161,18 +161,23 @@ class Model:
             return scores, evidence
         doc, term, weight = self.vectors(chunk)
         edges = np.searchsorted(doc, np.arange(chunk.size + 1))
-        seen: dict[bytes, tuple[float, list[dict]]] = {}  # many texts of a chunk have the same few terms
+        seen: dict[bytes, tuple[float, list[dict]]] = {}  # texts repeat
+        done = 0
         for d in np.flatnonzero(np.diff(edges)).tolist():
             t, w = term[edges[d] : edges[d + 1]], weight[edges[d] : edges[d + 1]]
             key = t.tobytes() + w.tobytes()
+            if d >= done:
+                done = min(d + BATCH, chunk.size)
+                lo, first = edges[d], d
+                often = self.index.often(doc[lo : edges[done]] - d, term[lo : edges[done]], weight[lo : edges[done]], done - d)
             if key not in seen:
-                s, e = self.index.nearest(t, w, self.neighbours)
+                s, e = self.index.nearest(t, w, self.neighbours, often=often[d - first])
                 seen[key] = self.calibrated(self.vote(s, e)), [{"example": int(x), "cosine": float(y), "toxic": int(self.index.labels[x])} for x, y in zip(e[:EVIDENCE], s)]
             scores[d], evidence[d] = seen[key]
         return scores, evidence
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id_col: str = "doc_id", *, examples: int = 20_000, terms: int = 4096, min_chi2: float = 30.0, min_documents: int = 5, neighbours: int = 15, block: int = 512, modulus: int = 4, held: int = 2) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id_col: str = "doc_id", *, examples: int = 20_000, neighbours: int = 15, modulus: int = 4, held: int = 2) -> Model:
     """Learn from labelled rows whose id's crc32 modulo ``modulus`` is not ``held``."""
     train = labelled.sample(docs, labels, label_col, id_col, text_col, label_id_col, size=examples, modulus=modulus, held=held)
 
@@ -190,14 +195,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     nothing = Model(Vocabulary(np.zeros(0, T.U64), np.zeros(0, np.int64)), np.zeros(0), None, neighbours, 0.0, p / n if n else 0.0, (1.0, 0.0))
     if not n or not 0 < p < n:
         return nothing
-    tied = train.mapInArrow(presence, "term long, code long, n long, p long").groupBy("term").agg(F.min("code").alias("code"), F.sum("n").cast("double").alias("n"), F.sum("p").cast("double").alias("p")).where(F.col("n") >= min_documents)
-    a, b = F.col("p"), F.col("n") - F.col("p")
-    c, d = F.lit(float(p)) - a, F.lit(float(n - p)) - b
-    chi2 = F.lit(float(n)) * F.pow(a * d - b * c, F.lit(2)) / ((a + b) * F.greatest(c + d, F.lit(1e-9)) * (a + c) * (b + d))
-    picked = tied.withColumn("chi2", chi2).where(F.col("chi2") >= min_chi2).orderBy(F.desc("chi2"), "term").limit(terms).collect()
-    if not picked:
+    tied = train.mapInArrow(presence, "term long, code long, n long, p long").groupBy("term").agg(F.min("code").alias("code"), F.sum("n").cast("double").alias("n"), F.sum("p").cast("double").alias("p"))
+    lean = F.abs((F.col("p") + SHRINK * p / n) / (F.col("n") + SHRINK) - p / n)
+    picked = tied.select("term", "code", lean.alias("lean")).where((F.col("code") < 0) | (F.col("lean") >= LEAN)).toArrow()
+    if not picked.num_rows:
         return nothing
-    vocabulary = Vocabulary(np.array([r["term"] for r in picked], np.int64).view(T.U64), np.array([r["code"] for r in picked], np.int64))
+    term, code, lean = (np.asarray(picked.column(k)) for k in range(3))
+    vocabulary = Vocabulary(term.view(T.U64), np.unique(code[code >= 0]))
+    lean = lean[np.argsort(term.view(T.U64))]
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows = np.zeros(len(vocabulary.terms), np.int64), 0
@@ -208,15 +213,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(total[seen], rows))], names=["term", "n"])
 
-    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(frequency, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(frequency, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    at, times = (np.asarray(counted.column(k)) for k in range(2))
     df = np.zeros(len(vocabulary.terms))
-    total = 1
-    for r in counted:
-        if r["term"] < 0:
-            total = r["n"]
-        else:
-            df[r["term"]] = r["n"]
-    idf = np.log((1 + total) / (1 + df)) + 1
+    df[at[at >= 0]] = times[at >= 0]
+    total = times[at < 0].sum()
+    idf = (np.log((1 + total) / (1 + df)) + 1) * (FLOOR + lean)
     model = Model(vocabulary, idf, None, neighbours, p / n, p / n, (1.0, 0.0))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,20 +226,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for chunk in T.chunks(batch.column(0)):
                 doc, term, weight = model.vectors(chunk)
                 edges = np.searchsorted(doc, np.arange(chunk.size + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (term.astype(np.int64), weight)]
+                lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (term.astype(np.int32), weight.astype(np.float32))]
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(chunk.first, chunk.size), *lists], names=["label", "terms", "weights"])
 
-    rows = train.mapInArrow(vectors, "label int, terms array<long>, weights array<double>").collect()
-    empty = [r["label"] for r in rows if not r["terms"]]
-    rows = sorted((r for r in rows if r["terms"]), key=lambda r: (r["terms"], r["weights"], r["label"]))  # alike examples share blocks
-    model.empty = (sum(empty) + p / n) / (len(empty) + 1)
-    if not rows:
+    rows = train.mapInArrow(vectors, "label int, terms array<int>, weights array<float>").toArrow()
+    label = np.asarray(rows.column(0))
+    lists = [rows.column(k).combine_chunks() for k in (1, 2)]
+    edges = np.concatenate([[0], np.cumsum(np.asarray(lists[0].value_lengths()))])
+    term, weight = (np.asarray(x.flatten()) for x in lists)
+    vector = lambda k: (term[edges[k] : edges[k + 1]], weight[edges[k] : edges[k + 1]].astype(np.float64))
+    del rows, lists
+    sizes = np.diff(edges)
+    empty = label[sizes == 0]
+    order = sorted(np.flatnonzero(sizes).tolist(), key=lambda k: (*(x.tobytes() for x in vector(k)), label[k]))
+    model.empty = float((empty.sum() + p / n) / (len(empty) + 1))
+    if not order:
         return model
-    sizes = [len(r["terms"]) for r in rows]
-    model.index = Index.build(np.repeat(np.arange(len(rows)), sizes), np.concatenate([r["terms"] for r in rows]), np.concatenate([r["weights"] for r in rows]), np.array([r["label"] for r in rows]), len(vocabulary.terms), block)
-    step = max(1, len(rows) // 2000)  # the curve has two parameters; 2,000 of the examples fix it
-    votes = np.array([model.vote(*model.index.nearest(np.array(r["terms"]), np.array(r["weights"]), neighbours, skip=k)) for k, r in enumerate(rows) if k % step == 0])
-    model.curve = _logistic(np.log(np.clip(votes, 1e-6, 1 - 1e-6) / (1 - np.clip(votes, 1e-6, 1 - 1e-6))), np.array([r["label"] for k, r in enumerate(rows) if k % step == 0]))
+    number = np.empty(len(label), np.int32)
+    number[order] = np.arange(len(order))
+    model.index = Index.build(np.repeat(number, sizes), term, weight, label[order], len(vocabulary.terms))
+    tried = range(0, len(order), max(1, len(order) // 2000))  # the curve has two parameters; 2,000 of the examples fix it
+    votes = np.array([model.vote(*model.index.nearest(*vector(order[k]), neighbours, skip=k)) for k in tried])
+    model.curve = _logistic(np.log(np.clip(votes, 1e-6, 1 - 1e-6) / (1 - np.clip(votes, 1e-6, 1 - 1e-6))), label[order][tried])
     return model
 
 
