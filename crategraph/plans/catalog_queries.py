@@ -566,8 +566,7 @@ def ascii_keys(spark, d):
 
 @query()
 def document_keys(spark, d):
-    first = F.left("text", F.lit(80))
-    return table(spark, d, "documents").select("doc_id", text.normalize_title(first).alias("title"), text.normalize_certified(first).alias("certified"), text.identity_key(first).alias("identity"))
+    return table(spark, d, "documents").select("doc_id", text.normalize_title(F.col("text")).alias("title"), text.normalize_certified(F.col("text")).alias("certified"), text.identity_key(F.col("text")).alias("identity"))
 
 
 @query(
