@@ -85,6 +85,16 @@ def test_warc(spark):
     assert warc.read(warc.write(pages.limit(0))).count() == 0
 
 
+def test_warc_spreads_repeated_rows(spark):
+    """10,000 equal rows are no single shard's, and each is written."""
+    pages = spark.range(10_000).select(F.lit(5).alias("page_id"), F.lit("u").alias("url"), F.lit("y" * 150).alias("html")).union(spark.sql("SELECT 9, 'u', repeat('y', 150)"))
+    manifest = warc.write(pages, shard_bytes=500_000)
+    sizes = [r[0] for r in manifest.groupBy("shard").agg(F.sum("records") - F.count("*")).collect()]
+    assert len(sizes) >= 9 and max(sizes) <= 500_000 // 450 + 1
+    kinds = {(r["page_id"], r["record_type"], r["refers_to"]): r["count"] for r in warc.read(manifest).groupBy("page_id", "record_type", "refers_to").count().collect()}
+    assert kinds == {(5, "response", None): 10_000, (9, "revisit", 5): 1}
+
+
 def test_warc_is_deterministic(spark, tmp_path):
     pages = spark.range(300).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.md5(F.col("id").cast("string")), F.lit(20)).alias("html"))
     one = warc.write(pages.repartition(5), str(tmp_path / "a"), shard_bytes=30_000, file_bytes=4_000)
