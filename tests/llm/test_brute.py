@@ -218,6 +218,58 @@ def test_language_model_counts_and_probabilities(spark, medium):
     assert np.allclose((10.0**model.transition).sum(1), 1)  # each class's successors
 
 
+def test_language_model_scores_by_hand(spark, small):
+    """Class bigrams counted and scores summed in plain Python, from the classes alone."""
+    lower = str.maketrans({chr(65 + k): chr(97 + k) for k in range(26)})
+    docs = table(spark, small, "documents")
+    texts = {r[0]: re.findall(BLANKS, (r[1] or "").translate(lower)) for r in docs.select("doc_id", "text").collect()}
+    model = language_model.fit(docs, head=500, types=200, classes=12)
+    (chunk,) = T.chunks(pa.array([" ".join(sorted({w for t in texts.values() for w in t}))]), 1 << 30)
+    tokens = language_model._tokens(chunk)
+    names = bytes(chunk.data).decode().split(" ")
+    at, in_head, context = model.look_up(tokens)
+    rare = {r["h"]: r["class"] for r in model.counts.collect()}
+    hashes = tokens.hash.view(np.int64).tolist()
+    own = {w: int(model.head_own[at[k]]) if in_head[k] else rare.get(hashes[k], int(context[k])) for k, w in enumerate(names)}
+    context = dict(zip(names, context.tolist()))
+    counts, pairs = Counter(), np.zeros((14, 14))
+    learnt = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    for t in learnt:
+        counts.update(t)
+        for before, now in zip([12, *(context[w] for w in t)], [*(own[w] for w in t), 13]):
+            pairs[before, now] += 1
+    share = np.insert(np.delete(pairs.sum(0) + 1, 12) / (pairs.sum() + 13), 12, 0)
+    chance = (pairs + 20 * share) / (pairs.sum(1, keepdims=True) + 20)
+    kinds, sizes = Counter(own[w] for w in counts), pairs.sum(0)
+    assert sum(kinds[c] > 5 for c in range(12)) >= 6  # words are spread over the classes
+    for r in language_model.score(docs, model).collect():
+        t, total = texts[r["doc_id"]], 0.0
+        for before, w in zip([12, *(context[w] for w in t)], [*t, None]):
+            total += math.log10(chance[before, 13] if w is None else chance[before, own[w]] * (counts[w] + 1) / (sizes[own[w]] + kinds[own[w]] + 1))
+        assert math.isclose(r["score"], total, rel_tol=1e-9)
+
+
+def test_exchange_gains_are_those_of_the_whole_likelihood():
+    rng = np.random.default_rng(4)
+    n = rng.integers(0, 30, (9, 4)) * (rng.random((9, 4)) < 0.6)  # word by context class
+    n[n.sum(1) == 0, 0] = 3
+    group = rng.integers(0, 3, 9)
+
+    def likelihood(group, without=()):
+        table = np.zeros((5, 5))
+        for w in set(range(9)) - set(without):
+            table[:4, group[w]] += n[w]
+        return table, sum((x * np.log(x)).sum() for x in [table[table > 0]]) - sum(x * np.log(x) for x in table.sum(0) if x)
+
+    word, context = np.nonzero(n)
+    got = language_model.gains(word, context, n[word, context], group, likelihood(group)[0])
+    for w in range(9):
+        for c in range(3):
+            moved = group.copy()
+            moved[w] = c
+            assert math.isclose(got[w, c], likelihood(moved)[1] - likelihood(group, [w])[1], abs_tol=1e-9)
+
+
 def test_language_model_beats_unigrams_on_held_out_text(spark, medium):
     from pyspark.sql import functions as F
 
