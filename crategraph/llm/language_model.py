@@ -27,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crategraph.llm import labelled
@@ -49,8 +49,8 @@ class Tokens:
     counts: np.ndarray
 
 
-def _tokens(chunk: T.Chunk) -> Tokens:
-    w = T.words(chunk, lower=True)
+def _tokens(chunk: T.Chunk, separators: np.ndarray = T.BLANK) -> Tokens:
+    w = T.words(chunk, separators, lower=True)
     last = T.LOWER[chunk.data[w.end - 1]].astype(np.int64)
     return Tokens(w.hash, np.minimum(w.end - w.start - 1, 15) * 16 + (last * 7 >> 1) % 16, w.doc, w.counts)
 
@@ -63,8 +63,8 @@ def _merged(keys: list[np.ndarray], shapes: list[np.ndarray], counts: list[np.nd
     return k[at], s[at], np.add.reduceat(c, at) if len(at) else c
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(h, shape, n) of every word, the end token with shape -1: tasks count what they read, Spark adds up."""
+def word_counts(texts: DataFrame, separators: np.ndarray = T.BLANK) -> DataFrame:
+    """(h, shape, n) of every word, the end token with shape -1: tasks count what they read, Spark adds up. Settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = [[], [], []]
@@ -77,7 +77,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         for batch in batches:
             ends += batch.num_rows
             for chunk in T.chunks(batch.column(0)):
-                t = _tokens(chunk)
+                t = _tokens(chunk, separators)
                 k, first, c = np.unique(t.hash, return_index=True, return_counts=True)
                 for part, x in zip(parts, (k, t.shape[first], c)):
                     part.append(x)
@@ -96,6 +96,21 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return settle(counted.where("n > 0"))
 
 
+def frequent(counts: DataFrame, head: int) -> tuple[np.ndarray, np.ndarray, Column]:
+    """Hashes and counts of at most ``head`` most frequent words, by hash, and the condition on ``n`` that they meet."""
+    grade = F.floor(F.log(1.05, "n")).cast("int")
+    left, cut = head, 1 << 30
+    for g, n in sorted(counts.groupBy(grade.alias("g")).agg(F.count("*").alias("n")).collect(), reverse=True):  # some hundred grades
+        left -= n
+        if left < 0:
+            break
+        cut = g
+    rows = counts.where((F.col("shape") >= 0) & (grade >= cut)).select("h", "n").toArrow()
+    h, n = (np.asarray(rows.column(k)) for k in range(2))
+    order = np.argsort(h.view(T.U64), kind="stable")
+    return h.view(T.U64)[order], n[order], grade >= cut
+
+
 @dataclass
 class Model:
     head: np.ndarray
@@ -179,17 +194,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, modu
     train = docs.where(~labelled.held_out(F.col(id_col), modulus, held)).select(F.col(text_col).cast("string").alias("text"))
     counts = word_counts(train)
     tokens, words, ends = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("shape") < 0, F.col("n"))), F.lit(0))).first()
-    grade = F.floor(F.log(1.05, "n")).cast("int")
-    left, cut = head, 1 << 30
-    for g, n in sorted(counts.groupBy(grade.alias("g")).agg(F.count("*").alias("n")).collect(), reverse=True):  # some hundred grades
-        left -= n
-        if left < 0:
-            break
-        cut = g
-    frequent = counts.where((F.col("shape") >= 0) & (grade >= cut)).select("h", "n").toArrow()
-    h, n = (np.asarray(frequent.column(k)) for k in range(2))
-    order = np.argsort(h.view(T.U64), kind="stable")
-    h, n = h.view(T.U64)[order], n[order]
+    h, n, often = frequent(counts, head)
     rank = np.full(len(h), -1)
     top = np.lexsort((h, -n))[:types]
     rank[top] = np.arange(len(top))
@@ -212,13 +217,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, modu
     in_class = np.zeros(classes + 2)
     for r in placed.where("context < 0").groupBy("class").agg(F.count("*").alias("n")).collect():
         in_class[r["class"]] = r["n"]
-    own = placed.where((F.col("context") < 0) & (grade >= cut)).select("h", "class").toArrow()
+    own = placed.where((F.col("context") < 0) & often).select("h", "class").toArrow()
     at = np.searchsorted(h, np.asarray(own.column(0)).view(T.U64))
     inside = at < len(h)
     inside[inside] = h[at[inside]] == np.asarray(own.column(0)).view(T.U64)[inside]
     model.head_own = np.array(model.head_class)
     model.head_own[at[inside]] = np.asarray(own.column(1))[inside]
-    model.counts = placed.where((F.col("context") < 0) & (grade < cut) & (F.col("class") < classes)).select("h", "n", "class")
+    model.counts = placed.where((F.col("context") < 0) & ~often & (F.col("class") < classes)).select("h", "n", "class")
     share = np.delete(table.sum(0) + 1, classes)
     share = np.insert(share / share.sum(), classes, 0.0)  # nothing leads to the start
     with np.errstate(divide="ignore"):

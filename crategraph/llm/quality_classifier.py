@@ -1,10 +1,11 @@
 """Quality classifier: random-indexing word vectors pooled per document, and a two-layer network with a temperature.
 
-Units are lower-cased runs of letters, of digits and of other characters. Each falls by hash into one of ``BUCKETS`` buckets;
-a bucket has a sparse random index vector of ``NONZERO`` entries +1 or -1, made from its number. Its context vector is the
-sum of the index vectors of the units up to ``WINDOW`` places away, over all documents: tasks sum what they have read and
-Spark adds the sums up, so the table that comes to the driver has a fixed size (BUCKETS x SIZE numbers, 4 MB). A document is
-the mean of its units' index vectors and of their unit-length, centred context vectors.
+Words are lower-cased runs of letters, of digits and of other characters. Each has a sparse random index vector of ``NONZERO``
+entries +1 or -1, drawn by its 64-bit hash, and a context vector: the sum of the index vectors of the words up to ``WINDOW``
+places away. For the ``head`` most frequent words of all documents these are sums over all documents: tasks sum what
+they have read and Spark adds the sums up, a table of a fixed size (head x SIZE numbers, 16 MB) that travels with the tasks.
+Of each rarer word it is the sum over its places in the text at hand. A document is the mean of its words' unit-length, centred
+context vectors, and the logarithms of the numbers of words and of different words that were pooled.
 
 A network of one hidden layer learns from at most ``examples`` labelled rows (a sample by id hash); a fifth of them is set
 apart to choose the temperature that divides its logit, so that scores are calibrated.
@@ -25,77 +26,117 @@ from pyspark.sql import functions as F
 
 from crategraph.llm import labelled
 from crategraph.llm import text as T
+from crategraph.llm.language_model import frequent, word_counts
 
-BUCKETS, SIZE, NONZERO, WINDOW = 1 << 13, 64, 4, 2
+SIZE, NONZERO, WINDOW = 64, 4, 2
+WIDTH = SIZE + 2
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the non-zero entries of each bucket's index vector."""
-    draw = T.mix(np.arange(BUCKETS * NONZERO, dtype=T.U64) + T.U64(0x51ED270B0A1F39C1)).reshape(BUCKETS, NONZERO)
-    return (draw % T.U64(SIZE)).astype(np.int64), np.where((draw >> T.U64(32)) & T.U64(1), 1, -1)
+def index_vectors(words: np.ndarray) -> np.ndarray:
+    """The index vector of each word hash."""
+    with np.errstate(over="ignore"):
+        draw = T.mix(words[:, None] + np.arange(1, NONZERO + 1, dtype=T.U64) * T.U64(0x51ED270B0A1F39C1))
+    out = np.zeros((len(words), SIZE), np.int8)
+    sign = np.where((draw >> T.U64(32)) & T.U64(1), 1, -1).astype(np.int8)
+    rows = np.arange(len(words))
+    for k in range(NONZERO):  # one entry of each word at a time, so entries in the same place add up
+        out[rows, (draw[:, k] % T.U64(SIZE)).astype(np.int64)] += sign[:, k]
+    return out
+
+
+def surroundings(doc: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The sum of the index vectors around every word of a chunk, given their own."""
+    out = np.zeros(own.shape, np.int8)
+    for gap in range(1, WINDOW + 1):
+        same = (doc[gap:] == doc[:-gap]).astype(np.int8)[:, None]
+        out[gap:] += own[:-gap] * same
+        out[:-gap] += own[gap:] * same
+    return out
 
 
-def units(chunk: T.Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) of every unit."""
-    w = T.words(chunk, T.RUNS, lower=True)
-    return w.doc, (w.hash >> T.U64(51)).astype(np.int64)
+def _by(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct groups and the sums of their rows."""
+    order = np.argsort(group, kind="stable")
+    group = group[order]
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+    return group[starts], np.add.reduceat(rows[order], starts, axis=0, dtype=np.int32) if len(starts) else np.zeros((0, SIZE), np.int32)
 
 
-def context_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """The table of context vectors, summed over all documents."""
+def _find(head: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each word in the head, and whether it is there."""
+    at = np.minimum(np.searchsorted(head, words), max(0, len(head) - 1))
+    return at, head[at] == words if len(head) else np.zeros(len(words), bool)
+
+
+def context_vectors(texts: DataFrame, head: np.ndarray) -> np.ndarray:
+    """The table of the head's context vectors, summed over all documents."""
     columns = [f"v{k}" for k in range(SIZE)]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, signs = index_vectors()
-        total = np.zeros(BUCKETS * SIZE, np.int64)
+        total = np.zeros((len(head), SIZE), np.int32)
         for batch in batches:
             for chunk in T.chunks(batch.column(0)):
-                doc, bucket = units(chunk)
-                # a pair's order is free: count (unit, neighbour) by cell of the unit's row and the neighbour's entries
-                for gap in range(1, WINDOW + 1):
-                    near = np.flatnonzero(doc[gap:] == doc[:-gap])
-                    for left, right in ((bucket[near], bucket[near + gap]), (bucket[near + gap], bucket[near])):
-                        cells = left[:, None] * SIZE + places[right]
-                        total += np.bincount(cells.ravel(), weights=signs[right].ravel(), minlength=len(total)).astype(np.int64)
-        table = total.reshape(BUCKETS, SIZE)
-        seen = np.flatnonzero(table.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(seen), *(pa.array(table[seen, k]) for k in range(SIZE))], names=["bucket", *columns])
-
-    sums = docs.select(F.col(text_col).cast("string")).mapInArrow(gather, "bucket long, " + ", ".join(f"{c} long" for c in columns)).groupBy("bucket").agg(*(F.sum(c).alias(c) for c in columns))
-    out = np.zeros((BUCKETS, SIZE))
-    for r in sums.collect():  # at most BUCKETS rows
-        out[r[0]] = r[1:]
+                w = T.words(chunk, T.RUNS, lower=True)
+                at, known = _find(head, w.hash)
+                word, sums = _by(at[known], surroundings(w.doc, index_vectors(w.hash))[known])
+                total[word] += sums
+        seen = np.flatnonzero(total.any(1))
+        for lo in range(0, len(seen), 10_000):
+            some = seen[lo : lo + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(total[some, k]) for k in range(SIZE))], names=["word", *columns])
+
+    sums = texts.mapInArrow(gather, "word long, " + ", ".join(f"{c} int" for c in columns)).groupBy("word").agg(*(F.sum(c).cast("float").alias(c) for c in columns)).toArrow()
+    out = np.zeros((len(head), SIZE), np.float32)
+    out[np.asarray(sums.column(0))] = np.stack([np.asarray(sums.column(k + 1)) for k in range(SIZE)], 1)
     return out
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, length, out=np.zeros(x.shape, np.float32), where=length > 0)
+
+
 @dataclass
 class Model:
-    table: np.ndarray
+    head: np.ndarray
+    table: np.ndarray  # unit-length, centred context vectors of the head
+    centre: np.ndarray
     layers: list[np.ndarray] | None
     mean: np.ndarray
     scale: np.ndarray
     temperature: float
     share: float
 
-    @staticmethod
-    def table_of(context: np.ndarray) -> np.ndarray:
-        """Both vectors of each bucket side by side."""
-        places, signs = index_vectors()
-        own = np.zeros((BUCKETS, SIZE))
-        np.add.at(own, (np.repeat(np.arange(BUCKETS), NONZERO), places.ravel()), signs.ravel())
-        length = np.linalg.norm(context, axis=1, keepdims=True)
-        unit = np.divide(context, length, out=np.zeros_like(context), where=length > 0)
-        unit[length[:, 0] > 0] -= unit[length[:, 0] > 0].mean(0) if (length > 0).any() else 0
-        return np.concatenate([own, unit], 1).astype(np.float32)
+    @classmethod
+    def of(cls, head: np.ndarray, context: np.ndarray) -> Model:
+        unit = _unit(context)
+        some = unit.any(1)
+        centre = unit[some].mean(0) if some.any() else np.zeros(SIZE, np.float32)
+        unit[some] -= centre
+        return cls(head, unit, centre, None, np.zeros(WIDTH), np.ones(WIDTH), 1.0, 0.5)
 
     def pooled(self, chunk: T.Chunk) -> np.ndarray:
-        doc, bucket = units(chunk)
-        key, count = np.unique(doc * BUCKETS + bucket, return_counts=True)
-        out = np.zeros((chunk.size, 2 * SIZE), np.float32)
-        if len(key):
-            owner = key // BUCKETS
-            starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-            out[owner[starts]] = np.add.reduceat(self.table[key % BUCKETS] * count[:, None].astype(np.float32), starts) / np.add.reduceat(count, starts)[:, None]
+        """A text's vector depends on no other text: sums are taken along its words."""
+        w = T.words(chunk, T.RUNS, lower=True)
+        out = np.zeros((chunk.size, WIDTH), np.float32)
+        if not len(w.doc):
+            return out
+        at, known = _find(self.head, w.hash)
+        context = np.zeros((len(w.doc), SIZE), np.float32)
+        context[known] = self.table[at[known]]
+        rare = np.flatnonzero(~known)
+        if len(rare):
+            order = rare[np.lexsort((w.hash[rare], w.doc[rare]))]
+            new = (w.doc[order][1:] != w.doc[order][:-1]) | (w.hash[order][1:] != w.hash[order][:-1])
+            starts = np.flatnonzero(np.concatenate([[True], new]))
+            around = surroundings(w.doc, index_vectors(w.hash))[order]
+            local = _unit(np.add.reduceat(around, starts, axis=0, dtype=np.int32).astype(np.float32))
+            local[local.any(1)] -= self.centre
+            context[order] = np.repeat(local, np.diff(np.concatenate([starts, [len(order)]])), axis=0)
+        texts = np.flatnonzero(w.counts)
+        out[texts, :SIZE] = np.add.reduceat(context, w.first[texts], axis=0) / w.counts[texts, None]
+        out[:, SIZE] = np.log1p(w.counts)
+        out[:, SIZE + 1] = np.log1p(np.bincount(T.bag(w.doc, w.hash)[0], minlength=chunk.size))
         return out
 
     def logit(self, x: np.ndarray) -> np.ndarray:
@@ -108,16 +149,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logit(self.pooled(chunk).astype(np.float64)) / self.temperature, -50, 50)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", label_id_col: str = "doc_id", *, examples: int = 20_000, hidden: int = 32, epochs: int = 60, seed: int = 7, modulus: int = 4, held: int = 2) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", label_id_col: str = "doc_id", *, examples: int = 20_000, head: int = 1 << 16, hidden: int = 32, epochs: int = 60, seed: int = 7, modulus: int = 4, held: int = 2) -> Model:
     """Learn from labelled rows whose id's crc32 modulo ``modulus`` is not ``held``."""
     train = labelled.sample(docs, labels, label_col, id_col, text_col, label_id_col, size=examples, modulus=modulus, held=held)
-    model = Model(Model.table_of(context_vectors(docs, text_col)), None, np.zeros(2 * SIZE), np.ones(2 * SIZE), 1.0, 0.5)
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    often, _, _ = frequent(word_counts(texts, T.RUNS), head)
+    model = Model.of(often, context_vectors(texts, often))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in T.chunks(batch.column(0), 1 << 19):
                 x = model.pooled(chunk)
-                lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, 2 * SIZE, dtype=np.int32), pa.array(x.ravel()))
+                lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, WIDTH, dtype=np.int32), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(chunk.first, chunk.size), lists], names=["label", "x"])
 
     rows = sorted(train.mapInArrow(vectors, "label int, x array<float>").collect(), key=lambda r: (r["x"], r["label"]))
@@ -130,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     apart = rng.permutation(len(y)) < len(y) // 5
     if not 0 < y[~apart].sum() < (~apart).sum():
         apart[:] = False
-    model.mean, model.scale = x[~apart].mean(0), x[~apart].std(0) + 1e-4
+    model.mean, model.scale = x[~apart].mean(0), x[~apart].std(0) + 0.02
     model.layers = _train((x[~apart] - model.mean) / model.scale, y[~apart], hidden, epochs, rng)
     if apart.any():
         z = model.logit(x[apart])

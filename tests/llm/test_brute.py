@@ -277,6 +277,40 @@ def test_language_model_beats_unigrams_on_held_out_text(spark, medium):
     assert own > base
 
 
+def test_word_vectors_by_a_double_loop(spark, small):
+    """Context vectors of words, and a text's pooled vector, from plain loops over the words."""
+    texts = [r[0] for r in table(spark, small, "documents").select("text").limit(60).collect()]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    words, vectors, sums = [], {}, defaultdict(lambda: np.zeros(64, int))
+    for t in texts:
+        (chunk,) = T.chunks(pa.array([t or ""]))
+        hashes = T.words(chunk, T.RUNS, lower=True).hash
+        words.append(hashes.tolist())
+        vectors.update(zip(words[-1], quality_classifier.index_vectors(hashes).astype(int)))
+    for w in words:
+        for k, x in enumerate(w):
+            for j in range(max(0, k - 2), min(len(w), k + 3)):
+                if j != k:
+                    sums[x] += vectors[w[j]]
+    counts = Counter(x for w in words for x in w)
+    head, n, _ = language_model.frequent(language_model.word_counts(frame, T.RUNS), 300)
+    assert 0 < len(head) <= 300 and dict(zip(head.tolist(), n.tolist())) == {x: counts[x] for x in head.tolist()}
+    assert min(n) >= max(c for x, c in counts.items() if x not in set(head.tolist()))
+    context = quality_classifier.context_vectors(frame, head)
+    assert all((context[k] == sums[x]).all() for k, x in enumerate(head.tolist()))
+    model = quality_classifier.Model.of(head, context)
+    table_ = dict(zip(head.tolist(), model.table.astype(float)))
+    (chunk,) = T.chunks(pa.array([t or "" for t in texts]), 1 << 30)
+    for got, w in zip(model.pooled(chunk), words):
+        local = defaultdict(lambda: np.zeros(64))
+        for k, x in enumerate(w):
+            for j in range(max(0, k - 2), min(len(w), k + 3)):
+                local[x] += vectors[w[j]] * (j != k)
+        of = {x: table_[x] if x in table_ else v / np.linalg.norm(v) - model.centre if v.any() else v for x, v in local.items()}
+        expected = [*(sum((of[x] for x in w), np.zeros(64)) / max(1, len(w))), math.log1p(len(w)), math.log1p(len(set(w)))]
+        assert np.allclose(got, expected, atol=1e-4)
+
+
 def test_exchange_separates_two_vocabularies():
     rng = np.random.default_rng(2)
     bigrams = np.zeros((42, 42))
