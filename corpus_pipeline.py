@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir). ``run`` writes each stage's result as Parquet in the shared folder and reads it
 back for the next. All stages but the last return the columns of ``documents``; the last adds shard, depth, shard_bytes and
-n_bytes. Null and empty texts pass all stages; repeated rows fall to the near-duplicate stage; extra columns are kept.
+n_bytes. Null and empty texts pass all stages; repeated rows fall to the near-duplicate stage; extra columns are kept,
+those that are named like one of the last stage's as ``input_`` and their name.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ directory (one row per 12-bit cell) goes to the documents by a broadcast if coun
 
 Defined results: a text counts its UTF-8 bytes, a null none; a null id and an empty text are hashed like any value; one
 document over the limit is a shard of its own; rows repeated in id and text share all bits, and where they are too many for
-one shard, they fill numbered overflow pages of it, as many rows in each as fit; an empty table gives no shard.
+one shard, they fill numbered overflow pages of it, as many rows in each as fit; an empty table gives no shard. Extra
+columns are kept, those named like one that is added as ``input_`` and their name.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def _cells(hashed: DataFrame, limit: int) -> list[DataFrame]:
         each = fine.select("__shard_cell", "inside", "n", depths).withColumn("prefix", up)
         sizes = each.groupBy("depth", "prefix").agg(F.sum("inside").alias("bytes"), F.sum("n").alias("docs"))
         fits = F.lit(bits == BITS) & (F.col("depth") == BITS) | (F.col("bytes") <= limit) | (F.col("docs") == 1)
-        found = each.join(sizes.where(fits), ["depth", "prefix"]).groupBy("__shard_cell").agg(F.min_by(F.struct("depth", "prefix", "bytes", "docs"), "depth").alias("s"))
+        found = join_measured(each, settle(sizes.where(fits)), ["depth", "prefix"], "inner").groupBy("__shard_cell").agg(F.min_by(F.struct("depth", "prefix", "bytes", "docs"), "depth").alias("s"))
         cells = settle(fine.join(found, "__shard_cell", "left").select("__shard_cell", "s.depth", "s.prefix", "s.bytes", "s.docs"))
         tables.append(cells)
         open_ = cells.where("depth IS NULL").select(F.col("__shard_cell").alias("__shard_open"))
@@ -65,7 +66,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, li
     df = df.withColumn("__shard_at", at)
     name = F.when(F.col("__shard_at.depth") == 0, "").otherwise(F.lpad(F.bin("__shard_at.prefix"), F.col("__shard_at.depth"), F.lit("0")))
     out = {"shard": name, "depth": F.col("__shard_at.depth"), "shard_bytes": F.col("__shard_at.bytes"), "n_bytes": F.col(SIZE)}
-    columns = [F.col(c) for c in docs.columns if c.lower() not in out]
+    columns = [F.col(c).alias(f"input_{c}" if c.lower() in out else c) for c in docs.columns]
     if len(tables) < BITS // STEP or not tables[-1].where((F.col("bytes") > limit) & (F.col("docs") > 1)).count():
         return df.select(*columns, *(c.alias(n) for n, c in out.items()))
     stuck = (F.col("__shard_at.bytes") > limit) & (F.col("__shard_at.docs") > 1)
@@ -76,7 +77,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, li
 def _pages(df: DataFrame, limit: int) -> DataFrame:
     """Number the rows of each hash, first by task and then within it, and cut the numbering into pages. Rows of one hash are
     equal, so it doesn't matter which of them gets which number."""
-    df = df.withColumn("__shard_task", F.spark_partition_id())
+    df = settle(df.withColumn("__shard_task", F.spark_partition_id()))  # so both sides of the join read the same numbers
     counts = df.groupBy(HASH, "__shard_task").agg(F.count("*").alias("n"))
     before = Window.partitionBy(HASH).orderBy("__shard_task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(HASH, "__shard_task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__shard_offset"))

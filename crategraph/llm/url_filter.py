@@ -7,8 +7,9 @@ the universe that pass level 1 falsely, level 3 the listed keys that pass level
 falsely. Membership is then exact for every key of the corpus, and each url is judged by bit tests alone.
 
 Size bound: with a first-level rate of listed/universe the levels need about 1.44 * log2(universe/listed) + 6 bits for each
-listed key, whatever the corpus holds. The filters travel as literals; where a level would pass ``max_bits``, the urls are
-matched by an equi-join with the rules instead, with the same result.
+listed key, whatever the corpus holds. The filters travel as literals of at most ``max_bits``; a level that needs more is split
+by a hash of the key into several filters. Beyond ``max_filters`` of them (64 MB, some 20 million rules) the urls are matched by
+an equi-join with the rules instead, with the same result: nothing of unbounded size travels with the tasks.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule and is allowed; repeated rows
 return once each; with no rules all urls are allowed; a rule listed with both verdicts blocks.
@@ -51,28 +52,34 @@ class TooLarge(ValueError):
 
 
 class BloomLevel:
-    """One Bloom filter: its bits as a byte string, tested by SQL expressions."""
-
-    def __init__(self, keys: DataFrame, count: int, rate: float, salt: int, max_bits: int):
-        self.bits = max(64, 64 * math.ceil(count * math.log2(1 / rate) * 1.4427 / 64))
-        if self.bits > max_bits:
-            raise TooLarge(f"{self.bits} bits")
+    """A Bloom filter, or several among which a hash of the key chooses: bits as byte strings, tested by SQL expressions."""
+
+    def __init__(self, keys: DataFrame, count: int, rate: float, salt: int, max_bits: int, max_filters: int):
+        bits = max(64, math.ceil(count * math.log2(1 / rate) * 1.4427))
+        self.filters = -(-bits // max_bits)
+        if self.filters > max_filters:
+            raise TooLarge(f"{bits} bits")
+        self.bits = 64 * math.ceil(bits / self.filters / 64)
         self.probes, self.salt = max(1, round(math.log2(1 / rate))), salt
-        position = F.explode(F.array(*self._positions(F.col("key")))).alias("p")
-        words = keys.select(position).groupBy(F.floor(F.col("p") / 8).alias("byte")).agg(F.bit_or(_bit(F.col("p"))).alias("set"))
-        data = bytearray(self.bits // 8)
+        words = keys.select(self._filter(F.col("key")).alias("filter"), F.explode(F.array(*self._positions(F.col("key")))).alias("p"))
+        words = words.groupBy("filter", F.floor(F.col("p") / 8).alias("byte")).agg(F.bit_or(_bit(F.col("p"))).alias("set"))
+        data = [bytearray(self.bits // 8) for _ in range(self.filters)]
         for row in words.collect():  # at most bits / 8 rows
-            data[row["byte"]] = row["set"]
-        self.data = bytes(data)
+            data[row["filter"]][row["byte"]] = row["set"]
+        self.data = [F.lit(bytes(d)) for d in data]
+
+    def _filter(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(-self.salt)), F.lit(self.filters)).cast("int")
 
     def _positions(self, key: Column) -> list[Column]:
         first, step = (F.pmod(F.xxhash64(key, F.lit(2 * self.salt + k)), F.lit(self.bits)) for k in range(2))
         return [F.pmod(first + k * step, F.lit(self.bits)) for k in range(self.probes)]
 
     def passes(self, key: Column) -> Column:
+        data = self.data[0] if self.filters == 1 else F.get(F.array(*self.data), self._filter(key))
         out = F.lit(True)
         for p in self._positions(key):
-            byte = F.conv(F.hex(F.substring(F.lit(self.data), (F.floor(p / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+            byte = F.conv(F.hex(F.substring(data, (F.floor(p / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
             out = out & (byte.bitwiseAND(_bit(p)) != 0)
         return out
 
@@ -80,18 +87,18 @@ class BloomLevel:
 class Cascade:
     """Exact membership of ``listed`` keys within a universe of keys that includes them."""
 
-    def __init__(self, listed: DataFrame, universe: DataFrame, universe_size: int, max_bits: int = 1 << 23):
+    def __init__(self, listed: DataFrame, universe: DataFrame, universe_size: int, max_bits: int = 1 << 23, max_filters: int = 64):
         listed = settle(listed.select("key").where(F.col("key").isNotNull()).distinct())
         count = listed.count()
         self.levels: list[BloomLevel] = []
         if not count:
             return
         rate = min(0.5, max(2.0**-20, math.sqrt(0.5) * count / max(count, universe_size)))
-        self.levels.append(BloomLevel(listed, count, rate, 1, max_bits))
+        self.levels.append(BloomLevel(listed, count, rate, 1, max_bits, max_filters))
         inside = listed
         outside = settle(universe.where(self.levels[0].passes(F.col("key"))).distinct().join(listed, "key", "left_anti"))
         while wrong := outside.count():
-            self.levels.append(BloomLevel(outside, wrong, 0.5, len(self.levels) + 1, max_bits))
+            self.levels.append(BloomLevel(outside, wrong, 0.5, len(self.levels) + 1, max_bits, max_filters))
             inside, outside = outside, settle(inside.where(self.levels[-1].passes(F.col("key"))))
 
     def member(self, key: Column) -> Column:
@@ -101,12 +108,12 @@ class Cascade:
         return out
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", *, default: str = "allow", max_bits: int = 1 << 23) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", *, default: str = "allow", max_bits: int = 1 << 23, max_filters: int = 64) -> DataFrame:
     """``pages`` ids with host, path, the longest fitting rule and its verdict, or ``default`` where no rule fits.
 
     ``rules``: host, path, verdict ('allow' or 'block'). Path lengths of the rules are gathered to the driver; they are
     distinct lengths of url paths, so a few thousand at most."""
-    rules = rules.select(F.lower("host").alias("host"), F.coalesce("path", F.lit("")).alias("path"), F.lower("verdict").alias("verdict")).where(F.col("host").isNotNull())
+    rules = rules.select(F.translate("host", string.ascii_uppercase, string.ascii_lowercase).alias("host"), F.coalesce("path", F.lit("")).alias("path"), F.lower("verdict").alias("verdict")).where(F.col("host").isNotNull())
     lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
     host, path = split_url(F.col(url_col))
     parsed = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
@@ -115,7 +122,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     universe = keyed.select(F.explode("keys.key").alias("key"))
     size = universe.agg(F.approx_count_distinct("key")).first()[0]
     try:
-        cascades = {v: Cascade(listed.where(F.col("verdict") == v), universe, size, max_bits) for v in ("block", "allow")}
+        cascades = {v: Cascade(listed.where(F.col("verdict") == v), universe, size, max_bits, max_filters) for v in ("block", "allow")}
     except TooLarge:
         return _by_join(parsed, keyed, listed, default)
     hit = lambda v: F.array_max(F.filter("keys", lambda k: cascades[v].member(k["key"])))

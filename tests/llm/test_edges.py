@@ -39,6 +39,7 @@ def test_quality_rules(odd, nothing):
 def test_sharding(odd, nothing):
     rows = sharding.shard(odd, limit=2_000).collect()
     assert len(rows) == odd.count() and "score" in rows[0].asDict() and "kept" in rows[0].asDict()
+    assert sorted(str(r["input_shard"]) for r in rows) == sorted(str(r["shard"]) for r in odd.collect())
     sizes = {}
     for r in rows:
         sizes.setdefault(r["shard"], []).append(r["n_bytes"])
@@ -119,11 +120,11 @@ def test_classifiers(odd, nothing, odd_labels):
 def test_url_filter(spark):
     rules = spark.createDataFrame([("org", "/", "allow"), ("org", "/", "block"), (None, "/", "block"), ("a.com", None, "block")], "host string, path string, verdict string")
     pages = spark.createDataFrame([(1, "http://X.ORG/p?q"), (1, "http://X.ORG/p?q"), (2, None), (3, ""), (4, "no scheme"), (None, "s://a.com#f"), (5, "http://org"), (6, "http://ba.com/")], "page_id long, url string")
-    for bits in (1 << 23, 8):
-        rows = sorted((str(r["page_id"]), r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, rules, max_bits=bits).collect())
+    for bits, filters in ((1 << 23, 64), (16, 64), (8, 1)):
+        rows = sorted((str(r["page_id"]), r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, rules, max_bits=bits, max_filters=filters).collect())
         assert rows == sorted([("1", "x.org", "/p", "org/", "block")] * 2 + [("2", "", "", None, "allow"), ("3", "", "", None, "allow"), ("4", "", "", None, "allow"), ("None", "a.com", "", "a.com", "block"), ("5", "org", "", None, "allow"), ("6", "ba.com", "/", None, "allow")])
-        assert url_filter.judge_urls(pages.limit(0), rules, max_bits=bits).count() == 0
-        assert {r["verdict"] for r in url_filter.judge_urls(pages, rules.limit(0), max_bits=bits).collect()} == {"allow"}
+        assert url_filter.judge_urls(pages.limit(0), rules, max_bits=bits, max_filters=filters).count() == 0
+        assert {r["verdict"] for r in url_filter.judge_urls(pages, rules.limit(0), max_bits=bits, max_filters=filters).collect()} == {"allow"}
 
 
 def test_language_model(odd, nothing):
