@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, WIDTH, dtype=np.int32), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(chunk.first, chunk.size), lists], names=["label", "x"])
 
-    rows = sorted(train.mapInArrow(vectors, "label int, x array<float>").collect(), key=lambda r: (r["x"], r["label"]))
+    rows = sorted(train.select("text", "label").mapInArrow(vectors, "label int, x array<float>").collect(), key=lambda r: (r["x"], r["label"]))
     y = np.array([r["label"] for r in rows], float)
     if not len(y) or not 0 < y.sum() < len(y):
         model.share = float(y.mean()) if len(y) else 0.5

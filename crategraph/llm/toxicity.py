@@ -8,7 +8,7 @@ An example is a unit vector of (1 + ln tf) * idf * (``FLOOR`` + the distance of
 The index of the examples is inverted for all terms but those of many examples, which have a column each. Postings are read in
 full; what the columns add is multiplied out for ``BATCH`` texts at once in 32 bits, within ``SLACK`` of its value, and
 in 64 bits for the examples that can be among the k best, so the k neighbours are exact (with weights of 24 bits). They vote with the square of their cosine; votes are shrunk towards the base rate and calibrated by
-a logistic curve fitted to the training examples, each judged without itself.
+a logistic curve fitted to all examples, each judged without itself. The evidence of a score names the nearest examples.
 
 Bounds: at most ``examples`` labelled rows (a sample by id hash) make the model, some ten MB that travel with the tasks. No
 text is shuffled but the sample's.
@@ -89,10 +89,11 @@ class Index:
     column: np.ndarray
     columns: np.ndarray
     labels: np.ndarray
+    ids: np.ndarray
 
     @classmethod
-    def build(cls, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, labels: np.ndarray, n_terms: int, block: int = 0) -> Index:
-        """``rows``: the example of each (term, weight); examples are numbered from 0. ``block`` is without effect."""
+    def build(cls, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, labels: np.ndarray, n_terms: int, ids: np.ndarray | None = None) -> Index:
+        """``rows``: the example of each (term, weight); examples are numbered from 0, ``ids`` are their documents'."""
         order = np.lexsort((rows, terms))
         rows, terms, weights = rows[order].astype(np.int32), terms[order], weights[order].astype(np.float32)
         df = np.bincount(terms, minlength=n_terms)
@@ -101,7 +102,7 @@ class Index:
         apart = often[terms]
         columns = np.zeros((len(labels), int(often.sum())), np.float32)
         columns[rows[apart], column[terms[apart]]] = weights[apart]
-        return cls(rows[~apart], weights[~apart], np.concatenate([[0], np.cumsum(np.where(often, 0, df))]), column, columns, labels)
+        return cls(rows[~apart], weights[~apart], np.concatenate([[0], np.cumsum(np.where(often, 0, df))]), column, columns, labels, np.arange(len(labels)) if ids is None else ids)
 
     def often(self, docs: np.ndarray, terms: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
         """What the columns add to the cosines of texts 0 .. size - 1 with all examples, in 32 bits."""
@@ -159,22 +160,26 @@ class Model:
         evidence: list[list[dict]] = [[] for _ in range(chunk.size)]
         if self.index is None:
             return scores, evidence
+        seen: dict[bytes, tuple[float, list[dict]]] = {}  # texts repeat
+        for d, t, w, often in self.queries(chunk):
+            key = t.tobytes() + w.tobytes()
+            if key not in seen:
+                s, e = self.index.nearest(t, w, self.neighbours, often=often)
+                seen[key] = self.calibrated(self.vote(s, e)), [{"doc_id": int(self.index.ids[x]), "cosine": float(y), "toxic": int(self.index.labels[x])} for x, y in zip(e[:EVIDENCE], s)]
+            scores[d], evidence[d] = seen[key]
+        return scores, evidence
+
+    def queries(self, chunk: T.Chunk) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Number, terms and weights of each text with terms, and what the columns add to its cosines."""
         doc, term, weight = self.vectors(chunk)
         edges = np.searchsorted(doc, np.arange(chunk.size + 1))
-        seen: dict[bytes, tuple[float, list[dict]]] = {}  # texts repeat
         done = 0
         for d in np.flatnonzero(np.diff(edges)).tolist():
-            t, w = term[edges[d] : edges[d + 1]], weight[edges[d] : edges[d + 1]]
-            key = t.tobytes() + w.tobytes()
             if d >= done:
                 done = min(d + BATCH, chunk.size)
                 lo, first = edges[d], d
                 often = self.index.often(doc[lo : edges[done]] - d, term[lo : edges[done]], weight[lo : edges[done]], done - d)
-            if key not in seen:
-                s, e = self.index.nearest(t, w, self.neighbours, often=often[d - first])
-                seen[key] = self.calibrated(self.vote(s, e)), [{"example": int(x), "cosine": float(y), "toxic": int(self.index.labels[x])} for x, y in zip(e[:EVIDENCE], s)]
-            scores[d], evidence[d] = seen[key]
-        return scores, evidence
+            yield d, term[edges[d] : edges[d + 1]], weight[edges[d] : edges[d + 1]], often[d - first]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id_col: str = "doc_id", *, examples: int = 20_000, neighbours: int = 15, modulus: int = 4, held: int = 2) -> Model:
@@ -195,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     nothing = Model(Vocabulary(np.zeros(0, T.U64), np.zeros(0, np.int64)), np.zeros(0), None, neighbours, 0.0, p / n if n else 0.0, (1.0, 0.0))
     if not n or not 0 < p < n:
         return nothing
-    tied = train.mapInArrow(presence, "term long, code long, n long, p long").groupBy("term").agg(F.min("code").alias("code"), F.sum("n").cast("double").alias("n"), F.sum("p").cast("double").alias("p"))
+    tied = train.select("text", "label").mapInArrow(presence, "term long, code long, n long, p long").groupBy("term").agg(F.min("code").alias("code"), F.sum("n").cast("double").alias("n"), F.sum("p").cast("double").alias("p"))
     lean = F.abs((F.col("p") + SHRINK * p / n) / (F.col("n") + SHRINK) - p / n)
     picked = tied.select("term", "code", lean.alias("lean")).where((F.col("code") < 0) | (F.col("lean") >= LEAN)).toArrow()
     if not picked.num_rows:
@@ -227,27 +232,36 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 doc, term, weight = model.vectors(chunk)
                 edges = np.searchsorted(doc, np.arange(chunk.size + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (term.astype(np.int32), weight.astype(np.float32))]
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(chunk.first, chunk.size), *lists], names=["label", "terms", "weights"])
+                own = [batch.column(k).slice(chunk.first, chunk.size) for k in (1, 2)]
+                yield pa.RecordBatch.from_arrays([*own, *lists], names=["label", "id", "terms", "weights"])
 
-    rows = train.mapInArrow(vectors, "label int, terms array<int>, weights array<float>").toArrow()
-    label = np.asarray(rows.column(0))
-    lists = [rows.column(k).combine_chunks() for k in (1, 2)]
+    rows = train.select("text", "label", "id").mapInArrow(vectors, "label int, id long, terms array<int>, weights array<float>").toArrow()
+    label, ids = (np.asarray(rows.column(k)) for k in range(2))
+    lists = [rows.column(k).combine_chunks() for k in (2, 3)]
     edges = np.concatenate([[0], np.cumsum(np.asarray(lists[0].value_lengths()))])
     term, weight = (np.asarray(x.flatten()) for x in lists)
     vector = lambda k: (term[edges[k] : edges[k + 1]], weight[edges[k] : edges[k + 1]].astype(np.float64))
     del rows, lists
     sizes = np.diff(edges)
     empty = label[sizes == 0]
-    order = sorted(np.flatnonzero(sizes).tolist(), key=lambda k: (*(x.tobytes() for x in vector(k)), label[k]))
+    order = sorted(np.flatnonzero(sizes).tolist(), key=lambda k: (*(x.tobytes() for x in vector(k)), label[k], ids[k]))
     model.empty = float((empty.sum() + p / n) / (len(empty) + 1))
     if not order:
         return model
     number = np.empty(len(label), np.int32)
     number[order] = np.arange(len(order))
-    model.index = Index.build(np.repeat(number, sizes), term, weight, label[order], len(vocabulary.terms))
-    tried = range(0, len(order), max(1, len(order) // 2000))  # the curve has two parameters; 2,000 of the examples fix it
-    votes = np.array([model.vote(*model.index.nearest(*vector(order[k]), neighbours, skip=k)) for k in tried])
-    model.curve = _logistic(np.log(np.clip(votes, 1e-6, 1 - 1e-6) / (1 - np.clip(votes, 1e-6, 1 - 1e-6))), label[order][tried])
+    model.index = Index.build(np.repeat(number, sizes), term, weight, label[order], len(vocabulary.terms), ids[order])
+
+    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {x: k for k, x in enumerate(model.index.ids.tolist())}
+        for batch in batches:
+            for chunk in T.chunks(batch.column(0)):
+                votes = [(k := place[batch.column(2)[chunk.first + d].as_py()], model.vote(*model.index.nearest(t, w, neighbours, k, often.copy()))) for d, t, w, often in model.queries(chunk)]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in votes], pa.int64()), pa.array([v for _, v in votes], pa.float64())], names=["example", "vote"])
+
+    rows = train.select("text", "label", "id").mapInArrow(without, "example long, vote double").toArrow().sort_by("example")
+    votes = np.clip(np.asarray(rows.column(1)), 1e-6, 1 - 1e-6)
+    model.curve = _logistic(np.log(votes / (1 - votes)), model.index.labels[np.asarray(rows.column(0))])
     return model
 
 
@@ -268,14 +282,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), labelled.held_out(F.col(id_col), modulus, held).alias("held_out"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
+        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         for batch in batches:
             for chunk in T.chunks(batch.column(2)):
                 scores, evidence = model.score(chunk)
                 ids, out = (batch.column(k).slice(chunk.first, chunk.size) for k in range(2))
                 yield pa.RecordBatch.from_arrays([ids, out, pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), pa.array(evidence, kind)], names=["doc_id", "held_out", "score", "predicted", "evidence"])
 
-    return narrow.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<example:long,cosine:double,toxic:int>>")
+    return narrow.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
 
 
 def reject(docs: DataFrame, model: Model, text_col: str = "text", *, threshold: float = 0.3) -> DataFrame:

@@ -149,6 +149,29 @@ def test_mixture_meets_its_budget(spark, medium):
     assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in mixing.apply(docs, p).select("doc_id").collect())
 
 
+def test_readings_by_plain_prefix_sums(spark, small):
+    """Every reading of every document, from a sort of each source's documents and running sums in plain Python."""
+    docs = table(spark, small, "documents").where("source IN ('src1', 'src2', 'src3', 'src4') OR doc_id % 3 = 0")
+    p = mixing.plan(docs, repetition_limit=1.3)
+    size = 5_000
+    keyed = mixing._keyed(docs, "doc_id", "text", "source")
+    last = max(math.ceil(r["epochs"]) for r in p.sources.collect())
+    places = [mixing._place(p.seed, mixing.F.lit(e)).alias(f"p{e}") for e in range(last)]
+    rows = keyed.select("doc_id", "text", mixing.KEY, mixing.MARK, *places).collect()
+    expected = Counter()
+    for s in p.sources.collect():
+        mine = [(r, len(re.findall(BLANKS, r["text"] or ""))) for r in rows if r[mixing.KEY] == s[mixing.KEY]]
+        assert sum(n for _, n in mine) == s["tokens"] and len(mine) == s["docs"]
+        for e in range(math.ceil(s["epochs"])):
+            start = e * s["tokens"]
+            for r, n in sorted(mine, key=lambda x: (x[0][f"p{e}"], x[0][mixing.MARK], x[0]["doc_id"])):
+                if e == 0 or start < s["epochs"] * s["tokens"]:
+                    expected[r["doc_id"], e, math.floor(start / (s["weight"] * size)) if s["weight"] else 0, n] += 1
+                start += n
+    got = Counter((r["doc_id"], r["epoch"], r["block"], r["n_tokens"]) for r in mixing.realise(docs, p, block_tokens=size).collect())
+    assert got == expected and last > 1
+
+
 def test_exponent_meets_an_entropy(spark):
     docs = spark.createDataFrame([(k, "a " * (10 * 4 ** (k % 3)), f"s{k % 3}") for k in range(9)], "doc_id long, text string, source string")
     p = mixing.plan(docs, target_entropy=1.0)
@@ -159,12 +182,13 @@ def test_exponent_meets_an_entropy(spark):
 def test_cascade_is_exact(spark):
     keys = spark.range(3000).selectExpr("concat('k', id) AS key")
     listed = keys.where("hash(key) % 7 = 0")
-    cascade = url_filter.Cascade(listed, keys, 3000)
-    assert len(cascade.levels) >= 2
     from pyspark.sql import functions as F
 
-    got = {r[0] for r in keys.where(cascade.member(F.col("key"))).collect()}
-    assert got == {r[0] for r in listed.collect()}
+    for bits in (1 << 23, 512):
+        cascade = url_filter.Cascade(listed, keys, 3000, bits)
+        assert len(cascade.levels) >= 2 and (cascade.levels[0].filters > 1) == (bits == 512)
+        got = {r[0] for r in keys.where(cascade.member(F.col("key"))).collect()}
+        assert got == {r[0] for r in listed.collect()}
 
 
 def test_warc_holds_every_payload(spark, medium):
@@ -196,7 +220,7 @@ def test_neighbours_are_exact():
     dense[np.arange(300), rng.integers(0, 40, 300)] += 0.1
     dense /= np.linalg.norm(dense, axis=1, keepdims=True)
     rows, terms = np.nonzero(dense)
-    index = toxicity.Index.build(rows, terms, dense[rows, terms], np.zeros(300, int), 40, 16)
+    index = toxicity.Index.build(rows, terms, dense[rows, terms], np.zeros(300, int), 40)
     for q in dense[:60]:
         t = np.flatnonzero(q)
         s, e = index.nearest(t, q[t], 10)
