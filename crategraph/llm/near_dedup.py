@@ -11,11 +11,13 @@ weighted Jaccard. Points are made only up to a time horizon at which all compone
 (further on where one is not), so the work is about one point a shingle plus m log m, not m for each shingle.
 
 Links. Signatures are cut into bands; texts that share a band share a bucket. Texts of equal multisets are collapsed first.
-Two rounds hold each bucket's most central text against the others; then all pairs left in buckets that still hold several
-classes are gone through, so no candidate is dropped. Before a pair is verified on the whole texts, sketches must come near:
-384 bits of 96 components in the rounds of central texts, 2048 bits of 1024 components (made for the texts that are left
-only) in the last. The margins are more than four standard deviations of the estimate at 0.8.
-A pair at exactly 0.8 shares no band with a probability of 3e-6, more similar ones with less.
+A round holds each bucket's most central text against the others, after which that text is done with there. Rounds go on as long
+as they shrink what is left in buckets of several classes by a third; then the pairs left are gone through, so no candidate is
+dropped: all pairs of buckets of up to ``CROWD`` texts, and of fuller ones those that share one of 102 finer bands, too. Before
+a pair is verified on the whole texts, sketches must come near: 384 bits of 96 components in the rounds of central texts, 2048
+bits of 1024 components (made for the texts that are left only) in the last. The margins are more than four standard
+deviations of the estimate at 0.8. A pair at exactly 0.8 shares no band with a probability of 3e-6 and no finer band
+with one of 1e-5, more similar ones with less.
 
 Defined results: null texts and texts without words form classes of their own; texts of one to four words are one shingle;
 the class id is the least document id of the class, null if all its ids are null; repeated rows are in one class, and
@@ -36,7 +38,9 @@ from crategraph.llm import text as T
 from crategraph.shared import settle
 
 COMPONENTS, BANDS, ROWS, SKETCH = 96, 24, 4, 6
-FINE, FINE_SKETCH = 1024, 32
+FINE, FINE_SKETCH, FINE_BANDS, FINE_ROWS = 1024, 32, 102, 10
+#: Texts in a bucket from which finer bands choose its pairs; share of the members left at which rounds go on.
+CROWD, PROGRESS = 64, 2 / 3
 BROADCAST_ROWS = 500_000
 EDGES_A_TASK = 20_000
 MARK = "__dup_bag"
@@ -124,7 +128,18 @@ def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for chunk in T.chunks(batch.column(1), 1 << 19, 64):
             signature = bag_min_hash(*T.bag(*T.shingles(T.words(chunk))), chunk.size, FINE)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.size), *_packed(signature, FINE_SKETCH)], names=["bag", *(f"f{k}" for k in range(FINE_SKETCH))])
+            bands = _bands(signature, FINE_BANDS, FINE_ROWS)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.size), bands, *_packed(signature, FINE_SKETCH)], names=["bag", "fine", *(f"f{k}" for k in range(FINE_SKETCH))])
+
+
+def _bands(signature: np.ndarray, bands: int, rows: int) -> pa.ListArray:
+    """A key for each band of each signature."""
+    n = len(signature)
+    with np.errstate(over="ignore"):
+        keys = np.full((n, bands), T.U64(0)) + np.arange(bands, dtype=T.U64)
+        for k in range(rows):
+            keys = T.mix(keys ^ signature[:, k : bands * rows : rows]) + T.U64(k)
+    return pa.ListArray.from_arrays(np.arange(0, bands * (n + 1), bands, dtype=np.int32), pa.array(keys.view(np.int64).ravel()))
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,11 +148,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = T.words(chunk)
             bag = T.bag(*T.shingles(w))
             sig = bag_min_hash(*bag, chunk.size)
-            with np.errstate(over="ignore"):
-                bands = np.full((chunk.size, BANDS), T.U64(0)) + np.arange(BANDS, dtype=T.U64)
-                for k in range(ROWS):
-                    bands = T.mix(bands ^ sig[:, k : BANDS * ROWS : ROWS]) + T.U64(k)
-            lists = pa.ListArray.from_arrays(np.arange(0, BANDS * (chunk.size + 1), BANDS, dtype=np.int32), pa.array(bands.view(np.int64).ravel()))
+            lists = _bands(sig, BANDS, ROWS)
             ids = batch.column(0).slice(chunk.first, chunk.size)
             yield pa.RecordBatch.from_arrays([ids, pa.array(_bag_keys(*bag, chunk.size), pa.binary()), lists, *_packed(sig, SKETCH)], schema=_SIG)
 
@@ -165,7 +176,7 @@ def _occurrences(chunk: T.Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _overlap(threshold: float):
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,22 +196,25 @@ def _overlap(threshold: float):
                 k, o = k[order], o[order]
                 both = np.bincount(o[1:][(k[1:] == k[:-1]) & (o[1:] == o[:-1])], minlength=part.num_rows)
                 near = both >= threshold * (sizes[0] + sizes[1] - both) - 1e-9
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(near)) for c in part.columns[:2]], schema=schema)
+                value = both / np.maximum(sizes[0] + sizes[1] - both, 1)
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(near)) for c in (*part.columns[:2], pa.array(value))], schema=schema)
 
     return run
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(u, root) for every vertex of ``edges`` (a, b) but the roots, by alternating large and small stars. Each pass
-    settles its edges, so lineage stays short; nothing but a checksum comes to the driver. The number of edges, counted after
-    each pass, sets the number of tasks: at most one for ``EDGES_A_TASK`` edges, so passes over few edges stay cheap."""
+    """(u, root) for every vertex of ``edges`` (a, b) but the roots, by alternating large and small stars until only stars are
+    left. Each pass settles its edges, so lineage stays short; nothing but counts comes to the driver. The number of edges
+    sets the number of tasks: at most one for ``EDGES_A_TASK`` edges, so passes over few edges stay cheap."""
     e = settle(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    total = F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    mark, seen = e.agg(*total).first(), None
-    while mark != seen:
-        seen = mark
-        dealt = lambda df, tasks=-(-mark[0] // EDGES_A_TASK): df.coalesce(max(1, tasks))
+    while True:
+        count = e.count()
+        dealt = lambda df, tasks=-(-count // EDGES_A_TASK): df.coalesce(max(1, tasks))
         e = dealt(e)
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionAll(e.select("v", F.lit(0)))
+        ends = dealt(dealt(ends).groupBy("x").agg(F.sum("up").alias("ups"), F.count("*").alias("n")))
+        if ends.where("ups > 1 OR ups = 1 AND n > 1").isEmpty():
+            return e.select("u", F.col("v").alias("root"))
         both = dealt(e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         least = dealt(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
         large = dealt(dealt(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
@@ -208,8 +222,6 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.join(least, "u")
         small = down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
         e = settle(dealt(dealt(small).distinct()))
-        mark = e.agg(*total).first()
-    return e.select("u", F.col("v").alias("root"))
 
 
 def _near(column: str, longs: int, similarity: float) -> Column:
@@ -222,70 +234,118 @@ def _semi(df: DataFrame, ids: DataFrame, on, how: str = "left_semi") -> DataFram
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, on, how)
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, bag) of every row, and (bag, rep_id, class_id, keeper) of every multiset; both settled."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(doc_id, bag) of every row; (bag, rep_id, n, class_id, keeper) of every multiset; (a, b, similarity) of the verified
+    links between multisets, if there are candidates. All settled."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = [f"s{k}" for k in range(SKETCH)]
     signed = settle(narrow.mapInArrow(_sign, "doc_id long, bag binary, bands array<long>, " + ", ".join(f"{s} long" for s in sketch)))
-    reps = settle(signed.where("bag IS NOT NULL").groupBy("bag").agg(F.min("doc_id").alias("rep_id"), F.first("bands").alias("bands"), *(F.first(s).alias(s) for s in sketch)))
+    reps = settle(signed.where("bag IS NOT NULL").groupBy("bag").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("n"), F.first("bands").alias("bands"), *(F.first(s).alias(s) for s in sketch)))
     buckets = reps.select("bag", F.posexplode("bands").alias("band", "key"))
     crowded = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = settle(buckets.join(crowded, "key"))
+    found = links = None
+    if not shared.isEmpty():
+        found, links = _linked(narrow, reps, shared, threshold)
+    own = reps.select("bag", "rep_id", "n").withColumn("root", F.col("bag"))
+    if links is not None:
+        own = reps.select("bag", "rep_id", "n").join(links.withColumnRenamed("u", "bag"), "bag", "left").withColumn("root", F.coalesce("root", "bag"))
+    heads = own.groupBy("root").agg(F.min(F.struct(F.col("rep_id").isNull(), "rep_id", "bag")).alias("head"), F.sum("n").alias("class_rows"))
+    bags = settle(own.join(heads, "root").select("bag", "rep_id", "n", F.col("head.rep_id").alias("class_id"), (F.col("head.bag") == F.col("bag")).alias("keeper"), "class_rows"))
+    return signed.select("doc_id", "bag"), bags, found
+
+
+def _linked(narrow: DataFrame, reps: DataFrame, shared: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The verified links among the multisets that share buckets, and (u, root) of their components."""
+    sketch = [f"s{k}" for k in range(SKETCH)]
     central = shared.groupBy("bag").agg(F.sum("n").alias("score"))
     candidates = settle(reps.join(central, "bag").select("bag", "rep_id", "score", "bands", *sketch))
     marked = narrow.mapInArrow(_mark(1), f"doc_id long, text string, {MARK} binary").withColumnRenamed(MARK, "bag")
     same = candidates.select("bag", F.col("rep_id").alias("__rep"))
     texts = _semi(marked, same, [marked["bag"] == same["bag"], marked["doc_id"].eqNullSafe(same["__rep"])])
     texts = settle(texts.groupBy("bag").agg(F.min("text").alias("text")))
-    members = shared.select("key", "band", "bag").join(candidates.drop("rep_id", "bands"), "bag")
-    links = None
-    retired = None
-    for turn in range(3):
-        now = members.withColumn("comp", F.col("bag"))
+    now = shared.select("key", "band", "bag").join(candidates.drop("rep_id", "bands"), "bag").withColumn("comp", F.col("bag"))
+    every: DataFrame | None = None
+    links: DataFrame | None = None
+    left = None
+    last = False
+    while not last:
         if links is not None:
-            now = members.join(links, members["bag"] == links["u"], "left").withColumn("comp", F.coalesce("root", "bag")).drop("u", "root")
+            # what is left: members of buckets of several classes that have not been held against all of the bucket
+            now = now.drop("comp").join(links, now["bag"] == links["u"], "left").withColumn("comp", F.coalesce("root", "bag")).drop("u", "root")
+            now = now.join(hubs.select("key", "bag"), ["key", "bag"], "left_anti")
             mixed = now.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("key")
             now = settle(now.join(mixed, "key", "left_semi"))
-            if now.isEmpty():
+            before, left = left, now.count()
+            if not left:
                 break
-        if turn < 2:
-            free = now if retired is None else now.join(retired, ["key", "bag"], "left_anti")
-            hub = free.groupBy("key").agg(F.max_by(F.struct("bag", "comp", *sketch), F.struct("score", "bag")).alias("h"))
+            last = before is not None and left > PROGRESS * before
+        if not last:
+            hub = now.groupBy("key").agg(F.max_by(F.struct("bag", "comp", *sketch), F.struct("score", "bag")).alias("h"))
             hubs = settle(hub.select("key", "h.*"))
-            retired = hubs.select("key", "bag") if retired is None else retired.unionAll(hubs.select("key", "bag"))
-            left, right = hubs.alias("l"), now.alias("r")
+            one, two = hubs.alias("l"), now.alias("r")
             new = (F.col("l.bag") != F.col("r.bag")) & _near("s", SKETCH, threshold - 0.21)
+            pairs = one.join(two, (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.comp")) & new)
+            pairs = pairs.select(F.least("l.bag", "r.bag").alias("a"), F.greatest("l.bag", "r.bag").alias("b")).distinct()
         else:
-            fine = now.select("bag").distinct().join(texts, "bag").mapInArrow(_fine, "bag binary, " + ", ".join(f"f{k} long" for k in range(FINE_SKETCH)))
-            rest = now.select("key", "band", "bag", "comp").join(settle(fine), "bag").join(candidates.select("bag", "bands"), "bag")
-            left, right = rest.alias("l"), rest.alias("r")
-            # a pair is taken from the first of the bands that it shares
-            earlier = F.arrays_overlap(F.slice("l.bands", 1, F.col("l.band")), F.slice("r.bands", 1, F.col("l.band")))
-            new = (F.col("l.bag") < F.col("r.bag")) & _near("f", FINE_SKETCH, threshold - 0.075) & ~earlier
-        pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.comp")) & new)
-        pairs = pairs.select(F.least("l.bag", "r.bag").alias("a"), F.greatest("l.bag", "r.bag").alias("b")).distinct()
+            pairs = _remaining(now, candidates, texts, threshold)
         full = pairs.join(texts.withColumnsRenamed({"bag": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"bag": "b", "text": "text_b"}), "b")
-        found = full.select("a", "b", "text_a", "text_b").mapInArrow(_overlap(threshold), "a binary, b binary")
-        if links is not None:
-            found = found.unionAll(links.select(F.col("u").alias("a"), F.col("root").alias("b")))
-        links = components(found)
-    own = reps.select("bag", "rep_id").join(links.withColumnRenamed("u", "bag"), "bag", "left").withColumn("root", F.coalesce("root", "bag"))
-    heads = own.groupBy("root").agg(F.min(F.struct(F.col("rep_id").isNull(), "rep_id", "bag")).alias("head"))
-    bags = settle(own.join(heads, "root").select("bag", "rep_id", F.col("head.rep_id").alias("class_id"), (F.col("head.bag") == F.col("bag")).alias("keeper")))
-    return signed.select("doc_id", "bag"), bags
+        found = settle(full.select("a", "b", "text_a", "text_b").mapInArrow(_overlap(threshold), "a binary, b binary, similarity double"))
+        every = found if every is None else every.unionAll(found)
+        found = found.select("a", "b")
+        links = components(found if links is None else found.unionAll(links.select(F.col("u").alias("a"), F.col("root").alias("b"))))
+    return every, links
+
+
+def _remaining(now: DataFrame, candidates: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of the pairs of different classes left in the buckets whose fine sketches come near."""
+    fine = now.select("bag").distinct().join(texts, "bag").mapInArrow(_fine, "bag binary, fine array<long>, " + ", ".join(f"f{k} long" for k in range(FINE_SKETCH)))
+    fine = settle(fine)
+    sizes = now.groupBy("key").agg(F.count("*").alias("in_bucket"))
+    members = now.select("key", "band", "bag", "comp").join(sizes, "key")
+    few = members.where(F.col("in_bucket") <= CROWD).join(candidates.select("bag", "bands"), "bag")
+    one, two = few.alias("l"), few.alias("r")
+    # a pair is taken from the first of the bands that it shares
+    earlier = F.arrays_overlap(F.slice("l.bands", 1, F.col("l.band")), F.slice("r.bands", 1, F.col("l.band")))
+    new = (F.col("l.bag") < F.col("r.bag")) & (F.col("l.comp") != F.col("r.comp"))
+    pairs = one.join(two, (F.col("l.key") == F.col("r.key")) & new & ~earlier).select(F.col("l.bag").alias("a"), F.col("r.bag").alias("b"))
+    many = members.where(F.col("in_bucket") > CROWD).select("bag", "comp").distinct().join(fine.select("bag", "fine"), "bag")
+    many = many.select("bag", "comp", F.explode("fine").alias("key"))
+    one, two = many.alias("l"), many.alias("r")
+    pairs = pairs.unionAll(one.join(two, (F.col("l.key") == F.col("r.key")) & new).select(F.col("l.bag").alias("a"), F.col("r.bag").alias("b"))).distinct()
+    one, two = fine.drop("fine").alias("l"), fine.drop("fine").alias("r")
+    both = pairs.join(one, F.col("a") == F.col("l.bag")).join(two, F.col("b") == F.col("r.bag"))
+    return both.where(_near("f", FINE_SKETCH, threshold - 0.075)).select("a", "b")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.8) -> DataFrame:
-    """doc_id and class_id of every row."""
-    rows, bags = _classes(docs, id_col, text_col, threshold)
+    """doc_id, class_id, class_rows (rows of the class) and n_links of every row: the verified links of its text to other
+    texts. Links within what other links have made one class already are not looked for."""
+    rows, bags, found = _classes(docs, id_col, text_col, threshold)
+    if found is None:
+        bags = bags.withColumn("n_links", F.lit(0).cast("long"))
+    else:
+        ends = found.select(F.col("a").alias("bag")).unionAll(found.select("b")).groupBy("bag").agg(F.count("*").alias("n_links"))
+        bags = bags.join(ends, "bag", "left")
     known = F.col("class_id").isNotNull() & F.col("bag").isNotNull()
-    return rows.join(bags.drop("rep_id", "keeper"), "bag", "left").select("doc_id", F.when(known, F.col("class_id")).otherwise(F.when(F.col("bag").isNull(), F.col("doc_id"))).alias("class_id"))
+    class_id = F.when(known, F.col("class_id")).otherwise(F.when(F.col("bag").isNull(), F.col("doc_id")))
+    own = rows.join(bags.drop("rep_id", "n", "keeper"), "bag", "left")
+    return own.select("doc_id", class_id.alias("class_id"), F.coalesce("class_rows", F.lit(1)).cast("long").alias("class_rows"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.8) -> DataFrame:
+    """(left_id, right_id, similarity) of the verified links, each text by the least id of the rows that have its shingles."""
+    rows, bags, found = _classes(docs, id_col, text_col, threshold)
+    if found is None:
+        return rows.select(F.col("doc_id").alias("left_id"), F.col("doc_id").alias("right_id"), F.lit(1.0).alias("similarity")).where("false")
+    a, b = (bags.select(F.col("bag").alias(x), F.col("rep_id").alias(y)) for x, y in (("a", "left_id"), ("b", "right_id")))
+    return found.join(a, "a").join(b, "b").select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"), "similarity")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.8) -> DataFrame:
     """``docs`` with one row of each class: that of the least id. Texts stay where they are: the multiset key is made again
     and rows to drop are looked up by it; only rows repeated in id and text are brought together."""
-    rows, bags = _classes(docs, id_col, text_col, threshold)
+    rows, bags, _ = _classes(docs, id_col, text_col, threshold)
     lost = rows.join(bags.select("bag", "rep_id", "keeper"), "bag").where(~F.col("keeper") | ~F.col("doc_id").eqNullSafe(F.col("rep_id")))
     lost = settle(lost.select(F.col("bag").alias(MARK), F.col("doc_id").alias("__dup_id")).distinct())
     twice = settle(rows.where("bag IS NOT NULL").groupBy("bag", "doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("bag").alias(MARK), F.col("doc_id").alias("__dup_id")))

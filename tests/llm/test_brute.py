@@ -73,7 +73,8 @@ def test_near_duplicates_match_all_pairs(spark, medium):
     assert got == brute_classes([(r[0], r[1]) for r in table(spark, medium, "documents").select("doc_id", "text").collect()])
 
 
-def test_near_duplicates_in_a_crowded_family(spark):
+@pytest.mark.parametrize(("progress", "crowd"), [(2 / 3, 64), (0.0, 3)])
+def test_near_duplicates_in_a_crowded_family(spark, monkeypatch, progress, crowd):
     """Many variants of one text, of which only some are within reach of one another."""
     rng = random.Random(3)
     base = prose(11, 100).split()
@@ -82,9 +83,18 @@ def test_near_duplicates_in_a_crowded_family(spark):
         w = list(base)
         for _ in range(rng.randrange(7)):
             w[rng.randrange(len(w))] = f"new{rng.randrange(10_000)}"
-        rows.append((k, " ".join(w)))
-    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == brute_classes(rows)
+        rows.append((k, " ".join([*w, f"end{k}"])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute_classes(rows)
+    monkeypatch.setattr(near_dedup, "PROGRESS", progress)
+    monkeypatch.setattr(near_dedup, "CROWD", crowd)
+    got = near_dedup.classes(frame).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == expected
+    sizes = Counter(expected.values())
+    assert all(r["class_rows"] == sizes[r["class_id"]] and (r["n_links"] > 0 or sizes[r["class_id"]] == 1) for r in got if len(set(rows)) == len(rows))
+    bags = {i: shingles(t) for i, t in rows}
+    found = near_dedup.links(frame).collect()
+    assert found and all(math.isclose(r["similarity"], similarity(bags[r["left_id"]], bags[r["right_id"]])) and r["similarity"] >= 0.8 for r in found)
 
 
 def test_signatures_estimate_weighted_jaccard():
