@@ -303,19 +303,23 @@ def _remaining(now: DataFrame, candidates: DataFrame, texts: DataFrame, threshol
     fine = settle(fine)
     sizes = now.groupBy("key").agg(F.count("*").alias("in_bucket"))
     members = now.select("key", "band", "bag", "comp").join(sizes, "key")
-    few = members.where(F.col("in_bucket") <= CROWD).join(candidates.select("bag", "bands"), "bag")
+    bits = [f"f{k}" for k in range(FINE_SKETCH)]
+    few = members.where(F.col("in_bucket") <= CROWD).join(candidates.select("bag", "bands"), "bag").join(fine.select("bag", *bits), "bag")
     one, two = few.alias("l"), few.alias("r")
     # a pair is taken from the first of the bands that it shares
     earlier = F.arrays_overlap(F.slice("l.bands", 1, F.col("l.band")), F.slice("r.bands", 1, F.col("l.band")))
-    new = (F.col("l.bag") < F.col("r.bag")) & (F.col("l.comp") != F.col("r.comp"))
-    pairs = one.join(two, (F.col("l.key") == F.col("r.key")) & new & ~earlier).select(F.col("l.bag").alias("a"), F.col("r.bag").alias("b"))
-    many = members.where(F.col("in_bucket") > CROWD).select("bag", "comp").distinct().join(fine.select("bag", "fine"), "bag")
-    many = many.select("bag", "comp", F.explode("fine").alias("key"))
+    new = (F.col("l.key") == F.col("r.key")) & (F.col("l.bag") < F.col("r.bag")) & (F.col("l.comp") != F.col("r.comp"))
+    near = _near("f", FINE_SKETCH, threshold - 0.075)
+    pairs = one.join(two, new & near & ~earlier).select(F.col("l.bag").alias("a"), F.col("r.bag").alias("b"))
+    # finer bands are many, so a quarter of the sketch goes with them, under a margin of four standard deviations of its own
+    some = bits[: FINE_SKETCH // 4]
+    many = members.where(F.col("in_bucket") > CROWD).select("bag", "comp").distinct().join(fine.select("bag", "fine", *some), "bag")
+    many = many.select("bag", "comp", F.explode("fine").alias("key"), *some)
     one, two = many.alias("l"), many.alias("r")
-    pairs = pairs.unionAll(one.join(two, (F.col("l.key") == F.col("r.key")) & new).select(F.col("l.bag").alias("a"), F.col("r.bag").alias("b"))).distinct()
-    one, two = fine.drop("fine").alias("l"), fine.drop("fine").alias("r")
-    both = pairs.join(one, F.col("a") == F.col("l.bag")).join(two, F.col("b") == F.col("r.bag"))
-    return both.where(_near("f", FINE_SKETCH, threshold - 0.075)).select("a", "b")
+    close = one.join(two, new & _near("f", FINE_SKETCH // 4, threshold - 0.11)).select(F.col("l.bag").alias("a"), F.col("r.bag").alias("b")).distinct()
+    one, two = fine.select("bag", *bits).alias("l"), fine.select("bag", *bits).alias("r")
+    close = close.join(one, F.col("a") == F.col("l.bag")).join(two, F.col("b") == F.col("r.bag")).where(near).select("a", "b")
+    return pairs.unionAll(close).distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.8) -> DataFrame:
