@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from crategraph.functions import catalog, parse
 from crategraph.functions.text import restore_marks, squeeze
+from crategraph.shared import settle
 
 
 def keep_first(df: DataFrame, keys: list[Column], order: str) -> DataFrame:
@@ -147,10 +148,17 @@ def upsert_observations(base: DataFrame, new: DataFrame, keys: tuple[str, ...] =
 
 
 def insert_or_ignore(base: DataFrame, new: DataFrame, key: str, id_col: str) -> DataFrame:
-    """Rows of a new key are added with the next ids, in the order of the key."""
+    """Rows of a new key are added with the next ids, in the order of the key; of rows of one key the least stays.
+
+    New rows are sorted by ranges of the key and numbered within each, on top of what the ranges before hold."""
     top = base.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__top"))
-    fresh = new.dropDuplicates([key]).join(base.select(key), key, "left_anti")
-    numbered = fresh.withColumn(id_col, F.row_number().over(Window.orderBy(key)) + top.scalar())
+    first = Window.partitionBy(key).orderBy(*(c for c in new.columns if c != key), key)
+    fresh = new.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n").join(base.select(key), key, "left_anti")
+    ranged = settle(fresh.repartitionByRange(key).withColumn("__range", F.spark_partition_id()))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    offsets = ranged.groupBy("__range").agg(F.count("*").alias("n")).select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(key))
+    numbered = ranged.join(F.broadcast(offsets), "__range").withColumn(id_col, F.col("__before") + within + top.scalar()).drop("__range", "__before")
     return base.unionByName(numbered, allowMissingColumns=True)
 
 

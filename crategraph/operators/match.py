@@ -18,6 +18,13 @@ def lone(df: DataFrame, by: str | list[str]) -> DataFrame:
     return df.withColumn("__of", F.count("*").over(Window.partitionBy(*by))).where("__of = 1").drop("__of")
 
 
+def can_reach(a: str, b: str, least: float) -> Column:
+    """Whether the similarity ratio of two columns can be ``least`` or more, by their lengths and the letters they share; built-in
+    functions only, so that the ratio itself is computed for few pairs."""
+    shared = F.least(F.length(a) - F.length(F.expr(f"translate({a}, {b}, '')")), F.length(b) - F.length(F.expr(f"translate({b}, {a}, '')")))
+    return 2 * shared >= least * (F.length(a) + F.length(b))
+
+
 def staged_match(entries: DataFrame, tracks: DataFrame, memory: DataFrame | None = None) -> DataFrame:
     """(entry_id, track_id, stage, score) of stream entries.
 
@@ -39,7 +46,8 @@ def staged_match(entries: DataFrame, tracks: DataFrame, memory: DataFrame | None
     by_credit = credited.select("entry_id", "track_id", F.lit("credited").alias("stage"), F.lit(1.0).alias("score"))
     done = by_id.unionAll(by_title).unionAll(by_credit)
     left = rest.join(same.select("entry_id").distinct(), "entry_id", "left_anti").where("title_key <> ''")
-    scored = left.join(t.select("artist_id", "track_id", F.col("title_key").alias("track_key")), "artist_id").withColumn("score", ratio("title_key", "track_key"))
+    scored = left.join(t.select("artist_id", "track_id", F.col("title_key").alias("track_key")), "artist_id")
+    scored = scored.where(can_reach("title_key", "track_key", MAYBE - LEAD)).withColumn("score", ratio("title_key", "track_key"))
     w = Window.partitionBy("entry_id").orderBy(F.desc("score"), "track_id")
     ranked = scored.withColumns({"r": F.row_number().over(w), "next": F.lead("score").over(w), "sure": F.count_if(F.col("score") >= SURE).over(Window.partitionBy("entry_id"))}).where("r = 1")
     fuzzy = ranked.where("sure = 1").select("entry_id", "track_id", F.lit("fuzzy").alias("stage"), "score")
@@ -147,10 +155,12 @@ def certification_audit(artists: DataFrame, certs: DataFrame, titles: DataFrame)
     known = titles.where("title <> ''")
     albums = known.where("kind = 'album'").select("artist_id").distinct().withColumn("has_albums", F.lit(True))
     mine = mine.join(albums, "artist_id", "left").withColumn("kind", F.when((F.col("cat") == "album") & F.coalesce("has_albums", F.lit(False)), "album").otherwise("track"))
-    wide = mine.join(known, ["artist_id", "kind"], "left")
     t, k = F.col("title_clean"), F.col("title")
     hit = (t == k) | ((F.length(t) >= 8) & F.startswith(k, t)) | F.contains(k, t) | F.contains(t, k)
-    judged = wide.withColumns({"hit": F.coalesce(hit, F.lit(False)), "ratio": ratio("title_clean", "title")})
+    found = mine.join(known, ["artist_id", "kind"]).where(hit).select("artist_id", "cert_id").distinct().withColumn("hit", F.lit(True))
+    mine = mine.join(found, ["artist_id", "cert_id"], "left")
+    wide = mine.where("hit IS NULL").join(known, ["artist_id", "kind"], "left").withColumns({"hit": F.lit(False), "ratio": ratio("title_clean", "title")})
+    judged = wide.unionByName(mine.where("hit"), allowMissingColumns=True)  # the ratio is for those without a match only
     best = judged.groupBy("artist_id", "cert_id", "title_clean", "cat").agg(F.bool_or("hit").alias("matched"), F.max(F.struct("ratio", F.col("title"))).alias("b"))
     return best.select("artist_id", "cert_id", "title_clean", F.when(F.col("cat") == "album", "album").otherwise("track").alias("kind"), "matched", F.when(~F.col("matched"), F.col("b.title")).alias("closest"), F.when(~F.col("matched"), F.round(F.coalesce("b.ratio", F.lit(0.0)), 2)).alias("ratio"))
 

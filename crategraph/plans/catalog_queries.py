@@ -102,8 +102,7 @@ def key_mode_pairing(spark, d):
 
 @query()
 def tempo_vote(spark, d):
-    day = F.date_format(F.lit("2020-01-01"), "D").cast("int")
-    obs = _observations(spark, d).where("field = 'bpm' AND source <> 'legacy'").withColumn("track_id", F.col("track_id") * 1000 + F.floor(F.col("obs_id") / 4) % 1000 + 0 * day)
+    obs = _observations(spark, d).where("field = 'bpm' AND source <> 'legacy'").withColumn("track_id", F.col("track_id") * 1000 + F.floor(F.col("obs_id") / 4) % 1000)
     return resolve.tempo_vote(obs)
 
 
