@@ -301,3 +301,24 @@ def _annotated(structured: str | None, timed) -> str | None:
         end = timed[-1]["at"] if following is None else starts[following]
         lines[head] = f"{lines[head].strip()[:-1].rstrip()}  ⏱ {clock(starts[head])} → {clock(end)}]"
     return "\n".join(lines) if found else structured
+
+
+def resolved_lyrics(tracks: DataFrame, replies: DataFrame, by: str = "track_id", *, with_second: bool = True) -> DataFrame:
+    """(by, lrc, source, confidence, text, text_source) of every track, out of what the lyrics services replied.
+
+    ``tracks``: duration, lyrics, need_sync, need_text; ``replies``: source ('lrclib', 'ytmusic', 'musixmatch'), lrc, text,
+    duration, text_source, one row a track and source. Timed lyrics are looked for where ``need_sync``: the first two services are
+    cross-checked (the second only ``with_second``), the third counts where neither has lines. The duration is the track's, or
+    else the second service's. A text is taken from the second service where ``need_text`` and the track has none."""
+    of = lambda s, c: F.max(F.when(F.col("source") == s, F.col(c)))
+    second = {"__text": of("ytmusic", "text"), "__text_source": of("ytmusic", "text_source"), "__duration": of("ytmusic", "duration")}
+    wide = replies.groupBy(by).agg(*(of(s, "lrc").alias(s) for s in ("lrclib", "ytmusic", "musixmatch")), *(c.alias(n) for n, c in second.items()))
+    df = tracks.join(wide, by, "left")
+    known = F.when(F.col("duration") != 0, F.col("duration"))
+    df = df.withColumn("duration", F.coalesce(known, "__duration")).withColumn("ytmusic", F.col("ytmusic") if with_second else F.lit(None).cast("string"))
+    df = cross_check(df)
+    third = F.col("lrc").isNull() & (F.coalesce("musixmatch", F.lit("")) != "")
+    take = lambda c, other: F.when(F.col("need_sync"), F.when(third, other).otherwise(F.col(c))).alias(c)
+    wants = F.coalesce("need_text", F.lit(False)) & (F.coalesce("lyrics", F.lit("")) == "") & (F.coalesce("__text", F.lit("")) != "")
+    text = [F.when(wants, F.col("__text")).alias("text"), F.when(wants, F.coalesce(F.nullif("__text_source", F.lit("")), F.lit("YouTube Music"))).alias("text_source")]
+    return df.select(by, take("lrc", F.col("musixmatch")), take("source", F.lit("Musixmatch")), take("confidence", F.lit(1.0)), *text)
