@@ -18,13 +18,13 @@ def held_out(id_: Column, modulus: int, value: int) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, label_id_col: str, *, size: int, modulus: int = 4, held: int = 2) -> DataFrame:
-    """(id, text, label) of at most ``size`` labelled documents that are not held out: those of the least id hashes among the ids that ``docs`` has.
+    """(id, text, label) of at most ``size`` labelled documents that are not held out: those of the least id hashes; ids that ``docs`` lacks
+    count towards the size, too.
 
     Rows without an id or a label are left out; of several labels of an id the majority counts, 1 at a tie; of several rows
     of an id the least text. The id list is bounded by ``size``, so it is broadcast and the documents stay where they are.
     The result is settled."""
     known = labels.select(F.col(label_id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    known = known.where(~held_out(F.col("id"), modulus, held)).groupBy("id").agg((F.avg("y") >= 0.5).cast("int").alias("label"))
-    chosen = known.join(texts.select("id").distinct(), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(size)
+    chosen = known.where(~held_out(F.col("id"), modulus, held)).groupBy("id").agg((F.avg("y") >= 0.5).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(size)
     return settle(texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label")).select("id", "text", "label"))

@@ -8,7 +8,7 @@ An example is a unit vector of (1 + ln tf) * idf * (``FLOOR`` + the distance of
 The index of the examples is inverted for all terms but those of many examples, which have a column each. Postings are read in
 full; what the columns add is multiplied out for ``BATCH`` texts at once in 32 bits, within ``SLACK`` of its value, and
 in 64 bits for the examples that can be among the k best, so the k neighbours are exact (with weights of 24 bits). They vote with the square of their cosine; votes are shrunk towards the base rate and calibrated by
-a logistic curve fitted to all examples, each judged without itself. The evidence of a score names the nearest examples.
+a logistic curve fitted to about ``calibration`` of the examples, each judged without itself. The evidence of a score names the nearest examples.
 
 Bounds: at most ``examples`` labelled rows (a sample by id hash) make the model, some ten MB that travel with the tasks. No
 text is shuffled but the sample's.
@@ -19,6 +19,7 @@ without labelled rows the score is 0; repeated rows are scored each; other colum
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -182,7 +183,7 @@ class Model:
             yield d, term[edges[d] : edges[d + 1]], weight[edges[d] : edges[d + 1]], often[d - first]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id_col: str = "doc_id", *, examples: int = 20_000, neighbours: int = 15, modulus: int = 4, held: int = 2) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id_col: str = "doc_id", *, examples: int = 20_000, calibration: int = 2_000, neighbours: int = 15, modulus: int = 4, held: int = 2) -> Model:
     """Learn from labelled rows whose id's crc32 modulo ``modulus`` is not ``held``."""
     train = labelled.sample(docs, labels, label_col, id_col, text_col, label_id_col, size=examples, modulus=modulus, held=held)
 
@@ -244,24 +245,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     del rows, lists
     sizes = np.diff(edges)
     empty = label[sizes == 0]
-    order = sorted(np.flatnonzero(sizes).tolist(), key=lambda k: (*(x.tobytes() for x in vector(k)), label[k], ids[k]))
+    order = sorted(np.flatnonzero(sizes).tolist(), key=lambda k: (hashlib.sha256(b"".join(x.tobytes() for x in vector(k))).digest(), label[k], ids[k]))
     model.empty = float((empty.sum() + p / n) / (len(empty) + 1))
     if not order:
         return model
     number = np.empty(len(label), np.int32)
     number[order] = np.arange(len(order))
     model.index = Index.build(np.repeat(number, sizes), term, weight, label[order], len(vocabulary.terms), ids[order])
-
-    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {x: k for k, x in enumerate(model.index.ids.tolist())}
-        for batch in batches:
-            for chunk in T.chunks(batch.column(0)):
-                votes = [(k := place[batch.column(2)[chunk.first + d].as_py()], model.vote(*model.index.nearest(t, w, neighbours, k, often.copy()))) for d, t, w, often in model.queries(chunk)]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in votes], pa.int64()), pa.array([v for _, v in votes], pa.float64())], names=["example", "vote"])
-
-    rows = train.select("text", "label", "id").mapInArrow(without, "example long, vote double").toArrow().sort_by("example")
-    votes = np.clip(np.asarray(rows.column(1)), 1e-6, 1 - 1e-6)
-    model.curve = _logistic(np.log(votes / (1 - votes)), model.index.labels[np.asarray(rows.column(0))])
+    tried = range(0, len(order), max(1, len(order) // calibration))
+    votes = np.array([model.vote(*model.index.nearest(*vector(order[k]), neighbours, skip=k)) for k in tried])
+    model.curve = _logistic(np.log(np.clip(votes, 1e-6, 1 - 1e-6) / (1 - np.clip(votes, 1e-6, 1 - 1e-6))), label[order][tried])
     return model
 
 
