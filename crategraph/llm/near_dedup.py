@@ -11,13 +11,11 @@ weighted Jaccard. Points are made only up to a time horizon at which all compone
 (further on where one is not), so the work is about one point a shingle plus m log m, not m for each shingle.
 
 Links. Signatures are cut into bands; texts that share a band share a bucket. Texts of equal multisets are collapsed first.
-A round holds each bucket's most central text against the others, after which that text is done with there. Rounds go on as long
-as they shrink what is left in buckets of several classes by a third; then the pairs left are gone through, so no candidate is
-dropped: all pairs of buckets of up to ``CROWD`` texts, and of fuller ones those that share one of 102 finer bands, too. Before
-a pair is verified on the whole texts, sketches must come near: 384 bits of 96 components in the rounds of central texts, 2048
-bits of 1024 components (made for the texts that are left only) in the last. The margins are more than four standard
-deviations of the estimate at 0.8. A pair at exactly 0.8 shares no band with a probability of 3e-6 and no finer band
-with one of 1e-5, more similar ones with less.
+Two rounds hold each bucket's most central text against the others, after which that text is done with there; then all pairs left
+in buckets that still hold several classes are gone through, so no candidate is dropped. Before a pair is verified on the
+whole texts, sketches must come near: 384 bits of 96 components in the rounds of central texts, 2048 bits of 1024
+components (made for the texts that are left only) in the last. The margins are more than four standard deviations of the
+estimate at 0.8. A pair at exactly 0.8 shares no band with a probability of 3e-6, more similar ones with less.
 
 Defined results: null texts and texts without words form classes of their own; texts of one to four words are one shingle;
 the class id is the least document id of the class, null if all its ids are null; repeated rows are in one class, and
@@ -38,9 +36,9 @@ from crategraph.llm import text as T
 from crategraph.shared import settle
 
 COMPONENTS, BANDS, ROWS, SKETCH = 96, 24, 4, 6
-FINE, FINE_SKETCH, FINE_BANDS, FINE_ROWS = 1024, 32, 102, 10
-#: Texts in a bucket from which finer bands choose its pairs; share of the members left at which rounds go on.
-CROWD, PROGRESS = 64, 2 / 3
+FINE, FINE_SKETCH = 1024, 32
+#: Rounds of central texts.
+ROUNDS = 2
 BROADCAST_ROWS = 500_000
 EDGES_A_TASK = 20_000
 MARK = "__dup_bag"
@@ -128,8 +126,7 @@ def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for chunk in T.chunks(batch.column(1), 1 << 19, 64):
             signature = bag_min_hash(*T.bag(*T.shingles(T.words(chunk))), chunk.size, FINE)
-            bands = _bands(signature, FINE_BANDS, FINE_ROWS)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.size), bands, *_packed(signature, FINE_SKETCH)], names=["bag", "fine", *(f"f{k}" for k in range(FINE_SKETCH))])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.size), *_packed(signature, FINE_SKETCH)], names=["bag", *(f"f{k}" for k in range(FINE_SKETCH))])
 
 
 def _bands(signature: np.ndarray, bands: int, rows: int) -> pa.ListArray:
@@ -267,19 +264,16 @@ def _linked(narrow: DataFrame, reps: DataFrame, shared: DataFrame, threshold: fl
     now = shared.select("key", "band", "bag").join(candidates.drop("rep_id", "bands"), "bag").withColumn("comp", F.col("bag"))
     every: DataFrame | None = None
     links: DataFrame | None = None
-    left = None
-    last = False
-    while not last:
+    for turn in range(ROUNDS + 1):
+        last = turn == ROUNDS
         if links is not None:
             # what is left: members of buckets of several classes that have not been held against all of the bucket
             now = now.drop("comp").join(links, now["bag"] == links["u"], "left").withColumn("comp", F.coalesce("root", "bag")).drop("u", "root")
             now = now.join(hubs.select("key", "bag"), ["key", "bag"], "left_anti")
             mixed = now.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("key")
             now = settle(now.join(mixed, "key", "left_semi"))
-            before, left = left, now.count()
-            if not left:
+            if now.isEmpty():
                 break
-            last = before is not None and left > PROGRESS * before
         if not last:
             hub = now.groupBy("key").agg(F.max_by(F.struct("bag", "comp", *sketch), F.struct("score", "bag")).alias("h"))
             hubs = settle(hub.select("key", "h.*"))
@@ -299,27 +293,15 @@ def _linked(narrow: DataFrame, reps: DataFrame, shared: DataFrame, threshold: fl
 
 def _remaining(now: DataFrame, candidates: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(a, b) of the pairs of different classes left in the buckets whose fine sketches come near."""
-    fine = now.select("bag").distinct().join(texts, "bag").mapInArrow(_fine, "bag binary, fine array<long>, " + ", ".join(f"f{k} long" for k in range(FINE_SKETCH)))
+    fine = now.select("bag").distinct().join(texts, "bag").mapInArrow(_fine, "bag binary, " + ", ".join(f"f{k} long" for k in range(FINE_SKETCH)))
     fine = settle(fine)
-    sizes = now.groupBy("key").agg(F.count("*").alias("in_bucket"))
-    members = now.select("key", "band", "bag", "comp").join(sizes, "key")
-    bits = [f"f{k}" for k in range(FINE_SKETCH)]
-    few = members.where(F.col("in_bucket") <= CROWD).join(candidates.select("bag", "bands"), "bag").join(fine.select("bag", *bits), "bag")
-    one, two = few.alias("l"), few.alias("r")
+    rest = now.select("key", "band", "bag", "comp").join(fine, "bag").join(candidates.select("bag", "bands"), "bag")
+    one, two = rest.alias("l"), rest.alias("r")
     # a pair is taken from the first of the bands that it shares
     earlier = F.arrays_overlap(F.slice("l.bands", 1, F.col("l.band")), F.slice("r.bands", 1, F.col("l.band")))
     new = (F.col("l.key") == F.col("r.key")) & (F.col("l.bag") < F.col("r.bag")) & (F.col("l.comp") != F.col("r.comp"))
-    near = _near("f", FINE_SKETCH, threshold - 0.075)
-    pairs = one.join(two, new & near & ~earlier).select(F.col("l.bag").alias("a"), F.col("r.bag").alias("b"))
-    # finer bands are many, so a quarter of the sketch goes with them, under a margin of four standard deviations of its own
-    some = bits[: FINE_SKETCH // 4]
-    many = members.where(F.col("in_bucket") > CROWD).select("bag", "comp").distinct().join(fine.select("bag", "fine", *some), "bag")
-    many = many.select("bag", "comp", F.explode("fine").alias("key"), *some)
-    one, two = many.alias("l"), many.alias("r")
-    close = one.join(two, new & _near("f", FINE_SKETCH // 4, threshold - 0.11)).select(F.col("l.bag").alias("a"), F.col("r.bag").alias("b")).distinct()
-    one, two = fine.select("bag", *bits).alias("l"), fine.select("bag", *bits).alias("r")
-    close = close.join(one, F.col("a") == F.col("l.bag")).join(two, F.col("b") == F.col("r.bag")).where(near).select("a", "b")
-    return pairs.unionAll(close).distinct()
+    pairs = one.join(two, new & _near("f", FINE_SKETCH, threshold - 0.075) & ~earlier)
+    return pairs.select(F.col("l.bag").alias("a"), F.col("r.bag").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.8) -> DataFrame:
