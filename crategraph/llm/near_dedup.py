@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
@@ -172,13 +173,24 @@ def _occurrences(chunk: T.Chunk) -> tuple[np.ndarray, np.ndarray]:
         return doc[which], T.mix(value[which] + turn.astype(T.U64) * T.U64(0xA0761D6478BD642F))
 
 
+def _spans(batch: pa.RecordBatch, size: int = 1 << 20, pairs: int = 128) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``pairs`` pairs (a, b, text, text) of about ``size`` bytes together; a larger pair is a range of its own."""
+    ends = np.cumsum([sum(n.as_py() or 0 for n in row) for row in zip(*(pc.binary_length(batch.column(k)) for k in (2, 3)))])
+    lo = 0
+    while lo < batch.num_rows:
+        hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, "right"))
+        hi = min(max(hi, lo + 1), lo + pairs, batch.num_rows)
+        yield lo, hi
+        lo = hi
+
+
 def _overlap(threshold: float):
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
+            for lo, hi in _spans(batch):
+                part = batch.slice(lo, hi - lo)
                 keys, owner, sizes = [], [], []
                 for column in (2, 3):
                     size = np.zeros(part.num_rows, np.int64)
@@ -234,6 +246,7 @@ def _semi(df: DataFrame, ids: DataFrame, on, how: str = "left_semi") -> DataFram
 def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(doc_id, bag) of every row; (bag, rep_id, n, class_id, keeper) of every multiset; (a, b, similarity) of the verified
     links between multisets, if there are candidates. All settled."""
+    T.text_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = [f"s{k}" for k in range(SKETCH)]
     signed = settle(narrow.mapInArrow(_sign, "doc_id long, bag binary, bands array<long>, " + ", ".join(f"{s} long" for s in sketch)))

@@ -13,9 +13,11 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 U64 = np.uint64
 CHUNK_BYTES = 1 << 20
+BATCH_ROWS, BATCH_CONF = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -31,6 +33,13 @@ RUNS = np.where(BLANK, 0, np.where((_BYTES >= 0x30) & (_BYTES <= 0x39), 2, np.wh
 LOWER = np.where((_BYTES >= 0x41) & (_BYTES <= 0x5A), _BYTES + 32, _BYTES).astype(np.uint8)
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Let at most ``BATCH_ROWS`` rows of whole texts travel to Python in a batch; a session's lower setting stays. The default of
+    10,000 rows holds tens of MB in a task several times over: as vectors, on the way, and in Python."""
+    if not 0 < int(spark.conf.get(BATCH_CONF)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_CONF, BATCH_ROWS)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     with np.errstate(over="ignore"):

@@ -103,6 +103,7 @@ class Index:
         apart = often[terms]
         columns = np.zeros((len(labels), int(often.sum())), np.float32)
         columns[rows[apart], column[terms[apart]]] = weights[apart]
+        rows = rows.astype(np.uint16 if len(labels) <= 1 << 16 else np.int32)
         return cls(rows[~apart], weights[~apart], np.concatenate([[0], np.cumsum(np.where(often, 0, df))]), column, columns, labels, np.arange(len(labels)) if ids is None else ids)
 
     def often(self, docs: np.ndarray, terms: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
@@ -185,6 +186,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id_col: str = "doc_id", *, examples: int = 20_000, calibration: int = 2_000, neighbours: int = 15, modulus: int = 4, held: int = 2) -> Model:
     """Learn from labelled rows whose id's crc32 modulo ``modulus`` is not ``held``."""
+    T.text_batches(docs.sparkSession)
     train = labelled.sample(docs, labels, label_col, id_col, text_col, label_id_col, size=examples, modulus=modulus, held=held)
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,6 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     term, weight = (np.asarray(x.flatten()) for x in lists)
     vector = lambda k: (term[edges[k] : edges[k + 1]], weight[edges[k] : edges[k + 1]].astype(np.float64))
     del rows, lists
+    pa.default_memory_pool().release_unused()
     sizes = np.diff(edges)
     empty = label[sizes == 0]
     order = sorted(np.flatnonzero(sizes).tolist(), key=lambda k: (hashlib.sha256(b"".join(x.tobytes() for x in vector(k))).digest(), label[k], ids[k]))
