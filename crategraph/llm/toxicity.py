@@ -10,7 +10,7 @@ full; what the columns add is multiplied out for ``BATCH`` texts at once in 32 b
 in 64 bits for the examples that can be among the k best, so the k neighbours are exact (with weights of 24 bits). They vote with the square of their cosine; votes are shrunk towards the base rate and calibrated by
 a logistic curve fitted to about ``calibration`` of the examples, each judged without itself. The evidence of a score names the nearest examples.
 
-Bounds: at most ``examples`` labelled rows (a sample by id hash) make the model, some ten MB that travel with the tasks. No
+Bounds: at most ``examples`` labelled rows (a sample by id hash) make the model, which is broadcast: its size goes with them. No
 text is shuffled but the sample's.
 
 Defined results: a text without vocabulary terms (null and empty ones too) gets the base rate of such training texts;
@@ -276,12 +276,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.3, modulus: int = 4, held: int = 2) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (the nearest examples) of every row."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), labelled.held_out(F.col(id_col), modulus, held).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         for batch in batches:
             for chunk in T.chunks(batch.column(2)):
-                scores, evidence = model.score(chunk)
+                scores, evidence = shared.value.score(chunk)
                 ids, out = (batch.column(k).slice(chunk.first, chunk.size) for k in range(2))
                 yield pa.RecordBatch.from_arrays([ids, out, pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), pa.array(evidence, kind)], names=["doc_id", "held_out", "score", "predicted", "evidence"])
 
@@ -291,10 +292,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def reject(docs: DataFrame, model: Model, text_col: str = "text", *, threshold: float = 0.3) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more."""
     at = docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [model.score(chunk)[0] for chunk in T.chunks(batch.column(at))]
+            scores = [shared.value.score(chunk)[0] for chunk in T.chunks(batch.column(at))]
             yield batch.filter(pa.array(np.concatenate(scores) < threshold)) if scores else batch
 
     return docs.mapInArrow(run, docs.schema)
