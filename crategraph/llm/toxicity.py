@@ -5,10 +5,13 @@ forms) joins them if the share of toxic examples among those that have it, shrun
 examples, is ``LEAN`` or more away from it, however large the sample. Document frequencies are counted over all documents.
 An example is a unit vector of (1 + ln tf) * idf * (``FLOOR`` + the distance of the term's shrunk share from the base rate).
 
-The index of the examples is inverted for all terms but those of many examples, which have a column each. Postings are read in
-full; what the columns add is multiplied out for ``BATCH`` texts at once in 32 bits, within ``SLACK`` of its value, and
-in 64 bits for the examples that can be among the k best, so the k neighbours are exact (with weights of 24 bits). They vote with the square of their cosine; votes are shrunk towards the base rate and calibrated by
-a logistic curve fitted to about ``calibration`` of the examples, each judged without itself. The evidence of a score names the nearest examples.
+The index of the examples is inverted, with the largest weight of each block of examples for common terms and a column
+for each of the most frequent. Rare terms and columns are summed in full; block maxima bound what the common terms can add, and
+blocks whose bound stays below the k-th best cosine are not read. Columns are multiplied out for ``BATCH`` texts at once in
+32 bits, within ``SLACK`` of their value, and in 64 bits for the examples that can be among the k best, so the k neighbours are
+exact (with weights of 24 bits). They vote with the square of their cosine; votes are shrunk towards the base rate and calibrated
+by a logistic curve fitted to about ``calibration`` of the examples, each judged without itself. The evidence of a score names
+the nearest examples.
 
 Bounds: at most ``examples`` labelled rows (a sample by id hash) make the model, which is broadcast: its size goes with them. No
 text is shuffled but the sample's.
@@ -36,7 +39,15 @@ EVIDENCE = 3
 SHRINK, LEAN, FLOOR = 5.0, 0.25, 0.02
 #: A term of more than this share of the examples has a column.
 OFTEN = 1 / 8
+#: Terms of more examples than this have block maxima; examples in a block.
+COMMON, BLOCK = 256, 64
+#: Blocks read first, with one more for each ``BLOCK`` neighbours asked for.
+FIRST = 8
+#: Share of blocks beyond which postings are read in a row rather than by block.
+DENSE = 1 / 8
 BATCH, SLACK = 64, 1e-4
+#: Bytes of text at once.
+CHUNK = 1 << 18
 
 
 def _terms(chunk: T.Chunk, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,11 +93,15 @@ class Vocabulary:
 
 @dataclass
 class Index:
-    """Postings by term; terms of many examples have columns instead."""
+    """Postings by term. Terms of over ``COMMON`` examples have the largest weight and the first posting of each block of
+    ``BLOCK`` examples besides; terms of many examples have columns instead of postings."""
 
     examples: np.ndarray
     weights: np.ndarray
     pointers: np.ndarray
+    common: np.ndarray
+    block_max: np.ndarray
+    block_starts: np.ndarray
     column: np.ndarray
     columns: np.ndarray
     labels: np.ndarray
@@ -96,15 +111,30 @@ class Index:
     def build(cls, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, labels: np.ndarray, n_terms: int, ids: np.ndarray | None = None) -> Index:
         """``rows``: the example of each (term, weight); examples are numbered from 0, ``ids`` are their documents'."""
         order = np.lexsort((rows, terms))
-        rows, terms, weights = rows[order].astype(np.int32), terms[order], weights[order].astype(np.float32)
+        rows, terms, weights = rows[order].astype(np.int32), terms[order].astype(np.int32), weights[order].astype(np.float32)
+        del order
         df = np.bincount(terms, minlength=n_terms)
         often = df > max(8, OFTEN * len(labels))
         column = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
         apart = often[terms]
         columns = np.zeros((len(labels), int(often.sum())), np.float32)
         columns[rows[apart], column[terms[apart]]] = weights[apart]
+        rows, terms, weights = rows[~apart], terms[~apart], weights[~apart]
+        pointers = np.concatenate([[0], np.cumsum(np.where(often, 0, df))])
+        many = (df > COMMON) & ~often
+        common = np.where(many, np.cumsum(many) - 1, -1).astype(np.int32)
+        blocks = -(-len(labels) // BLOCK)
+        inside = np.flatnonzero(many[terms])
+        cell = common[terms[inside]].astype(np.int64) * blocks + rows[inside] // BLOCK
+        block_max = np.zeros((int(many.sum()), blocks), np.float32)
+        starts = np.zeros((len(block_max), blocks + 1), np.int32)
+        if len(cell):
+            first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            block_max.ravel()[cell[first]] = np.maximum.reduceat(weights[inside], first)
+            np.cumsum(np.bincount(cell, minlength=block_max.size).reshape(block_max.shape), axis=1, out=starts[:, 1:])
+            starts += pointers[:-1][many][:, None].astype(np.int32)
         rows = rows.astype(np.uint16 if len(labels) <= 1 << 16 else np.int32)
-        return cls(rows[~apart], weights[~apart], np.concatenate([[0], np.cumsum(np.where(often, 0, df))]), column, columns, labels, np.arange(len(labels)) if ids is None else ids)
+        return cls(rows, weights, pointers, common, block_max, starts, column, columns, labels, np.arange(len(labels)) if ids is None else ids)
 
     def often(self, docs: np.ndarray, terms: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
         """What the columns add to the cosines of texts 0 .. size - 1 with all examples, in 32 bits."""
@@ -113,22 +143,66 @@ class Index:
         query[docs[by >= 0], by[by >= 0]] = weights[by >= 0]
         return query @ self.columns.T
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1, often: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest cosines above 0, ties by example number; ``skip`` leaves one out."""
-        lo = self.pointers[terms]
-        n = self.pointers[terms + 1] - lo
+    def _sums(self, lo: np.ndarray, hi: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Sums by example over ranges of postings, each with a weight."""
+        n = hi - lo
         at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        scores = np.bincount(self.examples[at], weights=np.repeat(weights, n) * self.weights[at], minlength=len(self.labels))
-        near = scores + (self.often(np.zeros(len(terms), np.int64), terms, weights, 1)[0] if often is None else often)
+        return np.bincount(self.examples[at], weights=np.repeat(weights, n) * self.weights[at], minlength=len(self.labels)).astype(np.float64, copy=False)
+
+    def _lists(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Sums by example over the whole lists of a few long ones."""
+        spans = [slice(*x) for x in zip(self.pointers[terms].tolist(), self.pointers[terms + 1].tolist())]
+        if not spans:
+            return np.zeros(len(self.labels))
+        times = np.repeat(weights, [x.stop - x.start for x in spans])
+        return np.bincount(np.concatenate([self.examples[x] for x in spans]), weights=times * np.concatenate([self.weights[x] for x in spans]), minlength=len(self.labels))
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1, often: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of the largest cosines above 0, ties by example number; ``skip`` leaves one out.
+
+        Rare terms' postings and columns are summed for all examples. With the block maxima of common terms that bounds
+        each example's cosine. Common terms' postings are read in the ``FIRST`` blocks by bound, then in those blocks
+        only whose bound reaches the k-th best cosine found; where these are over ``DENSE`` of all, whole lists are read in a row."""
+        size = len(self.labels)
+        many = self.common[terms] >= 0
+        rare, often_terms = np.flatnonzero(~many), np.flatnonzero(self.column[terms] >= 0)
+        t, w = terms[many], weights[many]
+        rows = self.common[t]
+        sums = self._sums(self.pointers[terms[rare]], self.pointers[terms[rare] + 1], weights[rare])
+        fast = self.often(np.zeros(len(terms), np.int64), terms, weights, 1)[0] if often is None else often
+        known = sums + fast
         if skip >= 0:
-            near[skip] = -1.0
-        mark = np.partition(near, len(near) - k)[len(near) - k] if len(near) > k else 0.0
-        e = np.flatnonzero((near >= mark - 2 * SLACK) & (near >= 0))
-        apart = np.flatnonzero(self.column[terms] >= 0)
-        s = scores[e] + self.columns[np.ix_(e, self.column[terms[apart]])] @ weights[apart]
-        e, s = e[s > 0], s[s > 0]
-        best = np.lexsort((e, -s))[:k]
-        return s[best], e[best]
+            known[skip] = -9.0
+        top = np.maximum.reduceat(known, np.arange(0, size, BLOCK)) + w.astype(np.float32) @ self.block_max[rows]
+
+        def best(near: np.ndarray, scores: np.ndarray, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+            """Of the examples ``among`` (or all): the k best with their cosines, and the k-th best in 32 bits."""
+            mark = float(np.partition(near, len(near) - k)[len(near) - k]) if len(near) > k else 0.0
+            e = np.flatnonzero((near >= mark - 2 * SLACK) & (near > -1))
+            s = scores[e]
+            if among is not None:
+                e = among[e]
+            s = s + self.columns[np.ix_(e, self.column[terms[often_terms]])] @ weights[often_terms]
+            order = np.lexsort((e, -s))[:k]
+            order = order[s[order] > 0]
+            return s[order], e[order], mark
+
+        def read(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+            lo, hi = (self.block_starts[np.ix_(rows, blocks + one)].ravel() for one in (0, 1))
+            more = self._sums(lo, hi, np.repeat(w, len(blocks)))
+            among = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            among = among[among < size]
+            return best(known[among] + more[among], sums[among] + more[among], among)
+
+        first = np.sort(np.argsort(-top)[: FIRST + k // BLOCK])
+        s, e, mark = read(first)
+        left = np.union1d(first, np.flatnonzero(top >= mark - 2 * SLACK))
+        if len(left) > DENSE * len(top):
+            more = self._lists(t, w)
+            s, e, _ = best(known + more, sums + more)
+        elif len(left) > len(first):
+            s, e, _ = read(left)
+        return s, e
 
 
 @dataclass
@@ -192,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             y = np.asarray(batch.column(1))
-            for chunk in T.chunks(batch.column(0)):
+            for chunk in T.chunks(batch.column(0), CHUNK):
                 doc, term, code = _terms(chunk)
                 known, at = np.unique(term, return_index=True)
                 doc, term, _ = T.bag(doc, np.searchsorted(known, term))
@@ -216,7 +290,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         total, rows = np.zeros(len(vocabulary.terms), np.int64), 0
         for batch in batches:
             rows += batch.num_rows
-            for chunk in T.chunks(batch.column(0)):
+            for chunk in T.chunks(batch.column(0), CHUNK):
                 total += np.bincount(vocabulary.counts(chunk)[1], minlength=len(total))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(total[seen], rows))], names=["term", "n"])
@@ -231,7 +305,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in T.chunks(batch.column(0)):
+            for chunk in T.chunks(batch.column(0), CHUNK):
                 doc, term, weight = model.vectors(chunk)
                 edges = np.searchsorted(doc, np.arange(chunk.size + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (term.astype(np.int32), weight.astype(np.float32))]
@@ -281,7 +355,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         for batch in batches:
-            for chunk in T.chunks(batch.column(2)):
+            for chunk in T.chunks(batch.column(2), CHUNK):
                 scores, evidence = shared.value.score(chunk)
                 ids, out = (batch.column(k).slice(chunk.first, chunk.size) for k in range(2))
                 yield pa.RecordBatch.from_arrays([ids, out, pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), pa.array(evidence, kind)], names=["doc_id", "held_out", "score", "predicted", "evidence"])
@@ -296,7 +370,7 @@ def reject(docs: DataFrame, model: Model, text_col: str = "text", *, threshold:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [shared.value.score(chunk)[0] for chunk in T.chunks(batch.column(at))]
+            scores = [shared.value.score(chunk)[0] for chunk in T.chunks(batch.column(at), CHUNK)]
             yield batch.filter(pa.array(np.concatenate(scores) < threshold)) if scores else batch
 
     return docs.mapInArrow(run, docs.schema)

@@ -221,7 +221,10 @@ def test_held_out_labels(spark, medium, name, label, least):
     assert sum(r["predicted"] == r[label] for r in rows) / len(rows) >= 0.9
 
 
-def test_neighbours_are_exact():
+@pytest.mark.parametrize(("often", "common", "block", "in_a_row"), [(1 / 8, 256, 64, 1 / 8), (0.2, 4, 8, 1.0), (0.2, 4, 8, 0.0), (1.0, 0, 1, 0.5)])
+def test_neighbours_are_exact(monkeypatch, often, common, block, in_a_row):
+    for name, value in (("OFTEN", often), ("COMMON", common), ("BLOCK", block), ("DENSE", in_a_row)):
+        monkeypatch.setattr(toxicity, name, value)
     rng = np.random.default_rng(1)
     dense = rng.random((300, 40)) * (rng.random((300, 40)) < 0.15)
     dense[np.arange(300), rng.integers(0, 40, 300)] += 0.1
@@ -233,6 +236,10 @@ def test_neighbours_are_exact():
         s, e = index.nearest(t, q[t], 10)
         assert np.allclose(s, np.sort(dense @ q)[::-1][:10])
         assert np.allclose(dense[e] @ q, s)
+    for x in range(20):
+        t = np.flatnonzero(dense[x])
+        s, e = index.nearest(t, dense[x][t], 10, skip=x)
+        assert x not in e and np.allclose(s, np.sort(np.delete(dense @ dense[x], x))[::-1][:10])
 
 
 def test_language_model_counts_and_probabilities(spark, medium):
