@@ -173,7 +173,7 @@ class Index:
         known = sums + fast
         if skip >= 0:
             known[skip] = -9.0
-        top = np.maximum.reduceat(known, np.arange(0, size, BLOCK)) + w.astype(np.float32) @ self.block_max[rows]
+        top = np.maximum.reduceat(known, np.arange(0, size, BLOCK)) + np.einsum("i,ij->j", w.astype(np.float32), self.block_max[rows])
 
         def best(near: np.ndarray, scores: np.ndarray, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
             """Of the examples ``among`` (or all): the k best with their cosines, and the k-th best in 32 bits."""
