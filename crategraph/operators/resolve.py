@@ -144,7 +144,7 @@ def sync_error(lrc: Column, duration: Column) -> Column:
     """Twice what the last line overshoots the duration by, or what it falls short; null if either is unknown."""
     last = F.element_at(parse.timed_lines(lrc), -1)["at"]
     gap = last - duration.cast("double")
-    return F.when(F.size(parse.timed_lines(lrc)) > 0, F.when(duration > 0, F.when(gap > 0, gap * 2).otherwise(-gap)))
+    return F.when(F.size(parse.timed_lines(lrc)) > 0, F.when(duration > 0, F.when(gap > 0, gap * 2).otherwise(duration.cast("double") - last)))
 
 
 def line_offsets(a: Column, b: Column) -> Column:

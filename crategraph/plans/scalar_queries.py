@@ -184,10 +184,10 @@ def credit_dedup(spark, d):
 # ---------------------------------------------------------------- predicates and choices
 
 
-@query("SELECT l_orderkey AS track_id, count(*) AS music, 0::BIGINT AS video, count(*) FILTER (l_returnflag = 'A') AS producers, count(*) FILTER (l_returnflag = 'R') AS writers, count(*) >= 2 AND count(*) FILTER (l_returnflag <> 'N') > 0 AS complete FROM lineitem WHERE l_linenumber < 6 GROUP BY 1")
+@query("SELECT l_orderkey AS track_id, count(*) AS music, 0::BIGINT AS video, count(*) FILTER (l_returnflag = 'A') AS producers, count(*) FILTER (l_returnflag = 'R') AS writers, count(*) >= 2 AND count(*) FILTER (l_returnflag <> 'N') > 0 AS complete FROM lineitem GROUP BY 1")
 def credit_completeness(spark, d):
     role = F.when(F.col("l_returnflag") == "A", "Producer").when(F.col("l_returnflag") == "R", "Writer").otherwise("Piano")
-    c = rollup.credit_counts(table(spark, d, "lineitem").where("l_linenumber < 6").select(F.col("l_orderkey").alias("track_id"), role.alias("role"), F.lit(None).cast("string").alias("role_detail")))
+    c = rollup.credit_counts(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("track_id"), role.alias("role"), F.lit(None).cast("string").alias("role_detail")))
     return c.withColumn("complete", rollup.has_complete_credits(F.col("music"), F.col("producers"), F.col("writers")))
 
 
@@ -307,14 +307,15 @@ def artist_documents(spark, d):
 
 
 @query(
-    "WITH m AS (SELECT p_partkey AS t, q AS c FROM (SELECT p_partkey, p_partkey % 50 AS q FROM part)), c AS (SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'FR' WHEN 1 THEN 'BE' ELSE 'US' END AS country, CASE WHEN s_suppkey % 2 = 0 THEN 'Or' ELSE 'Platine' END AS level, CASE WHEN s_suppkey % 2 = 0 THEN 10 ELSE 7 END AS r FROM supplier WHERE s_suppkey < 50) "
+    "WITH m AS (SELECT p_partkey AS t, q AS c FROM (SELECT p_partkey, p_partkey % (SELECT max(s_suppkey) + 1 FROM supplier) AS q FROM part)), c AS (SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'FR' WHEN 1 THEN 'BE' ELSE 'US' END AS country, CASE WHEN s_suppkey % 2 = 0 THEN 'Or' ELSE 'Platine' END AS level, CASE WHEN s_suppkey % 2 = 0 THEN 10 ELSE 7 END AS r FROM supplier) "
     "SELECT t AS track_id, max(level) AS highest, max(country || ' ' || level) AS listed FROM m LEFT JOIN c ON c.id = m.c GROUP BY 1"
 )
 def attached_certifications(spark, d):
     tracks = table(spark, d, "part").select(F.col("p_partkey").alias("track_id"))
     s = F.col("s_suppkey")
-    certs = table(spark, d, "supplier").where(s < 50).select(s.alias("cert_id"), F.when(s % 3 == 0, "FR").when(s % 3 == 1, "BE").otherwise("US").alias("country"), F.when(s % 2 == 0, "Or").otherwise("Platine").alias("level"), F.lit("2020").alias("date"))
-    out = match.attach_certifications(tracks, tracks.select("track_id", (F.col("track_id") % 50).alias("cert_id")), certs)
+    suppliers = table(spark, d, "supplier")
+    certs = suppliers.select(s.alias("cert_id"), F.when(s % 3 == 0, "FR").when(s % 3 == 1, "BE").otherwise("US").alias("country"), F.when(s % 2 == 0, "Or").otherwise("Platine").alias("level"), F.lit("2020").alias("date"))
+    out = match.attach_certifications(tracks, tracks.select("track_id", (F.col("track_id") % suppliers.agg(F.max("s_suppkey") + 1).scalar()).alias("cert_id")), certs)
     return out.select("track_id", "highest", F.nullif(F.array_join(F.transform("certifications", lambda c: F.concat_ws(" ", c["country"], c["level"])), "|"), F.lit("")).alias("listed"))
 
 
@@ -350,11 +351,11 @@ def song_details(spark, d):
     return table(spark, d, "part").select(k.alias("id"), parse.song_details(made).alias("x")).select("id", "x.*")
 
 
-@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 2.0 * (p_size + 60 - 70) ELSE 70 - p_size END::DOUBLE AS err FROM part WHERE p_partkey % 2 = 1 OR p_size > 10")
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 1 THEN 70 - p_size WHEN p_size > 10 THEN 2.0 * (p_size - 10) ELSE 10 - p_size END::DOUBLE AS err FROM part")
 def sync_errors(spark, d):
     k = F.col("p_partkey")
     made = F.format_string("[%02d:%02d.00] x", F.when(k % 2 == 0, 1).otherwise(0), F.col("p_size"))
-    return table(spark, d, "part").where((k % 2 == 1) | (F.col("p_size") > 10)).select(k.alias("id"), resolve.sync_error(made, F.lit(70)).alias("err"))
+    return table(spark, d, "part").select(k.alias("id"), resolve.sync_error(made, F.lit(70)).alias("err"))
 
 
 @query("SELECT p_partkey AS id, abs(p_size - 25) <= 2 AS agrees FROM part")
