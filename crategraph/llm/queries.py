@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crategraph.llm import decontaminate, language_model, mixing, near_dedup, quality_classifier, quality_rules, sharding, toxicity, url_filter, warc
+from crategraph.llm import decontaminate, language_model, mixing, near_dedup, quality_classifier, quality_rules, resampling, sharding, toxicity, url_filter, warc
 from crategraph.shared import table
 
 #: Score from which a document is toxic.
@@ -64,7 +64,11 @@ def op10_nearest_example_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame
     return toxicity.score(docs, model, threshold=TOXIC)
 
 
-QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op2_host_quality_rules, op3_extendible_hashing_shards, op4_bag_min_hash_classes, op5_temperature_mixing, op6_warc_round_trip, op7_random_indexing_quality, op8_bloom_cascade_urls, op9_brown_class_scores, op10_nearest_example_toxicity)}
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op2_host_quality_rules, op3_extendible_hashing_shards, op4_bag_min_hash_classes, op5_temperature_mixing, op6_warc_round_trip, op7_random_indexing_quality, op8_bloom_cascade_urls, op9_brown_class_scores, op10_nearest_example_toxicity, op13_importance_resampling)}
 
 
 def shard_sql(limit: int) -> str:
@@ -144,5 +148,26 @@ hit AS (
   SELECT rid, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
   FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY rid)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN hit USING (rid)
+""",
+    "op13_importance_resampling": r"""
+WITH step AS (SELECT list(c ORDER BY i) AS crc FROM (
+  SELECT i, list_reduce([i] || [0 FOR k IN range(8)], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)::BIGINT AS c FROM range(256) AS r(i))),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+f AS (SELECT rid, unnest(w) AS w FROM d),
+known AS (
+  SELECT w, xor(list_reduce([4294967295::BIGINT] || [('0x' || substr(hex(encode(w)), 2 * k + 1, 2))::BIGINT FOR k IN range(strlen(w))], lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS h
+  FROM (SELECT w FROM f UNION SELECT w FROM b), step),
+s AS (SELECT h, count(*) AS n FROM f JOIN known USING (w) GROUP BY h),
+t AS (SELECT h, count(*) AS n FROM b JOIN known USING (w) GROUP BY h),
+total AS (SELECT (SELECT count(*) FROM f) + 10000 AS s, (SELECT count(*) FROM b) + 10000 AS t),
+gain AS (SELECT s.h, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * total.s::DOUBLE / ((s.n + 1)::DOUBLE * total.t::DOUBLE)))::BIGINT AS g FROM s LEFT JOIN t USING (h), total),
+w AS (SELECT rid, sum(g)::BIGINT AS weight FROM f JOIN known USING (w) JOIN gain USING (h) GROUP BY rid),
+x AS (
+  SELECT rid, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000.0::DOUBLE * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN w USING (rid)),
+r AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM x WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= n * 10 // 100 THEN rank END AS rank FROM x LEFT JOIN r USING (rid)
 """,
 }
