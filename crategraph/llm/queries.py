@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crategraph.llm import decontaminate, language_model, mixing, near_dedup, quality_classifier, quality_rules, resampling, sharding, toxicity, url_filter, warc
+from crategraph.llm import alignment, decontaminate, language_model, mixing, near_dedup, quality_classifier, quality_rules, resampling, sharding, toxicity, url_filter, warc
 from crategraph.shared import table
 
 #: Score from which a document is toxic.
@@ -64,11 +64,15 @@ def op10_nearest_example_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame
     return toxicity.score(docs, model, threshold=TOXIC)
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op2_host_quality_rules, op3_extendible_hashing_shards, op4_bag_min_hash_classes, op5_temperature_mixing, op6_warc_round_trip, op7_random_indexing_quality, op8_bloom_cascade_urls, op9_brown_class_scores, op10_nearest_example_toxicity, op13_importance_resampling)}
+QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op2_host_quality_rules, op3_extendible_hashing_shards, op4_bag_min_hash_classes, op5_temperature_mixing, op6_warc_round_trip, op7_random_indexing_quality, op8_bloom_cascade_urls, op9_brown_class_scores, op10_nearest_example_toxicity, op11_cross_tokenizer_alignment, op13_importance_resampling)}
 
 
 def shard_sql(limit: int) -> str:
