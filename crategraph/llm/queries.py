@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crategraph.llm import alignment, decontaminate, language_model, mixing, near_dedup, quality_classifier, quality_rules, resampling, sharding, toxicity, url_filter, warc
+from crategraph.llm import alignment, decontaminate, language_model, mixing, near_dedup, personal_data, quality_classifier, quality_rules, resampling, sharding, toxicity, url_filter, warc
 from crategraph.shared import table
 
 #: Score from which a document is toxic.
@@ -68,11 +68,15 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return alignment.align(table(spark, sf_dir, "documents"))
 
 
+def op12_bootstrapped_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.extract(table(spark, sf_dir, "documents"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op2_host_quality_rules, op3_extendible_hashing_shards, op4_bag_min_hash_classes, op5_temperature_mixing, op6_warc_round_trip, op7_random_indexing_quality, op8_bloom_cascade_urls, op9_brown_class_scores, op10_nearest_example_toxicity, op11_cross_tokenizer_alignment, op13_importance_resampling)}
+QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op2_host_quality_rules, op3_extendible_hashing_shards, op4_bag_min_hash_classes, op5_temperature_mixing, op6_warc_round_trip, op7_random_indexing_quality, op8_bloom_cascade_urls, op9_brown_class_scores, op10_nearest_example_toxicity, op11_cross_tokenizer_alignment, op12_bootstrapped_personal_data, op13_importance_resampling)}
 
 
 def shard_sql(limit: int) -> str:
@@ -90,6 +94,65 @@ FROM h JOIN leaf USING (rid)
 """
 
 
+def personal_data_sql(support: int = personal_data.SUPPORT, confidence: float = personal_data.CONFIDENCE, rounds: int = personal_data.ROUNDS) -> str:
+    """SQL of ``personal_data.extract`` with its rounds written out."""
+    email, domain = "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+", r"(?:\.[A-Za-z0-9-]+)"
+    plain = {"email": email + domain + "+", "ip": r"[0-9]+(?:\.[0-9]+){3}", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    some = "|".join([email + domain + "*", plain["phone"], plain["ip"], r"[0-9](?:[\x20-]?[0-9]){4,}", "(?:[A-Za-z_.-]*[0-9]){5}[A-Za-z0-9_.-]*"])
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = f"list_sum([CASE WHEN k % 2 = 1 THEN v ELSE 2 * v - CASE WHEN v > 4 THEN 9 ELSE 0 END END FOR v, k IN [x::INT FOR x IN string_split(reverse({digits}), '')]]) % 10 = 0"
+    good = {
+        "email": "true",
+        "ip": "len([x FOR x IN string_split(m, '.') IF coalesce(TRY_CAST(x AS HUGEINT), 256) > 255]) = 0",
+        "card": f"CASE WHEN length({digits}) BETWEEN 16 AND 19 THEN {luhn} ELSE false END",
+        "phone": f"length({digits}) BETWEEN 8 AND 15",
+    }
+    made = " UNION ALL ".join(f"SELECT rid, '{k}' AS kind, regexp_extract_all(t, '{p}') AS f, string_split_regex(t, '{p}') AS s FROM d" for k, p in [*plain.items(), ("", some)])
+    steps = "".join(
+        f"""
+e{r} AS (SELECT pattern, kind, sum(score) AS mass FROM edge JOIN i{r - 1} USING (value) GROUP BY ALL HAVING count(DISTINCT value) >= {support}),
+a{r} AS (SELECT pattern, kind, round(mass / (n + 1), 9) AS confidence FROM e{r} JOIN n USING (pattern) WHERE round(mass / (n + 1), 9) >= {confidence}),
+s{r} AS (SELECT rid, "start", value, kind, max(confidence) AS c FROM edge JOIN a{r} USING (pattern) WHERE value IN (FROM unknown) AND seed IS NULL GROUP BY ALL),
+i{r} AS (SELECT * FROM i0 UNION ALL SELECT value, kind, round(sum(c) / any_value(n), 9) AS score FROM s{r} JOIN total USING (value) GROUP BY ALL HAVING round(sum(c) / any_value(n), 9) >= {confidence}),"""
+        for r in range(1, rounds + 1)
+    )
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+x AS ({made}),
+y AS (SELECT rid, kind, f, s, unnest(range(1, len(f) + 1)) AS i FROM x),
+z AS (SELECT rid, kind, f[i] AS m, length(s[i]) AS n, right(s[i], {personal_data.TAIL}) AS tail, sum(length(s[i]) + length(f[i])) OVER (PARTITION BY rid, kind ORDER BY i)::BIGINT AS "end" FROM y),
+z2 AS (SELECT *, "end" - length(m) AS "start", {' '.join(f"{'CASE' if k == 'email' else ''} WHEN kind = '{k}' THEN {g}" for k, g in good.items())} END AS good,
+  {' '.join(f"{'CASE' if k == 'email' else ''} WHEN regexp_full_match(m, '{plain[k]}') AND {g} THEN '{k}'" for k, g in good.items())} END AS seed,
+  regexp_replace(tail, '["''(\[<{{]+$', '') AS bare FROM z),
+base AS (SELECT rid, kind, "start", "end" FROM z2 WHERE kind <> '' AND good),
+c0 AS (SELECT *, regexp_extract_all(lower(bare), '\n|[^\x20\x09-\x0D:=]*[:=]|[^\x20\x09-\x0D:=]+')[CASE WHEN n > {personal_data.TAIL} THEN 2 ELSE 1 END:] AS w FROM z2 WHERE kind = ''),
+c AS (
+  SELECT rid, "start", "end", seed, lower(regexp_replace(m, CASE WHEN contains(m, '@') THEN '[^A-Za-z0-9@.]' ELSE '[^A-Za-z0-9]' END, '', 'g')) AS value,
+         CASE WHEN regexp_matches(bare, '[\x20\x09-\x0D:=]$') AND w[-1] <> chr(10) THEN w[-1] END AS one, CASE WHEN len(w) > 1 AND w[-2] <> chr(10) THEN w[-2] END AS two
+  FROM c0),
+edge AS (SELECT rid, "start", value, seed, one AS pattern FROM c WHERE one IS NOT NULL UNION ALL SELECT rid, "start", value, seed, two || ' ' || one FROM c WHERE one IS NOT NULL AND two IS NOT NULL),
+i0 AS (SELECT DISTINCT value, seed AS kind, 1.0::DOUBLE AS score FROM c WHERE seed IS NOT NULL),
+unknown AS (SELECT DISTINCT value FROM c WHERE value NOT IN (SELECT value FROM i0)),
+total AS (SELECT value, count(*) AS n FROM c WHERE value IN (FROM unknown) GROUP BY value),
+w AS (SELECT regexp_extract_all(lower(t), '\n|[^\x20\x09-\x0D:=]*[:=]|[^\x20\x09-\x0D:=]+') AS w FROM d),
+o AS (SELECT w[i] AS one, CASE WHEN i > 1 THEN w[i - 1] END AS two FROM (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+n AS (SELECT pattern, count(*) AS n FROM (SELECT one AS pattern FROM o UNION ALL SELECT two || ' ' || one FROM o) WHERE pattern IN (SELECT pattern FROM edge) GROUP BY pattern),{steps}
+found AS (
+  SELECT rid, coalesce(v.kind, h.kind) AS kind, "start", "end"
+  FROM c LEFT JOIN (SELECT value, arg_min(kind, {{s: -score, k: list_position(['email', 'ip', 'card', 'phone'], kind)}}) AS kind FROM i{rounds} GROUP BY value) v USING (value)
+  LEFT JOIN (SELECT rid, "start", arg_min(kind, {{s: -c, k: list_position(['email', 'ip', 'card', 'phone'], kind)}}) AS kind FROM s{rounds} GROUP BY ALL) h USING (rid, "start")
+  WHERE seed IS NULL AND coalesce(v.kind, h.kind) IS NOT NULL),
+span AS (SELECT *, true AS own FROM base UNION ALL SELECT *, false FROM found f WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = f.rid AND b."start" < f."end" AND b."end" > f."start")),
+g AS (
+  SELECT rid, count(*) FILTER (own AND kind = 'email') AS e, count(*) FILTER (own AND kind = 'ip') AS i, count(*) FILTER (own AND kind = 'card') AS c, count(*) FILTER (own AND kind = 'phone') AS p, count(*) FILTER (NOT own) AS found,
+         string_agg(kind || ':' || "start" || ':' || "end", ',' ORDER BY list_position(['email', 'ip', 'card', 'phone'], kind), "start") FILTER (own) AS b,
+         string_agg(kind || ':' || "start" || ':' || "end", ',' ORDER BY list_position(['email', 'ip', 'card', 'phone'], kind), "start") AS a
+  FROM span GROUP BY rid)
+SELECT doc_id, coalesce(e, 0) AS n_email, coalesce(i, 0) AS n_ip, coalesce(c, 0) AS n_card, coalesce(p, 0) AS n_phone, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans, coalesce(found, 0) AS n_found
+FROM d LEFT JOIN g USING (rid)
+"""
+
+
 ORACLE_SQL = {
     "op2_host_quality_rules": r"""
 WITH d AS (
@@ -153,6 +216,7 @@ hit AS (
   FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY rid)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN hit USING (rid)
 """,
+    "op12_bootstrapped_personal_data": personal_data_sql(),
     "op13_importance_resampling": r"""
 WITH step AS (SELECT list(c ORDER BY i) AS crc FROM (
   SELECT i, list_reduce([i] || [0 FOR k IN range(8)], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)::BIGINT AS c FROM range(256) AS r(i))),
