@@ -12,7 +12,7 @@ Second pass (Spark): the units' pairs are summed over the corpus, the highest co
 id of A's vocabulary at most), and each unit gets the counts of its own pairs back, in one group of bounded size.
 
 Tokens of a text are those of its segments, cut at single blanks between two characters that aren't white space: no token of
-A or B reaches over such a blank, so each distinct segment of a unit is tokenized once. Where a segment's bytes don't come
+A or B reaches over such a blank, so a task tokenizes each distinct segment once. Where a segment's bytes don't come
 back, the whole text is tokenized and decides.
 
 Defined results: a null or empty text, and one whose joined A or B bytes differ from a blank and the text, has no tokens:
@@ -25,10 +25,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,8 @@ from crategraph.shared import scratch, settle
 
 FOLDER, A_FILE, B_FILE = "/opt/tokenizers", "byte_bpe_50k.json", "piece_bpe_32k.model"
 UNIT_BYTES, BATCH_BYTES = 16 << 20, 4 << 20
-_SPLIT = re.compile(r"(?<=\S) (?=\S)")
+#: Bytes of distinct segments that a task remembers.
+SEGMENT_BYTES = 8 << 20
 _ROWS = pa.schema([("unit", pa.string()), ("part", pa.int64()), ("doc", pa.string()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("body", pa.binary()), ("pairs", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64()))])
 _SCHEMA = "unit string, part bigint, doc string, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, body binary, pairs array<bigint>, docs array<bigint>"
 
@@ -72,13 +73,33 @@ class Tokenizers:
         self.a_sizes = np.array(list(map(len, self.a_bytes)), np.int64)
         self.b_sizes = np.array(list(map(len, self.b_bytes)), np.int64)
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
-        """Ids of each text under A and B, and whether both give a blank and the text back."""
-        a = [e.ids for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1) if texts else []
-        raw = [(" " + t).encode() for t in texts]
-        join_a, join_b = self.a_bytes.__getitem__, self.b_bytes.__getitem__
-        return a, b, [b"".join(map(join_a, x)) == r == b"".join(map(join_b, y)) for x, y, r in zip(a, b, raw)]
+        self.tables = [(np.frombuffer(b"".join(x), np.uint8), np.cumsum(n) - n, n) for x, n in ((self.a_bytes, self.a_sizes), (self.b_bytes, self.b_sizes))]
+
+    def encode(self, blanked: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """Ids of each text (given with a blank ahead) under A and under B, flat with how many each has, and whether both give
+        the text's bytes back."""
+        # some at a time: an encoding holds far more than its ids
+        a = [e.ids for k in range(0, len(blanked), 2_048) for e in self.a.encode_batch_fast(blanked[k : k + 2_048], add_special_tokens=False)]
+        b = self.b.encode([t[1:] for t in blanked], num_threads=1) if blanked else []
+        raw = [t.encode() for t in blanked]
+        data, length = np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, len(raw))
+        out, good = [], np.ones(len(raw), bool)
+        for ids, (blob, first, size) in zip((a, b), self.tables):
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum()))
+            out.append((flat, n))
+            of = np.repeat(np.arange(len(n)), n)
+            good &= np.bincount(of, size[flat], len(n)) == length
+            token, mine = flat[good[of]], np.repeat(good, length)
+            of_byte = np.repeat(np.arange(len(n)), length)[mine]
+            joined = blob[spread(first[token], size[token])]
+            good[of_byte[joined != data[mine]]] = False
+        return out, good
+
+
+def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each run of ``size`` places."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 @lru_cache(maxsize=2)
@@ -86,56 +107,94 @@ def tokenizers(folder: str) -> Tokenizers:
     return Tokenizers(folder)
 
 
+#: ASCII white space, and first bytes of characters among which there is white space.
+_WHITE = np.isin(np.arange(256), [*range(0x09, 0x0E), *range(0x1C, 0x21)])
+_FIRST2, _FIRST3 = np.arange(256) == 0xC2, np.isin(np.arange(256), [0xE1, 0xE2, 0xE3])
+
+
+def segment_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where segments begin in texts that begin with a blank: at each text, and at each single blank between two characters
+    that can't be white space."""
+    flag = np.zeros(len(data), bool)
+    inner = data[3:-1] == 0x20
+    inner &= ~(_WHITE | _FIRST2 | _FIRST3)[data[4:]] & ~_WHITE[data[2:-2]] & ~_FIRST2[data[1:-3]] & ~_FIRST3[data[:-4]]
+    flag[3:-1] = inner
+    flag[offsets[:-1]] = True
+    return np.flatnonzero(flag)
+
+
+class Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind):
+        self.held, self.n = np.zeros(1 << 12, kind), 0
+
+    def extend(self, x: np.ndarray) -> None:
+        if self.n + len(x) > len(self.held):
+            self.held = np.concatenate([self.held[: self.n], np.zeros(max(len(self.held), len(x)), self.held.dtype)])
+        self.held[self.n : self.n + len(x)] = x
+        self.n += len(x)
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
 class Segments:
-    """Ids of the distinct segments seen so far, flat."""
+    """Ids of the distinct segments seen so far, flat, with where each one's begin and how many it has."""
 
     def __init__(self, t: Tokenizers):
-        self.t, self.known = t, {}
-        self.flat, self.sizes, self.valid = ([], []), ([], []), []
-
-    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(texts that have tokens, bytes of each with its blank, A ids, A ids of each text, B ids, B ids of each)."""
-        cut = [_SPLIT.split(x) if x else [] for x in texts]
-        known = self.known
-        new = list(dict.fromkeys(s for x in cut for s in x if s not in known))
-        a, b, good = self.t.encode(new)
-        for s, x, y, ok in zip(new, a, b, good):
-            known[s] = len(known)
-            self.flat[0].extend(x)
-            self.flat[1].extend(y)
-            self.sizes[0].append(len(x))
-            self.sizes[1].append(len(y))
-            self.valid.append(ok)
-        number = np.fromiter((known[s] for x in cut for s in x), np.int64)
-        per = np.fromiter(map(len, cut), np.int64, len(cut))
-        whole = np.ones(len(texts), bool)
-        if not all(self.valid):
-            odd = ~np.array(self.valid, bool)[number]
-            whole = np.bincount(np.repeat(np.arange(len(cut)), per), odd, len(cut)) == 0
-        used = np.flatnonzero(whole & (per > 0))
-        number = number[np.repeat(whole, per)]
+        self.t, self.known, self.bytes = t, {}, 0
+        self.flat, self.first, self.size = [Grown(np.int32), Grown(np.int32)], [Grown(np.int64), Grown(np.int64)], [Grown(np.int64), Grown(np.int64)]
+        self.valid = Grown(bool)
+
+    def numbers(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The number of the segment at each start; new ones are tokenized."""
+        edges = np.append(starts, len(data)).astype(np.int64)
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+        distinct, known = coded.dictionary.to_pylist(), self.known
+        new = [x for x in distinct if x not in known]
+        ids, good = self.t.encode([x.decode() for x in new])
+        for x in new:
+            known[x] = len(known)
+        self.bytes += sum(map(len, new))
+        for side, (flat, n) in enumerate(ids):
+            self.first[side].extend(self.flat[side].n + np.cumsum(n) - n)
+            self.size[side].extend(n)
+            self.flat[side].extend(flat)
+        self.valid.extend(good)
+        return np.fromiter((known[x] for x in distinct), np.int64, len(distinct))[np.asarray(coded.indices)]
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(places of texts that have tokens, bytes of each with its blank, A ids, A ids of each text, B ids, B ids of each)."""
+        used = np.flatnonzero(np.asarray(pc.binary_length(texts)) > 0)
+        blanked = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts.take(pa.array(used)).cast(pa.large_string()), pa.scalar("", pa.large_string()))
+        if not len(used):
+            none = np.zeros(0, np.int64)
+            return used, none, none, none, none, none
+        offsets = np.frombuffer(blanked.buffers()[1], np.int64)[blanked.offset : blanked.offset + len(blanked) + 1]
+        data = np.frombuffer(blanked.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        starts = segment_starts(data, offsets)
+        number = self.numbers(data, starts)
+        per = np.diff(np.searchsorted(starts, offsets))
+        whole = np.bincount(np.repeat(np.arange(len(per)), per), ~self.valid.all[number], len(per)) == 0
+        number, kept = number[np.repeat(whole, per)], per[whole]
         ids, counts = [], []
         for side in (0, 1):
-            sizes = np.array(self.sizes[side], np.int64)
-            flat = np.array(self.flat[side], np.int32)
-            first = np.cumsum(sizes) - sizes
-            n = sizes[number]
-            ids.append(flat[np.repeat(first[number] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
-            sums = np.concatenate([[0], np.cumsum(n)])
-            ends = np.cumsum(per[used])
-            counts.append(sums[ends] - sums[ends - per[used]])
-        lengths = np.fromiter((len(texts[i].encode()) + 1 for i in used.tolist()), np.int64, len(used))
-        odd = np.flatnonzero(~whole).tolist()
-        if odd:  # their segments don't tell what the whole text gives
-            x, y, good = self.t.encode([texts[i] for i in odd])
-            back = [k for k, ok in enumerate(good) if ok]
-            if back:
-                place = np.concatenate([used, [odd[k] for k in back]]).astype(np.int64)
-                ids = [np.concatenate([ids[side], *(np.array(z[k], np.int32) for k in back)]) for side, z in ((0, x), (1, y))]
-                counts = [np.concatenate([counts[side], [len(z[k]) for k in back]]).astype(np.int64) for side, z in ((0, x), (1, y))]
-                lengths = np.concatenate([lengths, [len(texts[odd[k]].encode()) + 1 for k in back]]).astype(np.int64)
-                used = place
-        return used, lengths, ids[0], counts[0], ids[1], counts[1]
+            n = self.size[side].all[number]
+            ids.append(self.flat[side].all[spread(self.first[side].all[number], n)])
+            sums, ends = np.concatenate([[0], np.cumsum(n)]), np.cumsum(kept)
+            counts.append(sums[ends] - sums[ends - kept])
+        lengths, odd = np.diff(offsets), np.flatnonzero(~whole)
+        place, lengths_kept = used[whole], lengths[whole]
+        if len(odd):  # their segments don't tell what the whole text gives
+            more, good = self.t.encode(blanked.take(pa.array(odd)).to_pylist())
+            for side, (flat, n) in enumerate(more):
+                ids[side] = np.concatenate([ids[side], flat[np.repeat(good, n)]])
+                counts[side] = np.concatenate([counts[side], n[good]])
+            place, lengths_kept = np.concatenate([place, used[odd[good]]]), np.concatenate([lengths_kept, lengths[odd[good]]])
+        return place, lengths_kept, ids[0], counts[0], ids[1], counts[1]
 
 
 def group_numbers(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,21 +216,27 @@ def group_numbers(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarr
         seed += 1  # two groups met under one hash
 
 
+def listed(ids: np.ndarray, size: np.ndarray) -> list[str]:
+    """The ids of each run, joined by commas."""
+    text, ends = list(map(str, ids.tolist())), np.cumsum(size)
+    return [",".join(text[i:j]) for i, j in zip((ends - size).tolist(), ends.tolist())]
+
+
 class Unit:
     """Documents of bounded bytes, their distinct groups, and the documents that hold each pair."""
 
-    def __init__(self, name: str, t: Tokenizers):
-        self.name, self.t, self.bytes = name, t, 0
-        self.segments, self.groups = Segments(t), {}
+    def __init__(self, name: str, segments: Segments):
+        self.name, self.t, self.bytes = name, segments.t, 0
+        self.segments, self.groups = segments, {}
         self.rows: list[tuple] = []
         self.bags: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # document, group, times
         self.made: list[tuple[np.ndarray, ...]] = []  # A ids of new groups, how many each has, B ids, how many
 
-    def add(self, ids: list, texts: list[str]) -> None:
+    def add(self, ids: list, texts: pa.Array) -> None:
         base = len(self.rows)
         rows: list[tuple] = [(i, 0, 0, 0, 0, "") for i in ids]
         used, lengths, a, n_a, b, n_b = self.segments.of(texts)
-        self.bytes += sum(len(x) for x in texts)
+        self.bytes += int(lengths.sum())
         if len(used):
             offsets = np.concatenate([[0], np.cumsum(lengths)])
             end_a, end_b = np.cumsum(self.t.a_sizes[a]), np.cumsum(self.t.b_sizes[b])
@@ -185,14 +250,14 @@ class Unit:
             running = np.concatenate([[0], np.cumsum(links)])
             n_groups, n_links = np.diff(edge), np.diff(running[edge])
             first, inverse = group_numbers(a, b, of_a, of_b, n)
-            at_a, at_b = np.searchsorted(of_a, [first, first + 1]), np.searchsorted(of_b, [first, first + 1])
-            text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-            names = [",".join(text_a[i:j]) + "|" + ",".join(text_b[k:m]) for i, j, k, m in zip(*at_a.tolist(), *at_b.tolist())]
+            from_a, from_b = np.searchsorted(of_a, first), np.searchsorted(of_b, first)
+            size_a, size_b = np.searchsorted(of_a, first, "right") - from_a, np.searchsorted(of_b, first, "right") - from_b
+            own_a, own_b = a[spread(from_a, size_a)], b[spread(from_b, size_b)]
+            names = [f"{x}|{y}" for x, y in zip(listed(own_a, size_a), listed(own_b, size_b))]
             seen = len(self.groups)
             number = np.fromiter((self.groups.setdefault(x, len(self.groups)) for x in names), np.int64, len(names))
-            new = np.flatnonzero(number >= seen)
-            ids_of = lambda x, at: x[np.repeat(at[0][new] - np.cumsum(at[1][new] - at[0][new]) + (at[1] - at[0])[new], (at[1] - at[0])[new]) + np.arange((at[1] - at[0])[new].sum())]
-            self.made.append((ids_of(a, at_a), (at_a[1] - at_a[0])[new], ids_of(b, at_b), (at_b[1] - at_b[0])[new]))
+            new = number >= seen
+            self.made.append((own_a[np.repeat(new, size_a)], size_a[new], own_b[np.repeat(new, size_b)], size_b[new]))
             doc = np.repeat(np.arange(len(used)), n_groups)
             mine = inverse.tolist()
             for k, (i, p, q) in enumerate(zip(used.tolist(), edge[:-1].tolist(), edge[1:].tolist())):
@@ -260,20 +325,22 @@ def unpack(body: bytes) -> list[np.ndarray]:
 def _units(folder: str, unit_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, k = TaskContext.get().partitionId(), 0
-        t = tokenizers(folder)
-        unit = Unit(f"{task}-0", t)
+        segments = Segments(tokenizers(folder))
+        unit = Unit(f"{task}-0", segments)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).fill_null("")
-            sizes = np.cumsum(np.array(pc.binary_length(texts), np.int64))
+            sizes = np.cumsum(np.asarray(pc.binary_length(texts)).astype(np.int64))
             at = 0
             while at < batch.num_rows:
                 to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH_BYTES, "right")))
-                unit.add(ids[at:to].to_pylist(), texts[at:to].to_pylist())
+                unit.add(ids[at:to].to_pylist(), texts[at:to])
                 at = to
+                if segments.bytes >= SEGMENT_BYTES:
+                    segments = unit.segments = Segments(segments.t)
                 if unit.bytes >= unit_bytes:
                     yield from unit.batches()
                     k += 1
-                    unit = Unit(f"{task}-{k}", t)
+                    unit = Unit(f"{task}-{k}", segments)
         if unit.rows:
             yield from unit.batches()
 

@@ -18,7 +18,10 @@ def walk(rows):
     t = alignment.tokenizers(alignment.FOLDER)
     each = []
     for i, text in rows:
-        a, b, ok = t.encode([text]) if text else ([[]], [[]], [False])
+        a = [t.a.encode(" " + text, add_special_tokens=False).ids] if text else [[]]
+        b = [t.b.encode(text)] if text else [[]]
+        back = lambda ids, table: b"".join(table[k] for k in ids)
+        ok = [bool(text) and back(a[0], t.a_bytes) == back(b[0], t.b_bytes) == (" " + text).encode()]
         groups, x, y = [], [], []
         if ok[0]:
             ends, at = {}, 0
