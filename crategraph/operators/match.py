@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from crategraph.functions.catalog import country_rank, level_rank
 from crategraph.functions.text import contains_word, loose_key, loose_title_key, plain_key, ratio, tempo_key, title_core
+from crategraph.operators.similar import containing, joined_scores, nearest, unblocked
+from crategraph.shared import settle
 
 SURE, MAYBE, LEAD = 0.87, 0.55, 0.08
 
@@ -18,50 +20,44 @@ def lone(df: DataFrame, by: str | list[str]) -> DataFrame:
     return df.withColumn("__of", F.count("*").over(Window.partitionBy(*by))).where("__of = 1").drop("__of")
 
 
-def can_reach(a: str, b: str, least: float) -> Column:
-    """Whether the similarity ratio of two columns can be ``least`` or more, by their lengths and the letters they share; built-in
-    functions only, so that the ratio itself is computed for few pairs."""
-    shared = F.least(F.length(a) - F.length(F.expr(f"translate({a}, {b}, '')")), F.length(b) - F.length(F.expr(f"translate({b}, {a}, '')")))
-    return 2 * shared >= least * (F.length(a) + F.length(b))
-
-
 def staged_match(entries: DataFrame, tracks: DataFrame, memory: DataFrame | None = None) -> DataFrame:
     """(entry_id, track_id, stage, score) of stream entries.
 
     ``entries``: entry_id, artist_id, external_id, title_key, credited (array of artist keys, may be null).
     ``tracks``: track_id, artist_id, external_id, title_key, primary_key (artist key of the track).
-    ``memory``: entry_title_key, artist_id, track_id, accepted. Stages: 'id' equal external ids; 'title' a title of one track;
-    'credited' several tracks of that title, of which one's artist is credited; 'fuzzy' exactly one track at 0.87 or more;
-    'remembered' a confirmed suggestion; 'suggested' the best in [0.55, 0.87) by a lead of 0.08, unless it was refused.
-    Fuzzy stages compare within the artist only."""
+    ``memory``: artist_id, entry_title_key, track_id, accepted (a refusal needs no track). Stages: 'id' equal external ids;
+    'title' a title of one track; 'credited' several tracks of that title, of which one's artist is credited; 'fuzzy' exactly
+    one track at 0.87 or more; 'remembered' what was confirmed for the title, if that track is there still; 'suggested' the best
+    in [0.55, 0.87) by a lead of 0.08, unless the title was decided on before, either way. Fuzzy stages compare within the
+    artist, and only what no stage ahead has met by title."""
     e, t = entries, tracks
+    row = lambda df, stage, score=F.lit(1.0): df.select("entry_id", "track_id", F.lit(stage).alias("stage"), score.alias("score"))
     ids = e.where("external_id IS NOT NULL").join(t.where("external_id IS NOT NULL").select("artist_id", "external_id", "track_id"), ["artist_id", "external_id"])
-    by_id = ids.groupBy("entry_id").agg(F.min("track_id").alias("track_id")).select("entry_id", "track_id", F.lit("id").alias("stage"), F.lit(1.0).alias("score"))
-    rest = e.join(by_id.select("entry_id"), "entry_id", "left_anti")
-    same = rest.where("title_key <> ''").join(t.select("artist_id", "title_key", "track_id", "primary_key"), ["artist_id", "title_key"])
+    by_id = ids.groupBy("entry_id").agg(F.min("track_id").alias("track_id"))
+    rest = e.join(by_id.select("entry_id"), "entry_id", "left_anti").where("title_key <> ''")
+    same = rest.join(t.select("artist_id", "title_key", "track_id", "primary_key"), ["artist_id", "title_key"])
     same = same.withColumn("n", F.count("*").over(Window.partitionBy("entry_id")))
-    by_title = same.where("n = 1").select("entry_id", "track_id", F.lit("title").alias("stage"), F.lit(1.0).alias("score"))
     names = lambda c: (F.col("primary_key") == c) | F.contains(c, F.col("primary_key")) | F.contains(F.col("primary_key"), c)
     credited = lone(same.where((F.col("n") > 1) & F.exists(F.coalesce("credited", F.array().cast("array<string>")), names)), "entry_id")
-    by_credit = credited.select("entry_id", "track_id", F.lit("credited").alias("stage"), F.lit(1.0).alias("score"))
-    done = by_id.unionAll(by_title).unionAll(by_credit)
-    left = rest.join(same.select("entry_id").distinct(), "entry_id", "left_anti").where("title_key <> ''")
-    scored = left.join(t.select("artist_id", "track_id", F.col("title_key").alias("track_key")), "artist_id")
-    scored = scored.where(can_reach("title_key", "track_key", MAYBE - LEAD)).withColumn("score", ratio("title_key", "track_key"))
+    by_title = row(same.where("n = 1"), "title").unionAll(row(credited, "credited"))
+    left = rest.join(same.select("entry_id").distinct(), "entry_id", "left_anti").select("entry_id", "artist_id", "title_key")
+    partners = t.select("artist_id", F.col("title_key").alias("text"), F.col("track_id").alias("right_id"))
+    scores = nearest(left.select("artist_id", F.col("title_key").alias("text")), partners, ["artist_id"], floor=MAYBE - LEAD, keep=2)
+    scored = joined_scores(left, scores, ["artist_id"], "title_key").withColumnRenamed("right_id", "track_id")
     w = Window.partitionBy("entry_id").orderBy(F.desc("score"), "track_id")
-    ranked = scored.withColumns({"r": F.row_number().over(w), "next": F.lead("score").over(w), "sure": F.count_if(F.col("score") >= SURE).over(Window.partitionBy("entry_id"))}).where("r = 1")
-    fuzzy = ranked.where("sure = 1").select("entry_id", "track_id", F.lit("fuzzy").alias("stage"), "score")
-    maybe = ranked.where((F.col("sure") != 1) & (F.col("score") >= MAYBE) & (F.col("score") < SURE) & (F.col("next").isNull() | (F.col("score") - F.col("next") >= LEAD)))
-    if memory is None:
-        stage = F.lit("suggested")
-    else:
-        m = memory.select("artist_id", F.col("entry_title_key").alias("title_key"), F.col("track_id").alias("__track"), "accepted")
-        known = left.join(m.where("accepted"), ["artist_id", "title_key"]).join(fuzzy.select("entry_id"), "entry_id", "left_anti")
-        done = done.unionAll(known.select("entry_id", F.col("__track").alias("track_id"), F.lit("remembered").alias("stage"), F.lit(1.0).alias("score")))
-        maybe = maybe.join(known.select("entry_id"), "entry_id", "left_anti")
-        maybe = maybe.join(m.where("NOT accepted").select("artist_id", "title_key", F.col("__track").alias("track_id")), ["artist_id", "title_key", "track_id"], "left_anti")
-        stage = F.lit("suggested")
-    return done.unionAll(fuzzy).unionAll(maybe.select("entry_id", "track_id", stage.alias("stage"), "score"))
+    sure = F.count_if(F.col("score") >= SURE).over(Window.partitionBy("entry_id"))  # of the best two
+    best = scored.withColumns({"r": F.row_number().over(w), "next": F.lead("score").over(w), "sure": sure}).where("r = 1")
+    fuzzy = best.where("sure = 1")
+    lead = F.col("next").isNull() | (F.col("score") - F.col("next") >= LEAD)
+    maybe = best.where((F.col("score") >= MAYBE) & (F.col("score") < SURE) & lead)
+    done = row(by_id, "id").unionAll(by_title).unionAll(row(fuzzy, "fuzzy", F.col("score")))
+    if memory is not None:
+        m = memory.select("artist_id", F.col("entry_title_key").alias("title_key"), "track_id", "accepted")
+        open_ = rest.join(by_title.select("entry_id"), "entry_id", "left_anti").join(fuzzy.select("entry_id"), "entry_id", "left_anti").select("entry_id", "artist_id", "title_key")
+        known = open_.join(m.where("accepted"), ["artist_id", "title_key"]).join(t.select("artist_id", "track_id"), ["artist_id", "track_id"], "left_semi")
+        done = done.unionAll(row(known, "remembered"))
+        maybe = maybe.join(m.select("artist_id", "title_key"), ["artist_id", "title_key"], "left_anti")
+    return done.unionAll(row(maybe, "suggested", F.col("score")))
 
 
 def unique_title_match(entries: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -79,43 +75,27 @@ def certification_match(tracks: DataFrame, certs: DataFrame) -> DataFrame:
     A certification fits if artist and title contain the track's ('contains'; equality where the title is empty), or those of
     the title without its featuring part ('featuring': equal ones, else containing ones); only where nothing fits and the
     title has 8 characters or more, an equal artist's title of 8 characters or more that the track's begins with
-    ('prefix'). Pairs are found over the words of the artist: a containing text has all whole inner words of the contained
-    one, and its first and last words within words, so the block is the set of certifications whose artist contains it."""
+    ('prefix'). Artists meet by their rarest pieces, then the titles of artists that met by theirs; prefixes by their first
+    eight characters."""
     t = tracks.where("artist <> ''").withColumns({"main": F.trim(F.regexp_extract("title", FEATURING, 1))})
-    # one row for each artist pair first: artists repeat far more than pairs of them do
-    a = t.select("artist").distinct()
-    ca = certs.select("artist_clean").distinct()
-    pairs = _containing(a, ca)
-    wide = t.join(pairs, "artist").join(certs, "artist_clean")
+    # artists first: they repeat far more than pairs of them do
+    wide = t.join(unblocked(t, certs, "artist", "artist_clean"), "artist")  # settled: narrow pairs of artists
     equal = F.col("artist") == F.col("artist_clean")
-    empty = wide.where((F.col("title") == "") & equal & (F.col("title_clean") == ""))
-    full = wide.where((F.col("title") != "") & F.contains("title_clean", "title"))
-    part = wide.where((F.col("main") != "") & F.contains("title_clean", "main"))
+    empty = wide.where((F.col("title") == "") & equal).join(certs.where("title_clean = ''"), "artist_clean")
+    full = containing(wide, certs, ["artist_clean"], "title", "title_clean")
+    part = containing(wide, certs, ["artist_clean"], "main", "title_clean")
     exact = F.max((equal & (F.col("title_clean") == F.col("main"))).cast("int")).over(Window.partitionBy("track_id"))
     part = part.withColumn("__exact", exact).where((F.col("__exact") == 0) | (equal & (F.col("title_clean") == F.col("main"))))
     ids = lambda df, s: df.select("track_id", "cert_id", F.lit(s).alias("strategy"))
     hits = ids(empty, "exact").unionAll(ids(full, "contains")).unionAll(ids(part, "featuring"))
-    hits = hits.groupBy("track_id", "cert_id").agg(F.min("strategy").alias("strategy"))
-    left = t.where(F.length("title") >= 8).join(hits.select("track_id").distinct(), "track_id", "left_anti")
+    hits = settle(hits.groupBy("track_id", "cert_id").agg(F.min("strategy").alias("strategy")))
+    left = t.where(F.length("title") >= 8).join(hits.select("track_id").distinct(), "track_id", "left_anti").withColumn("__head", F.left("title", F.lit(8)))
     size = F.length("title_clean")
-    prefix = left.join(certs, left["artist"] == certs["artist_clean"]).where((size >= 8) & (size < F.length("title")) & F.startswith("title", "title_clean"))
+    heads = certs.where(size >= 8).select(F.col("artist_clean").alias("artist"), F.left("title_clean", F.lit(8)).alias("__head"), "title_clean", "cert_id")
+    prefix = left.join(heads, ["artist", "__head"]).where((size < F.length("title")) & F.startswith("title", "title_clean"))
     return hits.unionAll(ids(prefix, "prefix"))
 
 
-def _containing(short: DataFrame, long: DataFrame) -> DataFrame:
-    """(artist, artist_clean) where the second contains the first. The first's longest inner three-letter piece is looked up
-    among the pieces of the second; names of under three letters by all their pieces of that length."""
-    grams = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))
-    out = None
-    for n in (1, 2, 3):
-        key = short.where(F.length("artist") == n if n < 3 else F.length("artist") >= 3)
-        key = key.withColumn("gram", F.array_max(F.transform(grams(F.col("artist"), n), lambda g: F.struct((F.length(g) - F.length(F.translate(g, "EAIRSNTOL ", ""))) * -1, g.alias("g"))))["g"])
-        pieces = long.where(F.length("artist_clean") >= n).select("artist_clean", F.explode(F.array_distinct(grams(F.col("artist_clean"), n))).alias("gram"))
-        found = key.join(pieces, "gram").where(F.contains("artist_clean", "artist")).select("artist", "artist_clean")
-        out = found if out is None else out.unionAll(found)
-    return out
-
-
 def certification_match_any(tracks: DataFrame, certs: DataFrame, candidates: str = "artists") -> DataFrame:
     """``certification_match`` over every artist of an array column; a certification counts once."""
     each = tracks.select("track_id", "title", F.explode(F.array_distinct(candidates)).alias("artist")).where("artist <> ''")
@@ -129,8 +109,8 @@ def album_certification_match(albums: DataFrame, certs: DataFrame) -> DataFrame:
     a = albums.where("artist <> '' AND title <> ''")
     exact = a.join(c, (a["artist"] == c["artist_clean"]) & (a["title"] == c["title_clean"])).select("album_id", "cert_id")
     rest = a.join(exact.select("album_id").distinct(), "album_id", "left_anti")
-    wide = rest.join(_containing(rest.select("artist").distinct(), c.select("artist_clean").distinct()), "artist").join(c, "artist_clean")
-    return exact.unionAll(wide.where(F.contains("title_clean", "title")).select("album_id", "cert_id"))
+    wide = rest.join(unblocked(rest, c, "artist", "artist_clean"), "artist")
+    return exact.unionAll(containing(wide, c, ["artist_clean"], "title", "title_clean").select("album_id", "cert_id"))
 
 
 def attach_certifications(tracks: DataFrame, matches: DataFrame, certs: DataFrame) -> DataFrame:
@@ -148,21 +128,25 @@ def certification_audit(artists: DataFrame, certs: DataFrame, titles: DataFrame)
 
     ``artists``: artist_id, artist; ``titles``: artist_id, kind ('track' or 'album'), title. A certification is matched if its
     title is known, or at 8 characters or more begins a known one, or contains or is contained in one; else it is an orphan
-    with its closest title and their ratio. Album certifications are held against albums if there are any, else tracks."""
+    with its closest title (the first in order of those equally close; null if none shares a letter) and their ratio. Album certifications are held against albums if there are any, else tracks."""
     c = certs.where("body = 'SNEP' AND title_clean <> ''")
-    pairs = _containing(artists.select("artist").distinct().where("artist <> ''"), c.select("artist_clean").distinct())
+    pairs = unblocked(artists.where("artist <> ''"), c, "artist", "artist_clean")
     mine = artists.join(pairs, "artist").where(contains_word(F.col("artist_clean"), F.col("artist"))).join(c, "artist_clean")
-    known = titles.where("title <> ''")
+    known = settle(titles.where("title <> ''").select("artist_id", "kind", "title").distinct())
     albums = known.where("kind = 'album'").select("artist_id").distinct().withColumn("has_albums", F.lit(True))
     mine = mine.join(albums, "artist_id", "left").withColumn("kind", F.when((F.col("cat") == "album") & F.coalesce("has_albums", F.lit(False)), "album").otherwise("track"))
-    t, k = F.col("title_clean"), F.col("title")
-    hit = (t == k) | ((F.length(t) >= 8) & F.startswith(k, t)) | F.contains(k, t) | F.contains(t, k)
-    found = mine.join(known, ["artist_id", "kind"]).where(hit).select("artist_id", "cert_id").distinct().withColumn("hit", F.lit(True))
-    mine = mine.join(found, ["artist_id", "cert_id"], "left")
-    wide = mine.where("hit IS NULL").join(known, ["artist_id", "kind"], "left").withColumns({"hit": F.lit(False), "ratio": ratio("title_clean", "title")})
-    judged = wide.unionByName(mine.where("hit"), allowMissingColumns=True)  # the ratio is for those without a match only
-    best = judged.groupBy("artist_id", "cert_id", "title_clean", "cat").agg(F.bool_or("hit").alias("matched"), F.max(F.struct("ratio", F.col("title"))).alias("b"))
-    return best.select("artist_id", "cert_id", "title_clean", F.when(F.col("cat") == "album", "album").otherwise("track").alias("kind"), "matched", F.when(~F.col("matched"), F.col("b.title")).alias("closest"), F.when(~F.col("matched"), F.round(F.coalesce("b.ratio", F.lit(0.0)), 2)).alias("ratio"))
+    mine = settle(mine.select("artist_id", "cert_id", "title_clean", "cat", "kind"))
+    by = ["artist_id", "kind"]
+    # equal titles and those that a certified one begins contain one another, too
+    hit = containing(mine, known, by, "title_clean", "title").unionByName(containing(known, mine, by, "title", "title_clean"))
+    hit = hit.select("artist_id", "cert_id").distinct().withColumn("matched", F.lit(True))
+    mine = mine.join(hit, ["artist_id", "cert_id"], "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
+    orphans = mine.where(~F.col("matched"))
+    close = nearest(orphans.select(*by, F.col("title_clean").alias("text")), known.select(*by, F.col("title").alias("text"), F.col("title").alias("right_id")), by, floor=1e-9, keep=1)
+    close = close.select(*by, F.col("text").alias("title_clean"), F.col("right_id").alias("closest"), "score")
+    out = mine.join(close, [*by, "title_clean"], "left")
+    score = F.when(~F.col("matched"), F.round(F.coalesce("score", F.lit(0.0)), 2))
+    return out.select("artist_id", "cert_id", "title_clean", F.when(F.col("cat") == "album", "album").otherwise("track").alias("kind"), "matched", F.when(~F.col("matched"), F.col("closest")).alias("closest"), score.alias("ratio"))
 
 
 def import_match(incoming: DataFrame, known: DataFrame) -> DataFrame:

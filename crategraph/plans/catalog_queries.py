@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crategraph.functions import catalog, parse, text
-from crategraph.operators import accumulate, match, quality, resolve, rollup
+from crategraph.operators import accumulate, match, quality, resolve, rollup, similar
 from crategraph.shared import table
 from crategraph.sources import json as json_source
 from crategraph.sources import pages as page_source
@@ -477,13 +477,42 @@ def unique_title_match(spark, d):
     return match.unique_title_match(rows.withColumnRenamed("track_id", "entry_id"), rows)
 
 
-@query()
+_CODED = "p_name || ' ' || translate((p_partkey * 7919 % 9973)::VARCHAR, '0123456789', 'bcdfghjklm')"
+
+
+def _coded() -> Column:
+    """A part's name with five letters that differ by its key."""
+    code = F.translate((F.col("p_partkey") * 7919 % 9973).cast("string"), "0123456789", "bcdfghjklm")
+    return F.concat("p_name", F.lit(" "), code)
+
+
+@query(
+    "WITH RECURSIVE p AS (SELECT p_partkey AS k, p_brand AS a, " + _CODED + " AS t, p_type FROM part), "
+    "tr AS (SELECT k, a, CASE WHEN k % 10 = 0 THEN k END AS x, CASE WHEN k % 12 = 4 THEN split_part(t, ' ', 1) ELSE t END AS t, lower(p_type) AS n FROM p WHERE k % 2 = 0), "
+    "en AS (SELECT k, a, CASE WHEN k % 10 = 1 THEN k - 1 END AS x, CASE k % 8 WHEN 0 THEN t WHEN 2 THEN left(t, k % 5 + 3) || substr(t, k % 5 + 5) WHEN 4 THEN 'the ' || t WHEN 6 THEN left(t, 9) WHEN 1 THEN split_part(t, ' ', 1) ELSE t END AS t, lower(p_type) AS n FROM p), "
+    "mem AS (SELECT en.a, en.t, en.k // 2 * 2 AS k, en.k % 16 <> 3 AS ok FROM en WHERE en.k % 4 = 3), "
+    "i AS (SELECT en.k AS e, min(tr.k) AS t FROM en JOIN tr USING (a, x) GROUP BY 1), "
+    "s AS (SELECT en.k AS e, tr.k AS t, count(*) OVER (PARTITION BY en.k) AS n, contains(en.n, tr.n) OR contains(tr.n, en.n) AS c FROM en JOIN tr USING (a, t) WHERE en.k NOT IN (SELECT e FROM i)), "
+    "c AS (SELECT e, t FROM (SELECT *, count(*) OVER (PARTITION BY e) AS m FROM s WHERE n > 1 AND c) WHERE m = 1), "
+    "l AS (SELECT * FROM en WHERE k NOT IN (SELECT e FROM i) AND k NOT IN (SELECT e FROM s)), "
+    "pairs AS (SELECT DISTINCT l.t AS a, tr.t AS b FROM l JOIN tr USING (a)), " + similar.ratio_sql("pairs") + ", "
+    "r AS (SELECT l.k AS e, l.a, l.t AS lt, tr.k AS t, ratio, row_number() OVER w AS place, lead(ratio) OVER w AS nxt, count(*) FILTER (ratio >= 0.87) OVER (PARTITION BY l.k) AS sure FROM l JOIN tr ON l.a = tr.a JOIN alike ON alike.a = l.t AND alike.b = tr.t WINDOW w AS (PARTITION BY l.k ORDER BY ratio DESC, tr.k)), "
+    "f AS (SELECT e, t, ratio FROM r WHERE place = 1 AND sure = 1), "
+    "m AS (SELECT en.k AS e, mem.k AS t FROM en JOIN mem USING (a, t) WHERE ok AND EXISTS (SELECT 1 FROM tr WHERE tr.k = mem.k AND tr.a = en.a) AND en.k NOT IN (SELECT e FROM i) AND en.k NOT IN (SELECT e FROM s WHERE n = 1) AND en.k NOT IN (SELECT e FROM c) AND en.k NOT IN (SELECT e FROM f)) "
+    "SELECT e AS entry_id, t AS track_id, 'id' AS stage, 1.0::DOUBLE AS score FROM i UNION ALL SELECT e, t, 'title', 1.0::DOUBLE FROM s WHERE n = 1 UNION ALL SELECT e, t, 'credited', 1.0::DOUBLE FROM c UNION ALL SELECT e, t, 'fuzzy', ratio FROM f "
+    "UNION ALL SELECT e, t, 'remembered', 1.0::DOUBLE FROM m UNION ALL SELECT e, t, 'suggested', ratio FROM r WHERE place = 1 AND ratio >= 0.55 AND ratio < 0.87 AND (nxt IS NULL OR ratio - nxt >= 0.08::DOUBLE) AND NOT EXISTS (SELECT 1 FROM mem WHERE mem.a = r.a AND mem.t = r.lt)"
+)
 def staged_match(spark, d):
-    p, k = table(spark, d, "part"), F.col("p_partkey")
-    key = text.normalize_title(F.col("p_name"))
-    tracks = p.where(k % 2 == 0).select(k.alias("track_id"), F.col("p_brand").alias("artist_id"), F.when(k % 10 == 0, k).cast("string").alias("external_id"), key.alias("title_key"), F.lower("p_type").alias("primary_key"))
-    entries = p.where(k % 2 == 1).select(k.alias("entry_id"), F.col("p_brand").alias("artist_id"), F.when(k % 10 == 1, k - 1).cast("string").alias("external_id"), key.alias("title_key"), F.array(F.lower("p_type")).alias("credited"))
-    return match.staged_match(entries, tracks)
+    """All stages: entries are the tracks' titles whole, with a letter lost, with a word more, cut, or of no track."""
+    p, k, title = table(spark, d, "part"), F.col("p_partkey"), _coded()
+    first, kind = F.substring_index(title, " ", 1), F.lower("p_type")
+    tracks = p.where(k % 2 == 0).select(k.alias("track_id"), F.col("p_brand").alias("artist_id"), F.when(k % 10 == 0, k).cast("string").alias("external_id"), F.when(k % 12 == 4, first).otherwise(title).alias("title_key"), kind.alias("primary_key"))
+    lost = F.concat(F.left(title, k % 5 + 3), F.substring(title, k % 5 + 5, F.lit(99)))
+    heard = F.when(k % 8 == 2, lost).when(k % 8 == 4, F.concat(F.lit("the "), title)).when(k % 8 == 6, F.left(title, F.lit(9))).when(k % 8 == 1, first).otherwise(title)
+    entries = p.select(k.alias("entry_id"), F.col("p_brand").alias("artist_id"), F.when(k % 10 == 1, k - 1).cast("string").alias("external_id"), heard.alias("title_key"), F.array(kind).alias("credited"))
+    e = F.col("entry_id")
+    memory = entries.where(e % 4 == 3).select("artist_id", F.col("title_key").alias("entry_title_key"), (e - e % 2).alias("track_id"), (e % 16 != 3).alias("accepted"))
+    return match.staged_match(entries, tracks, memory)
 
 
 @query(
@@ -499,12 +528,17 @@ def import_match(spark, d):
     return match.import_match(incoming, known)
 
 
-@query()
+@query(
+    "WITH RECURSIVE p AS (SELECT DISTINCT p_brand AS brand, " + _CODED + " AS t FROM part), x AS (SELECT m.brand, m.t AS a, o.t AS b FROM p m JOIN p o ON m.brand = o.brand AND m.t < o.t), "
+    + similar.ratio_sql("x")
+    + "SELECT brand, one, other, round(ratio, 4) AS ratio, n FROM (SELECT brand, x.a AS one, x.b AS other, ratio, (row_number() OVER (PARTITION BY brand ORDER BY ratio DESC, x.a, x.b))::INT AS n FROM x JOIN alike ON x.a = alike.a AND x.b = alike.b) WHERE n <= 3"
+)
 def fuzzy_ratio_topk(spark, d):
-    p = table(spark, d, "part").select("p_brand", "p_name").distinct()
-    pairs = p.alias("a").join(p.alias("b"), (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_name") < F.col("b.p_name")))
-    scored = pairs.select(F.col("a.p_brand").alias("brand"), F.col("a.p_name").alias("one"), F.col("b.p_name").alias("other")).withColumn("ratio", F.round(text.ratio("one", "other"), 4))
-    return scored.withColumn("n", F.row_number().over(Window.partitionBy("brand").orderBy(F.desc("ratio"), "one", "other"))).where("n <= 3")
+    """The three most similar pairs of titles of each brand."""
+    p = table(spark, d, "part").select(F.col("p_brand").alias("brand"), _coded().alias("text"))
+    best = similar.nearest(p, p.withColumn("right_id", F.col("text")), ["brand"], floor=1e-9, keep=3, above=True)
+    first = Window.partitionBy("brand").orderBy(F.desc("score"), "text", "right_id")
+    return best.withColumn("n", F.row_number().over(first)).where("n <= 3").select("brand", F.col("text").alias("one"), F.col("right_id").alias("other"), F.round("score", 4).alias("ratio"), "n")
 
 
 @query("SELECT p_brand AS isrc, arg_max(p_partkey, p_size * 10000000 - p_partkey) AS recording_id FROM part GROUP BY 1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crategraph.operators import accumulate, match, resolve, rollup
+from crategraph.operators import accumulate, match, resolve, rollup, similar
 from crategraph.plans.catalog_queries import _OBS, ORACLE_SQL, _observations, query
 from crategraph.shared import table
 
@@ -133,12 +133,16 @@ def clean_american(spark, d):
 
 
 @query(
-    "WITH p AS (SELECT p_partkey AS k, replace(upper(p_brand), '#', '') AS a, upper(p_name) AS t, p_size FROM part), "
+    "WITH RECURSIVE p AS (SELECT p_partkey AS k, replace(upper(p_brand), '#', '') AS a, upper(p_name) AS t, p_size FROM part), "
     "c AS (SELECT k, a || CASE WHEN k % 2 = 0 THEN ' AND BRAND1' ELSE '' END AS artist_clean, CASE k % 4 WHEN 0 THEN t || ' REMIX' WHEN 1 THEN 'NEW ' || split_part(t, ' ', 1) ELSE t END AS t, CASE WHEN k % 5 = 0 THEN 'album' ELSE 'track' END AS kind FROM p WHERE k % 3 = 0), "
     "s AS (SELECT DISTINCT a AS artist FROM p), l AS (SELECT DISTINCT a, CASE WHEN p_size < 25 THEN 'album' ELSE 'track' END AS kind, t FROM p WHERE k % 3 <> 0), "
-    "j AS (SELECT artist, c.k, c.t, CASE WHEN kind = 'album' AND artist IN (SELECT a FROM l WHERE kind = 'album') THEN 'album' ELSE 'track' END AS place, kind FROM s JOIN c ON contains(' ' || artist_clean || ' ', ' ' || artist || ' ')) "
-    "SELECT artist AS artist_id, k AS cert_id, j.t AS title_clean, any_value(j.kind) AS kind, coalesce(bool_or(j.t = l.t OR (length(j.t) >= 8 AND starts_with(l.t, j.t)) OR contains(l.t, j.t) OR contains(j.t, l.t)), false) AS matched "
-    "FROM j LEFT JOIN l ON l.a = artist AND l.kind = place GROUP BY 1, 2, 3"
+    "j AS (SELECT artist, c.k, c.t, CASE WHEN kind = 'album' AND artist IN (SELECT a FROM l WHERE kind = 'album') THEN 'album' ELSE 'track' END AS place, kind FROM s JOIN c ON contains(' ' || artist_clean || ' ', ' ' || artist || ' ')), "
+    "o AS (SELECT artist AS artist_id, k AS cert_id, j.t AS title_clean, any_value(j.kind) AS kind, any_value(place) AS place, coalesce(bool_or(j.t = l.t OR (length(j.t) >= 8 AND starts_with(l.t, j.t)) OR contains(l.t, j.t) OR contains(j.t, l.t)), false) AS matched "
+    "FROM j LEFT JOIN l ON l.a = artist AND l.kind = place GROUP BY 1, 2, 3), "
+    "pairs AS (SELECT DISTINCT title_clean AS a, l.t AS b FROM o JOIN l ON l.a = artist_id AND l.kind = place WHERE NOT matched), "
+    + similar.ratio_sql("pairs")
+    + ", best AS (SELECT artist_id, cert_id, arg_min(b, {r: -ratio, b: b}) AS b, max(ratio) AS r FROM o JOIN l ON l.a = artist_id AND l.kind = place JOIN alike ON alike.a = title_clean AND alike.b = l.t WHERE NOT matched AND ratio > 0 GROUP BY 1, 2) "
+    "SELECT artist_id, cert_id, title_clean, kind, matched, best.b AS closest, CASE WHEN NOT matched THEN round(coalesce(best.r, 0), 2) END AS ratio FROM o LEFT JOIN best USING (artist_id, cert_id)"
 )
 def certification_audit(spark, d):
     p, k = table(spark, d, "part"), F.col("p_partkey")
@@ -148,7 +152,7 @@ def certification_audit(spark, d):
     certs = p.where(k % 3 == 0).select(k.alias("cert_id"), F.lit("SNEP").alias("body"), name.alias("artist_clean"), certified.alias("title_clean"), F.when(k % 5 == 0, "album").otherwise("single").alias("cat"))
     titles = p.where(k % 3 != 0).select(artist.alias("artist_id"), F.when(F.col("p_size") < 25, "album").otherwise("track").alias("kind"), title.alias("title")).distinct()
     artists = p.select(artist.alias("artist_id"), artist.alias("artist")).distinct()
-    return match.certification_audit(artists, certs, titles).select("artist_id", "cert_id", "title_clean", "kind", "matched")
+    return match.certification_audit(artists, certs, titles)
 
 
 @query("SELECT DISTINCT o_orderdate::DATE AS day FROM orders ORDER BY 1 DESC LIMIT 30")
