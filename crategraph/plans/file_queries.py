@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from crategraph.operators import resolve, rollup
 from crategraph.plans.catalog_queries import query
 from crategraph.shared import scratch, table
-from crategraph.sources import csv, pages, sinks
+from crategraph.sources import csv, markup, pages, sinks
 
 
 def _lines(spark, d, header: str, line):
@@ -100,3 +100,55 @@ def lyrics_by_source(spark, d):
     second = [F.concat(F.lit("words "), k).alias("text"), F.lit(65.0).alias("duration"), F.when(k % 20 == 0, "Other").otherwise("").alias("text_source")]
     replies = reply("lrclib", "00:50", k % 3 == 0, *empty).union(reply("ytmusic", "01:10", k % 5 == 0, *second)).union(reply("musixmatch", "00:10", k % 7 != 0, *empty))
     return resolve.resolved_lyrics(tracks, replies).select("track_id", "source", "confidence", "text", "text_source")
+
+
+_SONG_PAGES = (
+    "WITH p AS (SELECT page_id AS k, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS path FROM pages WHERE html IS NOT NULL), "
+    "c AS (SELECT k, 'Producer' AS role, NULL AS detail, host AS value, 0 AS pos FROM p UNION ALL SELECT k, 'Producer', NULL, 'Ann ' || k, 1 FROM p UNION ALL SELECT k, 'Producer', NULL, 'Bo & Co', 2 FROM p WHERE k % 2 = 0 "
+    "UNION ALL SELECT k, 'Producer', NULL, 'Bo', 2 FROM p WHERE k % 2 = 1 UNION ALL SELECT k, 'Producer', NULL, 'Co', 3 FROM p WHERE k % 2 = 1 "
+    "UNION ALL SELECT k, CASE WHEN k % 3 = 0 THEN 'Other' ELSE 'Writer' END, CASE WHEN k % 3 = 0 THEN 'Choir of ' || host END, 'Di', CASE WHEN k % 2 = 1 THEN 4 ELSE 3 END FROM p) "
+)
+
+
+@query(
+    _SONG_PAGES
+    + "SELECT k AS page_id, 'credit' AS kind, role, detail, value, pos FROM c UNION ALL SELECT k, 'lyrics', NULL, NULL, '[Verse]' || chr(10) || host || chr(10) || chr(10) || 'second ' || k, 0 FROM p "
+    "UNION ALL SELECT k, 'album', NULL, NULL, CASE WHEN k % 4 = 0 THEN 'Elsewhere' ELSE 'Album ' || k END, 0 FROM p UNION ALL SELECT k, 'about', NULL, NULL, 'A song of ' || host || ' with ' || repeat('words ', 8) || 'about ' || k, 0 FROM p WHERE k % 5 <> 0"
+)
+def song_pages(spark, d):
+    """Each page of the table with credits, lyrics, album and prose of its own url ahead of all that it holds itself."""
+    k, host = F.col("page_id"), F.regexp_extract("url", "^[a-z]+://([^/]+)", 1)
+    say = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
+    own = F.when(k % 2 == 0, "<a>Bo &amp; Co</a>").otherwise("Bo &amp; Co")  # a linked name is one name
+    first = say('<div class="Credit__Container-x"><div class="Credit__Label-y">Producers</div><div class="Credit__Contributor-z"><a href="/a">', host, "</a><a>Ann ", k.cast("string"), "</a> ", own, " <a>", host, "</a></div></div>")
+    other = say('<div class="Credit__Container-x"><div class="Credit__Label-y">', F.when(k % 3 == 0, say("Choir of ", host)).otherwise("Writer"), '</div><div class="Credit__Contributor-z">Di</div></div><div class="Credit__Container-x"><div class="Credit__Label-y">Genre</div><div class="Credit__Contributor-z">No one</div></div>')
+    lyrics = say('<div data-lyrics-container="true"><div data-exclude-from-selection="true">Contributors</div>[Verse]<br><a><i>', host, '</i></a><div class="SidebarAd">buy</div></div><div data-lyrics-container="true">second ', k.cast("string"), "<br>12Embed</div>")
+    album = F.when(k % 4 == 0, '<a href="/albums/z">Elsewhere</a>').otherwise(say('<a href="/albums/z">Elsewhere</a><div class="HeaderArtistAndTracklist-q"><a href="/albums/x"> Album ', k.cast("string"), " (2020)</a></div>"))
+    about = say('<div class="RichText__Container-r">', F.when(k % 5 == 0, "short").otherwise(say("A song of <b>", host, "</b> with ", F.lit("words " * 8), 'about <div class="embedly">video</div>', k.cast("string"))), "</div>")
+    html = say("<html><body>", first, other, lyrics, album, about, F.col("html"))
+    return markup.song_page_parts(table(spark, d, "pages").select("page_id", html.alias("html")))
+
+
+@query(
+    "WITH l AS (SELECT l_orderkey AS p, l_linenumber AS n, l_suppkey AS s, l_partkey AS t, l_quantity::INT AS q, l_shipdate::DATE AS day FROM lineitem), "
+    "r AS (SELECT *, (row_number() OVER (PARTITION BY p ORDER BY n, t, s, q))::INT - 1 AS pos FROM l WHERE t % 11 <> 0), "
+    "e AS (SELECT *, 0 AS step, q % 12 || 'x Platinum' AS sl, day - 30 AS sd, (q % 12) * 1000000 AS su FROM r WHERE q % 4 >= 2 UNION ALL SELECT *, CASE WHEN q % 4 = 3 THEN 1 ELSE 0 END, 'Gold', day, 500000 FROM r WHERE q % 2 = 1) "
+    "SELECT r.p AS page_id, r.pos, 'Artist ' || r.s AS artist, 'Title ' || r.t AS title, CASE r.q % 12 WHEN 0 THEN 'Gold' WHEN 1 THEN 'Platinum' WHEN 10 THEN 'Diamond' ELSE r.q % 12 || 'x Platinum' END AS level, CASE r.q % 12 WHEN 0 THEN 500000 WHEN 10 THEN 10000000 ELSE 1000000 * (r.q % 12) END AS units, strftime(r.day, '%Y-%m-%d') AS day, "
+    "e.step::INT AS step, e.sl AS step_level, strftime(e.sd, '%Y-%m-%d') AS step_day, CASE WHEN e.sl IS NOT NULL THEN strftime(r.day - 365, '%Y-%m-%d') END AS released, e.su AS step_units FROM r LEFT JOIN e ON e.p = r.p AND e.pos = r.pos"
+)
+def award_histories(spark, d):
+    """An award page for each order: a row for each of its lines, with a detail table of up to two entries; rows without a title
+    and entries without a level count for nothing."""
+    q, key = F.col("l_quantity").cast("int"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"))
+    say = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
+    us = lambda c: F.date_format(c, "MMMM d, yyyy")
+    td = lambda css, x: say(f'<td class="{css}">', x, "</td>")
+    title = F.when(F.col("l_partkey") % 11 == 0, "").otherwise(say("Title ", F.col("l_partkey").cast("string")))
+    main = say('<tr class="table_award_row" id="default_', key, '"><td><img class="award" src="/a/', (q % 12).cast("string"), '_big.png"></td>', td("artists_cell", say("Artist ", F.col("l_suppkey").cast("string"))), td("others_cell", title), td("others_cell", us(F.col("l_shipdate"))), td("others_cell", F.lit("House")), td("format_cell", F.lit("SINGLE <a>MORE DETAILS</a>")), "</tr>")
+    released = td("x", F.date_format(F.date_sub(F.col("l_shipdate"), 365), "M/d/yyyy"))
+    one = F.when(q % 4 >= 2, say('<tr class="content_recent_table">', released, td("x", say((q % 12).cast("string"), "x Platinum | <b>", us(F.date_sub(F.col("l_shipdate"), 30)), "</b>")), "</tr>")).otherwise("")
+    two = F.when(q % 2 == 1, say('<tr class="content_recent_table">', released, td("x", F.lit("Gold")), "</tr>")).otherwise(say('<tr class="content_recent_table">', released, td("x", F.lit(" ")), "</tr>"))
+    detail = say('<tr><td><table id="recent_', key, '_detail">', one, two, "</table></td></tr>")
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", q.alias("q"), say(main, detail).alias("html")).alias("row"))
+    made = rows.groupBy(F.col("l_orderkey").alias("page_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda x: x["html"]), "").alias("html"))
+    return markup.award_history(made.withColumn("html", say("<table>", F.col("html"), "</table>")))

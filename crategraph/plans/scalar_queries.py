@@ -414,11 +414,17 @@ def lyric_texts(spark, d):
     return table(spark, d, "part").select(k.alias("id"), parse.with_section_artist(F.concat(F.lit("[Couplet 1]\n"), "p_name"), F.lit("Ann")).alias("lyrics"), text.slug(F.col("p_name")).alias("slug"), parse.lrc_line(k * 1000 + 500, F.lit("x")).alias("line"), parse.word_count(F.col("p_name")).alias("words"))
 
 
-@query("SELECT p_partkey AS id, p_size || 'x Platinum' AS level, p_size * 1000000 AS units, 'Ann|Bob|Cy|Di' AS names, p_partkey % 2 = 0 AS ok FROM part")
+@query(
+    "WITH a AS (SELECT p_partkey AS id, CASE p_size % 13 WHEN 12 THEN NULL WHEN 0 THEN 'Gold' WHEN 1 THEN 'Platinum' WHEN 10 THEN 'Diamond' ELSE (p_size % 13) || 'x Platinum' END AS level, * FROM part) "
+    "SELECT id, level, CASE WHEN level = 'Gold' THEN 500000 WHEN level = 'Platinum' THEN 1000000 WHEN level = 'Diamond' THEN 10000000 WHEN level IS NOT NULL THEN 1000000 * (p_size % 13) END AS units, split_part(p_name, ' ', 1) || '|' || split_part(p_name, ' ', 2) || '|' || p_type AS names, p_partkey % 2 = 0 AS ok FROM a"
+)
 def award_pictures(spark, d):
-    k = F.col("p_partkey")
-    level = page_source.level_of_image(F.concat(F.lit("/img/multi_"), "p_size", F.lit("x_Platinum.png")))
-    return table(spark, d, "part").select(k.alias("id"), level.alias("level"), page_source.units_of_level(level).alias("units"), F.array_join(page_source.split_names(F.lit("Ann & Bob, Cy and Di")), "|").alias("names"), page_source.numbers_occur(F.when(k % 2 == 0, "1 234").otherwise("999"), F.lit("page with 1,234 views")).alias("ok"))
+    k, n, s = F.col("p_partkey"), F.col("p_size") % 13, F.col("p_size")
+    level = page_source.level_of_image(F.when(n == 12, "/img/seal.png").otherwise(F.concat(F.lit("/img/2x/"), n, F.lit("_big.png"))))
+    line = F.concat(F.regexp_replace("p_name", " ", " & "), F.when(k % 3 == 0, ", ").when(k % 3 == 1, " and ").otherwise(" / "), F.col("p_type"))
+    page = F.concat(F.lit("page with 1,"), F.lpad(s.cast("string"), 3, "0"), F.lit(" views"))
+    claim = F.concat(F.lit("1 "), F.lpad(F.when(k % 2 == 0, s).otherwise(s + 100).cast("string"), 3, "0"))
+    return table(spark, d, "part").select(k.alias("id"), level.alias("level"), page_source.units_of_level(level).alias("units"), F.array_join(page_source.split_names(line), "|").alias("names"), page_source.numbers_occur(claim, page).alias("ok"))
 
 
 @query("SELECT p_partkey AS id, contains(' ' || p_name || ' ', ' green ') AS hit FROM part")

@@ -113,25 +113,18 @@ def certification_blocks(pages: DataFrame, id_col: str = "page_id", html_col: st
     return parsed(pages, id_col, html_col, rows, ", ".join(f"{n} string" for n in names))
 
 
-#: Words in the file names of award pictures, and millions of units of the levels.
-IMAGE_LEVELS = {"diamond": "Diamond", "multi": "Multi-Platinum", "platinum": "Platinum", "gold": "Gold"}
-
-
 def level_of_image(src: Column) -> Column:
-    """Level of an award picture's file name; 'Nx' of multi-platinum ones where the number is there."""
-    name = F.lower(F.element_at(F.split(src, "/"), -1))
-    times = F.regexp_extract(name, r"(\d+)x", 1)
-    out = F.lit(None).cast("string")
-    for word, level in reversed(IMAGE_LEVELS.items()):
-        out = F.when(F.contains(name, F.lit(word)), F.when((times != "") & F.lit(word in ("multi", "platinum")), F.concat(times, F.lit("x Platinum"))).otherwise(level)).otherwise(out)
-    return out
+    """Level of an award picture such as 3_big.png: its number is 0 for gold, 1 for platinum, 10 for diamond, else how many
+    times platinum; null without one."""
+    n = F.nullif(F.regexp_extract(src, r"(\d+)_big", 1), F.lit("")).try_cast("int")
+    return F.when(n == 0, "Gold").when(n == 1, "Platinum").when(n == 10, "Diamond").when(n.isNotNull(), F.concat(n, F.lit("x Platinum")))
 
 
 def units_of_level(level: Column) -> Column:
     """Units a US level stands for: half a million gold, a million for each platinum, ten for diamond."""
     times = F.nullif(F.regexp_extract(level, r"^(\d+)\s*x", 1), F.lit("")).try_cast("int")
     low = F.lower(level)
-    return F.when(low.contains("gold"), 500_000).when(low.contains("diamond"), 10_000_000).when(low.contains("platinum"), F.coalesce(times, F.lit(1)) * 1_000_000)
+    return F.when(low.contains("diamond"), 10_000_000).when(low.contains("platinum"), F.coalesce(times, F.lit(1)) * 1_000_000).when(low.contains("gold"), 500_000)
 
 
 def split_names(text: Column) -> Column:
