@@ -181,6 +181,18 @@ def containment_score(artist: Column, title: Column, text: Column) -> Column:
     return F.when(_or_empty(text) == "", 0.5).otherwise(F.least(F.lit(1.0), inside(a) + inside(t) + words(a) + words(t)))
 
 
+@F.pandas_udf(DoubleType())
+def best_ratio(a: pd.Series, others: pd.Series) -> pd.Series:
+    """The highest ratio of a text with those of an array; 0 without any."""
+    return pd.Series([max((SequenceMatcher(None, x or "", y or "").ratio() for y in (ys if ys is not None else ())), default=0.0) for x, ys in zip(a, others)], dtype="float64")
+
+
+def relevance(title: Column, artists: Column, wanted_title: Column, wanted_artist: Column) -> Column:
+    """Six tenths the likeness of the titles and four tenths that of the nearest artist, in lower case."""
+    low = lambda c: F.lower(_or_empty(c))
+    return ratio(low(wanted_title), low(title)) * 0.6 + best_ratio(low(wanted_artist), F.transform(artists, low)) * 0.4
+
+
 def slug(c: Column) -> Column:
     """Lower case, no dots and apostrophes, dashes for blanks, a capital first."""
     c = F.translate(F.lower(_or_empty(c)), " .'’", "-")

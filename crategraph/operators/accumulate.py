@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crategraph.functions import catalog, parse
@@ -105,16 +105,39 @@ def clean_with_report(df: DataFrame, critical: tuple[str, ...] = ("artist", "tit
     return df.where("__n = 1 AND NOT __empty").drop("__blanks", "__marks", "__empty", "__n"), report
 
 
-def upsert(base: DataFrame, new: DataFrame, keys: list[str], *, overwrite: tuple[str, ...] = (), sticky: tuple[str, ...] = (), insert_only: tuple[str, ...] = (), empty: dict[str, str] | None = None) -> DataFrame:
+def _order(new: DataFrame, order: str | None) -> Column:
+    """Order in which rows of a feed are applied; without an order column that of all their values."""
+    return F.struct(*([order] if order else []), *(c for c in sorted(new.columns) if c != order))
+
+
+def reduced(new: DataFrame, keys: list[str], *, order: str | None = None, overwrite: tuple[str, ...] = (), sticky: tuple[str, ...] = (), insert_only: tuple[str, ...] = (), empty: dict[str, str] | None = None) -> DataFrame:
+    """One row for each key of a feed, as if its rows were upserted one after another into nothing."""
+    at = _order(new, order)
+
+    def last(c: str) -> Column:
+        value = F.nullif(F.col(c), F.lit(empty[c])) if empty and c in empty else F.col(c)
+        if c in overwrite:
+            return F.max_by(c, at)
+        if c in sticky:
+            return F.bool_or(c)
+        return F.min_by(c, at) if c in insert_only else F.max_by(value, F.when(value.isNotNull(), at))
+
+    values = [last(c).alias(c) for c in new.columns if c not in keys]
+    return new.groupBy(*keys).agg(*values) if values else new.select(*keys).distinct()
+
+
+def upsert(base: DataFrame, new: DataFrame, keys: list[str], *, order: str | None = None, overwrite: tuple[str, ...] = (), sticky: tuple[str, ...] = (), insert_only: tuple[str, ...] = (), empty: dict[str, str] | None = None) -> DataFrame:
     """New values where there are some, else the old: never destroys. ``overwrite`` columns take the new row's value even if
     null, ``sticky`` booleans stay true, ``insert_only`` columns keep the old row's value, a new value equal to ``empty``'s
-    counts as none."""
-    b, n = base.alias("b"), new.alias("n")
+    counts as none. Rows of one key in ``new`` are applied one after another, by ``order``; null keys are keys like others."""
+    rules = {"overwrite": overwrite, "sticky": sticky, "insert_only": insert_only, "empty": empty}
+    b = base.withColumn("__old", F.lit(True)).alias("b")
+    n = reduced(new, keys, order=order, **rules).withColumn("__new", F.lit(True)).alias("n")
     on = None
     for k in keys:
-        eq = F.col(f"b.{k}") == F.col(f"n.{k}")
+        eq = F.col(f"b.{k}").eqNullSafe(F.col(f"n.{k}"))
         on = eq if on is None else on & eq
-    fresh, old = F.col(f"n.{keys[0]}").isNotNull(), F.col(f"b.{keys[0]}").isNotNull()
+    fresh, old = F.col("n.__new").isNotNull(), F.col("b.__old").isNotNull()
     out = []
     for c in base.columns:
         was, now = F.col(f"b.{c}"), F.col(f"n.{c}") if c in new.columns else F.lit(None)
@@ -127,13 +150,53 @@ def upsert(base: DataFrame, new: DataFrame, keys: list[str], *, overwrite: tuple
         elif c in insert_only:
             value = F.when(old, was).otherwise(now)
         else:
-            if empty and c in empty:
-                now = F.nullif(now, F.lit(empty[c]))
             value = F.coalesce(now, was)
         out.append(value.alias(c))
     return b.join(n, on, "full_outer").select(*out)
 
 
+BUCKET = "bucket__"
+
+
+def _bucketed(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """``df`` with its bucket, dealt out so that a bucket is one task's and one file."""
+    return df.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).repartition(BUCKET)
+
+
+def create_bucketed(df: DataFrame, path: str, keys: list[str], buckets: int) -> None:
+    """Write a table in directories by a hash of its keys; ``buckets`` should leave each some hundred MB."""
+    _bucketed(df, keys, buckets).write.partitionBy(BUCKET).parquet(path)
+
+
+def read_bucketed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop(BUCKET)
+
+
+def upsert_bucketed(spark: SparkSession, path: str, new: DataFrame, keys: list[str], buckets: int, **rules) -> list[int]:
+    """``upsert`` into a table of ``create_bucketed``; the buckets that the feed has keys of, which alone are read and written.
+
+    The merged buckets are settled first, then they replace the old ones directory by directory: a task that fails in
+    between is run again on settled rows, and running the feed once more changes nothing."""
+    feed = settle(_bucketed(new, keys, buckets))
+    touched = sorted(r[0] for r in feed.select(BUCKET).distinct().collect())  # ``buckets`` numbers at most
+    if touched:
+        base = spark.read.parquet(path)
+        columns = [c for c in base.columns if c != BUCKET]
+        merged = upsert(base.where(F.col(BUCKET).isin(touched)).select(*columns), feed.drop(BUCKET), keys, **rules)
+        settle(_bucketed(merged, keys, buckets)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+    return touched
+
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows``, settled, with ``__n`` from 1 in the given order: sorted by ranges and numbered within each, on top of what the
+    ranges before hold, however they were partitioned."""
+    ranged = settle(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    offsets = ranged.groupBy("__range").agg(F.count("*").alias("n")).select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return ranged.join(F.broadcast(offsets), "__range").withColumn("__n", F.col("__before") + within).drop("__range", "__before")
+
+
 def replace_children(base: DataFrame, new: DataFrame, parent: str) -> DataFrame:
     """Rows of parents that ``new`` speaks of are replaced by its rows."""
     return base.join(new.select(parent).distinct(), parent, "left_anti").unionByName(new)
@@ -150,16 +213,11 @@ def upsert_observations(base: DataFrame, new: DataFrame, keys: tuple[str, ...] =
 def insert_or_ignore(base: DataFrame, new: DataFrame, key: str, id_col: str) -> DataFrame:
     """Rows of a new key are added with the next ids, in the order of the key; of rows of one key the least stays.
 
-    New rows are sorted by ranges of the key and numbered within each, on top of what the ranges before hold."""
+    New rows are numbered by ranges of the key."""
     top = base.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__top"))
     first = Window.partitionBy(key).orderBy(*(c for c in new.columns if c != key), key)
     fresh = new.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n").join(base.select(key), key, "left_anti")
-    ranged = settle(fresh.repartitionByRange(key).withColumn("__range", F.spark_partition_id()))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
-    offsets = ranged.groupBy("__range").agg(F.count("*").alias("n")).select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
-    within = F.row_number().over(Window.partitionBy("__range").orderBy(key))
-    numbered = ranged.join(F.broadcast(offsets), "__range").withColumn(id_col, F.col("__before") + within + top.scalar()).drop("__range", "__before")
-    return base.unionByName(numbered, allowMissingColumns=True)
+    return base.unionByName(numbered(fresh, key).withColumn(id_col, F.col("__n") + top.scalar()).drop("__n"), allowMissingColumns=True)
 
 
 def guarded_fill(base: DataFrame, new: DataFrame, key: str, column: str) -> DataFrame:
@@ -204,9 +262,12 @@ def snapshot_listeners(artists: DataFrame, history: DataFrame, new: DataFrame) -
 
 
 def write_through(tracks: DataFrame, observations: DataFrame, counters: DataFrame, column: str, source: str) -> tuple[DataFrame, DataFrame]:
-    """A counter goes into its column and becomes an observation of its source."""
+    """A counter goes into its column and becomes an observation of its source. New observations are numbered behind the
+    known ones, in the order of their tracks."""
     updated = upsert(tracks, counters.select("track_id", column), ["track_id"])
-    rows = counters.select("track_id", F.lit(column).alias("field"), F.col(column).cast("string").alias("value"), F.lit(source).alias("source"), F.lit(None).cast("double").alias("confidence"), F.monotonically_increasing_id().alias("obs_id"))
+    top = observations.agg(F.coalesce(F.max("obs_id"), F.lit(0)).alias("__top"))
+    rows = numbered(counters.select("track_id", F.col(column).cast("string").alias("value")), "track_id", "value")
+    rows = rows.select("track_id", F.lit(column).alias("field"), "value", F.lit(source).alias("source"), F.lit(None).cast("double").alias("confidence"), (F.col("__n") + top.scalar()).cast("bigint").alias("obs_id"))
     return updated, upsert_observations(observations, rows.select(*observations.columns))
 
 
@@ -251,6 +312,22 @@ def backfill(tracks: DataFrame, observations: DataFrame, fields: tuple[str, ...]
     return observations.unionByName(rows.withColumn("source", F.lit(source)), allowMissingColumns=True)
 
 
+def backfill_keys(tracks: DataFrame, observations: DataFrame, source: str = "legacy") -> DataFrame:
+    """Observations plus pitch class and mode read back out of the French key of tracks that have neither; a key that can't be
+    read gives none."""
+    known = observations.where(F.col("field").isin("key", "mode")).select("track_id").distinct()
+    orphans = tracks.where(F.coalesce("musical_key", F.lit("")) != "").join(known, "track_id", "left_anti")
+    # generated, so that the key is read once a row however often its parts are used
+    parts = orphans.select("track_id", F.explode(F.array_compact(F.array(catalog.split_key(F.col("musical_key"))))).alias("k"))
+    rows = parts.selectExpr("track_id", "stack(2, 'key', cast(k.pitch AS string), 'mode', cast(k.mode AS string)) AS (field, value)")
+    return observations.unionByName(rows.withColumn("source", F.lit(source)), allowMissingColumns=True)
+
+
+def without_combined(observations: DataFrame) -> DataFrame:
+    """Observations without tempi whose source is several joined by a plus sign."""
+    return observations.where(~((F.col("field") == "bpm") & F.coalesce(F.contains("source", F.lit("+")), F.lit(False))))
+
+
 def health_status(old: DataFrame, new: DataFrame, by: str = "source") -> DataFrame:
     """Newest status of each source; the time it last was ok survives failures."""
     n = new.select(by, F.col("status").alias("__status"), F.col("checked_at").alias("__at"))

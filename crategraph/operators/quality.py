@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crategraph.shared import settle
+
 
 def month_calendar(rows: DataFrame, date: str, by: list[str], until: Column | None = None) -> DataFrame:
     """(by, month, n) for every month from the first to the last of each key (or to ``until``), empty ones too."""
@@ -20,7 +22,7 @@ def month_gaps(rows: DataFrame, date: str, by: list[str], low: int = 3) -> DataF
     return month_calendar(rows, date, by).where(F.col("n") < low).withColumn("kind", F.when(F.col("n") == 0, "gap").otherwise("low"))
 
 
-def year_coverage(rows: DataFrame, date: str, active: int = 12) -> DataFrame:
+def year_coverage(rows: DataFrame, date: str, active: int = 1) -> DataFrame:
     """(year, n, missing, thin): a year without rows next to one with ``active`` or more is missing, one with under half of
     the mean count is thin. Years are few, so their window is small whatever the table's size."""
     seen = rows.where(F.col(date).isNotNull()).groupBy(F.year(date).alias("year")).agg(F.count("*").alias("n"))
@@ -32,6 +34,52 @@ def year_coverage(rows: DataFrame, date: str, active: int = 12) -> DataFrame:
     return years.select("year", "n", ((F.col("n") == 0) & (near >= active)).alias("missing"), (F.col("n") < mean * 0.5).alias("thin"))
 
 
+#: Rows from which a year's months are all expected, and under which a month of a recent year is low.
+FULL_YEAR, LOW_MONTH = 12, 3
+
+
+def coverage(rows: DataFrame, date: str, today: Column, recent: tuple[int, ...], only: tuple[int, ...] | None = None) -> DataFrame:
+    """(kind, year, month, n) of a list's coverage in time, from one pass over its rows.
+
+    'year': each year from the first to the last, month null; 'missing': a year without rows next to one with some; 'gap': a
+    month without rows, of years with 12 rows or more (of the years ``only``, if given); 'low': a month of ``recent`` years with
+    one or two. Months after ``today``'s don't count. 'fresh': days from the last date to ``today``, in n."""
+    day = F.col(date)
+    seen = rows.where(day.isNotNull()).groupBy(F.year(day).alias("year"), F.month(day).alias("month")).agg(F.count("*").alias("n"), F.max(day).alias("last"))
+    seen = settle(seen)  # a row for each month
+    span = seen.agg(F.min("year").alias("a"), F.max("year").alias("b"), F.max("last").alias("last")).where("a IS NOT NULL")
+    per_year = seen.groupBy("year").agg(F.sum("n").alias("n"))
+    years = span.select(F.explode(F.sequence("a", "b")).alias("year")).join(per_year, "year", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    w = Window.orderBy("year")  # years are few
+    near = F.coalesce(F.lag("n").over(w), F.lit(0)) + F.coalesce(F.lead("n").over(w), F.lit(0))
+    none = F.lit(None).cast("int").alias("month")
+    said = lambda kind, df, n=F.col("n"): df.select(F.lit(kind).alias("kind"), "year", "month" if "month" in df.columns else none, n.cast("bigint").alias("n"))
+    missing = years.withColumn("near", near).where((F.col("n") == 0) & (F.col("near") > 0))
+    wanted = [F.lit(y) for y in {*recent, *(only or ())}]
+    extra = rows.sparkSession.range(1).select(F.explode(F.array(*wanted)).alias("year")) if wanted else years.select("year").limit(0)
+    every = years.select("year").union(extra).distinct().join(per_year.select("year", F.col("n").alias("of_year")), "year", "left")
+    months = every.withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12)))).where(F.make_date("year", "month", F.lit(1)) <= today)
+    months = months.join(seen.select("year", "month", "n"), ["year", "month"], "left").withColumn("n", F.coalesce("n", F.lit(0))).where(F.lit(True) & span.select(F.count("*") > 0).scalar())
+    scanned = F.col("year").isin(*only) if only is not None else F.col("of_year") >= FULL_YEAR
+    fresh = span.select(F.lit("fresh").alias("kind"), F.lit(None).cast("int").alias("year"), none, F.datediff(today, "last").cast("bigint").alias("n"))
+    return said("year", years).unionAll(said("missing", missing)).unionAll(said("gap", months.where(scanned & (F.col("n") == 0)))).unionAll(said("low", months.where(F.col("year").isin(*recent) & F.col("n").between(1, LOW_MONTH - 1)))).unionAll(fresh)
+
+
+def global_statistics(artists: DataFrame, tracks: DataFrame, credits: DataFrame, errors: DataFrame, now: Column, roles: tuple[str, str] = ("Producer", "Writer")) -> DataFrame:
+    """(name, n): artists, tracks and credits, tracks credited with both ``roles``, errors of the last day before ``now``.
+
+    The surveyed system reports 1 for any number of complete tracks; here they are counted."""
+    tagged = [artists.select(F.lit("artists").alias("name")), tracks.select(F.lit("tracks").alias("name"))]
+    whole = tagged[0].unionAll(tagged[1]).groupBy("name").agg(F.count("*").alias("n"))
+    # one scan of the credits for both of their figures: roles of a track first, then both sums
+    own = credits.groupBy("track_id").agg(F.count("*").alias("c"), F.size(F.collect_set(F.when(F.col("role").isin(*roles), F.col("role")))).alias("r"))
+    known = own.join(tracks.select("track_id").distinct().withColumn("there", F.lit(True)), "track_id", "left")
+    both = known.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("credits"), F.count_if((F.col("r") == 2) & F.col("there")).alias("complete")).selectExpr("stack(2, 'credits', credits, 'complete tracks', complete) AS (name, n)")
+    recent = errors.agg(F.count_if(F.col("error_time") > now - F.expr("INTERVAL 1 DAY")).alias("n")).select(F.lit("recent errors").alias("name"), "n")
+    known_names = artists.sparkSession.sql("SELECT * FROM VALUES ('artists'), ('tracks') AS t(name)")
+    return known_names.join(whole, "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("n")).unionAll(both).unionAll(recent)
+
+
 def monthly_summary(rows: DataFrame, date: str, by: list[str], low: int = 5) -> DataFrame:
     """Months, empty and low ones and the mean count of each key."""
     return month_calendar(rows, date, by).groupBy(*by).agg(F.count("*").alias("months"), F.count_if(F.col("n") == 0).alias("empty"), F.count_if(F.col("n").between(1, low - 1)).alias("low"), F.round(F.avg("n"), 4).alias("mean"))

@@ -6,11 +6,16 @@ source ranks leave open go to the earlier arrival. Every operator is one shuffle
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from crategraph.functions import parse
 from crategraph.functions.catalog import french_key, source_rank
+from crategraph.functions.text import line_key
 
 TOLERANCE, HALF_TIME = 3, 90
 
@@ -190,6 +195,21 @@ def earliest_release(rows: DataFrame, by: str = "track_id", date: str = "release
     return rows.groupBy(by).agg(F.coalesce(F.max_by(F.when(F.col("forced"), d), F.when(F.col("forced"), F.col("obs_id"))), F.min(d)).alias(date))
 
 
+#: Forms in which a release date may be given, in the order they are tried.
+DATE_FORMS = ("yyyy-M-d", "yyyy/M/d", "d-M-yyyy", "d/M/yyyy")
+
+
+def dates_agree(reference: Column, other: Column) -> Column:
+    """struct<valid, match>: whether ``other``, in any of four forms, is the day of ``reference`` (ISO). With nothing to compare
+    valid and null, with an unreadable date neither."""
+    shapes = {f: rf"^\d{{4}}{f[4]}\d{{1,2}}{f[4]}\d{{1,2}}$" if f[0] == "y" else rf"^\d{{1,2}}{f[1]}\d{{1,2}}{f[1]}\d{{4}}$" for f in DATE_FORMS}
+    read = lambda c, form: F.to_date(F.try_to_timestamp(F.when(c.rlike(shapes[form]), c), F.lit(form)))
+    one, two = read(reference, DATE_FORMS[0]), F.coalesce(*(read(other, f) for f in DATE_FORMS))
+    none = F.coalesce(other, F.lit("")) == ""
+    ok = one.isNotNull() & two.isNotNull()
+    return F.struct((none | ok).alias("valid"), F.when(~none, F.coalesce(one == two, F.lit(False))).alias("match"))
+
+
 def duration_agrees(a: Column, b: Column, tolerance: int = 2) -> Column:
     """Within ``tolerance`` seconds; nothing to compare with counts as agreement."""
     return F.coalesce(F.abs(a - b) <= tolerance, F.lit(True))
@@ -256,51 +276,81 @@ def run_summary(results: DataFrame, by: str = "source") -> DataFrame:
     )
 
 
+#: Likeness from which a sung line stands for a written one, and written lines of a section that are looked for.
+SUNG, TRIED = 0.82, 3
+_LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
 def annotate_sections(tracks: DataFrame, by: str = "track_id", structured: str = "lyrics", lrc: str = "lrc") -> DataFrame:
     """(by, annotated): section headers with the time span their first lines have in timed lyrics.
 
-    Alignment moves only forward, so it is a loop over each text's own lines; Spark deals the texts out."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({by: batch[by], "annotated": [_annotated(s, t) for s, t in zip(batch["s"], batch["t"])]})
-
-    narrow = tracks.select(by, F.col(structured).alias("s"), F.transform(parse.timed_lines(F.col(lrc)), lambda x: F.struct(x["at"], x["text"])).alias("t"))
-    kind = tracks.schema[by].dataType.simpleString()
-    return narrow.mapInPandas(run, f"{by} {kind}, annotated string")
-
-
-def _annotated(structured: str | None, timed) -> str | None:
-    import re
-    from difflib import SequenceMatcher
-
-    if structured is None or timed is None or not len(timed):
-        return structured
-    key = lambda s: " ".join(re.sub("[^a-z0-9 ]", " ", s.lower()).split())
-    clock = lambda t: f"{int(t) // 60}:{int(t) % 60:02d}"
-    sung = [(key(x["text"]), x["at"]) for x in timed if x["text"].strip()]
-    lines = structured.splitlines()
-    heads = [k for k, x in enumerate(lines) if x.strip().startswith("[") and x.strip().endswith("]")]
-    starts, at = {}, 0
-    for head, following in zip(heads, [*heads[1:], len(lines)]):
-        for line in [x for x in lines[head + 1 : following] if x.strip()][:3]:
-            wanted = key(line)
-            if len(wanted) < 3:
-                continue
-            exact = (k for k in range(at, len(sung)) if sung[k][0] == wanted)
-            alike = (k for k in range(at, len(sung)) if SequenceMatcher(None, wanted, sung[k][0]).ratio() >= 0.82)
-            k = next(exact, next(alike, None))
-            if k is not None:
-                starts[head], at = sung[k][1], k + 1
-                break
-    found = list(starts)
-    for head, following in zip(found, [*found[1:], None]):
-        end = timed[-1]["at"] if following is None else starts[following]
-        lines[head] = f"{lines[head].strip()[:-1].rstrip()}  ⏱ {clock(starts[head])} → {clock(end)}]"
-    return "\n".join(lines) if found else structured
+    A section begins where the first of its first three lines that can be found is sung: at the nearest equal line ahead, else
+    the nearest similar one, always behind where the section before was found. That is a fold over the sections as a column
+    expression; only for lines that no equal line is left for, an Arrow batch says which sung lines are similar. Texts without
+    timed lines or without a section that is found stay as they are."""
+    blank = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    text, timed = F.col(structured), parse.timed_lines(F.col(lrc))
+    df = tracks.select(by, text.alias("s"), F.transform(timed, lambda x: F.struct(x["at"], x["text"])).alias("t"))
+    df = df.withColumns({"lines": F.split(F.regexp_replace("s", rf"(?:{_LINE_END})\z", ""), _LINE_END), "sung": F.filter("t", lambda x: blank(x["text"]) != "")})
+    df = df.withColumns({"keys": F.transform("sung", lambda x: line_key(x["text"])), "bare": F.transform("lines", blank)})
+    is_head = lambda x: x.startswith("[") & x.endswith("]")
+    heads = F.filter(F.transform("bare", lambda x, i: F.when(is_head(x), i)), lambda i: i.isNotNull())
+    df = df.withColumn("heads", F.coalesce(heads, F.array().cast("array<int>")))
+
+    def first_lines(head: Column, n: Column) -> Column:
+        after = F.coalesce(F.get("heads", n + 1), F.size("bare"))
+        return F.transform(F.slice(F.filter(F.slice("bare", head + 2, F.greatest(after - head - 1, F.lit(0))), lambda x: x != ""), 1, TRIED), line_key)
+
+    df = df.withColumn("wanted", F.transform("heads", first_lines))
+    equal = lambda w: F.filter(F.transform("keys", lambda k, i: F.when(k == w, i)), lambda i: i.isNotNull())
+    df = df.withColumn("equal", F.transform("wanted", lambda ws: F.transform(ws, equal)))
+    df = df.withColumn("alike", F.when((F.size("keys") > 0) & (F.size("heads") > 0), _similar_lines("wanted", "equal", "keys")))
+
+    def found(at: Column, section: Column, k: int) -> Column:
+        ahead = lambda name: F.array_min(F.filter(F.get(section[name], F.lit(k)), lambda p: p >= at))
+        return F.when(F.length(F.get(section["wanted"], F.lit(k))) >= 3, F.coalesce(ahead("equal"), ahead("alike")))
+
+    def step(state: Column, section: Column) -> Column:
+        here = F.coalesce(*(found(state["at"], section, k) for k in range(TRIED)))
+        return F.struct(F.coalesce(here + 1, state["at"]).alias("at"), F.concat(state["starts"], F.array(here)).alias("starts"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    folded = F.aggregate(F.arrays_zip("wanted", "equal", "alike"), begin, step)["starts"]
+    df = df.withColumn("starts", F.when(F.col("alike").isNotNull(), folded))
+    clock = lambda t: F.format_string("%d:%02d", F.floor(t / 60), F.floor(t) % 60)
+    time = lambda p: F.get("sung", p)["at"]
+
+    def written(line: Column, i: Column) -> Column:
+        start = F.get("starts", (F.array_position("heads", i) - 1).cast("int"))
+        then = F.array_min(F.filter("starts", lambda p: p > start))
+        until = F.coalesce(time(then), F.get("t", F.size("t") - 1)["at"])
+        name = F.get("bare", i)
+        noted = F.concat(F.regexp_replace(F.left(name, F.length(name) - 1), r"(?U)\s+$", ""), F.lit("  ⏱ "), clock(time(start)), F.lit(" → "), clock(until), F.lit("]"))
+        return F.coalesce(F.when(F.array_contains("heads", i) & start.isNotNull(), noted), line)
+
+    some = F.exists(F.coalesce("starts", F.array().cast("array<int>")), lambda p: p.isNotNull())
+    return df.select(by, F.when(some, F.array_join(F.transform("lines", written), "\n")).otherwise(F.col("s")).alias("annotated"))
+
+
+@F.pandas_udf(ArrayType(ArrayType(ArrayType(IntegerType()))))
+def _similar_lines(wanted: pd.Series, equal: pd.Series, keys: pd.Series) -> pd.Series:
+    """For each wanted line the sung lines behind its last equal one that are similar to it."""
+
+    def behind(line: str, same, sung) -> list[int]:
+        if len(line) < 3:
+            return []
+        m, out = SequenceMatcher(), []
+        m.set_seq1(line)
+        for p in range(int(max(same)) + 1 if len(same) else 0, len(sung)):
+            m.set_seq2(sung[p])
+            if m.real_quick_ratio() >= SUNG and m.quick_ratio() >= SUNG and m.ratio() >= SUNG:
+                out.append(p)
+        return out
+
+    def sections(ws, same, sung):
+        return None if sung is None or ws is None else [[behind(w, e, sung) for w, e in zip(lines, es)] for lines, es in zip(ws, same)]
+
+    return pd.Series([sections(*x) for x in zip(wanted, equal, keys)], dtype="object")
 
 
 def resolved_lyrics(tracks: DataFrame, replies: DataFrame, by: str = "track_id", *, with_second: bool = True) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crategraph.functions.catalog import is_video_credit
-from crategraph.functions.parse import flexible_date
+from crategraph.functions.catalog import LEVEL_RANKS, is_video_credit, total_estimate
+from crategraph.functions.parse import duration_seconds, flexible_date
 
 FEATURINGS, SINGLES = "featurings", "singles"
 PRODUCERS = ("Producer", "Co-Producer", "Executive Producer", "Vocal Producer", "Additional Production")
@@ -229,5 +229,43 @@ def sort_tracks(df: DataFrame, column: Column, descending: bool = False, missing
     return df.orderBy(value.desc_nulls_last() if descending else value.asc_nulls_first(), "title", "track_id")
 
 
+#: Ranks of the French levels by their exact names, and the order of statuses, in listings.
+FRENCH_RANKS = {name.title(): rank for name, rank in LEVEL_RANKS.items() if name not in ("diamond", "platinum", "gold")}
+STATUS_ORDER = ("complete", "partial", "disabled")
+
+
+def listing_key(column: str) -> Column:
+    """What a listing is sorted by, for each of its eleven columns; ascending, without nulls.
+
+    Texts are compared by Spark's collation that knows neither case nor accents, missing ones as ''. Missing dates come ahead
+    of all, missing tempi, durations and credits are 0, missing streams -1. Certifications go by their first one's rank, unknown
+    ones behind the known, tracks without any last; lyrics by whether there are any and then whether they are timed."""
+    text = lambda c: F.collate(F.coalesce(c, F.lit("")), "UNICODE_CI_AI")
+    level = F.col("certification")
+    keys = {
+        "title": lambda: text(F.col("title")),
+        "album": lambda: text(F.col("album")),
+        "artist": lambda: text(F.coalesce(F.nullif(F.col("primary_artist"), F.lit("")), F.col("artist"))),
+        "release_date": lambda: F.coalesce(F.to_date(flexible_date(F.col("release_date"))), F.to_date(F.lit("0001-01-01"))),
+        "credits": lambda: F.coalesce("credits", F.lit(0)),
+        "lyrics": lambda: F.struct(F.coalesce("has_lyrics", F.lit(False)).alias("a"), F.coalesce("synced", F.lit(False)).alias("b")),
+        "bpm": lambda: F.coalesce("bpm", F.lit(0)),
+        "duration": lambda: F.coalesce(duration_seconds(F.col("duration")), F.lit(0)),
+        "certification": lambda: F.when(level.isNull(), 12).otherwise(F.coalesce(*(F.when(level == name, rank) for name, rank in FRENCH_RANKS.items()), F.lit(11))),
+        "streams": lambda: F.coalesce(total_estimate(F.col("spotify_streams"), F.col("ytm_streams")), F.lit(-1)),
+        "status": lambda: F.coalesce(*(F.when(F.col("status") == s, k + 1) for k, s in enumerate(STATUS_ORDER)), F.lit(4)),
+    }
+    return keys[column]()
+
+
+LISTING = ("title", "album", "artist", "release_date", "credits", "lyrics", "bpm", "duration", "certification", "streams", "status")
+
+
+def listing(tracks: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """``tracks`` sorted by one of ``LISTING``'s columns; equals keep their order (``pos``) either way."""
+    key = listing_key(column)
+    return tracks.orderBy(key.desc() if descending else key.asc(), "pos")
+
+
 def newest_first(df: DataFrame, date: str) -> DataFrame:
     return df.orderBy(flexible_date(F.col(date)).desc_nulls_last())

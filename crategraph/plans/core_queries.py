@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from crategraph.functions import parse
 from crategraph.operators import accumulate, match, resolve, rollup, similar
 from crategraph.plans.catalog_queries import _OBS, ORACLE_SQL, _observations, query
 from crategraph.shared import table
@@ -159,3 +161,37 @@ def certification_audit(spark, d):
 def newest_days(spark, d):
     days = table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).distinct()
     return rollup.newest_first(days, "day").limit(30).select(F.to_date("day").alias("day"))
+
+
+_SUNG = (
+    "WITH RECURSIVE l AS (SELECT o_orderkey AS k, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS n, p_name AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey), "
+    "w AS (SELECT k, n, lower(t) AS w FROM l), "
+    # sung lines: as written, with a letter lost, or others; in order, or backwards for odd tracks
+    "u AS (SELECT k, (CASE WHEN k % 4 = 3 THEN 9 - n ELSE n END)::INT AS p, lower(CASE n % 4 WHEN 1 THEN left(t, 4) || substr(t, 6) WHEN 3 THEN 'na na na' ELSE t END) AS u FROM l WHERE k % 5 <> 0), "
+    "pairs AS (SELECT DISTINCT w AS a, u AS b FROM w JOIN u USING (k)), "
+)
+
+
+@query(
+    _SUNG
+    + similar.ratio_sql("pairs")
+    + ", m AS (SELECT w.k, w.n, list(p) FILTER (u = w) AS ex, list(p) FILTER (ratio >= 0.82) AS al FROM w JOIN u ON w.k = u.k JOIN alike ON alike.a = w AND alike.b = u GROUP BY 1, 2), "
+    "f(k, n, cur, start) AS (SELECT k, 0::BIGINT, 0, NULL::INT FROM orders JOIN (SELECT DISTINCT k FROM w) ON k = o_orderkey UNION ALL "
+    "SELECT k, n, coalesce(here + 1, cur), here FROM (SELECT f.k, f.n + 1 AS n, f.cur, coalesce(list_min([p FOR p IN ex IF p >= cur]), list_min([p FOR p IN al IF p >= cur])) AS here FROM f JOIN w ON w.k = f.k AND w.n = f.n + 1 LEFT JOIN m ON m.k = f.k AND m.n = f.n + 1)), "
+    "g AS (SELECT *, (SELECT max(p) FROM u WHERE u.k = f.k) AS last FROM f WHERE n > 0), "
+    "h AS (SELECT *, coalesce(min(start) OVER (PARTITION BY k ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), last) AS until FROM g) "
+    "SELECT k AS track_id, string_agg('[Part ' || n || CASE WHEN start IS NULL THEN '' ELSE '  ⏱ ' || (start * 10 // 60) || ':' || lpad((start * 10 % 60)::VARCHAR, 2, '0') || ' → ' || (until * 10 // 60) || ':' || lpad((until * 10 % 60)::VARCHAR, 2, '0') END || ']' || chr(10) || 'oh' || chr(10) || t, chr(10) ORDER BY n) AS annotated "
+    "FROM h JOIN l USING (k, n) GROUP BY k"
+)
+def annotated_sections(spark, d):
+    """Lyrics of a section for each line of an order, and timed lines that repeat, blur, drop or reverse them."""
+    lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    order = Window.partitionBy("track_id").orderBy("l_linenumber", "l_partkey", "l_quantity")
+    lines = lines.select(F.col("l_orderkey").alias("track_id"), F.col("p_name").alias("t"), "l_linenumber", "l_partkey", "l_quantity").withColumn("n", F.row_number().over(order))
+    n, k, t = F.col("n"), F.col("track_id"), F.col("t")
+    sung = F.when(n % 4 == 1, F.concat(F.left(t, F.lit(4)), F.substring(t, 6, 99))).when(n % 4 == 3, F.lit("na na na")).otherwise(t)
+    place = F.when(k % 4 == 3, 9 - n).otherwise(n)
+    line = F.when(k % 5 != 0, F.struct(place.alias("p"), F.concat(parse.lrc_line(place * 10_000, F.lit("")), sung).alias("x")))
+    made = lines.groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct("n", F.concat(F.lit("[Part "), n, F.lit("]\noh\n"), t).alias("x")))).alias("a"), F.sort_array(F.collect_list(line)).alias("b"))
+    join = lambda c: F.array_join(F.transform(c, lambda e: e["x"]), "\n")
+    return resolve.annotate_sections(made.select("track_id", join("a").alias("lyrics"), join("b").alias("lrc")))

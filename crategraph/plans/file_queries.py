@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from crategraph.operators import resolve, rollup
 from crategraph.plans.catalog_queries import query
-from crategraph.shared import scratch, table
+from crategraph.shared import scratch, settle, table
 from crategraph.sources import csv, markup, pages, sinks
 
 
@@ -44,16 +44,23 @@ def csv_export(spark, d):
     return spark.read.csv(path, header=True)
 
 
-@query("SELECT 2::BIGINT AS version, o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 3 = 2 UNION ALL SELECT 3, o_orderkey, o_totalprice + 1 FROM orders WHERE o_orderkey % 3 = 0")
+@query(
+    "SELECT step, o_orderkey, o_totalprice + CASE WHEN v = 3 THEN 1 ELSE 0 END AS o_totalprice FROM (VALUES ('newest', 4), ('after damage', 3), ('restored', 2), ('asked for', 3)) s(step, v) JOIN orders ON o_orderkey % 5 = v"
+)
 def table_versions(spark, d):
-    """Three versions are saved, the oldest is pruned; the two that are left are read."""
+    """Four versions are saved and the oldest is pruned. The newest is read; once rows were smuggled into it, the one before; after
+    going back, that one; and one by its number."""
     root = scratch(spark, "versions")
     orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    for version in (1, 2, 3):
-        sinks.save_version(orders.where(F.col("o_orderkey") % 3 == version % 3).withColumn("o_totalprice", F.col("o_totalprice") + F.lit(float(version == 3))), root, version)
-    sinks.prune_versions(spark, root, keep=2)
-    read = lambda v: sinks.load_version(spark, root, v)
-    return read(2).withColumn("version", F.lit(2).cast("long")).unionByName(read(None).withColumn("version", F.lit(3).cast("long")))
+    of = lambda version: orders.where(F.col("o_orderkey") % 5 == version).withColumn("o_totalprice", F.col("o_totalprice") + F.lit(float(version == 3)))
+    for version in (1, 2, 3, 4):
+        sinks.save_version(of(version), root, version)
+    sinks.prune_versions(spark, root, keep=3)
+    out = settle(sinks.load_version(spark, root)).withColumn("step", F.lit("newest"))
+    of(4).limit(1).write.mode("append").parquet(f"{root}/version=000004")
+    out = out.unionByName(sinks.load_version(spark, root).withColumn("step", F.lit("after damage")))
+    sinks.restore_version(spark, root, 2)
+    return out.unionByName(sinks.load_version(spark, root).withColumn("step", F.lit("restored"))).unionByName(sinks.load_version(spark, root, 3).withColumn("step", F.lit("asked for")))
 
 
 @query("SELECT p_partkey AS id, 0::BIGINT AS pos, p_name AS title, floor(p_retailprice)::BIGINT * 1000 AS streams, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_size * 1000 END::BIGINT AS daily, 'id' || p_partkey AS external_id, p_partkey % 4 = 0 AS is_feature FROM part WHERE p_partkey % 5 <> 0")
