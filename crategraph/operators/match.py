@@ -65,6 +65,7 @@ def unique_title_match(entries: DataFrame, tracks: DataFrame) -> DataFrame:
     return entries.where("title_key <> ''").join(lone(tracks.select("artist_id", "title_key", "track_id"), ["artist_id", "title_key"]), ["artist_id", "title_key"]).select("entry_id", "track_id")
 
 
+#: Fixed value: a title ahead of its featuring part.
 FEATURING = r"(?i)^(.+?)\s*[\(\[]?\s*\b(?:FEAT|FT|FEATURING)\b\.?"
 
 
@@ -224,11 +225,15 @@ def id_is_free(tracks: DataFrame, proposals: DataFrame) -> DataFrame:
     return first.select("track_id", "external_id", (F.col("first_key").isNull() | (F.col("first_key") == F.col("title_key"))).alias("free"))
 
 
+#: Fixed value: what parts the names of a collaboration.
+COLLABORATION = r"\s*(?:&|,|\+|\bet\b|\bx\b|\bfeat\.?\b|\bft\.?\b)\s*"
+
+
 def credited(df: DataFrame, artist_id: str = "artist_id", artist: str = "artist") -> DataFrame:
     """``df`` with ``credited``: the artist is among the featured or primary ids, or is exactly one of the names that a
     collaboration's name is made of."""
     ids = F.array_contains(F.concat(F.coalesce("featured_ids", F.array().cast("array<bigint>")), F.coalesce("primary_ids", F.array().cast("array<bigint>"))), F.col(artist_id))
-    parts = F.transform(F.split(F.lower("primary_name"), r"\s*(?:&|,|\+|\bet\b|\bx\b|\bfeat\b\.?|\bft\b\.?)\s*"), lambda x: F.trim(x))
+    parts = F.transform(F.split(F.lower("primary_name"), COLLABORATION), lambda x: F.trim(x))
     return df.withColumn("credited", F.coalesce(ids, F.lit(False)) | F.coalesce(F.array_contains(parts, F.lower(artist)), F.lit(False)))
 
 

@@ -31,11 +31,29 @@ def french_list_read(spark, d):
     return csv.french_list(spark, _lines(spark, d, header, line))
 
 
-@query("SELECT n_nationkey::VARCHAR AS id, n_name AS name, 'a;b,c' AS note FROM nation")
+@query("SELECT n_nationkey::VARCHAR AS id, n_name AS name, 'a;b,c' AS note, NULL::DATE AS day FROM nation")
 def probed_list(spark, d):
     return csv.probed(spark, _lines(spark, d, "id|name|note", F.concat_ws("|", "n_nationkey", "n_name", F.lit("a;b,c"))))
 
 
+@query(
+    "SELECT o_orderkey::VARCHAR AS \"Id\", 'Étoile ' || o_custkey || CASE o_orderkey % 3 WHEN 0 THEN ' ñ' WHEN 1 THEN ' 日本' ELSE ' -' END AS \"Nom\", CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') END AS \"Date de constat\", CASE WHEN o_orderkey % 3 = 2 THEN 'soon' END AS \"Release date\", CASE WHEN o_orderkey % 3 < 2 THEN o_orderdate::DATE END AS day FROM orders"
+)
+def dialect_lists(spark, d):
+    """Files of three kinds: Latin-1 with tabs, UTF-8 with mark, semicolons and NUL bytes, and plain with commas and quotes."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate")
+    kind = k % 3
+    name = F.concat(F.lit("Étoile "), "o_custkey", F.when(kind == 0, " ñ").when(kind == 1, " 日本").otherwise(" -"))
+    line = F.when(kind == 0, F.concat_ws("\t", k, name, F.date_format(day, "dd/MM/yyyy"))).when(kind == 1, F.concat_ws(";", k, F.concat(name, F.lit("\x00")), F.date_format(day, "yyyy-MM-dd"))).otherwise(F.concat(k, F.lit(',"'), name, F.lit('",soon')))
+    rows = table(spark, d, "orders").select((kind + 3 * (k % 5)).cast("int").alias("f"), k.alias("no"), line.alias("line"))
+    head = F.when(F.col("id") % 3 == 0, "Id\tNom\tDate de constat").when(F.col("id") % 3 == 1, "\ufeffId;Nom;Date de constat").otherwise("Id,Nom,Release date")
+    rows = rows.union(spark.range(15).select(F.col("id").cast("int"), F.lit(-1), head))
+    latin = F.when(F.col("f") % 3 == 0, F.encode("line", "ISO-8859-1").cast("string")).otherwise(F.col("line"))
+    path = scratch(spark, "lists")
+    rows.repartition("f").sortWithinPartitions("f", "no").select("f", latin.alias("line")).write.partitionBy("f").text(path)
+    return csv.probed(spark, f"{path}/f=*/*.txt", "date de CONSTAT")
+
+
 @query("SELECT c_custkey::VARCHAR AS id, c_mktsegment || '; x, ' || (c_nationkey % 3) AS tags, c_name AS name FROM customer")
 def csv_export(spark, d):
     path = scratch(spark, "export")
