@@ -36,13 +36,17 @@ def observations_by_track(spark, d):
     return e.join(known, "track_id").groupBy("track_id").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("event_id")), ",").alias("ids"))
 
 
-@query("SELECT n_nationkey AS id, CASE WHEN n_nationkey % 3 = 0 THEN 'a;b;\"x;y\";c' WHEN n_nationkey % 3 = 1 THEN 'a;b;x;c' ELSE 'a;\"q;q\";x;y;c' END AS line, n_nationkey % 3 = 0 AS was_repaired FROM nation")
+@query(
+    "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN p_brand || ';' || p_name || ';\"' || p_type || ';' || p_size || '\";x' WHEN 1 THEN p_brand || ';' || p_name || ';' || p_type || ';x' WHEN 2 THEN p_brand || ';\"a;b\";' || p_type || ';' || p_size || ';x' ELSE p_brand || ';' || p_name || ';\"' || p_type || ';;' || p_size || '\";' END AS line, p_partkey % 4 IN (0, 3) AS was_repaired FROM part"
+)
 def repaired_separators(spark, d):
-    k = F.col("n_nationkey")
-    line = F.when(k % 3 == 0, "a;b;x;y;c").when(k % 3 == 1, "a;b;x;c").otherwise('a;"q;q";x;y;c')
-    rows = table(spark, d, "nation").select(F.concat(F.lit("f"), k).alias("file"), F.explode(F.array(F.struct(F.lit(0).alias("no"), F.lit("h1;h2;h3;h4").alias("line")), F.struct(F.lit(1).alias("no"), line.alias("line")))).alias("r"))
-    out = csv_source.repaired(rows.select("file", "r.no", "r.line"))
-    return out.where("no = 1").select(F.substring("file", 2, 9).cast("int").alias("id"), "line", "was_repaired")
+    """A file for each brand: lines with one or two separators too many, as many as the header, and with quotes."""
+    k, brand, name, kind, size = F.col("p_partkey"), F.col("p_brand"), F.col("p_name"), F.col("p_type"), F.col("p_size").cast("string")
+    j = lambda *x: F.concat_ws(";", *x)
+    line = F.when(k % 4 == 0, j(brand, name, kind, size, F.lit("x"))).when(k % 4 == 1, j(brand, name, kind, F.lit("x"))).when(k % 4 == 2, j(brand, F.lit('"a;b"'), kind, size, F.lit("x"))).otherwise(j(brand, name, kind, F.lit(""), size, F.lit("")))
+    p = table(spark, d, "part")
+    rows = p.select(brand.alias("file"), (k + 1).alias("no"), line.alias("line")).union(p.select(brand, F.lit(0), F.lit("h1;h2;h3;h4")).distinct())
+    return csv_source.repaired(rows).where("no > 0").select((F.col("no") - 1).alias("id"), "line", "was_repaired")
 
 
 @query("SELECT p_partkey AS id, upper(replace(p_brand, '#', ' ')) AS artist_clean, upper(p_name) AS title_clean, 'single' AS cat, CASE WHEN p_partkey % 2 = 0 THEN p_size || 'x Platinum' ELSE 'Gold' END AS level, CASE WHEN p_partkey % 2 = 0 THEN '2017-10-17' ELSE '' END AS date, CASE WHEN p_partkey % 2 = 0 THEN 'US' ELSE 'FR' END AS country FROM part")
@@ -53,24 +57,37 @@ def unified_lists(spark, d):
     return both.select(F.col("detail_url").cast("bigint").alias("id"), "artist_clean", "title_clean", "cat", "level", "date", "country")
 
 
-@query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS updated, 'A' AS artists_updated, event_id AS count FROM events")
+@query(
+    "SELECT event_id, CASE WHEN event_id % 4 <> 3 THEN strftime(greatest(ts::DATE, CASE WHEN event_id % 4 = 1 THEN DATE '2024-01-20' ELSE ts::DATE END), '%Y-%m-%d') END AS updated, CASE WHEN event_id % 3 = 0 THEN event_type END AS artists_updated, CASE event_id % 5 WHEN 0 THEN NULL ELSE event_id END AS count FROM events"
+)
 def sidecar_freshness(spark, d):
-    day = F.date_format("ts", "yyyy-MM-dd")
-    made = F.to_json(F.create_map(F.lit("last_update"), day, F.lit("first_update"), F.lit("1900-01-01"), F.lit("artists_last_update"), F.lit("A"), F.lit("total_records"), F.col("event_id").cast("string")))
-    return table(spark, d, "events").withColumn("f", csv_source.sidecar_freshness(made)).select("event_id", "f.*")
+    """The later of two stamps or the one or none, the artists' stamp or none, and the count under either name, none, or no number."""
+    day, k = F.date_format("ts", "yyyy-MM-dd"), F.col("event_id")
+    some = F.map_filter(
+        F.create_map(F.lit("last_update"), F.when(k % 4 != 3, day), F.lit("update_date"), F.when(k % 4 == 1, "2024-01-20"), F.lit("artists_last_update"), F.when(k % 3 == 0, F.col("event_type")), F.lit("total_records"), F.when(k % 5 < 3, F.when(k % 5 != 0, k.cast("string")).otherwise("many")), F.lit("count"), F.when(k % 5 >= 3, k.cast("string"))),
+        lambda _, v: v.isNotNull(),
+    )
+    return table(spark, d, "events").withColumn("f", csv_source.sidecar_freshness(F.to_json(some))).select("event_id", "f.*")
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{\"id\":' || event_id || '}' WHEN 1 THEN '{\"id\":' || event_id || '}' WHEN 2 THEN '{\"id\":' || event_id || '}' ELSE '{\"id\":' || event_id || '}' END AS track FROM events")
+@query("SELECT event_id, CASE event_id % 7 WHEN 4 THEN NULL WHEN 5 THEN NULL WHEN 6 THEN NULL ELSE event_type || ':' || user_id END AS track FROM events")
 def reply_unwrap(spark, d):
-    one = F.concat(F.lit('{"id":'), "event_id", F.lit("}"))
-    n = F.col("event_id") % 4
-    made = F.when(n == 0, F.concat(F.lit("["), one, F.lit("]"))).when(n == 1, F.concat(F.lit('{"content":['), one, F.lit("]}"))).when(n == 2, F.concat(F.lit('{"content":'), one, F.lit("}"))).otherwise(one)
-    return table(spark, d, "events").select("event_id", json_source.first_track(made).alias("track"))
+    """A reply is an object, a list, or either within content; empty lists, broken texts and nulls hold no track."""
+    one = F.to_json(F.struct(F.col("event_type").alias("kind"), F.col("user_id").alias("id")))
+    other = F.lit('{"kind":"other","id":0}')
+    n = F.col("event_id") % 7
+    made = F.when(n == 0, F.concat(F.lit("["), one, F.lit(","), other, F.lit("]"))).when(n == 1, F.concat(F.lit('{"content":['), one, F.lit(","), other, F.lit("]}"))).when(n == 2, F.concat(F.lit('{"content":'), one, F.lit("}"))).when(n == 3, one).when(n == 4, F.lit("[]")).when(n == 5, F.concat(F.lit("{"), one))
+    track = json_source.first_track(made)
+    return table(spark, d, "events").select("event_id", F.concat(F.get_json_object(track, "$.kind"), F.lit(":"), F.get_json_object(track, "$.id")).alias("track"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'u' || event_id END AS url FROM events")
+@query("SELECT event_id, CASE WHEN event_type = 'view' THEN NULL WHEN event_id % 5 = 0 THEN NULL ELSE event_type || '/' || event_id END AS url FROM events")
 def media_urls(spark, d):
-    made = F.concat(F.lit('[{"provider":"'), F.when(F.col("event_id") % 2 == 0, "youtube").otherwise("other"), F.lit('","url":"u'), "event_id", F.lit('"}]'))
+    """The url of the provider that is asked for, wherever it is in the list; views lack it, some lists are broken."""
+    item = lambda who, url: F.to_json(F.struct(who.alias("provider"), url.alias("url")))
+    own = item(F.when(F.col("event_type") == "view", "spotify").otherwise("youtube"), F.concat_ws("/", "event_type", "event_id"))
+    other = item(F.lit("soundcloud"), F.concat(F.lit("s/"), F.col("user_id")))
+    made = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("["), own)).when(F.col("event_id") % 2 == 0, F.concat(F.lit("["), other, F.lit(","), own, F.lit("]"))).otherwise(F.concat(F.lit("["), own, F.lit("]")))
     return table(spark, d, "events").select("event_id", json_source.media_url(made, "youtube").alias("url"))
 
 
@@ -278,10 +295,12 @@ def homonym_choice(spark, d):
     return resolve.homonym_choice(c, "q")
 
 
-@query("WITH f AS (SELECT user_id, bool_and(event_type = 'error') AS x FROM events WHERE event_type IN ('error', 'view') GROUP BY 1) SELECT c_custkey AS track_id, CASE WHEN coalesce(x, false) THEN NULL ELSE 120 END AS bpm FROM customer LEFT JOIN f ON user_id = c_custkey")
+@query("WITH f AS (SELECT user_id, bool_and(event_type = 'error') AS x FROM events GROUP BY 1) SELECT c_custkey AS track_id, CASE WHEN coalesce(x, false) THEN NULL ELSE 120 END AS bpm FROM customer LEFT JOIN f ON user_id = c_custkey")
 def failure_clearing(spark, d):
+    """Errors failed, views and clicks succeeded, signups and purchases were skipped, which blocks."""
     tracks = table(spark, d, "customer").select(F.col("c_custkey").alias("track_id"), F.lit(120).alias("bpm"))
-    tries = table(spark, d, "events").where("event_type IN ('error', 'view')").select(F.col("user_id").alias("track_id"), (F.col("event_type") != "error").alias("ok"))
+    kind = F.col("event_type")
+    tries = table(spark, d, "events").select(F.col("user_id").alias("track_id"), F.when(kind == "error", False).when(~kind.isin("signup", "purchase"), True).alias("ok"))
     return resolve.clear_after_failure(tracks, tries)
 
 
@@ -338,17 +357,26 @@ def timed_lines(spark, d):
     return table(spark, d, "part").select(k.alias("id"), F.get(lines, F.lit(0))["at"].alias("at"), F.get(lines, F.lit(0))["text"].alias("txt"), F.size(lines).alias("n"))
 
 
-@query("SELECT p_partkey AS id, '2019-03-12:' || p_size || 'x Platine|2018-02-01:Or' AS pairs FROM part")
+@query(
+    "WITH t AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') || ':' || (o_custkey % 9) || 'x Platine' END AS a, CASE WHEN o_orderkey % 3 <> 0 THEN strftime(o_orderdate - INTERVAL 400 DAY, '%Y-%m-%d') || ':' || o_orderstatus END AS b FROM orders) "
+    "SELECT id, concat_ws('|', a, b) AS pairs FROM t"
+)
 def dated_levels(spark, d):
-    made = F.concat(F.lit("12/03/2019 : "), "p_size", F.lit("x Platine 01/02/2018 : Or 99/99/2018 : Or"))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(F.transform(parse.dated_levels(made), lambda x: F.concat_ws(":", x["date"], x["level"])), "|").alias("pairs"))
+    """Runs of one or two days with their levels, or none, and a day that doesn't exist."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate")
+    one = F.when(k % 4 != 0, F.concat(F.date_format(day, "dd/MM/yyyy"), F.lit(" :"), F.col("o_custkey") % 9, F.lit("x Platine")))
+    two = F.when(k % 3 != 0, F.concat(F.date_format(F.date_sub(day, 400), "dd/MM/yyyy"), F.lit(": "), "o_orderstatus"))
+    made = F.concat_ws(" ", one, two, F.lit("99/99/2018 : Or"))
+    return table(spark, d, "orders").select(k.alias("id"), F.array_join(F.transform(parse.dated_levels(made), lambda x: F.concat_ws(":", x["date"], x["level"])), "|").alias("pairs"))
 
 
-@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'major' ELSE 'minor' END AS mode, CASE WHEN p_partkey % 3 = 0 THEN 'C#' END AS key, p_size AS beats FROM part")
+@query("SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'major' WHEN 1 THEN 'minor' END AS mode, CASE WHEN p_partkey % 5 < 3 THEN ['C#', 'Eb', 'F♯/', 'G♭', 'A#'][p_size % 5 + 1] END AS key, CASE WHEN p_partkey % 7 <> 0 THEN p_size END AS beats FROM part")
 def song_details(spark, d):
-    k = F.col("p_partkey")
-    made = F.concat(F.when(k % 2 == 0, "a Major mode").otherwise("key and a minor mode"), F.when(k % 3 == 0, " with a C# key").otherwise(""), F.lit(" time signature of "), "p_size", F.lit(" beats per bar"))
-    return table(spark, d, "part").select(k.alias("id"), parse.song_details(made).alias("x")).select("id", "x.*")
+    k, s = F.col("p_partkey"), F.col("p_size")
+    mode = F.when(k % 3 == 0, " has a key and a Major mode.").when(k % 3 == 1, " is sung in minor  mode").otherwise(" is sung in a mode")
+    key = F.when(k % 5 < 3, F.concat(F.lit(" It goes with a "), F.get(F.array(*map(F.lit, ("C#", "Eb", "F♯/", "G♭", "A#"))), (s % 5).cast("int")), F.lit(" key."))).otherwise(" It goes with a C key.")
+    beats = F.when(k % 7 != 0, F.concat(F.lit(" It has a time signature of "), s, F.when(s == 1, " beat").otherwise(" beats"), F.lit(" per bar."))).otherwise(" No time signature.")
+    return table(spark, d, "part").select(k.alias("id"), parse.song_details(F.concat("p_name", mode, key, beats)).alias("x")).select("id", "x.*")
 
 
 @query("SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 1 THEN 70 - p_size WHEN p_size > 10 THEN 2.0 * (p_size - 10) ELSE 10 - p_size END::DOUBLE AS err FROM part")
@@ -363,16 +391,24 @@ def duration_checks(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), resolve.duration_agrees(F.col("p_size"), F.lit(25)).alias("agrees"))
 
 
-@query("SELECT p_partkey AS id, least(1.0, 0.4 + CASE WHEN p_partkey % 2 = 0 THEN 0.4 ELSE 0 END + CASE WHEN p_partkey % 2 = 0 THEN 0.2 ELSE 0.1 END)::DOUBLE AS score FROM part")
+@query(
+    "WITH t AS (SELECT p_partkey AS id, p_brand AS artist, p_name AS title, lower(CASE p_partkey % 5 WHEN 0 THEN p_brand || ' - ' || p_name WHEN 1 THEN p_name || ' (live)' WHEN 2 THEN 'by ' || p_brand WHEN 3 THEN split_part(p_name, ' ', 2) || ' mix' END) AS x FROM part), "
+    "s AS (SELECT id, x, CASE WHEN contains(x, lower(artist)) THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN contains(x, lower(title)) THEN 0.4::DOUBLE ELSE 0 END + 0.1::DOUBLE * len([w FOR w IN string_split(lower(artist), ' ') IF length(w) > 2 AND contains(x, w)]) + 0.1::DOUBLE * len([w FOR w IN string_split(lower(title), ' ') IF length(w) > 2 AND contains(x, w)]) AS n FROM t) "
+    "SELECT id, CASE WHEN x IS NULL THEN 0.5::DOUBLE ELSE round(least(1.0::DOUBLE, n), 9) END AS score FROM s"
+)
 def containment_scores(spark, d):
-    k = F.col("p_partkey")
-    return table(spark, d, "part").select(k.alias("id"), F.round(text.containment_score(F.lit("Ann"), F.lit("Sunrise"), F.when(k % 2 == 0, "ann - sunrise").otherwise("ann - moon")), 9).alias("score"))
+    k, brand, name = F.col("p_partkey"), F.col("p_brand"), F.col("p_name")
+    heard = F.when(k % 5 == 0, F.concat(brand, F.lit(" - "), name)).when(k % 5 == 1, F.concat(name, F.lit(" (live)"))).when(k % 5 == 2, F.concat(F.lit("by "), brand)).when(k % 5 == 3, F.concat(F.substring_index(name, " ", -1), F.lit(" mix")))
+    return table(spark, d, "part").select(k.alias("id"), F.round(text.containment_score(brand, name, heard), 9).alias("score"))
 
 
-@query("SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'L''amour ' WHEN 1 THEN 'Cœur ' WHEN 2 THEN 'DON''T ' ELSE 'Quoi ? ' END || p_name AS fixed FROM part")
+@query(
+    "SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'L''' || p_name WHEN 1 THEN 'Cœur de ' || p_name WHEN 2 THEN upper(p_name) || ' DON''T' WHEN 3 THEN p_name || ' ?' WHEN 4 THEN 'SŒURS ' || p_name || ' jusqu''au bout' ELSE 'Quoi ? ' || p_name || '?' END AS fixed FROM part"
+)
 def restored_marks(spark, d):
-    k = F.col("p_partkey") % 4
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.restore_marks(F.concat(F.when(k == 0, "L?amour ").when(k == 1, "C?ur ").when(k == 2, "DON?T ").otherwise("Quoi ? "), "p_name")).alias("fixed"))
+    k, name = F.col("p_partkey") % 6, F.col("p_name")
+    lost = F.when(k == 0, F.concat(F.lit("L?"), name)).when(k == 1, F.concat(F.lit("C?ur de "), name)).when(k == 2, F.concat(F.upper(name), F.lit(" DON?T"))).when(k == 3, F.concat(name, F.lit(" ?"))).when(k == 4, F.concat(F.lit("S?URS "), name, F.lit(" jusqu?au bout"))).otherwise(F.concat(F.lit("Quoi ? "), name, F.lit("?")))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.restore_marks(lost).alias("fixed"))
 
 
 @query("SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS p, replace(format('{:,}', l_partkey * 1000), ',', ' ') || ' ~Sp' AS shown FROM lineitem")
@@ -387,10 +423,15 @@ def certification_days(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), catalog.days_to(day, F.when(F.col("o_orderkey") % 2 == 0, "2005-01-01").otherwise("1990-01-01")).alias("days"), F.array_join(F.transform(catalog.milestones(day, entries), lambda x: F.concat_ws(":", x["level"], x["days"].cast("string"))), "|").alias("reached"))
 
 
-@query("SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 50000 WHEN 1 THEN 500000 ELSE 0 END AS units, CASE p_partkey % 3 WHEN 0 THEN p_size || 'x Platinum' WHEN 1 THEN 'Platinum' ELSE 'Gold' END AS plain FROM part")
+@query(
+    "WITH t AS (SELECT p_partkey AS id, ['Or', 'Double Or', 'Platine', 'Double Platine', 'Triple Platine', 'Diamant', 'Gold'][p_size % 7 + 1] AS level, CASE WHEN p_partkey % 2 = 0 THEN 'Albums' ELSE 'Singles' END AS cat, p_partkey, p_size, p_name FROM part) "
+    "SELECT id, CASE WHEN cat = 'Albums' THEN [50000, 100000, 100000, 200000, 300000, 500000, 0][p_size % 7 + 1] ELSE [15000000, 0, 30000000, 0, 0, 50000000, 0][p_size % 7 + 1] END AS units, CASE p_partkey % 4 WHEN 0 THEN p_size || 'x Platinum' WHEN 1 THEN 'Platinum' WHEN 2 THEN p_name ELSE 'Gold' END AS plain FROM t"
+)
 def level_thresholds(spark, d):
-    k = F.col("p_partkey") % 3
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), catalog.threshold(F.when(k == 0, "Or").when(k == 1, "Diamant").otherwise("Gold"), F.lit("Albums")).alias("units"), catalog.plain_us_level(F.when(k == 0, F.concat("p_size", F.lit("x multi-platinum"))).when(k == 1, "Multi-Platinum").otherwise(" Gold")).alias("plain"))
+    k, s = F.col("p_partkey"), F.col("p_size")
+    level = F.get(F.array(*map(F.lit, ("Or", "Double Or", "Platine", "Double Platine", "Triple Platine", "Diamant", "Gold"))), (s % 7).cast("int"))
+    us = F.when(k % 4 == 0, F.concat(s, F.lit("x multi-platinum"))).when(k % 4 == 1, "Multi-Platinum").when(k % 4 == 2, F.col("p_name")).otherwise("Gold")
+    return table(spark, d, "part").select(k.alias("id"), catalog.threshold(level, F.when(k % 2 == 0, "Albums").otherwise("Singles")).alias("units"), catalog.plain_us_level(us).alias("plain"))
 
 
 @query("SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'audio' WHEN 1 THEN 'show' WHEN 2 THEN 'clip' ELSE 'unknown' END AS kind, p_partkey % 4 < 2 AS auto FROM part")
