@@ -147,7 +147,7 @@ def apply_to_tracks(tracks: DataFrame, resolved: DataFrame, by: str = "track_id"
 
 def sync_error(lrc: Column, duration: Column) -> Column:
     """Twice what the last line overshoots the duration by, or what it falls short; null if either is unknown."""
-    last = F.element_at(parse.timed_lines(lrc), -1)["at"]
+    last = F.try_element_at(parse.timed_lines(lrc), F.lit(-1))["at"]
     gap = last - duration.cast("double")
     return F.when(F.size(parse.timed_lines(lrc)) > 0, F.when(duration > 0, F.when(gap > 0, gap * 2).otherwise(duration.cast("double") - last)))
 
@@ -171,7 +171,7 @@ def cross_check(df: DataFrame, first: str = "lrclib", second: str = "ytmusic", d
     df = df.withColumn("__offs", F.when(has(first) & has(second), line_offsets(F.col(first), F.col(second))))
     n = F.size("__offs")
     df = df.withColumn("__mid", F.when(n >= 3, F.get(F.array_sort("__offs"), F.floor(n / 2).cast("int"))))
-    spread = F.aggregate(F.transform("__offs", lambda x: F.abs(x - F.col("__mid"))), F.lit(0.0), lambda a, x: a + x) / n
+    spread = F.aggregate(F.transform("__offs", lambda x: F.abs(x - F.col("__mid"))), F.lit(0.0), lambda a, x: a + x) / F.nullif(n, F.lit(0))
     agree = F.coalesce((F.abs("__mid") <= 2.0) & (spread <= 1.5), F.lit(False))
     one, two = sync_error(F.col(first), F.col(duration)), sync_error(F.col(second), F.col(duration))
     pick = F.when(has(first) & ~has(second), 1).when(has(second) & ~has(first), 2).when(has(first) & has(second), F.when(~agree & F.coalesce(two < one, F.lit(False)), 2).otherwise(1))

@@ -11,6 +11,7 @@ from crategraph.functions import catalog, text
 from crategraph.operators import accumulate, quality, resolve, rollup, similar
 from crategraph.plans.catalog_queries import query
 from crategraph.shared import scratch, table
+from crategraph.sources import csv
 
 # a feed of one to three rows for some customers and for no one, applied in the order of the orders
 _FEED = (
@@ -150,3 +151,63 @@ def relevance_scores(spark, d):
     artists = F.when(k % 4 != 0, F.array(F.left("p_type", F.lit(4)), F.lit("Nobody")))
     score = text.relevance(F.upper(got), artists, n, F.col("p_type"))
     return table(spark, d, "part").select(k.alias("id"), F.round(score, 6).alias("score"))
+
+
+@query(
+    "WITH t AS (SELECT c_custkey AS k, 100 + c_custkey % 50 AS v, CASE WHEN c_custkey % 10 < 5 THEN 15 ELSE 19 END AS d FROM customer) "
+    "SELECT k AS track_id, 'bpm' AS field, CASE WHEN k % 4 = 0 THEN 60 + k % 120 WHEN k % 3 = 0 THEN v ELSE 90 END::VARCHAR AS value, CASE WHEN k % 4 = 0 THEN 'manual' WHEN k % 3 = 0 THEN 'reccobeats' ELSE 'legacy' END AS source, CASE WHEN k % 4 = 0 THEN 0.9 WHEN k % 3 = 0 THEN 1.0 END::DOUBLE AS confidence, "
+    "CASE WHEN k % 4 = 0 THEN NULL WHEN k % 3 = 0 THEN CASE WHEN v // 2 >= 55 THEN v // 2 END ELSE 45 END::VARCHAR AS alt FROM t WHERE k % 4 = 0 OR k % 3 = 0 OR k % 5 = 0 "
+    "UNION ALL SELECT k, 'lyrics_synced', CASE s WHEN 'LRCLIB' THEN '[00:10.00] a' WHEN 'YouTube Music' THEN '[00:20.00] b' ELSE '[00:30.00] c' END, s, 1.0, NULL FROM (SELECT k, CASE WHEN k % 2 = 0 AND (k % 3 <> 0 OR d = 15) THEN 'LRCLIB' WHEN k % 3 = 0 THEN 'YouTube Music' WHEN k % 7 <> 0 THEN 'Musixmatch' END AS s FROM t) WHERE s IS NOT NULL "
+    "UNION ALL SELECT k, 'release_date', '2001-01-02', 'manual', 0.8, NULL FROM t WHERE k % 6 = 0"
+)
+def reconciled_by_hand(spark, d):
+    """Tempi set by hand, voted and of old, and timed lyrics of three services, reconciled together."""
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+
+    def said(keep, field: str, value, source: str, n: int, confidence=None) -> DataFrame:
+        return c.where(keep).select(k.alias("track_id"), (k * 10 + n).alias("obs_id"), F.lit(field).alias("field"), F.lit(value).cast("string").alias("value") if isinstance(value, (str, int)) else value.cast("string").alias("value"), F.lit(source).alias("source"), F.lit(confidence).cast("double").alias("confidence"))
+
+    some = [
+        said(k % 4 == 0, "bpm", 60 + k % 120, "manual", 5, 0.9), said(k % 3 == 0, "bpm", 100 + k % 50, "reccobeats", 1, 0.7), said(k % 5 == 0, "bpm", 90, "legacy", 2), said(k % 5 == 0, "bpm_alt", 45, "legacy", 3),
+        said(k % 2 == 0, "lyrics_synced", "[00:10.00] a", "lrclib", 6), said(k % 3 == 0, "lyrics_synced", "[00:20.00] b", "ytmusic", 7), said(k % 7 != 0, "lyrics_synced", "[00:30.00] c", "musixmatch", 8),
+        said(k % 6 == 0, "release_date", "2001-01-02", "manual", 4, 0.8), said(k % 6 == 0, "release_date", "1999-01-02", "deezer", 9, 0.8),
+    ]
+    durations = c.select(k.alias("track_id"), F.when(k % 10 < 5, 15.0).otherwise(19.0).alias("duration"))
+    return resolve.reconcile(reduce(DataFrame.unionAll, some), durations).select("track_id", "field", "value", "source", "confidence", "alt")
+
+
+@query(
+    "WITH p AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 3 <> 0 THEN p_name END AS title, CASE WHEN p_partkey % 4 <> 0 THEN p_size END AS bpm FROM part) "
+    "SELECT CASE WHEN a.k % 5 = 0 THEN b.k ELSE a.k END AS track_id, CASE WHEN a.k % 5 = 0 THEN coalesce(b.title, a.title) ELSE coalesce(a.title, b.title) END AS title, CASE WHEN a.k % 5 = 0 THEN coalesce(b.bpm, a.bpm) ELSE coalesce(a.bpm, b.bpm) END AS bpm FROM p a JOIN p b ON b.k = a.k + 1 WHERE a.k % 2 = 0"
+)
+def merged_gaps(spark, d):
+    """Neighbouring parts as duplicate pairs: the kept one's gaps are filled from the other."""
+    k = F.col("p_partkey")
+    p = table(spark, d, "part").select(k.alias("track_id"), F.when(k % 3 != 0, F.col("p_name")).alias("title"), F.when(k % 4 != 0, F.col("p_size")).alias("bpm"))
+    pairs = p.where("track_id % 2 = 0").alias("a").join(p.alias("b"), F.col("b.track_id") == F.col("a.track_id") + 1)
+    pairs = pairs.withColumn("keep_id", F.when(F.col("a.track_id") % 5 == 0, F.col("b.track_id")).otherwise(F.col("a.track_id")))
+    return rollup.filled_from(pairs, ["title", "bpm"])
+
+
+@query(
+    "WITH n AS (SELECT lower(trim(s_name)) AS member, count(DISTINCT l_orderkey) AS tracks FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1) SELECT member, round(1.0::DOUBLE + 3.0::DOUBLE * sqrt(tracks / (SELECT max(tracks) FROM n)), 6) AS size FROM n"
+)
+def node_sizes(spark, d):
+    credits = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    named = credits.select(F.col("l_orderkey").alias("track_id"), F.col("s_name").alias("name"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
+    nodes = rollup.collaboration_nodes(rollup.members(named, F.lower(F.trim("name"))))
+    return nodes.select("member", F.round(rollup.node_scale(F.col("tracks"), nodes.agg(F.max("tracks")).scalar()), 6).alias("size"))
+
+
+@query("SELECT p_brand AS artist, p_name AS title, '' AS publisher, '' AS category, p_type AS level, '' AS release_date, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_partkey::VARCHAR END AS certification_date FROM part")
+def renamed_headers(spark, d):
+    """Columns under other spellings of the French list's headers, and some that are missing."""
+    k = F.col("p_partkey")
+    odd = table(spark, d, "part").select(F.col("p_brand").alias("INTERPRETE "), F.col("p_name").alias("titre"), F.col("p_type").alias("certification"), F.when(k % 3 != 0, k).alias("date-de constat"), F.lit(1).alias("other"))
+    return csv.with_headers(odd, csv.FRENCH_HEADERS)
+
+
+@query("SELECT count(*) AS rows, max(o_orderdate)::DATE AS last, date_diff('day', max(o_orderdate)::DATE, DATE '2003-04-05') AS days FROM orders")
+def list_freshness(spark, d):
+    fresh = quality.freshness(table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")), "day", F.lit("2003-04-05").cast("date"))
+    return fresh.select("rows", "last", F.col("days").cast("bigint").alias("days"))
