@@ -4,7 +4,8 @@ Texts are lower-cased (A-Z) and cut into runs of letters and digits. A mask is a
 positions that don't; the hash of the counted words of every window joins documents with benchmark items, so one substituted
 word in a window does not hide it. Each hit fixes an alignment without gaps; along it the best-scoring segment (+1 for an
 equal word, -2 for a different one) is verified: at least ``min_matches`` equal words, or four fifths of a shorter item, at
-an identity of ``min_identity`` or more.
+an identity of ``min_identity`` or more. Items too short for the masks have seeds of all their words but one, so that for
+them nothing that this rule accepts is lost.
 
 The benchmark is a query set: it is taken in blocks of at most ``block_words`` words, each of which travels to the tasks as
 a sorted seed table, and every document is held against every block where it lies. No text is shuffled.
@@ -33,7 +34,11 @@ class Seeds:
     """Words and seed table of a block of benchmark items."""
 
     def __init__(self, ids: list, texts: list[str], masks: tuple[str, ...], min_item_words: int):
-        self.ids, self.offsets = ids, [[int(k) for k, c in enumerate(m) if c == "1"] for m in masks]
+        self.offsets = [[int(k) for k, c in enumerate(m) if c == "1"] for m in masks]
+        same: dict[str, list] = {}  # items of one text are verified once
+        for i, t in zip(ids, texts):
+            same.setdefault(t, []).append(i)
+        self.ids, texts = list(same.values()), list(same)
         self.spans = [len(m) for m in masks]
         parts, counts = [], []
         for chunk in T.chunks(pa.array(texts, pa.string())):
@@ -51,12 +56,17 @@ class Seeds:
             keep = good[at]
             hashes.append(h[keep])
             places.append(at[keep])
-        # an item shorter than a mask has its exact beginning of min_item_words words as a seed
-        self.short = min_item_words
-        short = np.flatnonzero((self.counts >= min_item_words) & (self.counts < max(self.spans)))
-        begin = self.first[short]
-        hashes.append(self._fold(self.words, begin, range(min_item_words), 99))
-        places.append(begin)
+        # an item shorter than the longest mask is found by all of its words but one, if one may differ, else by all
+        self.kinds: list[tuple[int, ...]] = []
+        for n in range(min_item_words, max(self.spans)):
+            begin = self.first[:-1][self.counts == n]
+            for left_out in range(n) if len(begin) and n - -(-4 * n // 5) else [None] if len(begin) else []:
+                kept = [k for k in range(n) if k != left_out]
+                kind = tuple(k - kept[0] for k in kept)
+                if kind not in self.kinds:
+                    self.kinds.append(kind)
+                places.append(begin + kept[0])
+                hashes.append(self._fold(self.words, places[-1], kind, 99 + self.kinds.index(kind)))
         h, at = np.concatenate(hashes), np.concatenate(places)
         order = np.argsort(h, kind="stable")
         self.hash, self.place, self.item = h[order], at[order], item[at[order]]
@@ -85,13 +95,14 @@ class Seeds:
         """Distinct (text, item, diagonal) of all seed hits in a chunk; diagonal: text position less item position."""
         found = []
         first = w.first
-        for k in range(len(self.spans) + 1):
+        for k in range(len(self.spans) + len(self.kinds)):
             if k < len(self.spans):
                 h, at = self._windows(w.hash, w.doc, k)
             else:
-                n = max(0, len(w.hash) - self.short + 1)
-                at = np.flatnonzero(w.doc[:n] == w.doc[self.short - 1 : self.short - 1 + n]) if n else np.zeros(0, np.int64)
-                h = self._fold(w.hash, at, range(self.short), 99)
+                kind = self.kinds[k - len(self.spans)]
+                n = max(0, len(w.hash) - kind[-1])
+                at = np.flatnonzero(w.doc[:n] == w.doc[kind[-1] : kind[-1] + n]) if n else np.zeros(0, np.int64)
+                h = self._fold(w.hash, at, kind, 99 + k - len(self.spans))
             maybe = np.flatnonzero(self.bits[(h >> T.U64(42)).astype(np.int64)])
             h, at = h[maybe], at[maybe]
             lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
@@ -152,7 +163,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                 for chunk in T.chunks(batch.column(1)):
                     rows = seeds.verify(T.words(chunk, T.PUNCTUATION, lower=True), min_matches, min_identity)
                     if rows:
-                        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (ids[chunk.first + d].as_py(), seeds.ids[i], *rest))) for d, i, *rest in rows], schema)
+                        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (ids[chunk.first + d].as_py(), item, *rest))) for d, i, *rest in rows for item in seeds.ids[i]], schema)
 
         found = narrow.mapInArrow(find, SCHEMA)
         out = found if out is None else out.unionAll(found)
