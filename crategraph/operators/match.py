@@ -36,7 +36,7 @@ def staged_match(entries: DataFrame, tracks: DataFrame, memory: DataFrame | None
     by_id = ids.groupBy("entry_id").agg(F.min("track_id").alias("track_id"))
     rest = e.join(by_id.select("entry_id"), "entry_id", "left_anti").where("title_key <> ''")
     same = rest.join(t.select("artist_id", "title_key", "track_id", "primary_key"), ["artist_id", "title_key"])
-    same = same.withColumn("n", F.count("*").over(Window.partitionBy("entry_id")))
+    same = settle(same.withColumn("n", F.count("*").over(Window.partitionBy("entry_id"))))
     names = lambda c: (F.col("primary_key") == c) | F.contains(c, F.col("primary_key")) | F.contains(F.col("primary_key"), c)
     credited = lone(same.where((F.col("n") > 1) & F.exists(F.coalesce("credited", F.array().cast("array<string>")), names)), "entry_id")
     by_title = row(same.where("n = 1"), "title").unionAll(row(credited, "credited"))
@@ -47,6 +47,7 @@ def staged_match(entries: DataFrame, tracks: DataFrame, memory: DataFrame | None
     w = Window.partitionBy("entry_id").orderBy(F.desc("score"), "track_id")
     sure = F.count_if(F.col("score") >= SURE).over(Window.partitionBy("entry_id"))  # of the best two
     best = scored.withColumns({"r": F.row_number().over(w), "next": F.lead("score").over(w), "sure": sure}).where("r = 1")
+    best = settle(best.select("entry_id", "artist_id", "title_key", "track_id", "score", "next", "sure"))  # read three times below
     fuzzy = best.where("sure = 1")
     lead = F.col("next").isNull() | (F.col("score") - F.col("next") >= LEAD)
     maybe = best.where((F.col("score") >= MAYBE) & (F.col("score") < SURE) & lead)

@@ -2,7 +2,8 @@
 
 ``nearest`` gives each left text its best partners under the similarity ratio. Two texts that match in M characters share M
 letters at least, so 2 * shared letters / total letters bounds their ratio; partners are tried by falling bound until it drops
-below the worst one kept, and nothing is lost. A block is cut into squares of ``side`` by ``side`` texts, so that no task
+below the worst one kept, and nothing is lost. What matches is a common subsequence, too, whose greatest length gives a closer
+bound for texts of up to 63 letters. A block is cut into squares of ``side`` by ``side`` texts, so that no task
 holds more than ``side`` squared pairs; small blocks share a task. ``containing`` looks a text up by its rarest piece of four
 characters among the pieces of the texts that may contain it, so that what meets is little more than what fits.
 """
@@ -33,23 +34,58 @@ def letter_counts(texts: list[str]) -> np.ndarray:
     return out
 
 
-def best_of(text: str, counts: np.ndarray, partners: list[str], ids: list, held: np.ndarray, floor: float, keep: int, above: bool) -> list[tuple[float, object]]:
-    """Up to ``keep`` (score, id) of the partners at ``floor`` or more, by falling score and rising id."""
-    if not partners:
-        return []
-    total = np.array([len(x) for x in partners]) + len(text)
-    bound = np.where(total == 0, 1.0, 2.0 * np.minimum(held, counts).sum(1) / np.maximum(total, 1))  # two empty texts are alike
-    best: list[tuple[float, object]] = []
-    for j in np.argsort(-bound, kind="stable").tolist():
-        least = floor if len(best) < keep else max(floor, best[-1][0])
-        if bound[j] < least - 1e-12:
-            break
-        if above and not partners[j] > text:
-            continue
-        score = SequenceMatcher(None, text, partners[j]).ratio()
-        if score >= floor:
-            best = sorted([*best, (score, ids[j])], key=lambda x: (-x[0], x[1]))[:keep]
-    return best
+#: Texts of at most so many letters have their common subsequences counted in machine words.
+WORD = 63
+
+
+class Partners:
+    """Texts that others are held against, with what bounds their ratios."""
+
+    def __init__(self, texts: list[str], ids: list):
+        self.texts, self.ids = texts, ids
+        self.sizes = np.array([len(x) for x in texts], np.int64)
+        self.counts = letter_counts(texts)
+        self.short = np.flatnonzero(self.sizes <= WORD)
+        self.letters = {c: k for k, c in enumerate(sorted({c for k in self.short for c in texts[k]}))}
+        self.codes = np.full((len(self.short), int(self.sizes[self.short].max(initial=0))), len(self.letters), np.int64)
+        for row, k in enumerate(self.short.tolist()):
+            self.codes[row, : self.sizes[k]] = [self.letters[c] for c in texts[k]]
+
+    def bounds(self, text: str, counts: np.ndarray) -> np.ndarray:
+        """The most that each ratio with ``text`` can be: by shared letters, and by the longest common subsequence for short texts."""
+        shared = np.minimum(self.counts, counts).sum(1)
+        if 0 < len(text) <= WORD and len(self.short):
+            shared[self.short] = self._common(text)
+        total = self.sizes + len(text)
+        return np.where(total == 0, 1.0, 2.0 * shared / np.maximum(total, 1))  # two empty texts are alike
+
+    def _common(self, text: str) -> np.ndarray:
+        """Lengths of the longest common subsequences with the short texts: the places of each letter in ``text`` as bits, and a
+        sum for each letter of all the others at once."""
+        places = np.zeros(len(self.letters) + 1, np.uint64)
+        for k, c in enumerate(text):
+            if c in self.letters:
+                places[self.letters[c]] |= np.uint64(1 << k)
+        full = np.uint64((1 << len(text)) - 1)
+        left = np.full(len(self.codes), full)
+        for column in self.codes.T:
+            met = left & places[column]
+            left = ((left + met) | (left - met)) & full
+        return np.bitwise_count(left ^ full)
+
+    def best(self, text: str, counts: np.ndarray, floor: float, keep: int, above: bool) -> list[tuple[float, object]]:
+        """Up to ``keep`` (score, id) at ``floor`` or more, by falling score and rising id."""
+        bound = self.bounds(text, counts)
+        best: list[tuple[float, object]] = []
+        for j in np.argsort(-bound, kind="stable").tolist():
+            if bound[j] < (floor if len(best) < keep else max(floor, best[-1][0])) - 1e-12:
+                break
+            if above and not self.texts[j] > text:
+                continue
+            score = SequenceMatcher(None, text, self.texts[j]).ratio()
+            if score >= floor:
+                best = sorted([*best, (score, self.ids[j])], key=lambda x: (-x[0], x[1]))[:keep]
+        return best
 
 
 def squares(left: DataFrame, right: DataFrame, by: list[str], *, keep: int, side: int = SIDE) -> tuple[DataFrame, DataFrame]:
@@ -91,12 +127,12 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str], *, floor: float, k
             texts, ids = of.setdefault(k, ([], []))
             texts.append(x)
             ids.append(i)
-        counts = {k: letter_counts(texts) for k, (texts, _) in of.items()}
+        held = {k: Partners(*x) for k, x in of.items()}
         mine = letter_counts(l["text"].to_pylist())
         at, ids, scores = [], [], []
         for n, (k, x) in enumerate(zip(l["__key"].to_pylist(), l["text"].to_pylist())):
-            if k in of:
-                for score, i in best_of(x, mine[n], *of[k], counts[k], floor, keep, above):
+            if k in held:
+                for score, i in held[k].best(x, mine[n], floor, keep, above):
                     at.append(n)
                     ids.append(i)
                     scores.append(score)
