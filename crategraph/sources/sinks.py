@@ -78,12 +78,15 @@ def digest(df: DataFrame) -> dict:
     return {"rows": row["rows"], "sum": row["sum"], "xor": row["xor"], "schema": df.schema.simpleString()}
 
 
-def save_version(df: DataFrame, root: str, version: int) -> str:
+def save_version(df: DataFrame, root: str, version: int, *, unfinished: str = "errorifexists") -> str:
     """A table as a version directory with a manifest of what was written, read back; then readers are pointed to it.
 
-    A version without manifest was never finished. An existing version is not written again."""
+    A version without manifest was never finished; ``unfinished`` is the write mode for what it left. A finished version is not
+    written again."""
     spark, path = df.sparkSession, f"{root}/version={version:06d}"
-    df.write.mode("errorifexists").parquet(path)
+    if version in versions(spark, root):
+        raise FileExistsError(path)
+    df.write.mode(unfinished).parquet(path)
     _put(spark, f"{path}/{MANIFEST}", json.dumps(digest(spark.read.parquet(path))))
     _put(spark, f"{root}/{CURRENT}", str(version))
     return path

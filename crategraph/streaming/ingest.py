@@ -21,7 +21,7 @@ def into_versions(stream: DataFrame, root: str, checkpoint: str, merge: Callable
         if number + 1 in known:
             return
         base = sinks.load_version(spark, root) if known else batch.limit(0)
-        merge(base, batch).write.mode("overwrite").parquet(f"{root}/version={number + 1:06d}")
+        sinks.save_version(merge(base, batch), root, number + 1, unfinished="overwrite")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
