@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from crategraph.functions.catalog import country_rank, level_rank
 from crategraph.functions.text import contains_word, loose_key, loose_title_key, plain_key, ratio, tempo_key, title_core
 from crategraph.operators.similar import containing, joined_scores, nearest, unblocked
-from crategraph.shared import settle
+from crategraph.shared import join_measured, settle
 
 SURE, MAYBE, LEAD = 0.87, 0.55, 0.08
 
@@ -220,10 +220,14 @@ def names_match(a: Column, b: Column) -> Column:
 def id_is_free(tracks: DataFrame, proposals: DataFrame) -> DataFrame:
     """Proposals (track_id, external_id, title_key) with ``free``: the id's first carrier (by track_id) among other tracks has
     the same title, or there is none."""
-    carriers = tracks.where("external_id IS NOT NULL").select("external_id", F.col("track_id").alias("__id"), F.col("title_key").alias("__key"))
-    wide = proposals.join(carriers, "external_id", "left").withColumn("__other", F.when(F.col("__id") != F.col("track_id"), F.col("__id")))
-    first = wide.groupBy("track_id", "external_id", "title_key").agg(F.min_by("__key", "__other").alias("first_key"))
-    return first.select("track_id", "external_id", (F.col("first_key").isNull() | (F.col("first_key") == F.col("title_key"))).alias("free"))
+    carriers = tracks.where("external_id IS NOT NULL AND track_id IS NOT NULL").select("external_id", F.struct(F.col("track_id").alias("id"), F.col("title_key").alias("key")).alias("__c"))
+    # an id's two least carriers decide for all its proposals
+    least = settle(carriers.groupBy("external_id").agg(F.min("__c").alias("__one")))
+    others = join_measured(carriers, least, "external_id", "inner").where(F.col("__c.id") != F.col("__one.id"))
+    least = settle(least.join(others.groupBy("external_id").agg(F.min("__c").alias("__two")), "external_id", "left"))
+    wide = join_measured(proposals.select("track_id", "external_id", "title_key").distinct(), least, "external_id")
+    key = F.when(F.col("track_id") != F.col("__one.id"), F.col("__one.key")).when(F.col("track_id") == F.col("__one.id"), F.col("__two.key"))
+    return wide.select("track_id", "external_id", (key.isNull() | (key == F.col("title_key"))).alias("free"))
 
 
 #: Fixed value: what parts the names of a collaboration.
