@@ -44,7 +44,7 @@ def bucketed_upsert(spark, d):
 def counter_ids(spark, d):
     """Counters become observations that are numbered behind the known ones in the order of their tracks."""
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("track_id"), F.lit(None).cast("bigint").alias("spotify_streams"))
-    known = table(spark, d, "events").where("event_type = 'view'").select(F.col("user_id").alias("track_id"), F.lit("spotify_streams").alias("field"), F.round("value").cast("bigint").cast("string").alias("value"), F.lit("kworb").alias("source"), F.lit(None).cast("double").alias("confidence"), F.col("event_id").alias("obs_id"))
+    known = table(spark, d, "events").where("event_type = 'view'").select(F.col("user_id").alias("track_id"), F.lit("spotify_streams").alias("field"), F.bround("value").cast("bigint").cast("string").alias("value"), F.lit("kworb").alias("source"), F.lit(None).cast("double").alias("confidence"), F.col("event_id").alias("obs_id"))
     counters = c.where("track_id % 3 = 0").select("track_id", (F.col("track_id") * 7).alias("spotify_streams"))
     return accumulate.write_through(c, known, counters, "spotify_streams", "kworb")[1].select("track_id", "obs_id", "value")
 

@@ -25,3 +25,9 @@ def test_one_id_of_many_tracks(spark):
     assert [r["track_id"] for r in free] == []
     few = t.where("track_id < 3").unionAll(spark.createDataFrame([(9, "y", "c"), (7, None, "d")], "track_id long, external_id string, title_key string"))
     assert {r["track_id"]: r["free"] for r in match.id_is_free(few, few).collect()} == {0: False, 1: False, 2: False, 9: True, 7: True}
+
+
+def test_counters_are_rounded_half_to_even(spark, tmp_path):
+    spark.createDataFrame([(3,)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(1, 5, "view", 2.5), (2, 6, "view", 3.5), (4, 6, "view", 4.5), (5, 7, "view", 0.49)], "event_id long, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    assert_same(QUERIES["counter_ids"](spark, str(tmp_path)), ORACLE_SQL["counter_ids"], str(tmp_path))
