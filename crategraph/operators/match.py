@@ -77,42 +77,64 @@ def certification_match(tracks: DataFrame, certs: DataFrame) -> DataFrame:
     A certification fits if artist and title contain the track's ('contains'; equality where the title is empty), or those of
     the title without its featuring part ('featuring': equal ones, else containing ones); only where nothing fits and the
     title has 8 characters or more, an equal artist's title of 8 characters or more that the track's begins with
-    ('prefix'). Artists meet by their rarest pieces, then the titles of artists that met by theirs; prefixes by their first
-    eight characters."""
-    t = tracks.where("artist <> ''").withColumns({"main": F.trim(F.regexp_extract("title", FEATURING, 1))})
+    ('prefix'). Texts are matched once each, and tracks and certifications meet by the texts that fit: what fits may be many
+    pairs, but they are neither shuffled nor kept."""
+    t, c = tracks.select("track_id", "artist", "title").distinct(), certs.select("cert_id", "artist_clean", "title_clean").distinct()
+    return _met(t, c, _fitting(t, c)).select("track_id", "cert_id", "strategy")
+
+
+def _fitting(tracks: DataFrame, certs: DataFrame) -> DataFrame:
+    """Distinct (artist, title, artist_clean, title_clean, strategy) that fit. Artists meet by their rarest pieces, then the titles
+    of artists that met by theirs; prefixes by their first eight characters."""
+    own, other = ["artist", "title"], ["artist_clean", "title_clean"]
+    t = settle(tracks.where("artist <> '' AND title IS NOT NULL").select(*own).distinct()).withColumn("main", F.trim(F.regexp_extract("title", FEATURING, 1)))
+    certs = settle(certs.select(*other).distinct())
     # artists first: they repeat far more than pairs of them do
     wide = t.join(unblocked(t, certs, "artist", "artist_clean"), "artist")  # settled: narrow pairs of artists
     equal = F.col("artist") == F.col("artist_clean")
     empty = wide.where((F.col("title") == "") & equal).join(certs.where("title_clean = ''"), "artist_clean")
     full = containing(wide, certs, ["artist_clean"], "title", "title_clean")
     part = containing(wide, certs, ["artist_clean"], "main", "title_clean")
-    exact = F.max((equal & (F.col("title_clean") == F.col("main"))).cast("int")).over(Window.partitionBy("track_id"))
+    exact = F.max((equal & (F.col("title_clean") == F.col("main"))).cast("int")).over(Window.partitionBy(*own))
     part = part.withColumn("__exact", exact).where((F.col("__exact") == 0) | (equal & (F.col("title_clean") == F.col("main"))))
-    ids = lambda df, s: df.select("track_id", "cert_id", F.lit(s).alias("strategy"))
-    hits = ids(empty, "exact").unionAll(ids(full, "contains")).unionAll(ids(part, "featuring"))
-    hits = settle(hits.groupBy("track_id", "cert_id").agg(F.min("strategy").alias("strategy")))
-    left = t.where(F.length("title") >= 8).join(hits.select("track_id").distinct(), "track_id", "left_anti").withColumn("__head", F.left("title", F.lit(8)))
+    kind = lambda df, s: df.select(*own, *other, F.lit(s).alias("strategy"))
+    hits = kind(empty, "exact").unionAll(kind(full, "contains")).unionAll(kind(part, "featuring"))
+    hits = settle(hits.groupBy(*own, *other).agg(F.min("strategy").alias("strategy")))
+    left = t.where(F.length("title") >= 8).join(hits.select(*own).distinct(), own, "left_anti").withColumn("__head", F.left("title", F.lit(8)))
     size = F.length("title_clean")
-    heads = certs.where(size >= 8).select(F.col("artist_clean").alias("artist"), F.left("title_clean", F.lit(8)).alias("__head"), "title_clean", "cert_id")
+    heads = certs.where(size >= 8).select(F.col("artist_clean").alias("artist"), F.left("title_clean", F.lit(8)).alias("__head"), *other)
     prefix = left.join(heads, ["artist", "__head"]).where((size < F.length("title")) & F.startswith("title", "title_clean"))
-    return hits.unionAll(ids(prefix, "prefix"))
+    return settle(hits.unionAll(kind(prefix, "prefix")))
+
+
+def _met(left: DataFrame, certs: DataFrame, fits: DataFrame, by: tuple[str, ...] = ("artist", "title")) -> DataFrame:
+    """Rows of ``left`` with the certifications whose texts fit theirs; ``fits`` is settled. Both sides are dealt out by text: their
+    rows are few, but what they make is not, so it must not be left to the few tasks that read them."""
+    return join_measured(left, fits, list(by), "inner").join(certs.hint("merge"), ["artist_clean", "title_clean"])
 
 
 def certification_match_any(tracks: DataFrame, certs: DataFrame, candidates: str = "artists") -> DataFrame:
-    """``certification_match`` over every artist of an array column; a certification counts once."""
-    each = tracks.select("track_id", "title", F.explode(F.array_distinct(candidates)).alias("artist")).where("artist <> ''")
-    keyed = each.withColumn("track_id", F.struct("track_id", "artist"))
-    return certification_match(keyed, certs).select("track_id.track_id", "cert_id").distinct()
+    """``certification_match`` over every artist of an array column; a certification counts once, which is seen to among texts."""
+    t = tracks.select("track_id", "title", F.array_sort(F.array_distinct(candidates)).alias("artists")).distinct()
+    c = certs.select("cert_id", "artist_clean", "title_clean").distinct()
+    texts = settle(t.select("artists", "title").distinct())
+    each = texts.select("artists", "title", F.explode("artists").alias("artist"))
+    fits = each.join(_fitting(each, c), ["artist", "title"]).select("artists", "title", "artist_clean", "title_clean").distinct()
+    return _met(t, c, settle(fits), ("artists", "title")).select("track_id", "cert_id")
 
 
 def album_certification_match(albums: DataFrame, certs: DataFrame) -> DataFrame:
-    """(album_id, cert_id): album certifications equal in artist and title, only where there are none those containing both."""
-    c = certs.where("cat = 'album'")
-    a = albums.where("artist <> '' AND title <> ''")
-    exact = a.join(c, (a["artist"] == c["artist_clean"]) & (a["title"] == c["title_clean"])).select("album_id", "cert_id")
-    rest = a.join(exact.select("album_id").distinct(), "album_id", "left_anti")
-    wide = rest.join(unblocked(rest, c, "artist", "artist_clean"), "artist")
-    return exact.unionAll(containing(wide, c, ["artist_clean"], "title", "title_clean").select("album_id", "cert_id"))
+    """(album_id, cert_id): album certifications equal in artist and title, only where there are none those containing both.
+    Texts are matched once each, as in ``certification_match``."""
+    own, other = ["artist", "title"], ["artist_clean", "title_clean"]
+    c = certs.where("cat = 'album'").select("cert_id", *other)
+    a = albums.where("artist <> '' AND title <> ''").select("album_id", *own)
+    texts, known = settle(a.select(*own).distinct()), settle(c.select(*other).distinct())
+    exact = texts.join(known, (texts["artist"] == known["artist_clean"]) & (texts["title"] == known["title_clean"])).select(*own, *other)
+    rest = texts.join(exact.select(*own), own, "left_anti")
+    wide = rest.join(unblocked(rest, known, "artist", "artist_clean"), "artist")
+    fits = exact.unionAll(containing(wide, known, ["artist_clean"], "title", "title_clean").select(*own, *other))
+    return _met(a, c, settle(fits)).select("album_id", "cert_id")
 
 
 def attach_certifications(tracks: DataFrame, matches: DataFrame, certs: DataFrame) -> DataFrame:

@@ -37,3 +37,13 @@ def test_stamps_beyond_99_minutes(spark, tmp_path):
     rows = [(59, "old plate"), (5_999, "red rod"), (6_000, "hot ring"), (7_261, "x"), (90_061, "y z")]
     spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
     assert_same(QUERIES["lyric_texts"](spark, str(tmp_path)), ORACLE_SQL["lyric_texts"], str(tmp_path))
+
+
+@pytest.mark.parametrize("name", ["certification_match", "certification_match_any", "album_certification_match"])
+def test_pairs_of_one_title_are_made_last(spark, name):
+    side = 15_000
+    tracks = spark.range(side).select(F.col("id").alias("track_id"), F.lit("ANN").alias("artist"), F.lit("SOME TITLE").alias("title"), F.array(F.lit("ANN"), F.lit("BO")).alias("artists"))
+    certs = spark.range(side).select(F.col("id").alias("cert_id"), F.lit("ANN").alias("artist_clean"), F.lit("SOME TITLE II").alias("title_clean"), F.lit("album").alias("cat"))
+    if name == "album_certification_match":
+        tracks = tracks.withColumnRenamed("track_id", "album_id")
+    assert within(40, lambda: getattr(match, name)(tracks, certs).count()) == side * side
