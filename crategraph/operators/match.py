@@ -32,13 +32,20 @@ def staged_match(entries: DataFrame, tracks: DataFrame, memory: DataFrame | None
     artist, and only what no stage ahead has met by title."""
     e, t = entries, tracks
     row = lambda df, stage, score=F.lit(1.0): df.select("entry_id", "track_id", F.lit(stage).alias("stage"), score.alias("score"))
-    ids = e.where("external_id IS NOT NULL").join(t.where("external_id IS NOT NULL").select("artist_id", "external_id", "track_id"), ["artist_id", "external_id"])
+    held = t.where("external_id IS NOT NULL").groupBy("artist_id", "external_id").agg(F.min("track_id").alias("track_id"))
+    ids = e.where("external_id IS NOT NULL").join(held, ["artist_id", "external_id"])
     by_id = ids.groupBy("entry_id").agg(F.min("track_id").alias("track_id"))
     rest = e.join(by_id.select("entry_id"), "entry_id", "left_anti").where("title_key <> ''")
-    same = rest.join(t.select("artist_id", "title_key", "track_id", "primary_key"), ["artist_id", "title_key"])
-    same = settle(same.withColumn("n", F.count("*").over(Window.partitionBy("entry_id"))))
+    # tracks are counted by title and artist key first, so that no entry meets each of a title's tracks
+    title, whole = ["artist_id", "title_key"], Window.partitionBy("entry_id")
+    places = settle(t.groupBy(*title, "primary_key").agg(F.count("*").alias("of"), F.min("track_id").alias("track_id")))
+    titles = places.groupBy(*title).agg(F.sum("of").alias("of"), F.min("track_id").alias("track_id"))
+    same = settle(rest.join(titles, title).withColumn("n", F.sum("of").over(whole)))
     names = lambda c: (F.col("primary_key") == c) | F.contains(c, F.col("primary_key")) | F.contains(F.col("primary_key"), c)
-    credited = lone(same.where((F.col("n") > 1) & F.exists(F.coalesce("credited", F.array().cast("array<string>")), names)), "entry_id")
+    several = same.where("n > 1 AND credited IS NOT NULL").select("entry_id", *title, "credited")
+    claims = several.select(*title, "credited").distinct().join(places, title).where(F.exists("credited", names))
+    claims = claims.groupBy(*title, "credited").agg(F.sum("of").alias("of"), F.min("track_id").alias("track_id"))
+    credited = several.join(claims, [*title, "credited"]).withColumn("n", F.sum("of").over(whole)).where("n = 1")
     by_title = row(same.where("n = 1"), "title").unionAll(row(credited, "credited"))
     left = rest.join(same.select("entry_id").distinct(), "entry_id", "left_anti").select("entry_id", "artist_id", "title_key")
     partners = t.select("artist_id", F.col("title_key").alias("text"), F.col("track_id").alias("right_id"))

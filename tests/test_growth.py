@@ -47,3 +47,12 @@ def test_pairs_of_one_title_are_made_last(spark, name):
     if name == "album_certification_match":
         tracks = tracks.withColumnRenamed("track_id", "album_id")
     assert within(40, lambda: getattr(match, name)(tracks, certs).count()) == side * side
+
+
+def test_one_title_of_many_entries(spark):
+    k = F.col("id")
+    none = F.lit(None).cast("string").alias("external_id")
+    tracks = spark.range(MANY).select(k.alias("track_id"), F.lit("a").alias("artist_id"), none, F.lit("t").alias("title_key"), F.when(k == 5, "ann").otherwise("bo").alias("primary_key"))
+    entries = spark.range(MANY).select(k.alias("entry_id"), F.lit("a").alias("artist_id"), none, F.lit("t").alias("title_key"), F.when(k % 2 == 0, F.array(F.lit("ann x"))).when(k % 3 == 0, F.array(F.lit("bo"))).alias("credited"))
+    found = within(60, lambda: match.staged_match(entries, tracks).groupBy("track_id", "stage").count().collect())
+    assert [tuple(r) for r in found] == [(5, "credited", MANY // 2)]
