@@ -189,7 +189,9 @@ def import_match(incoming: DataFrame, known: DataFrame) -> DataFrame:
     k = known.select("track_id", "genius_id", low("title").alias("lt"), low("album").alias("la"), score.alias("score"))
 
     def stage(rest: DataFrame, keys: list[str], level: str) -> DataFrame:
-        found = rest.join(k.select(*keys, "track_id", "score"), keys)
+        # the best of a key first: keys may have many tracks
+        best = k.groupBy(*keys).agg(F.max_by("track_id", "score").alias("track_id"), F.max("score").alias("score"))
+        found = rest.join(best, keys)
         return found.groupBy("incoming_id").agg(F.max_by("track_id", "score").alias("track_id")).withColumn("level", F.lit(level))
 
     one = stage(i.where("genius_id IS NOT NULL"), ["genius_id"], "id")

@@ -56,3 +56,11 @@ def test_one_title_of_many_entries(spark):
     entries = spark.range(MANY).select(k.alias("entry_id"), F.lit("a").alias("artist_id"), none, F.lit("t").alias("title_key"), F.when(k % 2 == 0, F.array(F.lit("ann x"))).when(k % 3 == 0, F.array(F.lit("bo"))).alias("credited"))
     found = within(60, lambda: match.staged_match(entries, tracks).groupBy("track_id", "stage").count().collect())
     assert [tuple(r) for r in found] == [(5, "credited", MANY // 2)]
+
+
+def test_one_title_of_many_imports(spark):
+    none = F.lit(None).cast("bigint").alias("genius_id")
+    incoming = spark.range(MANY).select(F.col("id").alias("incoming_id"), none, F.lit("T").alias("title"), F.lit("").alias("album"))
+    known = spark.range(MANY).select(F.col("id").alias("track_id"), none, F.lit("t").alias("title"), F.lit("x").alias("album"), F.lit(1).alias("bpm"), F.lit(True).alias("has_lyrics"), (F.col("id") % 50).alias("credits"))
+    found = within(40, lambda: match.import_match(incoming, known).groupBy("track_id", "level").count().collect())
+    assert [tuple(r) for r in found] == [(49, "title", MANY)]
