@@ -45,3 +45,11 @@ def join_measured(df: DataFrame, small: DataFrame, on, how: str = "left", max_ro
     from pyspark.sql import functions as F
 
     return df.join(F.broadcast(small) if small.count() <= max_rows else small, on, how)
+
+
+def whole_text_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Let at most ``rows`` rows of whole texts travel to Python in an Arrow batch; a session's lower setting stays. The default of
+    10,000 holds tens of MB several times over in each task."""
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(conf)) <= rows:
+        spark.conf.set(conf, rows)

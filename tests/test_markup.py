@@ -1,5 +1,7 @@
 """Credit and award pages against hand-made cases."""
 
+import random
+
 import pytest
 
 from crategraph.sources import markup
@@ -60,3 +62,15 @@ def test_award_rows(spark):
         (1, 1, "No id", "Two", "2001-05-02", "", None, None, None, None, None, None),
         (1, 2, "Ann", "Three", "2001-05-02", "", None, None, None, None, None, None),
     ]
+
+
+def test_plain_markup_gives_the_parser_s_tree():
+    """Pages cut by the pattern are the parser's, and award pages are cut by it at all."""
+    flat = lambda e: (e.tag, e.attrs, [c if isinstance(c, str) else flat(c) for c in e.children])
+    bits = ["<div>", "</div>", '<p class="a b">', "<br>", "text > x", '<a href="/x" id="1" id="2">', "</a>", "</b>", "\n", "&amp;", "<br/>", "<!-- c -->", "<script>", "</script>", "<DIV>", "<a x>", "<title>", "</title>", "<", "</h1 >", "\0"]
+    rng = random.Random(1)
+    pages = ["".join(rng.choice(bits[: rng.choice((9, len(bits)))]) for _ in range(rng.randrange(12))) for _ in range(4_000)]
+    plain = [x for x in pages if markup.WHOLE.fullmatch(x)]
+    assert 1_000 < len(plain) < 4_000
+    for html in pages:
+        assert flat(markup.tree(html)) == flat(markup._parsed_tree(html))
