@@ -147,36 +147,50 @@ def apply_to_tracks(tracks: DataFrame, resolved: DataFrame, by: str = "track_id"
 
 def sync_error(lrc: Column, duration: Column) -> Column:
     """Twice what the last line overshoots the duration by, or what it falls short; null if either is unknown."""
-    last = F.try_element_at(parse.timed_lines(lrc), F.lit(-1))["at"]
+    return _error_of(parse.timed_lines(lrc), duration)
+
+
+def _error_of(lines: Column, duration: Column) -> Column:
+    last = F.try_element_at(lines, F.lit(-1))["at"]
     gap = last - duration.cast("double")
-    return F.when(F.size(parse.timed_lines(lrc)) > 0, F.when(duration > 0, F.when(gap > 0, gap * 2).otherwise(duration.cast("double") - last)))
+    return F.when(duration > 0, F.when(gap > 0, gap * 2).otherwise(duration.cast("double") - last))
+
+
+def _keyed(lines: Column) -> Column:
+    return F.filter(F.transform(lines, lambda x: F.struct(line_key(x["text"]).alias("k"), x["at"].alias("at"))), lambda x: x["k"] != "")
 
 
 def line_offsets(a: Column, b: Column) -> Column:
     """Seconds by which each line of ``a`` is later than the first equal line of ``b``, over the lines that both have."""
-    from crategraph.functions.text import line_key
+    right = _keyed(parse.timed_lines(b))
+    return _offsets(_keyed(parse.timed_lines(a)), F.transform(right, lambda x: x["k"]), F.transform(right, lambda x: x["at"]))
+
 
-    keyed = lambda c: F.filter(F.transform(parse.timed_lines(c), lambda x: F.struct(line_key(x["text"]).alias("k"), x["at"].alias("at"))), lambda x: x["k"] != "")
-    left, right = keyed(a), keyed(b)
-    names, times = F.transform(right, lambda x: x["k"]), F.transform(right, lambda x: x["at"])
+def _offsets(left: Column, names: Column, times: Column) -> Column:
     at = lambda x: F.get(times, (F.array_position(names, x["k"]) - 1).cast("int"))
-    return F.filter(F.transform(left, lambda x: F.when(F.array_contains(names, x["k"]), x["at"] - at(x))), lambda x: x.isNotNull())
+    return F.filter(F.transform(left, lambda x: x["at"] - at(x)), lambda x: x.isNotNull())
 
 
 def cross_check(df: DataFrame, first: str = "lrclib", second: str = "ytmusic", duration: str = "duration") -> DataFrame:
     """``df`` with lrc, source and confidence out of two timed lyrics: 2 if the timelines agree (three common lines or more,
     upper median within 2 s, mean deviation from it within 1.5 s); else the one that fits the duration better, the first at
-    a tie or without a duration."""
-    has = lambda c: F.size(parse.timed_lines(F.col(c))) > 0
-    df = df.withColumn("__offs", F.when(has(first) & has(second), line_offsets(F.col(first), F.col(second))))
+    a tie or without a duration.
+
+    What is read out of a text is a column of its own ahead of its uses, so that it is read once a row and not once a use, or
+    once a line within a lambda."""
+    df = df.withColumns({"__a": parse.timed_lines(F.col(first)), "__b": parse.timed_lines(F.col(second))})
+    df = df.withColumns({"__l": _keyed(F.col("__a")), "__r": _keyed(F.col("__b"))})
+    df = df.withColumns({"__names": F.transform("__r", lambda x: x["k"]), "__times": F.transform("__r", lambda x: x["at"])})
+    one, two = F.size("__a") > 0, F.size("__b") > 0
+    df = df.withColumn("__offs", F.when(one & two, _offsets(F.col("__l"), F.col("__names"), F.col("__times"))))
     n = F.size("__offs")
     df = df.withColumn("__mid", F.when(n >= 3, F.get(F.array_sort("__offs"), F.floor(n / 2).cast("int"))))
     spread = F.aggregate(F.transform("__offs", lambda x: F.abs(x - F.col("__mid"))), F.lit(0.0), lambda a, x: a + x) / F.nullif(n, F.lit(0))
     agree = F.coalesce((F.abs("__mid") <= 2.0) & (spread <= 1.5), F.lit(False))
-    one, two = sync_error(F.col(first), F.col(duration)), sync_error(F.col(second), F.col(duration))
-    pick = F.when(has(first) & ~has(second), 1).when(has(second) & ~has(first), 2).when(has(first) & has(second), F.when(~agree & F.coalesce(two < one, F.lit(False)), 2).otherwise(1))
-    out = {"lrc": F.when(pick == 1, F.col(first)).when(pick == 2, F.col(second)), "source": F.when(pick == 1, "LRCLIB").when(pick == 2, "YouTube Music"), "confidence": F.when(pick.isNotNull(), F.when(agree, 2.0).otherwise(1.0))}
-    return df.withColumns(out).drop("__offs", "__mid")
+    df = df.withColumns({"__agree": agree, "__one": _error_of(F.col("__a"), F.col(duration)), "__two": _error_of(F.col("__b"), F.col(duration))})
+    pick = F.when(one & ~two, 1).when(two & ~one, 2).when(one & two, F.when(~F.col("__agree") & F.coalesce(F.col("__two") < F.col("__one"), F.lit(False)), 2).otherwise(1))
+    out = {"lrc": F.when(pick == 1, F.col(first)).when(pick == 2, F.col(second)), "source": F.when(pick == 1, "LRCLIB").when(pick == 2, "YouTube Music"), "confidence": F.when(pick.isNotNull(), F.when(F.col("__agree"), 2.0).otherwise(1.0))}
+    return df.withColumns(out).drop("__a", "__b", "__l", "__r", "__names", "__times", "__offs", "__mid", "__agree", "__one", "__two")
 
 
 def timed_lyrics(observations: DataFrame, durations: DataFrame | None = None, by: str = "track_id") -> DataFrame:

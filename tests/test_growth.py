@@ -64,3 +64,8 @@ def test_one_title_of_many_imports(spark):
     known = spark.range(MANY).select(F.col("id").alias("track_id"), none, F.lit("t").alias("title"), F.lit("x").alias("album"), F.lit(1).alias("bpm"), F.lit(True).alias("has_lyrics"), (F.col("id") % 50).alias("credits"))
     found = within(40, lambda: match.import_match(incoming, known).groupBy("track_id", "level").count().collect())
     assert [tuple(r) for r in found] == [(49, "title", MANY)]
+
+
+def test_timed_lyrics_are_read_once_a_row(spark, small):
+    plan = QUERIES["timed_lyrics"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("regexp_extract") <= 10  # the parts of a line for each of two texts
