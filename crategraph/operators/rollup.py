@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from crategraph.functions.catalog import LEVEL_RANKS, is_video_credit, total_estimate
 from crategraph.functions.parse import duration_seconds, flexible_date
+from crategraph.shared import dealt
 
 FEATURINGS, SINGLES = "featurings", "singles"
 PRODUCERS = ("Producer", "Co-Producer", "Executive Producer", "Vocal Producer", "Additional Production")
@@ -137,10 +138,15 @@ def album_list(tracks: DataFrame, key: Column) -> DataFrame:
     return tracks.withColumn("album_key", key).where("album_key <> ''").groupBy("album_key").agg(F.min("album").alias("album")).orderBy("album")
 
 
+#: Credits whose members one task keeps apart, about; tracks are dealt out so that this doesn't grow with the input.
+CREDITS = 1_000_000
+
+
 def members(credits: DataFrame, key: Column, roles: tuple[str, ...] | None = None) -> DataFrame:
     """Distinct (track_id, member) with the member's first-seen name; restricted to some roles if given."""
     df = credits if roles is None else credits.where(F.col("role").isin(*roles))
-    return df.withColumn("member", key).where("member <> ''").groupBy("track_id", "member").agg(F.min_by("name", "pos").alias("name"), F.min("pos").alias("pos"))
+    df = dealt(df.withColumn("member", key).where("member <> ''"), CREDITS, "track_id")
+    return df.groupBy("track_id", "member").agg(F.min_by("name", "pos").alias("name"), F.min("pos").alias("pos"))
 
 
 def collaboration_nodes(m: DataFrame) -> DataFrame:

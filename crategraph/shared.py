@@ -47,6 +47,12 @@ def join_measured(df: DataFrame, small: DataFrame, on, how: str = "left", max_ro
     return df.join(F.broadcast(small) if small.count() <= max_rows else small, on, how)
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt out by its keys to so many tasks that each has about ``rows`` rows at most, and no fewer than a shuffle has."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-df.count() // rows)), *keys)
+
+
 def whole_text_batches(spark: SparkSession, rows: int = 1_000) -> None:
     """Let at most ``rows`` rows of whole texts travel to Python in an Arrow batch; a session's lower setting stays. The default of
     10,000 holds tens of MB several times over in each task."""

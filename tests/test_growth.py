@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from crategraph.operators import match
+from crategraph.operators import match, rollup
 from crategraph.plans import ORACLE_SQL, QUERIES
 from tests.compare import assert_same
 
@@ -69,3 +69,17 @@ def test_one_title_of_many_imports(spark):
 def test_timed_lyrics_are_read_once_a_row(spark, small):
     plan = QUERIES["timed_lyrics"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < plan.count("regexp_extract") <= 10  # the parts of a line for each of two texts
+
+
+def test_members_are_dealt_out_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(rollup, "CREDITS", 50)
+    credits = spark.range(1_000).select((F.col("id") % 300).alias("track_id"), F.concat(F.lit("m"), F.col("id") % 7).alias("name"), F.col("id").alias("pos"))
+    m = rollup.members(credits, F.col("name"))
+    assert m.rdd.getNumPartitions() == 20
+    pairs = {}
+    for t in range(300):
+        names = sorted({f"m{k % 7}" for k in range(t, 1_000, 300)})
+        for i, a in enumerate(names):
+            for b in names[i + 1 :]:
+                pairs[a, b] = pairs.get((a, b), 0) + 1
+    assert {(r["a"], r["b"]): r["weight"] for r in rollup.collaboration_edges(m).collect()} == pairs
