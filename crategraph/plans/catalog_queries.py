@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from crategraph.functions import catalog, parse, text
 from crategraph.operators import accumulate, match, quality, resolve, rollup, similar
-from crategraph.shared import table
+from crategraph.shared import table, whole_text_batches
 from crategraph.sources import json as json_source
 from crategraph.sources import pages as page_source
 
@@ -599,6 +599,7 @@ def ascii_keys(spark, d):
 
 @query()
 def document_keys(spark, d):
+    whole_text_batches(spark)
     return table(spark, d, "documents").select("doc_id", text.normalize_title(F.col("text")).alias("title"), text.normalize_certified(F.col("text")).alias("certified"), text.identity_key(F.col("text")).alias("identity"))
 
 

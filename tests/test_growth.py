@@ -83,3 +83,10 @@ def test_members_are_dealt_out_by_rows(spark, monkeypatch):
             for b in names[i + 1 :]:
                 pairs[a, b] = pairs.get((a, b), 0) + 1
     assert {(r["a"], r["b"]): r["weight"] for r in rollup.collaboration_edges(m).collect()} == pairs
+
+
+def test_documents_travel_in_small_batches(spark, small):
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(conf, 10_000)
+    QUERIES["document_keys"](spark, small)
+    assert int(spark.conf.get(conf)) <= 1_000
