@@ -7,7 +7,8 @@ An example is a unit vector of (1 + ln tf) * idf * (``FLOOR`` + the distance of
 
 The index of the examples is inverted, with the largest weight of each block of examples for common terms and a column
 for each of the most frequent. Rare terms and columns are summed in full; block maxima bound what the common terms can add, and
-blocks whose bound stays below the k-th best cosine are not read. Columns are multiplied out for ``BATCH`` texts at once in
+blocks whose bound stays below the k-th best cosine are not read; where that has seldom spared anything, whole lists are read at once
+(the sums are the same), and blocks are tried again now and then. Columns are multiplied out for ``BATCH`` texts at once in
 32 bits, within ``SLACK`` of their value, and in 64 bits for the examples that can be among the k best, so the k neighbours are
 exact (with weights of 24 bits). They vote with the square of their cosine; votes are shrunk towards the base rate and calibrated
 by a logistic curve fitted to about ``calibration`` of the examples, each judged without itself. The evidence of a score names
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 
 from crategraph.llm import labelled
 from crategraph.llm import text as T
+from crategraph.shared import give_back
 
 PREFIXES = (3, 4, 5, 6, 7, 8, 10)
 EVIDENCE = 3
@@ -45,6 +47,8 @@ COMMON, BLOCK = 256, 64
 FIRST = 8
 #: Share of blocks beyond which postings are read in a row rather than by block.
 DENSE = 1 / 8
+#: Texts for which whole lists are read at once after one whose blocks spared nothing.
+PAUSE = 31
 BATCH, SLACK = 64, 1e-4
 #: Bytes of text at once.
 CHUNK = 1 << 18
@@ -66,17 +70,33 @@ def _terms(chunk: T.Chunk, starts: np.ndarray | None = None) -> tuple[np.ndarray
 
 
 class Vocabulary:
-    """Term hashes in order, with tables of what can't be one of them ahead of the binary search."""
+    """Term hashes in order, with a table of where those of each first 20 bits begin."""
 
     def __init__(self, terms: np.ndarray, codes: np.ndarray):
         self.terms = np.sort(terms.astype(T.U64))
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(self.terms >> T.U64(44)).astype(np.int64)] = True
         self.codes = codes
-        self.starts = None
+        self.starts = self.first = None
 
     def __getstate__(self) -> dict:
-        return vars(self) | {"starts": None}
+        return vars(self) | {"starts": None, "first": None}
+
+    def find(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are terms, and their numbers. Hashes of the same first bits are few, so they are tried in a row."""
+        if self.first is None:
+            sizes = np.bincount((self.terms >> T.U64(44)).astype(np.int64), minlength=1 << 20)
+            self.first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        part = (term >> T.U64(44)).astype(np.int32)
+        at, end = self.first[part], self.first[part + 1]
+        known = np.zeros(len(term), bool)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            here, wanted = self.terms[at[left]], term[left]
+            known[left[here == wanted]] = True
+            left = left[here < wanted]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        known = np.flatnonzero(known)
+        return known, at[known].astype(np.int64)
 
     def counts(self, chunk: T.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (text, term number) with counts."""
@@ -84,11 +104,8 @@ class Vocabulary:
             self.starts = np.zeros(1 << 24, bool)
             self.starts[self.codes] = True
         doc, term, _ = _terms(chunk, self.starts)
-        maybe = np.flatnonzero(self.bits[(term >> T.U64(44)).astype(np.int64)])
-        doc, term = doc[maybe], term[maybe]
-        at = np.searchsorted(self.terms, term)
-        known = (at < len(self.terms)) & (self.terms[np.minimum(at, len(self.terms) - 1)] == term) if len(self.terms) else np.zeros(len(at), bool)
-        return T.bag(doc[known], at[known])
+        known, at = self.find(term)
+        return T.bag(doc[known], at)
 
 
 @dataclass
@@ -106,6 +123,8 @@ class Index:
     columns: np.ndarray
     labels: np.ndarray
     ids: np.ndarray
+    #: Texts left for which whole lists are read at once.
+    pause: int = 0
 
     @classmethod
     def build(cls, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, labels: np.ndarray, n_terms: int, ids: np.ndarray | None = None) -> Index:
@@ -162,7 +181,8 @@ class Index:
 
         Rare terms' postings and columns are summed for all examples. With the block maxima of common terms that bounds
         each example's cosine. Common terms' postings are read in the ``FIRST`` blocks by bound, then in those blocks
-        only whose bound reaches the k-th best cosine found; where these are over ``DENSE`` of all, whole lists are read in a row."""
+        only whose bound reaches the k-th best cosine found; where these are over ``DENSE`` of all, whole lists are read in a row,
+        and without trying blocks for the next ``PAUSE`` texts."""
         size = len(self.labels)
         many = self.common[terms] >= 0
         rare, often_terms = np.flatnonzero(~many), np.flatnonzero(self.column[terms] >= 0)
@@ -173,7 +193,6 @@ class Index:
         known = sums + fast
         if skip >= 0:
             known[skip] = -9.0
-        top = np.maximum.reduceat(known, np.arange(0, size, BLOCK)) + np.einsum("i,ij->j", w.astype(np.float32), self.block_max[rows])
 
         def best(near: np.ndarray, scores: np.ndarray, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
             """Of the examples ``among`` (or all): the k best with their cosines, and the k-th best in 32 bits."""
@@ -194,15 +213,18 @@ class Index:
             among = among[among < size]
             return best(known[among] + more[among], sums[among] + more[among], among)
 
-        first = np.sort(np.argsort(-top)[: FIRST + k // BLOCK])
-        s, e, mark = read(first)
-        left = np.union1d(first, np.flatnonzero(top >= mark - 2 * SLACK))
-        if len(left) > DENSE * len(top):
-            more = self._lists(t, w)
-            s, e, _ = best(known + more, sums + more)
-        elif len(left) > len(first):
-            s, e, _ = read(left)
-        return s, e
+        if self.pause:
+            self.pause -= 1
+        else:
+            top = np.maximum.reduceat(known, np.arange(0, size, BLOCK)) + np.einsum("i,ij->j", w.astype(np.float32), self.block_max[rows])
+            first = np.sort(np.argsort(-top)[: FIRST + k // BLOCK])
+            s, e, mark = read(first)
+            left = np.union1d(first, np.flatnonzero(top >= mark - 2 * SLACK))
+            if len(left) <= DENSE * len(top):
+                return (s, e) if len(left) <= len(first) else read(left)[:2]
+            self.pause = PAUSE
+        more = self._lists(t, w)
+        return best(known + more, sums + more)[:2]
 
 
 @dataclass
@@ -318,8 +340,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     edges = np.concatenate([[0], np.cumsum(np.asarray(lists[0].value_lengths()))])
     term, weight = (np.asarray(x.flatten()) for x in lists)
     vector = lambda k: (term[edges[k] : edges[k + 1]], weight[edges[k] : edges[k + 1]].astype(np.float64))
-    del rows, lists
-    pa.default_memory_pool().release_unused()
+    del rows, lists, picked, counted, at, times, code
+    give_back()
     sizes = np.diff(edges)
     empty = label[sizes == 0]
     order = sorted(np.flatnonzero(sizes).tolist(), key=lambda k: (hashlib.sha256(b"".join(x.tobytes() for x in vector(k))).digest(), label[k], ids[k]))
@@ -332,6 +354,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     tried = range(0, len(order), max(1, len(order) // calibration))
     votes = np.array([model.vote(*model.index.nearest(*vector(order[k]), neighbours, skip=k)) for k in tried])
     model.curve = _logistic(np.log(np.clip(votes, 1e-6, 1 - 1e-6) / (1 - np.clip(votes, 1e-6, 1 - 1e-6))), label[order][tried])
+    del term, weight  # the index has them
+    give_back()
     return model
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -53,6 +56,14 @@ def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     return df.repartition(max(least, -(-df.count() // rows)), *keys)
 
 
+def give_back() -> None:
+    """Return what this Python process has freed to the system. Arrow's pool and the C library keep it for later use, and on the
+    driver it would count beside the JVM's memory for the rest of the session."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def whole_text_batches(spark: SparkSession, rows: int = 1_000) -> None:
     """Let at most ``rows`` rows of whole texts travel to Python in an Arrow batch; a session's lower setting stays. The default of
     10,000 holds tens of MB several times over in each task."""
