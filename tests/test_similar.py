@@ -4,6 +4,7 @@ import random
 from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,43 @@ def test_memory_decides_per_title(spark):
     got = {(r["entry_id"], r["track_id"], r["stage"]) for r in match.staged_match(entries, tracks, memory).collect()}
     assert got == {(0, 1, "suggested"), (2, 1, "remembered"), (3, 3, "remembered")}
     assert (1, 1, "suggested") in {(r["entry_id"], r["track_id"], r["stage"]) for r in match.staged_match(entries, tracks).collect()}
+
+
+@pytest.mark.parametrize("pairs", [100, 1 << 20])
+@pytest.mark.parametrize(("keep", "floor", "above"), [(2, 0.47, False), (3, 1e-9, True), (1, 0.9, True)])
+def test_partners_by_beginnings_lose_none(monkeypatch, keep, floor, above, pairs):
+    """Short and long, empty and equal texts, several ids of a text, against every ratio."""
+    monkeypatch.setattr(similar, "PAIRS", pairs)
+    left = [*dict.fromkeys(titles(120, 5)), "", "a", "ß" * 70, "x" * 63]
+    right = titles(300, 6) + ["", "ß" * 80, "x" * 62, "x" * 64] + titles(40, 5)
+    ids = random.Random(1).sample(range(1_000), len(right))
+    for x, got in zip(left, similar.Partners(right, ids).best(left, [floor] * len(left), keep, above)):
+        every = sorted((-SequenceMatcher(None, x, y).ratio(), i) for y, i in zip(right, ids) if y > x or not above)
+        assert got == [(-s, i) for s, i in every[:keep] if -s >= floor]
+
+
+def coded(n):
+    names = [f"{a} {b}" for a in ("hot", "cold", "small", "large", "red", "blue", "old", "new") for b in ("ring", "bolt", "rod", "gear", "plate", "gizmo", "widget", "anvil")]
+    return list(dict.fromkeys(f"{random.Random(k).choice(names)} {str(k * 7919 % 9973).translate(str.maketrans('0123456789', 'bcdfghjklm'))}" for k in range(n)))
+
+
+def test_ratios_are_counted_for_few_of_an_artists_pairs(monkeypatch):
+    """4,000 titles of one artist: of 800,000 pairs with 200 texts a few hundred get a ratio, and few beginnings are met."""
+    tracks, calls, met = coded(4_000), [], []
+    ratio, walk = similar.Partners._ratio, np.bitwise_count
+    monkeypatch.setattr(similar.Partners, "_ratio", lambda self, *x: calls.append(1) or ratio(self, *x))
+    monkeypatch.setattr(similar.np, "bitwise_count", lambda x: met.append(len(x)) or walk(x))
+    left = [x[:5] + x[6:] for x in tracks[:200]]
+    found = similar.Partners(tracks, list(range(len(tracks)))).best(left, [0.47] * 200, 2, False)
+    assert all(len(x) == 2 for x in found) and len(calls) < 3_000 and sum(met) < 200 * 4_000 / 4
+
+
+def test_closest_pairs_of_a_block(spark):
+    rows = [(k % 3, x) for k, x in enumerate(titles(150, 8))] + [(None, "a"), (1, None), (9, "alone"), (8, "ab"), (8, "cd")]
+    df = spark.createDataFrame(rows, "b int, text string")
+    expected = set()
+    for b in range(10):
+        own = sorted({x for k, x in rows if k == b and x is not None})
+        every = sorted((-SequenceMatcher(None, x, y).ratio(), x, y) for x in own for y in own if x < y)
+        expected |= {(b, x, y, round(-s, 12), n) for n, (s, x, y) in enumerate(every[:3], 1) if s < 0}
+    assert {(r["b"], r["text"], r["right_id"], round(r["score"], 12), r["n"]) for r in similar.closest(df, ["b"], keep=3).collect()} == expected
