@@ -536,9 +536,7 @@ def import_match(spark, d):
 def fuzzy_ratio_topk(spark, d):
     """The three most similar pairs of titles of each brand."""
     p = table(spark, d, "part").select(F.col("p_brand").alias("brand"), _coded().alias("text"))
-    best = similar.nearest(p, p.withColumn("right_id", F.col("text")), ["brand"], floor=1e-9, keep=3, above=True)
-    first = Window.partitionBy("brand").orderBy(F.desc("score"), "text", "right_id")
-    return best.withColumn("n", F.row_number().over(first)).where("n <= 3").select("brand", F.col("text").alias("one"), F.col("right_id").alias("other"), F.round("score", 4).alias("ratio"), "n")
+    return similar.closest(p, ["brand"], keep=3).select("brand", F.col("text").alias("one"), F.col("right_id").alias("other"), F.round("score", 4).alias("ratio"), "n")
 
 
 @query("SELECT p_brand AS isrc, arg_max(p_partkey, p_size * 10000000 - p_partkey) AS recording_id FROM part GROUP BY 1")
