@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, BooleanType
 
 from crategraph.functions import parse
 from crategraph.functions.catalog import french_key, source_rank
@@ -300,8 +301,8 @@ def annotate_sections(tracks: DataFrame, by: str = "track_id", structured: str =
 
     A section begins where the first of its first three lines that can be found is sung: at the nearest equal line ahead, else
     the nearest similar one, always behind where the section before was found. That is a fold over the sections as a column
-    expression; only for lines that no equal line is left for, an Arrow batch says which sung lines are similar. Texts without
-    timed lines or without a section that is found stay as they are."""
+    expression; only for lines that no equal line is left for, sung lines within the edits that a similar one can have are
+    looked for, and an Arrow batch says which pairs of lines are similar, each once. Texts without timed lines or without a section that is found stay as they are."""
     blank = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
     text, timed = F.col(structured), parse.timed_lines(F.col(lrc))
     df = tracks.select(by, text.alias("s"), F.transform(timed, lambda x: F.struct(x["at"], x["text"])).alias("t"))
@@ -318,7 +319,12 @@ def annotate_sections(tracks: DataFrame, by: str = "track_id", structured: str =
     df = df.withColumn("wanted", F.transform("heads", first_lines))
     equal = lambda w: F.filter(F.transform("keys", lambda k, i: F.when(k == w, i)), lambda i: i.isNotNull())
     df = df.withColumn("equal", F.transform("wanted", lambda ws: F.transform(ws, equal)))
-    df = df.withColumn("alike", F.when((F.size("keys") > 0) & (F.size("heads") > 0), _similar_lines("wanted", "equal", "keys")))
+    df = df.withColumn("near", F.when((F.size("keys") > 0) & (F.size("heads") > 0), _near_lines("wanted", "equal", "keys")))
+    df = df.withColumn("pairs", F.array_distinct(F.flatten(F.flatten("near"))["pair"]))
+    df = df.withColumn("similar", _similar(F.transform("pairs", lambda x: x["a"]), F.transform("pairs", lambda x: x["b"])))
+    df = df.withColumn("pairs", F.filter("pairs", lambda x, i: F.get("similar", i)))
+    among = lambda near: F.transform(F.filter(near, lambda x: F.array_contains("pairs", x["pair"])), lambda x: x["p"])
+    df = df.withColumn("alike", F.transform("near", lambda lines: F.transform(lines, among)))
 
     def found(at: Column, section: Column, k: int) -> Column:
         ahead = lambda name: F.array_min(F.filter(F.get(section[name], F.lit(k)), lambda p: p >= at))
@@ -346,25 +352,31 @@ def annotate_sections(tracks: DataFrame, by: str = "track_id", structured: str =
     return df.select(by, F.when(some, F.array_join(F.transform("lines", written), "\n")).otherwise(F.col("s")).alias("annotated"))
 
 
-@F.pandas_udf(ArrayType(ArrayType(ArrayType(IntegerType()))))
-def _similar_lines(wanted: pd.Series, equal: pd.Series, keys: pd.Series) -> pd.Series:
-    """For each wanted line the sung lines behind its last equal one that are similar to it."""
+def _near_lines(wanted: str, equal: str, keys: str) -> Column:
+    """For each wanted line the sung lines (p, pair of both) behind its last equal one that can be similar to it. What two lines
+    don't match in is deleted from one or inserted into the other, so similar ones have no more edits than that."""
 
-    def behind(line: str, same, sung) -> list[int]:
-        if len(line) < 3:
-            return []
-        m, out = SequenceMatcher(), []
-        m.set_seq1(line)
-        for p in range(int(max(same)) + 1 if len(same) else 0, len(sung)):
-            m.set_seq2(sung[p])
-            if m.real_quick_ratio() >= SUNG and m.quick_ratio() >= SUNG and m.ratio() >= SUNG:
-                out.append(p)
-        return out
+    def behind(line: Column, same: Column) -> Column:
+        edits = lambda x: F.floor((F.length(line) + F.length(x)) * (1 - SUNG) + 1e-9).cast("int")
+        close = lambda x: F.call_function("levenshtein", line, x, edits(x)) >= 0
+        ahead = lambda p: (F.length(line) >= 3) & (p > F.coalesce(F.array_max(same), F.lit(-1)))
+        found = lambda x, p: F.when(ahead(p) & close(x), F.struct(p.alias("p"), F.struct(line.alias("a"), x.alias("b")).alias("pair")))
+        return F.filter(F.transform(keys, found), lambda x: x.isNotNull())
 
-    def sections(ws, same, sung):
-        return None if sung is None or ws is None else [[behind(w, e, sung) for w, e in zip(lines, es)] for lines, es in zip(ws, same)]
+    return F.transform(wanted, lambda lines, i: F.transform(lines, lambda line, k: behind(line, F.get(F.get(equal, i), k))))
 
-    return pd.Series([sections(*x) for x in zip(wanted, equal, keys)], dtype="object")
+
+@F.arrow_udf(ArrayType(BooleanType()))
+def _similar(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Which pairs of lines are similar."""
+    known: dict[tuple[str, str], bool] = {}  # lines repeat
+    out = []
+    for pair in zip(a.flatten().to_pylist(), b.flatten().to_pylist()):
+        if pair not in known:
+            known[pair] = SequenceMatcher(None, *pair).ratio() >= SUNG
+        out.append(known[pair])
+    sizes = a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(out, pa.bool_()), mask=a.is_null())
 
 
 def resolved_lyrics(tracks: DataFrame, replies: DataFrame, by: str = "track_id", *, with_second: bool = True) -> DataFrame:

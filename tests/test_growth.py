@@ -1,11 +1,12 @@
 """Keys that many rows share cost no more than their rows, and what makes many pairs makes them only at the end."""
 
 import time
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
-from crategraph.operators import match, rollup
+from crategraph.operators import match, resolve, rollup
 from crategraph.plans import ORACLE_SQL, QUERIES
 from tests.compare import assert_same
 
@@ -90,3 +91,19 @@ def test_documents_travel_in_small_batches(spark, small):
     spark.conf.set(conf, 10_000)
     QUERIES["document_keys"](spark, small)
     assert int(spark.conf.get(conf)) <= 1_000
+
+
+def test_similar_lines_are_compared_only_where_they_can_be(spark):
+    """Against every ratio in plain Python: the lines behind the last equal one, with blurred, short and far ones among them."""
+    wanted = [["abcdefgh", "ab", "longer line of it"], ["abcdefgh", "ünïcödé line", ""]]
+    keys = ["abcdefgh", "abcdefg", "hgfedcba", "abcdxefgh", "longer line of", "longer lime of it", "unicode line", "ünïcödé lin", "ab", "", "abcdefgh ii", "it longer line of"]
+    equal = [[[p for p, x in enumerate(keys) if x == w] for w in ws] for ws in wanted]
+    df = spark.createDataFrame([(wanted, equal, keys)], "w array<array<string>>, e array<array<array<int>>>, k array<string>")
+    (row,) = df.select(resolve._near_lines("w", "e", "k").alias("near")).collect()
+    near = [[[x["p"] for x in ps] for ps in lines] for lines in row["near"]]
+    alike = lambda w, p: SequenceMatcher(None, w, keys[p]).ratio() >= resolve.SUNG
+    for ws, es, found in zip(wanted, equal, near):
+        for w, e, ps in zip(ws, es, found):
+            assert [p for p in ps if alike(w, p)] == [p for p in range(max(e, default=-1) + 1, len(keys)) if len(w) >= 3 and alike(w, p)]
+            assert "hgfedcba" not in [keys[p] for p in ps]
+    assert sum(len(ps) for lines in near for ps in lines) < 3 * 2 * len(keys) / 4
