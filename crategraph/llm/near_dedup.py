@@ -34,14 +34,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from crategraph.llm import text as T
-from crategraph.shared import settle
+from crategraph.shared import gathered, release_shuffles, settle
 
 COMPONENTS, BANDS, ROWS, SKETCH = 96, 24, 4, 6
 FINE, FINE_SKETCH = 1024, 32
 #: Rounds of central texts.
 ROUNDS = 2
 BROADCAST_ROWS = 500_000
-EDGES_A_TASK = 20_000
+#: Rows in a task at least: edges or places in buckets, multisets with their bands, whole texts.
+EDGES_A_TASK, BAGS_A_TASK, TEXTS_A_TASK = 20_000, 5_000, 1_000
 MARK = "__dup_bag"
 
 
@@ -214,21 +215,25 @@ def _overlap(threshold: float):
 def components(edges: DataFrame) -> DataFrame:
     """(u, root) for every vertex of ``edges`` (a, b) but the roots, by alternating large and small stars until only stars are
     left. Each pass settles its edges, so lineage stays short; nothing but counts comes to the driver. The number of edges
-    sets the number of tasks: at most one for ``EDGES_A_TASK`` edges, so passes over few edges stay cheap."""
-    e = settle(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    sets the number of tasks: at most one for ``EDGES_A_TASK`` edges, so passes over few edges stay cheap. ``edges`` is read
+    twice and should be settled."""
+    count = edges.count()
+    e = gathered(edges, count, EDGES_A_TASK).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    e = settle(gathered(e.distinct(), count, EDGES_A_TASK))
     while True:
         count = e.count()
-        dealt = lambda df, tasks=-(-count // EDGES_A_TASK): df.coalesce(max(1, tasks))
+        dealt = lambda df, n=count: gathered(df, n, EDGES_A_TASK)
         e = dealt(e)
         ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionAll(e.select("v", F.lit(0)))
         ends = dealt(dealt(ends).groupBy("x").agg(F.sum("up").alias("ups"), F.count("*").alias("n")))
         if ends.where("ups > 1 OR ups = 1 AND n > 1").isEmpty():
             return e.select("u", F.col("v").alias("root"))
         both = dealt(e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-        least = dealt(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
+        few = F.broadcast if count <= EDGES_A_TASK else lambda df: df
+        least = few(dealt(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))))
         large = dealt(dealt(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
         least = dealt(large.groupBy("u").agg(F.min("v").alias("m")))
-        down = large.join(least, "u")
+        down = large.join(few(least), "u")
         small = down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
         e = settle(dealt(dealt(small).distinct()))
 
@@ -247,33 +252,38 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> t
     """(doc_id, bag) of every row; (bag, rep_id, n, class_id, keeper) of every multiset; (a, b, similarity) of the verified
     links between multisets, if there are candidates. All settled."""
     T.text_batches(docs.sparkSession)
+    release_shuffles(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = [f"s{k}" for k in range(SKETCH)]
     signed = settle(narrow.mapInArrow(_sign, "doc_id long, bag binary, bands array<long>, " + ", ".join(f"{s} long" for s in sketch)))
     reps = settle(signed.where("bag IS NOT NULL").groupBy("bag").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("n"), F.first("bands").alias("bands"), *(F.first(s).alias(s) for s in sketch)))
+    n = reps.count()
+    reps = gathered(reps, n, BAGS_A_TASK)
     buckets = reps.select("bag", F.posexplode("bands").alias("band", "key"))
     crowded = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = settle(buckets.join(crowded, "key"))
     found = links = None
-    if not shared.isEmpty():
-        found, links = _linked(narrow, reps, shared, threshold)
+    if places := shared.count():
+        found, links = _linked(narrow, reps, gathered(shared, places, EDGES_A_TASK), places, threshold)
     own = reps.select("bag", "rep_id", "n").withColumn("root", F.col("bag"))
     if links is not None:
         own = reps.select("bag", "rep_id", "n").join(links.withColumnRenamed("u", "bag"), "bag", "left").withColumn("root", F.coalesce("root", "bag"))
     heads = own.groupBy("root").agg(F.min(F.struct(F.col("rep_id").isNull(), "rep_id", "bag")).alias("head"), F.sum("n").alias("class_rows"))
-    bags = settle(own.join(heads, "root").select("bag", "rep_id", "n", F.col("head.rep_id").alias("class_id"), (F.col("head.bag") == F.col("bag")).alias("keeper"), "class_rows"))
+    bags = gathered(settle(own.join(heads, "root").select("bag", "rep_id", "n", F.col("head.rep_id").alias("class_id"), (F.col("head.bag") == F.col("bag")).alias("keeper"), "class_rows")), n, BAGS_A_TASK)
     return signed.select("doc_id", "bag"), bags, found
 
 
-def _linked(narrow: DataFrame, reps: DataFrame, shared: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """The verified links among the multisets that share buckets, and (u, root) of their components."""
+def _linked(narrow: DataFrame, reps: DataFrame, shared: DataFrame, places: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The verified links among the multisets that share buckets (in so many places), and (u, root) of their components."""
     sketch = [f"s{k}" for k in range(SKETCH)]
     central = shared.groupBy("bag").agg(F.sum("n").alias("score"))
     candidates = settle(reps.join(central, "bag").select("bag", "rep_id", "score", "bands", *sketch))
     marked = narrow.mapInArrow(_mark(1), f"doc_id long, text string, {MARK} binary").withColumnRenamed(MARK, "bag")
+    n = candidates.count()
+    candidates = gathered(candidates, n, BAGS_A_TASK)
     same = candidates.select("bag", F.col("rep_id").alias("__rep"))
     texts = _semi(marked, same, [marked["bag"] == same["bag"], marked["doc_id"].eqNullSafe(same["__rep"])])
-    texts = settle(texts.groupBy("bag").agg(F.min("text").alias("text")))
+    texts = gathered(settle(texts.groupBy("bag").agg(F.min("text").alias("text"))), n, TEXTS_A_TASK)
     now = shared.select("key", "band", "bag").join(candidates.drop("rep_id", "bands"), "bag").withColumn("comp", F.col("bag"))
     every: DataFrame | None = None
     links: DataFrame | None = None
@@ -285,11 +295,12 @@ def _linked(narrow: DataFrame, reps: DataFrame, shared: DataFrame, threshold: fl
             now = now.join(hubs.select("key", "bag"), ["key", "bag"], "left_anti")
             mixed = now.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("key")
             now = settle(now.join(mixed, "key", "left_semi"))
-            if now.isEmpty():
+            if not (places := now.count()):
                 break
+            now = gathered(now, places, EDGES_A_TASK)
         if not last:
             hub = now.groupBy("key").agg(F.max_by(F.struct("bag", "comp", *sketch), F.struct("score", "bag")).alias("h"))
-            hubs = settle(hub.select("key", "h.*"))
+            hubs = gathered(settle(hub.select("key", "h.*")), places, EDGES_A_TASK)
             one, two = hubs.alias("l"), now.alias("r")
             new = (F.col("l.bag") != F.col("r.bag")) & _near("s", SKETCH, threshold - 0.21)
             pairs = one.join(two, (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.comp")) & new)
@@ -309,9 +320,11 @@ def _remaining(now: DataFrame, candidates: DataFrame, texts: DataFrame, threshol
     fine = now.select("bag").distinct().join(texts, "bag").mapInArrow(_fine, "bag binary, " + ", ".join(f"f{k} long" for k in range(FINE_SKETCH)))
     fine = settle(fine)
     rest = now.select("key", "band", "bag", "comp").join(fine, "bag").join(candidates.select("bag", "bands"), "bag")
+    # both sides have the same narrow columns, so they are shuffled once
+    rest = rest.withColumn("before", F.slice("bands", 1, F.col("band"))).drop("band", "bands")
     one, two = rest.alias("l"), rest.alias("r")
     # a pair is taken from the first of the bands that it shares
-    earlier = F.arrays_overlap(F.slice("l.bands", 1, F.col("l.band")), F.slice("r.bands", 1, F.col("l.band")))
+    earlier = F.arrays_overlap("l.before", "r.before")
     new = (F.col("l.key") == F.col("r.key")) & (F.col("l.bag") < F.col("r.bag")) & (F.col("l.comp") != F.col("r.comp"))
     pairs = one.join(two, new & _near("f", FINE_SKETCH, threshold - 0.075) & ~earlier)
     return pairs.select(F.col("l.bag").alias("a"), F.col("r.bag").alias("b")).distinct()

@@ -56,6 +56,18 @@ def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     return df.repartition(max(least, -(-df.count() // rows)), *keys)
 
 
+def gathered(df: DataFrame, n: int, rows: int) -> DataFrame:
+    """``df``, settled and of at most ``n`` rows, read by so many tasks that each has about ``rows`` rows. A table with fewer
+    partitions keeps them; one cut finer than its rows call for costs the driver a record, and a shuffle three files, for each task."""
+    return df.coalesce(max(1, -(-n // rows)))
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let each query remove its shuffle files when it ends, rather than whenever the driver collects its garbage. For jobs of many
+    settled steps; it holds for the session. What was removed is made again if it is asked for."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def give_back() -> None:
     """Return what this Python process has freed to the system. Arrow's pool and the C library keep it for later use, and on the
     driver it would count beside the JVM's memory for the rest of the session."""
