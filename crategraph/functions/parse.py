@@ -25,12 +25,10 @@ def iso_date(c: Column) -> Column:
     """US dates (long and short month names, month/day/year) and day/month/year with a leading zero day over 12 to ISO; other
     texts stay as they are, null and 'none' give ''."""
     c = F.trim(F.coalesce(c.cast("string"), F.lit("")))
-    named = F.initcap(c)
-    out = F.coalesce(
-        *(F.date_format(F.try_to_timestamp(F.when(named.rlike(r"^[A-Z][a-z]+ \d{1,2}, \d{4}$"), named), F.lit(f)), "yyyy-MM-dd") for f in ("MMMM d, yyyy", "MMM d, yyyy")),
-        F.date_format(F.try_to_timestamp(F.when(c.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), c), F.lit("M/d/yyyy")), "yyyy-MM-dd"),
-    )
-    return F.when((c == "") | (F.lower(c) == "none"), "").when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), c).otherwise(F.coalesce(out, c))
+    day, named = r"^([A-Z][a-z]+ \d{1,2}, |\d{1,2}/\d{1,2}/)\d{4}$", F.initcap(c)
+    iso = lambda text: F.coalesce(F.date_format(F.try_to_timestamp(text, F.lit("[MMMM d, yyyy][MMM d, yyyy][M/d/yyyy]")), "yyyy-MM-dd"), c)
+    # initcap costs as much as the rest: only what starts with no digit and isn't capitalised yet meets it
+    return F.when(c.rlike(day), iso(c)).when((c == "") | (F.lower(c) == "none"), "").when(c.rlike(r"^\D") & named.rlike(day), iso(named)).otherwise(c)
 
 
 def day_first_date(c: Column) -> Column:

@@ -164,16 +164,20 @@ def song_pages(spark, d):
 def award_histories(spark, d):
     """An award page for each order: a row for each of its lines, with a detail table of up to two entries; rows without a title
     and entries without a level count for nothing."""
-    q, key = F.col("l_quantity").cast("int"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"))
     say = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
     us = lambda c: F.date_format(c, "MMMM d, yyyy")
     td = lambda css, x: say(f'<td class="{css}">', x, "</td>")
-    title = F.when(F.col("l_partkey") % 11 == 0, "").otherwise(say("Title ", F.col("l_partkey").cast("string")))
-    main = say('<tr class="table_award_row" id="default_', key, '"><td><img class="award" src="/a/', (q % 12).cast("string"), '_big.png"></td>', td("artists_cell", say("Artist ", F.col("l_suppkey").cast("string"))), td("others_cell", title), td("others_cell", us(F.col("l_shipdate"))), td("others_cell", F.lit("House")), td("format_cell", F.lit("SINGLE <a>MORE DETAILS</a>")), "</tr>")
-    released = td("x", F.date_format(F.date_sub(F.col("l_shipdate"), 365), "M/d/yyyy"))
-    one = F.when(q % 4 >= 2, say('<tr class="content_recent_table">', released, td("x", say((q % 12).cast("string"), "x Platinum | <b>", us(F.date_sub(F.col("l_shipdate"), 30)), "</b>")), "</tr>")).otherwise("")
-    two = F.when(q % 2 == 1, say('<tr class="content_recent_table">', released, td("x", F.lit("Gold")), "</tr>")).otherwise(say('<tr class="content_recent_table">', released, td("x", F.lit(" ")), "</tr>"))
-    detail = say('<tr><td><table id="recent_', key, '_detail">', one, two, "</table></td></tr>")
-    rows = table(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", q.alias("q"), say(main, detail).alias("html")).alias("row"))
-    made = rows.groupBy(F.col("l_orderkey").alias("page_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda x: x["html"]), "").alias("html"))
-    return markup.award_history(made.withColumn("html", say("<table>", F.col("html"), "</table>")))
+
+    def row(x):
+        q, key = x["q"], F.concat_ws("-", x["l_linenumber"], x["l_partkey"], x["l_suppkey"], x["q"])
+        title = F.when(x["l_partkey"] % 11 == 0, "").otherwise(say("Title ", x["l_partkey"].cast("string")))
+        main = say('<tr class="table_award_row" id="default_', key, '"><td><img class="award" src="/a/', (q % 12).cast("string"), '_big.png"></td>', td("artists_cell", say("Artist ", x["l_suppkey"].cast("string"))), td("others_cell", title), td("others_cell", x["shipped"]), td("others_cell", F.lit("House")), td("format_cell", F.lit("SINGLE <a>MORE DETAILS</a>")), "</tr>")
+        entry = say('<tr class="content_recent_table">', td("x", F.date_format(F.date_sub(x["day"], 365), "M/d/yyyy")))
+        one = F.when(q % 4 >= 2, say(entry, td("x", say((q % 12).cast("string"), "x Platinum | <b>", us(F.date_sub(x["day"], 30)), "</b>")), "</tr>")).otherwise("")
+        two = say(entry, td("x", F.when(q % 2 == 1, "Gold").otherwise(" ")), "</tr>")
+        return say(main, '<tr><td><table id="recent_', key, '_detail">', one, two, "</table></td></tr>")
+
+    # lines are gathered before they become markup, which is far longer
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q"), us(F.col("l_shipdate")).alias("shipped"), F.col("l_shipdate").cast("date").alias("day"))
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("page_id")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    return markup.award_history(lines.select("page_id", say("<table>", F.array_join(F.transform("lines", row), ""), "</table>").alias("html")))

@@ -116,13 +116,13 @@ def certification_blocks(pages: DataFrame, id_col: str = "page_id", html_col: st
 def level_of_image(src: Column) -> Column:
     """Level of an award picture such as 3_big.png: its number is 0 for gold, 1 for platinum, 10 for diamond, else how many
     times platinum; null without one."""
-    n = F.nullif(F.regexp_extract(src, r"(\d+)_big", 1), F.lit("")).try_cast("int")
+    n = F.regexp_extract(src, r"(\d+)_big", 1).try_cast("int")
     return F.when(n == 0, "Gold").when(n == 1, "Platinum").when(n == 10, "Diamond").when(n.isNotNull(), F.concat(n, F.lit("x Platinum")))
 
 
 def units_of_level(level: Column) -> Column:
     """Units a US level stands for: half a million gold, a million for each platinum, ten for diamond."""
-    times = F.nullif(F.regexp_extract(level, r"^(\d+)\s*x", 1), F.lit("")).try_cast("int")
+    times = F.regexp_extract(level, r"^(\d+)\s*x", 1).try_cast("int")
     low = F.lower(level)
     return F.when(low.contains("diamond"), 10_000_000).when(low.contains("platinum"), F.coalesce(times, F.lit(1)) * 1_000_000).when(low.contains("gold"), 500_000)
 

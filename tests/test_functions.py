@@ -72,6 +72,13 @@ def test_iso_date(value, raw, expected):
     assert value(parse.iso_date, raw) == expected
 
 
+def test_iso_date_of_other_texts(value):
+    """What no format takes stays, however near it comes; names may be written in any case."""
+    kept = ("February 30, 2001", "May 32, 2001", "13/1/2001", "Sept 3, 2001", "May 2, 2001May 2, 2001", "May 2, 2001\n", "Mayo 2, 2001", "of May 2, 2001", "2001", "may")
+    assert [value(parse.iso_date, x) for x in kept] == list(kept)
+    assert [value(parse.iso_date, x) for x in ("MAY 2, 2001", " sep 03, 2001 ", "sEPTEMBER 3, 2001", "1/02/0999", " nOnE ")] == ["2001-05-02", "2001-09-03", "2001-09-03", "0999-01-02", ""]
+
+
 def test_numbers(value):
     assert [value(parse.duration_seconds, x) for x in ("228", "3:48", "1:02:03", "None", "x:y", None)] == [228, 228, 3723, None, None, None]
     assert [value(parse.format_seconds, x) for x in (228, 3723)] == ["3:48", "1:02:03"]

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from crategraph.plans import QUERIES
 from crategraph.sources import markup
 
 PAGE = """<html><head><style>div{}</style></head><body><br><p>loose<p>text</i>
@@ -64,6 +65,16 @@ def test_award_rows(spark):
     ]
 
 
+def test_award_rows_hold_their_histories(spark):
+    cells = '<td><img class="award" src="/a/2_big.png"></td><td class="artists_cell">Ann</td><td class="others_cell">One</td><td class="others_cell">May 2, 2001</td><td class="others_cell">House</td><td class="format_cell">ALBUM {}</td></tr>'
+    html = '<tr class="table_award_row" id="default_1">' + cells.format("<a>MORE DETAILS</a>") + '<tr><td><table id="recent_1_detail"><tr class="content_recent_table"><td>1/2/1999</td><td>Gold</td></tr><tr class="content_recent_table"><td></td><td>Platinum | <b>x</b></td></tr></table></td></tr>'
+    html += '<tr class="table_award_row" id="default_2">' + cells.format("")
+    for page in (html, html + "&amp;"):
+        got = markup.award_rows(spark.createDataFrame([(1, page)], "page_id long, html string")).orderBy("pos").collect()
+        own = ("Ann", "One", "2001-05-02", "House", "ALBUM", "2x Platinum", 2_000_000)
+        assert [tuple(r) for r in got] == [(1, 0, *own, [("Gold", "2001-05-02", "1999-01-02", 500_000), ("Platinum", "x", "", 1_000_000)]), (1, 1, *own, [])]
+
+
 def test_plain_markup_gives_the_parser_s_tree():
     """Pages cut by the pattern are the parser's, and award pages are cut by it at all."""
     flat = lambda e: (e.tag, e.attrs, [c if isinstance(c, str) else flat(c) for c in e.children])
@@ -74,3 +85,44 @@ def test_plain_markup_gives_the_parser_s_tree():
     assert 1_000 < len(plain) < 4_000
     for html in pages:
         assert flat(markup.tree(html)) == flat(markup._parsed_tree(html))
+
+
+def award_page(rng: random.Random) -> str:
+    """A page of award rows with details, most of them as usual; little of it anything else."""
+    odd = lambda usual, *others: rng.choice(others) if rng.random() < 0.02 else usual
+    some = lambda *texts: rng.choice(texts)
+    gap = lambda: odd("", "\n ", "loose", "<br>", "</i>", "</tr>", "&amp;")
+
+    def step() -> str:
+        cells = f'<td class="x">{some("5/6/2001", " ", "a|b")}</td>', gap(), some('<td class="x">3x Platinum | <b> May 2, 1999</b></td>', "<td>Gold</td>", "<td> </td>", "<td>| x</td>", odd("<td></td>", '<td id="recent_1_detail">x</td>'))
+        return some('<tr class="content_recent_table">', odd('<tr class="content_recent_table">', "<tr>")) + "".join(cells[: odd(3, 1)]) + gap() + "</tr>"
+
+    def row() -> str:
+        key = some("1", "2", "default_3", "")
+        cells = [f'<td><img class="award" src="/a/{some(0, 3)}_big.png"></td>', f'<td class="artists_cell">{some(" Ann", "Bo", odd("Cy", "", "<b>D</b>i"))}</td>']
+        cells += [f'<td class="{odd("others_cell", "x others_cell")}">{x}</td>' for x in (some("One ", "Two", ""), "May 2, 2001", "House")] + [f'<td class="format_cell">SINGLE {some("", "<a>MORE DETAILS</a>", odd("", "<i>x</i>"))}</td>']
+        detail = f'<tr><td><table id="{some("recent_", odd("recent_", "default_"))}{odd(key, "2")}_detail">' + "".join(step() + gap() for _ in range(rng.randrange(4))) + "</table></td></tr>"
+        return f'<tr class="{odd("table_award_row", "a table_award_row")}" id="default_{key}">' + gap() + gap().join(odd(cells, cells[:4], cells[::-1])) + "</tr>" + gap() + some(detail, detail, "")
+
+    return odd("<table>", "") + "".join(row() + gap() for _ in range(rng.randrange(4))) + odd("</table>", "", "<p>more")
+
+
+def test_usual_award_rows_are_those_of_the_tree(monkeypatch):
+    rng = random.Random(4)
+    pages = [award_page(rng) for _ in range(4_000)]
+    usual = [markup._usual_rows(x) is not None for x in pages]
+    assert 1_000 < sum(usual) < 3_500
+    got = [list(markup.award_rows_in(x)) for x in pages]
+    monkeypatch.setattr(markup, "_usual_rows", lambda html: None)
+    assert got == [list(markup.award_rows_in(x)) for x in pages]
+    for kind in (True, False):  # both have entries
+        assert sum(len(r[-1]) for x, u in zip(got, usual) if u is kind for r in x) > 400
+
+
+def test_award_pages_of_the_query_need_no_tree(spark, small, monkeypatch):
+    """Its pages are usual ones, made of lines after these were shuffled."""
+    monkeypatch.setattr(markup, "award_history", lambda pages: pages)
+    pages = QUERIES["award_histories"](spark, small)
+    assert all(markup._usual_rows(r["html"]) for r in pages.limit(300).collect())
+    gathered, below = pages._jdf.queryExecution().optimizedPlan().toString().partition("Aggregate")[2].split("\n", 1)
+    assert "table_award_row" in gathered and "table_award_row" not in below
